@@ -91,11 +91,11 @@ def longs(a: np.ndarray) -> pa.Array:
 BLOCK = 1 << 14
 
 
-def counted(hashes: DataFrame, bits: int) -> np.ndarray:
+def counted(hashes: DataFrame, bits: int, kind: type = np.uint32) -> np.ndarray:
     """Sum the partial counters in (block int, counts binary) rows into one array.
 
-    The array has ``2 ** bits`` unsigned 32-bit counters whatever the input's
-    size, so that it may be collected and broadcast.  Partial arrays meet block
+    The array has ``2 ** bits`` unsigned counters whatever the input's size, so
+    that it may be collected and broadcast; a full counter stays at its top.  Partial arrays meet block
     by block; a task adds them as they come and holds one block at a time.
     """
     blocks = max(1, (1 << bits) // BLOCK)
@@ -105,28 +105,28 @@ def counted(hashes: DataFrame, bits: int) -> np.ndarray:
         total: dict[int, np.ndarray] = {}
         for batch in batches:
             for block, counts in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                part = np.frombuffer(counts.as_buffer(), np.uint32)
+                part = np.frombuffer(counts.as_buffer(), kind)
                 if block in total:
                     had = total[block]
-                    np.add(had, part, out=had)
-                    np.maximum(had, part, out=had)  # stays at the top instead of wrapping
+                    had += part
+                    had[had < part] = np.iinfo(kind).max
                 else:
                     total[block] = part.copy()
         yield pa.RecordBatch.from_arrays(
             [pa.array(list(total), pa.int32()), binaries([x.tobytes() for x in total.values()])], ["block", "counts"]
         )
 
-    out = np.zeros(1 << bits, np.uint32)
+    out = np.zeros(1 << bits, kind)
     rows = hashes.repartition(min(blocks, 64), "block").mapInArrow(add, "block int, counts binary").collect()
     for row in rows:
-        out[row["block"] * size : (row["block"] + 1) * size] = np.frombuffer(row["counts"], np.uint32)
+        out[row["block"] * size : (row["block"] + 1) * size] = np.frombuffer(row["counts"], kind)
     return out
 
 
-def counter_rows(counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+def counter_rows(counts: np.ndarray, kind: type = np.uint32) -> Iterator[pa.RecordBatch]:
     """One task's counters as (block, counts) rows, without blocks that are all zero."""
     size = min(BLOCK, len(counts))
-    parts = counts.astype(np.uint32).reshape(-1, size)
+    parts = counts.astype(kind).reshape(-1, size)
     full = np.flatnonzero(parts.any(axis=1))
     for i in range(0, len(full), 16):
         some = full[i : i + 16]
