@@ -55,3 +55,12 @@ def gram_hashes(stream: np.ndarray, size: int, bits: int) -> np.ndarray:
     for i in range(size):
         acc = mix(acc + _STEP + stream[i : i + len(acc)])
     return (acc >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def gram_ladder(stream: np.ndarray, least: int, most: int, bits: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(size, buckets) for each size from ``least`` to ``most``; a size's hashes extend those of the one before."""
+    acc = np.full(len(stream), np.uint64(1))
+    for i in range(most):
+        acc = mix(acc[: max(0, len(stream) - i)] + _STEP + stream[i:])
+        if i + 1 >= least:
+            yield i + 1, (mix(acc + np.uint64(i)) >> np.uint64(64 - bits)).astype(np.int64)

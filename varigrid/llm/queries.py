@@ -4,18 +4,42 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from varigrid.llm.common import table
 from varigrid.llm.jaccard import jaccard_components
+from varigrid.llm.language import language_id
+from varigrid.llm.tokenstore import token_store
+from varigrid.llm.toxicity import toxicity
+
+#: The tokenizer of the token store and the id that closes a document.
+TOKENIZER, END_ID = "word_bpe_49k.json", 2
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"), width=3, percent=90)
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id(table(spark, sf_dir, "documents"))
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op7_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_store(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), END_ID)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_ngram_jaccard_join": op1_ngram_jaccard_join}
+    return {
+        "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
+        "op2_language_id": op2_language_id,
+        "op5_toxicity": op5_toxicity,
+        "op7_token_store": op7_token_store,
+    }
 
 
 def oracle_sql() -> dict[str, str]:

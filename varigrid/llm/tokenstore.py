@@ -290,7 +290,7 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int) -> None
                 had[0] += 1
                 had[1] += n
                 had[2].update(root)
-        yield pa.RecordBatch.from_arrays([pa.array([*seen]), pa.array([x[0] for x in seen.values()], pa.int64()), pa.array([x[1] for x in seen.values()], pa.int64()), binaries([x[2].digest() for x in seen.values()])], ["file", "documents", "ids", "root"])
+        yield pa.RecordBatch.from_arrays([pa.array([*seen], pa.int32()), pa.array([x[0] for x in seen.values()], pa.int64()), pa.array([x[1] for x in seen.values()], pa.int64()), binaries([x[2].digest() for x in seen.values()])], ["file", "documents", "ids", "root"])
 
     # a document's root goes to its file's in the order of the file
     written = spark.read.schema(recipe).parquet(f"{path}/recipes").select("file", "n", "root", "at", "row")
