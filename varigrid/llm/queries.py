@@ -8,13 +8,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from varigrid.llm.common import table
+from varigrid.llm.fingerprint import fingerprints
 from varigrid.llm.jaccard import jaccard_components
 from varigrid.llm.language import language_id
+from varigrid.llm.mixing import mixed, rates_sql
 from varigrid.llm.tokenstore import token_store
 from varigrid.llm.toxicity import toxicity
 
 #: The tokenizer of the token store and the id that closes a document.
 TOKENIZER, END_ID = "word_bpe_49k.json", 2
+MIX_SEED = 1
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,14 +36,26 @@ def op7_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), END_ID)
 
 
+def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources in equal shares, as many documents as there are."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return mixed(docs, seed=MIX_SEED).withColumnRenamed("_copy", "copy").select("doc_id", "source", "copy", "text")
+
+
+def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
         "op2_language_id": op2_language_id,
         "op5_toxicity": op5_toxicity,
         "op7_token_store": op7_token_store,
+        "op9_source_mixing": op9_source_mixing,
+        "op10_fingerprints": op10_fingerprints,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_source_mixing": rates_sql(MIX_SEED)}
