@@ -14,6 +14,7 @@ from varigrid.llm.language import language_id
 from varigrid.llm.mixing import mixed, rates_sql
 from varigrid.llm.tokenstore import token_store
 from varigrid.llm.toxicity import toxicity
+from varigrid.llm.webtext import main_text
 
 #: The tokenizer of the token store and the id that closes a document.
 TOKENIZER, END_ID = "word_bpe_49k.json", 2
@@ -36,6 +37,10 @@ def op7_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), END_ID)
 
 
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text(table(spark, sf_dir, "pages"))
+
+
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sources in equal shares, as many documents as there are."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
@@ -52,6 +57,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_language_id": op2_language_id,
         "op5_toxicity": op5_toxicity,
         "op7_token_store": op7_token_store,
+        "op8_html_extraction": op8_html_extraction,
         "op9_source_mixing": op9_source_mixing,
         "op10_fingerprints": op10_fingerprints,
     }
