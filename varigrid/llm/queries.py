@@ -12,6 +12,7 @@ from varigrid.llm.fingerprint import fingerprints
 from varigrid.llm.jaccard import jaccard_components
 from varigrid.llm.language import language_id
 from varigrid.llm.mixing import mixed, rates_sql
+from varigrid.llm.secrets import secrets
 from varigrid.llm.tokenstore import token_store
 from varigrid.llm.toxicity import toxicity
 from varigrid.llm.webtext import main_text
@@ -29,6 +30,10 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id(table(spark, sf_dir, "documents"))
 
 
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets(table(spark, sf_dir, "documents"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -55,6 +60,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
         "op2_language_id": op2_language_id,
+        "op3_secret_scan": op3_secret_scan,
         "op5_toxicity": op5_toxicity,
         "op7_token_store": op7_token_store,
         "op8_html_extraction": op8_html_extraction,
