@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from varigrid.llm.common import table
+from varigrid.llm.decontaminate import contamination
 from varigrid.llm.fingerprint import fingerprints
 from varigrid.llm.jaccard import jaccard_components
 from varigrid.llm.language import language_id
@@ -38,6 +39,10 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), END_ID)
 
@@ -62,6 +67,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_language_id": op2_language_id,
         "op3_secret_scan": op3_secret_scan,
         "op5_toxicity": op5_toxicity,
+        "op6_benchmark_decontamination": op6_benchmark_decontamination,
         "op7_token_store": op7_token_store,
         "op8_html_extraction": op8_html_extraction,
         "op9_source_mixing": op9_source_mixing,
