@@ -6,14 +6,16 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from varigrid.llm.common import table
+from varigrid.llm.common import shared_dir, table
 from varigrid.llm.decontaminate import contamination
 from varigrid.llm.fingerprint import fingerprints
 from varigrid.llm.jaccard import jaccard_components
 from varigrid.llm.language import language_id
 from varigrid.llm.mixing import mixed, rates_sql
 from varigrid.llm.secrets import secrets
+from varigrid.llm.shards import sharded
 from varigrid.llm.tokenstore import token_store
 from varigrid.llm.toxicity import toxicity
 from varigrid.llm.webtext import main_text
@@ -35,6 +37,12 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets(table(spark, sf_dir, "documents"))
 
 
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as the compacted table gives them back."""
+    rows = sharded(table(spark, sf_dir, "documents"), shared_dir(spark)).read()
+    return rows.select("doc_id", "lang", "source", "n_chars", F.md5("text").alias("text_md5"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -66,6 +74,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
         "op2_language_id": op2_language_id,
         "op3_secret_scan": op3_secret_scan,
+        "op4_sharding": op4_sharding,
         "op5_toxicity": op5_toxicity,
         "op6_benchmark_decontamination": op6_benchmark_decontamination,
         "op7_token_store": op7_token_store,
@@ -76,4 +85,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_source_mixing": rates_sql(MIX_SEED)}
+    return {
+        "op4_sharding": "SELECT doc_id, lang, source, n_chars, md5(text) AS text_md5 FROM documents",
+        "op9_source_mixing": rates_sql(MIX_SEED),
+    }
