@@ -8,10 +8,12 @@ word shingles.  Documents with equal sets form a class, and only classes meet.
 2. Every class lists the shingles of its prefix: the ones that a partner must
    share one of, the rarest first under the sketch's counts, ties by hash.  Any
    order that is the same for all sets loses no link.
-3. Classes meet on prefix shingles.  The length filter, and the positional
-   filter with the sharing shingle's place in both, drop most meetings.
+3. Classes meet on prefix shingles.  The length filter and the positional
+   filter, with the sharing shingle's place in both, drop most meetings, and so
+   does the suffix filter: the sets' parities by hash bucket differ in no more
+   buckets than the sets differ in shingles.
 4. Meetings are verified once per pair on the whole sets, fetched only for the
-   classes that occur in a pair; a suffix filter over hash ranges comes first.
+   classes that occur in a pair.
 5. Components come from the links.
 
 A shingle shared by thousands of near copies would make all pairs of them meet.
@@ -38,8 +40,8 @@ from varigrid.llm.shingles import Shingler, digest, least_overlap, prefix_length
 SKETCH_BITS = 20
 #: Bits of the filter that says which classes' sets are fetched.
 FETCH_BITS = 22
-#: Equal parts of the hash space that the suffix filter counts in.
-RANGES = 64
+#: A set has about so many parity buckets for each shingle that it may differ from a partner in.
+PARITIES = 5
 
 
 def _sketch(docs: DataFrame, width: int, bits: int) -> np.ndarray:
@@ -74,13 +76,33 @@ def rarest(shingles: np.ndarray, counts: np.ndarray, bits: int, percent: int) ->
     return shingles[np.lexsort((shingles, c))[:p]]
 
 
+def parities(shingles: np.ndarray, percent: int) -> bytes:
+    """Whether an odd number of shingles falls in each bucket; buckets by the hash's low bits."""
+    n = len(shingles)
+    b = 1 << max(6, (PARITIES * 2 * (n - least_overlap(n, n, percent)) - 1).bit_length())
+    odd = np.bincount((shingles & np.uint64(b - 1)).astype(np.int64), minlength=b) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def parity_distance(x: bytes, y: bytes) -> int:
+    """Buckets of different parity, the finer buckets joined until both have as many."""
+    a, b, na, nb = int.from_bytes(x, "little"), int.from_bytes(y, "little"), 8 * len(x), 8 * len(y)
+    while na > nb:
+        na >>= 1
+        a = a >> na ^ a & (1 << na) - 1
+    while nb > na:
+        nb >>= 1
+        b = b >> nb ^ b & (1 << nb) - 1
+    return (a ^ b).bit_count()
+
+
 def _signatures(docs: DataFrame, width: int, percent: int, bits: int, counts) -> DataFrame:
-    """(doc_id, n, cls, prefix): per document its set's size and class; a task gives a class's prefix once."""
+    """(doc_id, n, cls, prefix, odd): per document its set's size and class; a task gives a class's prefix and parities once."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, rare, seen = Shingler(width), counts.value, set()
         for batch in batches:
-            sizes, classes, prefixes = [], [], []
+            sizes, classes, prefixes, odd = [], [], [], []
             for a in shingler.sets(batch.column(1)):
                 d = digest(a)
                 sizes.append(len(a))
@@ -88,16 +110,18 @@ def _signatures(docs: DataFrame, width: int, percent: int, bits: int, counts) ->
                 if d and d not in seen:
                     seen.add(d)
                     prefixes.append(rarest(a, rare, bits, percent).view(np.int64))
+                    odd.append(parities(a, percent))
                 else:
                     prefixes.append(None)
+                    odd.append(None)
                 if len(seen) > 1_000_000:
                     seen.clear()
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), binaries(classes), pa.array(prefixes, pa.list_(pa.int64()))],
-                ["doc_id", "n", "cls", "prefix"],
+                [batch.column(0), pa.array(sizes, pa.int64()), binaries(classes), pa.array(prefixes, pa.list_(pa.int64())), binaries(odd)],
+                ["doc_id", "n", "cls", "prefix", "odd"],
             )
 
-    return only(docs, "doc_id", "text").mapInArrow(sign, f"doc_id {_type(docs, 'doc_id')}, n long, cls binary, prefix array<long>")
+    return only(docs, "doc_id", "text").mapInArrow(sign, f"doc_id {_type(docs, 'doc_id')}, n long, cls binary, prefix array<long>, odd binary")
 
 
 def _type(df: DataFrame, name: str) -> str:
@@ -105,9 +129,9 @@ def _type(df: DataFrame, name: str) -> str:
 
 
 def _meetings(postings: DataFrame, percent: int, whole: bool) -> DataFrame:
-    """(a, b): classes under one shingle that the length and positional filters let meet.
+    """(a, b): classes under one shingle that the length, positional and suffix filters let meet.
 
-    ``postings`` (token, n, pos, cls, comp) come grouped by token and sorted by n.
+    ``postings`` (token, n, pos, cls, comp, odd) come grouped by token and sorted by n.
     A group's rows are held only as far as their sizes allow a link.
     """
 
@@ -121,7 +145,8 @@ def _meetings(postings: DataFrame, percent: int, whole: bool) -> DataFrame:
         def fits(x, y) -> bool:
             if x[3] == y[3] or 100 * min(x[0], y[0]) < percent * max(x[0], y[0]):
                 return False
-            return min(x[0] - x[1], y[0] - y[1]) >= least_overlap(x[0], y[0], percent)
+            need = least_overlap(x[0], y[0], percent)
+            return min(x[0] - x[1], y[0] - y[1]) >= need and parity_distance(x[4], y[4]) <= x[0] + y[0] - 2 * need
 
         def pair(x, y) -> None:
             a, b = (x[2], y[2]) if x[2] < y[2] else (y[2], x[2])
@@ -139,7 +164,7 @@ def _meetings(postings: DataFrame, percent: int, whole: bool) -> DataFrame:
             return out
 
         for batch in batches:
-            rows = zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True)
+            rows = zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True)
             for t, *row in rows:
                 if t != token:
                     token, first, recent = t, row, []
@@ -163,7 +188,7 @@ def _meetings(postings: DataFrame, percent: int, whole: bool) -> DataFrame:
         if left:
             yield flush()
 
-    ordered = postings.select("token", "n", "pos", "cls", "comp").repartition("token").sortWithinPartitions("token", "n", "cls")
+    ordered = postings.select("token", "n", "pos", "cls", "comp", "odd").repartition("token").sortWithinPartitions("token", "n", "cls")
     return ordered.mapInArrow(meet, "a binary, b binary").distinct()
 
 
@@ -225,18 +250,8 @@ def _links(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataF
 
 
 def linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
-    """Whether two sorted sets link.  The suffix filter bounds their overlap by
-    the smaller count in each of some ranges of hashes before they are merged."""
+    """Whether two sorted sets link."""
     need = least_overlap(len(x), len(y), percent)
-    if min(len(x), len(y)) < need:
-        return False
-    if len(x) > 4 * RANGES:
-        edges = np.arange(1, RANGES, dtype=np.uint64) << np.uint64(64 - RANGES.bit_length() + 1)
-        cx = np.diff(np.searchsorted(x, edges), prepend=0, append=len(x))
-        cy = np.diff(np.searchsorted(y, edges), prepend=0, append=len(y))
-        cx[-1], cy[-1] = len(x) - cx[:-1].sum(), len(y) - cy[:-1].sum()
-        if int(np.minimum(cx, cy).sum()) < need:
-            return False
     both = np.concatenate([x, y])
     both.sort()
     return int(np.count_nonzero(both[1:] == both[:-1])) >= need
@@ -255,11 +270,11 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, sketc
     spark = docs.sparkSession
     counts = spark.sparkContext.broadcast(_sketch(docs, width, sketch_bits))
     signed = stored(_signatures(docs, width, percent, sketch_bits, counts))
-    prefixes = signed.filter("prefix is not null").groupBy("cls").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+    prefixes = signed.filter("prefix is not null").groupBy("cls").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("odd").alias("odd"))
     entries = prefixes.select("cls", "n", F.posexplode("prefix").alias("pos", "token"))
-    paired = entries.repartition("token").sortWithinPartitions("token").mapInArrow(_with_company, "cls binary, n long, pos int, token long")
+    paired = entries.repartition("token").sortWithinPartitions("token", "n").mapInArrow(_with_company(percent), entries.schema)
     path = shared_dir(spark)
-    postings = stored(paired, path)
+    postings = stored(paired.join(prefixes.select("cls", "odd"), "cls"), path)
 
     met = stored(_meetings(postings.withColumn("comp", F.col("cls")), percent, whole=False))
     links = _links(docs, met, width, percent)
@@ -283,27 +298,51 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, sketc
     )
 
 
-def _with_company(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by token, those whose token occurs again."""
-    held = None  # the last row, not yet decided
-    company = False
-    for batch in batches:
-        if held is not None:
-            batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
-        n = batch.num_rows
-        if not n:
-            continue
-        t = batch.column(3).to_numpy()
-        same = t[1:] == t[:-1]
-        keep = np.zeros(n, bool)
-        keep[1:] |= same
-        keep[:-1] |= same
-        keep[0] |= company
-        held, company = batch.slice(n - 1, 1), bool(keep[-1])
-        keep[-1] = False
-        yield batch.filter(pa.array(keep))
-    if held is not None and company:
-        yield held
+#: Groups up to this size are looked through pair by pair for rows that can meet.
+SMALL = 64
+
+
+def _with_company(percent: int):
+    """Of rows (cls, n, pos, token) sorted by token and n, those that the length
+    and positional filters let meet some other row; in a large group, those that
+    the length filter lets meet a neighbour."""
+
+    def usable(n: np.ndarray, pos: np.ndarray) -> np.ndarray:
+        if len(n) > SMALL:
+            near = 100 * n[:-1] >= percent * n[1:]
+            return np.append(near, False) | np.append(False, near)
+        a, b = n[:, None], n[None, :]
+        good = (100 * np.minimum(a, b) >= percent * np.maximum(a, b)) & (np.minimum(a - pos[:, None], b - pos[None, :]) >= least_overlap(a, b, percent))
+        np.fill_diagonal(good, False)
+        return good.any(axis=1)
+
+    def filtered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []  # the rows of the last token so far
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            whole = pa.Table.from_batches([*held, batch]).combine_chunks().to_batches()[0]
+            token = whole.column(3).to_numpy()
+            if held and token[0] == token[-1]:
+                held.append(batch)  # a group longer than a batch
+                continue
+            last = len(token) - int(np.argmax(token[::-1] != token[-1])) if token[0] != token[-1] else 0
+            held = [whole.slice(last)]
+            if last:
+                yield select(whole.slice(0, last))
+        if held:
+            yield select(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
+
+    def select(rows: pa.RecordBatch) -> pa.RecordBatch:
+        n, pos, token = (rows.column(i).to_numpy().astype(np.int64) for i in (1, 2, 3))
+        edges = np.flatnonzero(token[1:] != token[:-1]) + 1
+        starts, ends = np.append(0, edges), np.append(edges, len(token))
+        keep = np.zeros(len(token), bool)
+        for a, b in zip(starts[ends - starts > 1].tolist(), ends[ends - starts > 1].tolist(), strict=True):
+            keep[a:b] = usable(n[a:b], pos[a:b])
+        return rows.filter(pa.array(keep))
+
+    return filtered
 
 
 def one_of_each_group(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
