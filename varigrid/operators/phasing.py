@@ -43,8 +43,7 @@ def signatures(states: DataFrame) -> DataFrame:
 
 def depths(signed: DataFrame) -> DataFrame:
     """(chrom, nbhd, pos, depth, support) from signatures and their numbers."""
-    site = F.split(F.explode(F.split("signature", ",")), ":")
-    rows = signed.select("chrom", "nbhd", "n", site.alias("s"))
+    rows = signed.select("chrom", "nbhd", "n", F.explode(F.split("signature", ",")).alias("s")).withColumn("s", F.split("s", ":"))
     return rows.groupBy("chrom", "nbhd", F.get("s", F.lit(0)).cast("long").alias("pos")).agg(F.sum("n").alias("depth"), F.sum(F.when(F.get("s", F.lit(1)) == "alt", F.col("n")).otherwise(0)).alias("support"))
 
 
@@ -125,8 +124,7 @@ def haplotypes(clustered: DataFrame, sites: DataFrame, reference: DataFrame | No
     sites are filled from ``reference`` (chrom, pos, base), with N where it has none.
     """
     one = clustered.groupBy("chrom", "nbhd", "cluster").agg(F.first("consensus").alias("consensus"), F.sum("n").alias("support"))
-    site = F.split(F.explode(F.split("consensus", ",")), ":")
-    rows = one.select("chrom", "nbhd", "cluster", "support", site.alias("s")).select("chrom", "nbhd", "cluster", "support", F.get("s", F.lit(0)).cast("long").alias("pos"), F.get("s", F.lit(1)).alias("state"))
+    rows = one.select("chrom", "nbhd", "cluster", "support", F.explode(F.split("consensus", ",")).alias("s")).withColumn("s", F.split("s", ":")).select("chrom", "nbhd", "cluster", "support", F.get("s", F.lit(0)).cast("long").alias("pos"), F.get("s", F.lit(1)).alias("state"))
     carried = rows.filter("state = 'alt'")
     span = carried.groupBy("chrom", "nbhd", "cluster", "support").agg(F.min("pos").alias("lo"), F.max("pos").alias("hi"))
     spine = span.withColumn("pos", F.explode(F.sequence("lo", "hi")))
