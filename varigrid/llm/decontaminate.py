@@ -9,8 +9,7 @@ consistent: one value of the benchmark has one value in the document.  A
 document contains an item if enough of the item's windows occur.
 
 All of it is SQL functions.  A benchmark window is found through its longest
-word: a document's words are exploded, those that anchor no window are dropped
-in the same stage, and only the others see the hash of the window around them.
+word: only where a document has such a word is the window around it hashed.
 """
 
 from __future__ import annotations
@@ -36,11 +35,15 @@ UNITS = (
 def tokens(text: Column) -> Column:
     """Lower-case words; numbers begin with a digit, names with ``#``, units with ``@``."""
     text = F.coalesce(text, F.lit(""))
-    t = F.regexp_replace(F.regexp_replace(text, "[#@]", " "), r"(?<=[0-9])[.,:/](?=[0-9])", "_")
+    t = F.when(text.contains("#") | text.contains("@"), F.regexp_replace(text, "[#@]", " ")).otherwise(text)
     t = F.regexp_replace(t, r"\p{Lu}(?<=[\p{Ll},;]\x20.)\p{Ll}+", "#$0")
-    t = F.regexp_replace(t, r"([0-9])\x20?((?i:" + UNITS + r"))(?![\p{L}\p{N}_])", "$1 @$2")
-    t = F.regexp_replace(t, r"([0-9])\x20?([%$€£°])", "$1 @$2 ")
-    return F.array_remove(F.split(F.lower(t), r"[^\p{L}\p{M}\p{N}#@_%$€£°]+"), "")
+    n = F.regexp_replace(t, r"[.,:/](?<=[0-9].)(?=[0-9])", "_")
+    n = F.regexp_replace(n, r"([0-9])\x20?((?i:" + UNITS + r"))(?![\p{L}\p{N}_])", "$1 @$2")
+    n = F.regexp_replace(n, r"([0-9])\x20?([%$€£°])", "$1 @$2 ")
+    t = F.lower(F.when(text.rlike("[0-9]"), n).otherwise(t))
+    t = F.when(F.octet_length(text) == F.length(text), t).otherwise(F.regexp_replace(t, r"[^\x00-\x7f\p{L}\p{M}\p{N}€£°]", " "))
+    # what is left to part words is ASCII but for the signs above, digits, letters and #@_%$
+    return F.array_remove(F.split(t, r"[\x00-\x22&-/:-?\[-^`{-\x7f]+"), "")
 
 
 def template(word: Column) -> Column:
@@ -77,7 +80,10 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.lit(None).cast("bigint").alias("item_id")).filter(F.lit(False))
     if len(known) <= MOST_BROADCAST:
         anchors = sorted({r["anchor"] for r in known})
-        spots = read.select("doc_id", "text_hash", "tokens", F.posexplode("tokens").alias("pos", "anchor")).filter(F.col("anchor").isin(anchors))
+        # places first: exploding the words themselves would copy the text for each
+        hits = F.array_compact(F.transform("tokens", lambda w, i: F.when(w.isin(anchors), i)))
+        spots = read.withColumn("hits", hits).filter(F.size("hits") > 0).select("doc_id", "text_hash", "tokens", F.explode("hits").alias("pos"))
+        spots = spots.withColumn("anchor", F.get("tokens", F.col("pos")))
         side = F.broadcast(bench)
         met = spots.join(side, "anchor").withColumn("from", F.col("pos") - F.col("offset"))
         met = met.filter((F.col("from") >= 0) & (F.col("from") + F.col("size") <= F.size("tokens")))
