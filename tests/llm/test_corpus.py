@@ -464,11 +464,23 @@ def test_fingerprints_of_repeated_null_and_no_rows(spark):
 
 
 def test_exact_groups_part_texts_of_one_digest(spark):
-    from varigrid.llm.fingerprint import exact_groups
+    from varigrid.llm.fingerprint import exact_groups, grouped
 
-    rows = spark.createDataFrame([(1, "a", "d1"), (2, "b", "d1"), (3, "a", "d1"), (4, "c", "d2"), (5, "c", "d2")], "doc_id long, canon string, digest string")
-    got = sorted((r.digest, r.part, r.least_id, r.copies) for r in exact_groups(rows, "canon", "digest", "doc_id").collect())
-    assert got == [("d1", 0, 1, 2), ("d1", 1, 2, 1), ("d2", 0, 4, 2)]
+    rows = spark.createDataFrame([(1, "a", "d1"), (2, "b", "d1"), (3, "a", "d1"), (4, "c", "d2"), (5, "c", "d2"), (6, "e", "d3")], "doc_id long, canon string, digest string")
+    groups = exact_groups(rows)
+    assert sorted((r.digest, r.part, r.class_id, r.copies) for r in groups.collect()) == [("d1", 0, 1, 2), ("d1", 1, 2, 1), ("d2", 0, 4, 2), ("d3", 0, 6, 1)]
+    assert sorted((r.doc_id, r.class_id, r.part) for r in grouped(rows, groups).collect()) == [(1, 1, 0), (2, 2, 1), (3, 1, 0), (4, 4, 0), (5, 4, 0), (6, 6, 0)]
+
+
+def test_fingerprints_of_colliding_digests_differ(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from varigrid.llm import fingerprint as fp
+
+    monkeypatch.setattr(fp, "fingerprint", lambda canon: F.concat(F.lit("same"), F.substring(canon, 1, 0)))
+    got = {r.doc_id: r for r in fp.fingerprints(docs(spark, ["x", "y", "x"])).collect()}
+    assert got[0].fingerprint == got[2].fingerprint != got[1].fingerprint and (got[2].class_id, got[2].copies, got[1].copies) == (0, 2, 1)
+    assert got[0].near_next == 0.0 and got[2].near_next == 1.0
 
 
 # -- pipeline

@@ -13,7 +13,7 @@ alone need neither.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 _NFKC = "com.ibm.icu.text.Normalizer", "compose"
@@ -35,21 +35,41 @@ def fingerprint(canon: Column) -> Column:
     return F.concat(half(F.xxhash64(canon)), half(F.xxhash64(F.lit("second"), canon, F.length(canon))))
 
 
-def exact_groups(docs: DataFrame, canon: str, digest: str, doc_id: str) -> DataFrame:
-    """(digest, part, least_id, copies): the groups of rows with one canonical text.
+#: Bits of the filter that says which digests occur more than once: a table of at most ``FILTER_BITS / 32768`` rows of 4 KiB.
+FILTER_BITS = 1 << 25
 
-    ``part`` is 0 unless a bucket holds different texts, which then are
-    numbered in their order.  A bucket is reduced to its least and greatest text
-    before rows move; where the two are the same bytes, all between are.
+
+def exact_groups(rows: DataFrame) -> DataFrame:
+    """(digest, canon, class_id, copies, part): the groups of rows (doc_id, digest, canon) with one canonical text.
+
+    ``canon`` is null where a bucket holds one text, as all do unless digests
+    collide; else there is a row for each of its texts, numbered in their order
+    by ``part``.
+
+    Digests are counted first, without texts.  Texts move for digests that occur
+    more than once, as far as a bitmap of bounded size can tell them, and
+    each task reduces them to a bucket's least and greatest before that: where
+    these are the same bytes, so are all between.
     """
-    buckets = docs.groupBy(digest).agg(
-        F.min(canon).alias("_low"), F.max(canon).alias("_high"), F.min(doc_id).alias("least_id"), F.count("*").alias("copies")
-    )
-    same = buckets.filter("_low = _high").select(digest, F.lit(0).alias("part"), "least_id", "copies")
-    mixed = buckets.filter("_low <> _high").select(F.col(digest).alias("_digest"))
-    texts = docs.join(mixed, docs[digest] == mixed["_digest"], "left_semi").groupBy(digest, canon).agg(F.min(doc_id).alias("least_id"), F.count("*").alias("copies"))
-    part = F.expr(f"row_number() over (partition by {digest} order by {canon}) - 1").cast("int")
-    return same.unionByName(texts.select(digest, part.alias("part"), "least_id", "copies"))
+    counts = rows.groupBy("digest").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("copies"))
+    many = counts.filter("copies > 1").select("digest")
+    bit = lambda: F.pmod(F.xxhash64("digest"), F.lit(FILTER_BITS))
+    spot = lambda df: df.withColumns({"_bucket": F.floor(bit() / 32768), "_bit": (bit() % 32768).cast("int")})
+    bitmaps = spot(many).groupBy("_bucket").agg(F.bitmap_construct_agg("_bit").alias("_map"))
+    byte = F.conv(F.hex(F.substring("_map", F.floor(F.col("_bit") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    maybe = spot(rows).join(F.broadcast(bitmaps), "_bucket").filter(byte.bitwiseAND(F.expr("shiftleft(1, _bit % 8)")) != 0).select("doc_id", "digest", "canon")
+    mixed = maybe.groupBy("digest").agg(F.min("canon").alias("_low"), F.max("canon").alias("_high")).filter("_low <> _high").select("digest")
+    texts = maybe.join(mixed, "digest", "left_semi").groupBy("digest", "canon").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("copies"))
+    texts = texts.withColumn("part", (F.row_number().over(Window.partitionBy("digest").orderBy("canon")) - 1).cast("int"))
+    same = counts.join(mixed, "digest", "left_anti").select("digest", F.lit(None).cast("string").alias("canon"), "class_id", "copies", F.lit(0).alias("part"))
+    return same.unionByName(texts)
+
+
+def grouped(rows: DataFrame, groups: DataFrame) -> DataFrame:
+    """Adds class_id, copies and part to rows (digest, canon, ...); a text is compared only in buckets of several."""
+    g = groups.select(F.col("digest").alias("_digest"), F.col("canon").alias("_canon"), "class_id", "copies", "part")
+    met = rows.join(g, (rows["digest"] == g["_digest"]) & (g["_canon"].isNull() | (g["_canon"] == rows["canon"])), "left")
+    return met.drop("_digest", "_canon")
 
 
 #: Ranges of ids that neighbours are looked for in, for each shuffle partition.
@@ -105,16 +125,24 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     """Fingerprints of every row of ``docs`` (doc_id, text), of its edited text, and their likeness.
 
     (doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint,
-    near_edited, near_next): likeness is 1 where the fingerprints and then the
-    canonical bytes are equal, else 0.  A null text is empty.  A lone row is its
-    own next one; repeated ids follow each other by text.
+    near_edited, near_next, class_id, copies): likeness is 1 where the
+    fingerprints and then the canonical bytes are equal, else 0.  ``class_id`` is
+    the smallest id with the row's canonical text, and ``copies`` how many rows
+    have it.  A fingerprint is the digest, with the text's number behind it where
+    different texts share one.  A null text is empty.  A lone row is its own next
+    one; repeated ids follow each other by text.
     """
+    canon = canonical(F.col("text"))
+    groups = exact_groups(docs.select("doc_id", canon.alias("canon")).withColumn("digest", fingerprint(F.col("canon"))))
+    several = groups.filter("part > 0").limit(1).count() > 0
     rows = with_next(docs).select("doc_id", "text", "next_text", edited(F.col("text"), F.col("next_text")).alias("edited"))
     rows = rows.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2(F.encode("edited", "utf-8"), 256).alias("edited_sha256"),
                        *[canonical(F.col(c)).alias(f"_{c}") for c in ("text", "edited", "next_text")])
     rows = rows.select("*", *[fingerprint(F.col(f"_{c}")).alias(f"_{c}_digest") for c in ("text", "edited", "next_text")])
     like = lambda c: F.when((F.col("_text_digest") == F.col(f"_{c}_digest")) & (F.col("_text") == F.col(f"_{c}")), 1.0).otherwise(0.0)
-    return rows.select(
-        "doc_id", "n_chars", "edited_sha256", F.col("_text_digest").alias("fingerprint"), F.col("_edited_digest").alias("edited_fingerprint"),
-        like("edited").alias("near_edited"), like("next_text").alias("near_next"),
+    kept = rows.select(
+        "doc_id", "n_chars", "edited_sha256", F.col("_text_digest").alias("digest"), F.col("_edited_digest").alias("edited_fingerprint"),
+        like("edited").alias("near_edited"), like("next_text").alias("near_next"), (F.col("_text") if several else F.lit(None).cast("string")).alias("canon"),
     )
+    name = F.when(F.col("part") > 0, F.concat_ws("-", "digest", F.col("part").cast("string"))).otherwise(F.col("digest"))
+    return grouped(kept, groups).select("doc_id", "n_chars", "edited_sha256", name.alias("fingerprint"), "edited_fingerprint", "near_edited", "near_next", "class_id", "copies")
