@@ -80,7 +80,7 @@ def variant_q(support: Column, coverage: Column, noise_q: Column | int = 20, mos
     mean = q_to_p(noise_q) * coverage
     tail = 1.0 - poisson_cdf(support - 1, mean)
     far = -10.0 * (log_poisson(support - 1, mean) - F.log(2.0 * (support - mean) / support)) / LN10
-    q = F.when(tail > 0, -10.0 * F.log10(tail)).otherwise(far)
+    q = F.when(tail > 1e-13, -10.0 * F.log10(tail)).otherwise(far)
     most = F.lit(most) if isinstance(most, int) else most
     bounded = F.greatest(F.lit(0.0), F.least(most.cast("double"), q))
     return F.when((support <= 0) | (coverage <= 0), 0).otherwise(F.bround(bounded)).cast("int")
