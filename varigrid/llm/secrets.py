@@ -25,6 +25,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from varigrid.llm.common import stored
+
 # The base patterns and the least lengths of what they find.
 ASSIGN = r"""((?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY]))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]+"
@@ -32,7 +34,7 @@ HEX = r"[0-9a-f]{16,}"
 LEAST_ASSIGN, LEAST_ACCESS, LEAST_HEX = 12, 18, 16
 KINDS = ("assign", "access", "hex", "random")
 
-TOKEN = r"[A-Za-z0-9+/_=-]{16,}"
+TOKEN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}"
 FDR = 0.01
 #: Share of neighbours of different class, evenness and correlation that running text or identifiers are given.
 TEXT_CHANGES, TEXT_UNEVEN, TEXT_SERIAL = 0.25, 0.7, 0.25
@@ -45,26 +47,25 @@ BINS = 400
 _SPAN = "array<struct<s:int,e:int>>"
 
 
-def spans(text: Column, pattern: str, group: int = 0, least: int = 0) -> Column:
+def spans(text: Column, pattern: str, group: int = 0, least: int = 0, guard: Column | None = None) -> Column:
     """Start and end in code points of all leftmost non-overlapping matches whose ``group`` has ``least`` or more.
 
     The stretches between matches come from ``split`` and the matches from
-    ``regexp_extract_all``; their lengths in turn add up to the places.
+    ``regexp_extract_all``; their lengths in turn add up to the places.  Texts
+    that the ``guard`` rules out have none; without one the pattern itself is tried first.
     """
-    zipped = F.arrays_zip(
-        F.split(text, pattern, -1).alias("p"),
-        F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"),
-        F.regexp_extract_all(text, F.lit(pattern), F.lit(group)).alias("g"),
-    )
+    matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m")
+    grouped = [F.regexp_extract_all(text, F.lit(pattern), F.lit(group)).alias("g")] if group else []
+    zipped = F.arrays_zip(F.split(text, pattern, -1).alias("p"), matches, *grouped)
     start = F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
         s = acc["at"] + F.length(x["p"])
         e = s + F.coalesce(F.length(x["m"]), F.lit(0))
-        found = F.when(F.length(x["g"]) >= least, F.array(F.struct(s.alias("s"), e.alias("e")))).otherwise(F.array().cast(_SPAN))
+        found = F.when(F.length(x["g" if group else "m"]) >= least, F.array(F.struct(s.alias("s"), e.alias("e")))).otherwise(F.array().cast(_SPAN))
         return F.struct(e.alias("at"), F.concat(acc["out"], found).alias("out"))
 
-    return F.when(text.rlike(pattern), F.aggregate(zipped, start, step, lambda acc: acc["out"])).otherwise(F.array().cast(_SPAN))
+    return F.when(guard if guard is not None else text.rlike(pattern), F.aggregate(zipped, start, step, lambda acc: acc["out"])).otherwise(F.array().cast(_SPAN))
 
 
 def alphabet(token: Column) -> Column:
@@ -125,14 +126,17 @@ def battery(text: Column, places: Column) -> Column:
 def _scanned(docs: DataFrame) -> DataFrame:
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     text = F.col("text")
+    low = F.lower(text)
+    word = low.contains("passw") | low.contains("secret") | low.contains("token") | low.contains("api")
     rows = rows.select(
-        "doc_id", "text", spans(text, ASSIGN, 2, LEAST_ASSIGN).alias("assign"), spans(text, ACCESS, 0, LEAST_ACCESS).alias("access"), spans(text, HEX, 0, LEAST_HEX).alias("hex"), spans(text, TOKEN).alias("tokens")
-    )
+        "doc_id", "text", spans(text, ASSIGN, 2, LEAST_ASSIGN, word).alias("assign"), spans(text, ACCESS, 0, LEAST_ACCESS, text.contains("AKIA")).alias("access"),
+        spans(text, HEX, 0, LEAST_HEX).alias("hex"), spans(text, TOKEN, 0, 0).alias("tokens"),
+    )
     base = F.concat("assign", "access", "hex")
     free = F.filter("tokens", lambda t: ~F.exists(base, lambda b: (b["s"] < t["e"]) & (t["s"] < b["e"])))
     return rows.withColumn("tokens", F.when(F.size("tokens") > 0, free).otherwise(F.col("tokens"))).withColumn(
         "graded", F.when(F.size("tokens") > 0, battery(text, F.col("tokens"))).otherwise(F.array().cast("array<struct<s:int,e:int,size:int,grade:int>>"))
-    )
+    ).drop("text", "tokens")
 
 
 def thresholds(histogram: list[tuple[int, int, int]], fdr: float = FDR) -> list[int]:
@@ -160,7 +164,8 @@ def secrets(docs: DataFrame, fdr: float = FDR) -> DataFrame:
     exclusive; ``base_sha256`` is the digest of the base ones alone so joined.
     A null text is empty and has none.
     """
-    found = _scanned(docs)
+    # the texts are read once: what the tests say of them is small
+    found = stored(_scanned(docs))
     counts = found.select(F.explode("graded").alias("g")).groupBy("g.size", "g.grade").count().collect()  # at most len(CLASSES) * (BINS + 2) rows
     least = F.array(*[F.lit(x) for x in thresholds([(r["size"], r["grade"], r["count"]) for r in counts], fdr)])
     random = F.filter("graded", lambda g: g["grade"] >= F.get(least, g["size"]))
