@@ -16,14 +16,16 @@ def as_time(pos: Column) -> Column:
 
 def blocks(rows: DataFrame, time: str, width: str, late: str, *by: str) -> DataFrame:
     """Number and sum of ``value`` per tumbling block of event time; a block is final once the watermark has passed it."""
-    stream = rows.withWatermark(time, late) if rows.isStreaming else rows
+    placed = rows.withColumn(time, F.col(time).cast("timestamp"))
+    stream = placed.withWatermark(time, late) if rows.isStreaming else placed
     found = stream.groupBy(*by, F.window(time, width).alias("w")).agg(F.count("*").alias("n"), F.sum("value").alias("total"))
     return found.select(*by, F.col("w.start").alias("block"), "n", "total")
 
 
 def sessions(rows: DataFrame, time: str, gap: str, late: str, *by: str) -> DataFrame:
     """Runs of rows whose neighbours are within ``gap``: a session window also takes a neighbour at exactly that distance."""
-    stream = rows.withWatermark(time, late) if rows.isStreaming else rows
+    placed = rows.withColumn(time, F.col(time).cast("timestamp"))
+    stream = placed.withWatermark(time, late) if rows.isStreaming else placed
     found = stream.groupBy(*by, F.session_window(time, gap).alias("w")).agg(F.count("*").alias("n"), F.min(time).alias("first"), F.max(time).alias("last"))
     return found.select(*by, "first", "last", "n")
 
