@@ -99,3 +99,19 @@ def test_records(spark):
     assert [g[0] for g in values(spark, [("0|1",), ("./.",), ("2/3",)], "g string", records.genotype_kind(F.col("g")))] == ["het", "no_call", "other"]
     assert values(spark, [("/x/y/abc_S12.genome.vcf.gz",)], "p string", records.sample_name(F.col("p")))[0][0] == "abc"
     assert records.digits(0.01) == 3
+
+
+def test_more_sequences(spark):
+    from varigrid.functions import sequence as s
+
+    ctx = "GGCAAAAAAAAAATTG"
+    assert values(spark, [(ctx, 4, "A")], "c string, p int, a string", s.repeats_around(F.col("c"), F.col("p"), F.col("a")))[0][0] == 10
+    assert values(spark, [("MMMIID",)], "t string", s.run_lengths(F.col("t")))[0][0] == "3M2I1D"
+    (sa,) = values(spark, [("chr1,5,+,3M,60,1;chr2,7,-,2S1M,0,0;",)], "t string", s.supplementary(F.col("t")))[0]
+    assert [(x.chrom, x.pos, x.mapq) for x in sa] == [("chr1", 5, 60), ("chr2", 7, 0)]
+    kind = "r boolean, m boolean, p int, q int"
+    assert [x[0] for x in values(spark, [(False, True, 1, 5), (True, False, 1, 5), (True, False, 5, 1)], kind, s.orientation(F.col("r"), F.col("m"), F.col("p"), F.col("q")))] == ["FR", "RF", "FR"]
+    got = values(spark, [(True, "FR", 1, 2), (False, "FR", 1, 0), (False, "FF", None, 1)], "s boolean, o string, v int, w int", s.duplex_class(F.col("s"), F.col("o"), F.col("v"), F.col("w")))
+    assert [x[0] for x in got] == ["duplex_stitched", "simplex_forward_unstitched", "simplex_other_unstitched"]
+    assert values(spark, [("TTACGACGTT", 5, "ACG")], "c string, p int, i string", s.duplication(F.col("c"), F.col("p"), F.col("i")))[0][0]
+    assert values(spark, [("ANG", "ACG"), ("AN", "ACG")], "a string, b string", s.wildcard_equal(F.col("a"), F.col("b"))) == [(True,), (False,)]

@@ -191,3 +191,47 @@ def test_stitching(spark):
     bases = [("r", "c", 1, 0, "A", 30), ("r", "c", 2, 0, "C", 60), ("r", "c", 2, 1, "C", 60), ("r", "c", 3, 0, "G", 30), ("r", "c", 3, 1, "T", 25), ("r", "c", 4, 0, "G", 10), ("r", "c", 4, 1, "T", 30)]
     got = rows(stitched(spark.createDataFrame(bases, "name string, chrom string, pos long, mate int, base string, q int")), "pos", "base", "q", "dir")
     assert got == [(1, "A", 30, 0), (2, "C", 93, 2), (3, "G", 0, 2), (4, "T", 30, 2)]
+
+
+def test_repeat_tags_and_known_alleles(spark):
+    from varigrid.operators import calling
+
+    ctx = "GGC" + "A" * 10 + "TTG"
+    df = spark.createDataFrame([(ctx, 3, "C", "CA", 0.1), (ctx, 3, "C", "CA", 0.5), (ctx, 3, "C", "CT", 0.1), (ctx, 3, "CA", "C", 0.1)], "c string, p int, ref string, alt string, vf float")
+    args = [F.col(x) for x in ("c", "p", "ref", "alt")]
+    got = [tuple(r) for r in df.select(calling.repeat_tag(*args, F.col("vf")), calling.indel_repeat_tag(*args, 8)).collect()]
+    assert got == [("R5x9", "R8"), (None, "R8"), (None, None), ("R5x9", "R8")]
+    cand = spark.createDataFrame([("c", 1, "A", "C"), ("c", 2, "A", "C")], "chrom string, pos long, ref string, alt string")
+    assert rows(calling.with_known(cand, cand.limit(1)), "pos", "known") == [(1, True), (2, False)]
+    calls = spark.createDataFrame([(".", "0/0", ["a"]), (".", "./.", []), ("C", "./.", [])], "alt string, genotype string, filters array<string>")
+    assert rows(calling.elided(calls, True), "alt", "genotype") == [(".", "0/0"), ("C", "./.")]
+    assert rows(calling.tagged(calls, "LowGQ", F.col("alt") == "C"), "filters") == [([],), (["LowGQ"],), (["a"],)]
+
+
+def test_spanning_reads_and_reference_spine(spark):
+    from varigrid.operators import pileup
+
+    cand = spark.createDataFrame([("c", 1000, "A", "C"), ("c", 5, "AC", "A")], "chrom string, pos long, ref string, alt string")
+    reads = spark.createDataFrame([("c", 990, 1010, 0), ("c", 1000, 1010, 0), ("c", 998, 2500, 2), ("c", 1, 7, 1), ("c", 1, 6, 1)], "chrom string, start long, stop long, dir int")
+    assert rows(pileup.exact_coverage(cand, reads), "pos", "spanning") == [(5, [0, 1, 0]), (1000, [1, 0, 1])]
+    obs = spark.createDataFrame([("c", 1, "A", "A"), ("c", 1, "A", "C"), ("c", 9, "G", "G")], "chrom string, pos long, ref string, base string")
+    spine = spark.createDataFrame([("c", 1, 2)], "chrom string, start long, stop long")
+    assert rows(pileup.reference_candidates(obs, spine), "pos", "support") == [(1, 1), (2, 0), (9, 1)]
+
+
+def test_deletion_shadows_and_phasable_sites(spark):
+    from varigrid.operators import mixture, phasing
+
+    calls = spark.createDataFrame([("c", 1, "ACGT", "A", "0/1", []), ("c", 3, "A", "C", "0/1", ["q30"]), ("c", 5, "A", "C", "1/1", []), ("c", 6, "A", ".", "0/0", [])], "chrom string, pos long, ref string, alt string, genotype string, filters array<string>")
+    assert rows(mixture.outside_deletions(calls), "pos") == [(1,), (5,), (6,)]
+    assert rows(phasing.phasable(calls), "pos") == [(1,), (3,), (5,)] and rows(phasing.phasable(calls, True, True), "pos") == [(1,)]
+    sites = calls.withColumn("nbhd", F.when(F.col("pos") == 3, 1).otherwise(2))
+    assert rows(phasing.with_passing(sites), "pos") == [(1,), (5,), (6,)]
+
+
+def test_clips_add_support(spark):
+    from varigrid.operators.phasing import clipped_support
+
+    calls = spark.createDataFrame([("c", 10, "ACGT", 5)], "chrom string, pos long, alt string, support long")
+    clips = spark.createDataFrame([("c", 10, "AC", True), ("c", 10, "AG", True), ("c", 13, "GT", False), ("c", 10, "ACGTAA", True), ("c", 11, "AC", True)], "chrom string, pos long, bases string, at_end boolean")
+    assert rows(clipped_support(calls, clips), "support") == [(8,)]

@@ -155,3 +155,53 @@ def md_substitutions(md: Column) -> Column:
 def allele_code(base: Column) -> Column:
     """A, G, C, T, N and a deletion as 0 to 5; anything else is N."""
     return F.when(base == "A", 0).when(base == "G", 1).when(base == "C", 2).when(base == "T", 3).when(base == "-", 5).otherwise(4)
+
+
+def repeats_around(context: Column, at: Column, alt: Column, most_unit: int = 5) -> Column:
+    """The most consecutive copies of any prefix or suffix of inserted or deleted bases, of up to ``most_unit`` bases, at a place (1-based) of a context."""
+    units = [F.left(alt, F.lit(k)) for k in range(1, most_unit + 1)] + [F.right(alt, F.lit(k)) for k in range(1, most_unit + 1)]
+    counts = [F.when(F.length(alt) >= k, F.greatest(repeat_context(context, at, u), repeat_context(context, at + 1, u))).otherwise(0) for k, u in zip([*range(1, most_unit + 1)] * 2, units, strict=True)]
+    return F.greatest(*counts)
+
+
+def orientation(reverse: Column, mate_reverse: Column, pos: Column, mate_pos: Column) -> Column:
+    """FR, RF, FF or RR of a pair by which mate comes first."""
+    first = pos <= mate_pos
+    a, b = F.when(first, reverse).otherwise(mate_reverse), F.when(first, mate_reverse).otherwise(reverse)
+    return F.concat(F.when(a, "R").otherwise("F"), F.when(b, "R").otherwise("F"))
+
+
+def duplex_class(stitched: Column, orientation_text: Column, forward_families: Column, reverse_families: Column) -> Column:
+    """One of eight kinds of collapsed read: duplex or simplex by its families (tags XV and XW), stitched or by orientation."""
+    duplex = (F.coalesce(forward_families, F.lit(0)) > 0) & (F.coalesce(reverse_families, F.lit(0)) > 0)
+    side = F.when(stitched, "stitched").otherwise("unstitched")
+    simplex = F.when(orientation_text == "FR", "simplex_forward").when(orientation_text == "RF", "simplex_reverse").otherwise("simplex_other")
+    return F.concat(F.when(duplex, "duplex").otherwise(simplex), F.lit("_"), side)
+
+
+def supplementary(tag: Column) -> Column:
+    """Array of (chrom, pos, strand, cigar, mapq, nm) of a supplementary-alignment tag."""
+    parts = F.filter(F.split(tag, ";"), lambda x: x != "")
+    return F.transform(parts, lambda x: F.struct(
+        F.get(F.split(x, ","), F.lit(0)).alias("chrom"), F.get(F.split(x, ","), F.lit(1)).cast("long").alias("pos"), F.get(F.split(x, ","), F.lit(2)).alias("strand"),
+        F.get(F.split(x, ","), F.lit(3)).alias("cigar"), F.get(F.split(x, ","), F.lit(4)).cast("int").alias("mapq"), F.get(F.split(x, ","), F.lit(5)).cast("int").alias("nm")))
+
+
+def run_lengths(letters: Column) -> Column:
+    """An alignment string from one letter a place; ``expanded`` turned round."""
+    return F.array_join(F.transform(F.regexp_extract_all(letters, F.lit(r"((.)\2*)"), F.lit(1)), lambda r: F.concat(F.length(r).cast("string"), F.left(r, F.lit(1)))), "")
+
+
+def duplication(context: Column, at: Column, inserted: Column) -> Column:
+    """Whether inserted bases repeat the reference right after or before a place (1-based), give or take two."""
+    n = F.length(inserted)
+    same = [F.substring(context, at + 1 + d, n) == inserted for d in range(-2, 3)] + [F.substring(context, F.greatest(F.lit(1), at + 1 - n + d), n) == inserted for d in range(-2, 3)]
+    found = same[0]
+    for s in same[1:]:
+        found = found | s
+    return (n >= 3) & found
+
+
+def wildcard_equal(a: Column, b: Column) -> Column:
+    """Whether two strings of one length agree wherever neither has N."""
+    return (F.length(a) == F.length(b)) & (hamming(a, b) == 0)

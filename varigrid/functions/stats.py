@@ -140,3 +140,20 @@ def amplicon_biased(support: Column, frequency: Column, coverage: Column, top_fr
     """Whether one amplicon has too little support for the highest frequency among its fellows."""
     expected = top_frequency * coverage
     return F.when((expected < 5) | (expected <= support) | (frequency > 0.1), False).otherwise(poisson_cdf(support, expected) < threshold)
+
+
+def crossing_frequency(depth: Column, low: float, high: float, prior_low: float, prior_high: float) -> Column:
+    """The frequency at which two binomial states of given means and priors are equally probable at a depth."""
+    rest = math.log((1 - low) / (1 - high))
+    return (F.lit(rest) + math.log(prior_low / prior_high) / depth) / (math.log(high / low) + rest)
+
+
+def pooled_t(mean_a: Column, var_a: Column, n_a: Column, mean_b: Column, var_b: Column, n_b: Column) -> Column:
+    """Two-sample t value with the pooled deviation."""
+    pooled = F.sqrt(((n_a - 1) * var_a + (n_b - 1) * var_b) / (n_a + n_b - 2))
+    return (mean_a - mean_b) / (pooled * F.sqrt(1.0 / n_a + 1.0 / n_b))
+
+
+def unanchored_weight(unanchored_vf: Column, anchored_vf: Column) -> Column:
+    """How much unanchored coverage counts for an insertion: the ratio of frequencies, at most 1."""
+    return F.when(anchored_vf <= 0, 1.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), unanchored_vf / anchored_vf)))

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from varigrid.functions import stats
+from varigrid.functions import sequence, stats
 
 
 @dataclass(frozen=True)
@@ -112,3 +112,42 @@ def phase_sets(calls: DataFrame) -> DataFrame:
     is_ref = F.col("alt") == F.col("ref")
     order = Window.partitionBy("chrom", "pos", is_ref).orderBy(F.desc("vf"), "ref", "alt")
     return calls.withColumn("phase_set", F.when(is_ref, 0).otherwise(F.row_number().over(order)))
+
+
+def repeat_tag(context: Column, at: Column, ref: Column, alt: Column, vf: Column, unit: int = 5, copies: int = 9, limit: float = 0.35) -> Column:
+    """``R5x9`` where an allele's bases recur so often at its place in a reference context, and it is no more frequent than the limit; else null.
+
+    A substitution counts as a deletion and an insertion: the lesser of both counts.
+    """
+    gone = F.when(F.length(ref) > 1, F.substring(ref, 2, 1000)).otherwise(ref)
+    new = F.when(F.length(alt) > 1, F.substring(alt, 2, 1000)).otherwise(alt)
+    kind = allele_type(ref, alt)
+    a, b = sequence.repeats_around(context, at, gone, unit), sequence.repeats_around(context, at, new, unit)
+    n = F.when(kind == "ins", b).when(kind == "del", a).otherwise(F.least(a, b))
+    return F.when((n >= copies) & (vf < F.lit(limit).cast("float")), f"R{unit}x{copies}")
+
+
+def indel_repeat_tag(context: Column, at: Column, ref: Column, alt: Column, most: int) -> Column:
+    """``R8`` and the like where the unit that an indel's bases consist of recurs so often at its place; else null."""
+    kind = allele_type(ref, alt)
+    bases = F.when(kind == "ins", F.substring(alt, 2, 1000)).when(kind == "del", F.substring(ref, 2, 1000))
+    unit = sequence.repeat_unit(bases)
+    n = F.greatest(sequence.repeat_context(context, at, unit), sequence.repeat_context(context, at + 1, unit))
+    return F.when(kind.isin("ins", "del") & (n >= most), f"R{most}")
+
+
+def with_known(candidates: DataFrame, priors: DataFrame) -> DataFrame:
+    """Adds ``known``: whether an allele is among the known ones (chrom, pos, ref, alt)."""
+    marked = priors.select("chrom", "pos", "ref", "alt").distinct().withColumn("known", F.lit(True))
+    return candidates.join(marked, ["chrom", "pos", "ref", "alt"], "left").withColumn("known", F.coalesce("known", F.lit(False)))
+
+
+def tagged(calls: DataFrame, name: str, when: Column) -> DataFrame:
+    """Calls with one more filter where a condition holds, such as LowGQ."""
+    return calls.withColumn("filters", F.when(when, F.array_union("filters", F.array(F.lit(name)))).otherwise(F.col("filters")))
+
+
+def elided(calls: DataFrame, gvcf: bool) -> DataFrame:
+    """Without homozygous references unless gVCF, and without reference-like no-calls in any case."""
+    reference = F.col("alt") == "."
+    return calls.filter(~((F.lit(not gvcf) & (F.col("genotype") == "0/0")) | (reference & (F.col("genotype") == "./."))))

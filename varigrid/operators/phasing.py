@@ -142,3 +142,36 @@ def merged_calls(original: DataFrame, phased: DataFrame, used: DataFrame) -> Dat
     """Original calls that no phased allele has used up, and the phased ones, each line once."""
     kept = original.join(used.select("chrom", "pos", "ref", "alt").distinct(), ["chrom", "pos", "ref", "alt"], "left_anti")
     return kept.unionByName(phased, allowMissingColumns=True).dropDuplicates(["chrom", "pos", "ref", "alt"])
+
+
+def phasable(calls: DataFrame, passing_only: bool = False, het_only: bool = False, chroms: list[str] | None = None) -> DataFrame:
+    """Calls (chrom, ref, alt, genotype, filters) that may be phased: no references, no-calls or odd alleles."""
+    keep = (F.col("alt") != ".") & (F.col("alt") != F.col("ref")) & F.col("alt").rlike("^[ACGT]+$") & ~F.col("genotype").isin("./.", "0/0", "0/.")
+    if het_only:
+        keep = keep & F.col("genotype").isin("0/1", "1/2")
+    if passing_only:
+        keep = keep & (F.size("filters") == 0)
+    return calls.filter(keep & F.col("chrom").isin(chroms) if chroms else keep)
+
+
+def with_passing(sites: DataFrame, least: int = 1) -> DataFrame:
+    """Sites (chrom, nbhd, filters) of neighborhoods with enough passing ones, or with passing ones alone."""
+    order = Window.partitionBy("chrom", "nbhd")
+    good, bad = F.sum((F.size("filters") == 0).cast("int")).over(order), F.sum((F.size("filters") > 0).cast("int")).over(order)
+    return sites.withColumns({"_good": good, "_bad": bad}).filter((F.col("_good") >= least) | (F.col("_bad") == 0)).drop("_good", "_bad")
+
+
+def clipped_support(calls: DataFrame, clips: DataFrame) -> DataFrame:
+    """Calls (chrom, pos, alt, support) with the reads added whose soft clip agrees with ALT.
+
+    ``clips`` (chrom, pos, bases, at_end) has for each clip the place where it
+    begins and its bases: one at a read's end must begin ALT there, one at its
+    start must end it there.
+    """
+    end = F.col("pos") + F.length("alt") - 1
+    keyed = calls.select("*", F.col("pos").alias("_start"), end.alias("_end"))
+    c = clips.select("chrom", F.col("pos").alias("_at"), F.col("bases").alias("_bases"), F.col("at_end").alias("_at_end"))
+    forward = keyed.join(c.filter("_at_end"), (keyed["chrom"] == c["chrom"]) & (keyed["_start"] == c["_at"]) & (F.col("alt").startswith(F.col("_bases")) | F.col("_bases").startswith(F.col("alt")))).drop(c["chrom"])
+    back = keyed.join(c.filter("not _at_end"), (keyed["chrom"] == c["chrom"]) & (keyed["_end"] == c["_at"]) & (F.col("alt").endswith(F.col("_bases")) | F.col("_bases").endswith(F.col("alt")))).drop(c["chrom"])
+    more = forward.unionByName(back).groupBy("chrom", "pos", "alt").agg(F.count("*").alias("_n"))
+    return calls.join(more, ["chrom", "pos", "alt"], "left").withColumn("support", F.col("support") + F.coalesce("_n", F.lit(0))).drop("_n")

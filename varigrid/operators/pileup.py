@@ -77,3 +77,24 @@ def gapped_reference(mnvs: DataFrame) -> DataFrame:
     inside = mnvs.withColumn("i", F.explode(F.sequence(F.lit(0), F.length("ref") - 1)))
     same = F.substring("ref", F.col("i") + 1, F.lit(1)) == F.substring("alt", F.col("i") + 1, F.lit(1))
     return inside.filter(same).groupBy("chrom", (F.col("pos") + F.col("i")).alias("pos")).agg(F.sum("support").alias("n"))
+
+
+def exact_coverage(candidates: DataFrame, reads: DataFrame, bin_width: int = 1000) -> DataFrame:
+    """Candidates (chrom, pos, ref, alt) with the reads (chrom, start, stop, dir) that span them from the base before to the base after, by direction.
+
+    A range join in bins; a pair counts in the candidate's own bin, so none counts twice.
+    """
+    keyed = candidates.withColumns({"_lo": F.col("pos") - 1, "_hi": F.col("pos") + F.length("ref"), "_bin": F.floor(F.col("pos") / bin_width)})
+    spread = reads.withColumn("_bin", F.explode(F.sequence(F.floor(F.col("start") / bin_width), F.floor(F.col("stop") / bin_width))))
+    met = keyed.join(spread, ["chrom", "_bin"], "left").withColumn("_on", (F.col("start") <= F.col("_lo")) & (F.col("stop") >= F.col("_hi")))
+    n = lambda d: F.count_if(F.col("_on") & (F.col("dir") == d))
+    return met.groupBy("chrom", "pos", "ref", "alt").agg(F.array(*[n(d) for d in range(3)]).alias("spanning"))
+
+
+def reference_candidates(obs: DataFrame, regions: DataFrame | None = None) -> DataFrame:
+    """(chrom, pos, support): reference support by position, with 0 at positions of the regions (chrom, start, stop) without a row."""
+    seen = obs.groupBy("chrom", "pos").agg(F.count_if(F.col("base") == F.col("ref")).alias("support"))
+    if regions is None:
+        return seen
+    spine = regions.select("chrom", F.explode(F.sequence("start", "stop")).alias("pos")).distinct()
+    return spine.join(seen, ["chrom", "pos"], "full_outer").na.fill(0, ["support"])

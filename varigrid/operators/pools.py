@@ -89,3 +89,9 @@ def consensus(pairs: DataFrame, min_frequency: float = 0.01, frequency_filter: f
     support = F.when(F.col("kind") == "both_reference", F.col("rd")).otherwise(F.col("ad"))
     biased = F.col("kind").isin("one_each", "cannot_combine") | ((F.col("kind") == "same_alternate") & F.col("pb.biased"))
     return rows.withColumns({"vq": stats.variant_q(support, F.col("dp"), noise_q), "filters": F.array_compact(F.array(F.when(F.col("dp") < min_depth, "LowDP"), F.when(biased, "PB")))})
+
+
+def merged_references(consensus_rows: DataFrame) -> DataFrame:
+    """One reference row for each locus of several: the greatest bias, the least quality."""
+    refs = consensus_rows.filter("alt = '.'").groupBy("chrom", "pos", "ref").agg(F.max("dp").alias("dp"), F.min("vq").alias("vq"), F.max("pb.scaled").alias("pb_scaled"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("filters")))).alias("filters"))
+    return refs.withColumn("alt", F.lit("."))

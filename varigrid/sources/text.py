@@ -95,3 +95,27 @@ def write_counts(counts: DataFrame, path: str) -> None:
 
 def read_counts(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.csv(path, sep="\t", schema="category string, n double").filter("n is not null")
+
+
+def write_strand_bias(calls: DataFrame, path: str) -> None:
+    """A tab-separated line per call (chrom, pos, ref, alt, ad_by_dir, dp_by_dir, sb): both strands' counts, the score and what it says."""
+    by = lambda c, i: F.get(c, F.lit(i)).alias(f"{c}_{i}")
+    flat = calls.select("chrom", "pos", "ref", "alt", *[by(c, i) for c in ("ad_by_dir", "dp_by_dir") for i in range(3)], F.col("sb.score").alias("score"), F.col("sb.both").alias("both"), F.col("sb.acceptable").alias("acceptable"))
+    flat.orderBy("chrom", "pos", "ref", "alt").write.mode("overwrite").csv(path, sep="\t", header=True)
+
+
+def write_amplicon_bias(counts: DataFrame, path: str) -> None:
+    """A line per call and amplicon (chrom, pos, amplicon, coverage, support)."""
+    counts.select("chrom", "pos", "amplicon", "coverage", "support").orderBy("chrom", "pos", "amplicon").write.mode("overwrite").csv(path, sep="\t", header=True)
+
+
+def read_edge_variants(spark: SparkSession, path: str) -> DataFrame:
+    """(chrom, pos, ref, alt) of a list of alleles at amplicon edges."""
+    return spark.read.csv(path, sep="\t", schema="chrom string, pos long, id string, ref string, alt string").filter("pos is not null").drop("id")
+
+
+def write_outcomes(scored: DataFrame, path: str) -> None:
+    """How many indels of each length had each outcome, a column an outcome."""
+    length = F.length("alt") - F.length("ref")
+    table = scored.groupBy(length.alias("length")).pivot("outcome", ["kept", "rescued", "low_observations", "poor_anchor", "messy"]).count().na.fill(0)
+    table.orderBy("length").coalesce(1).write.mode("overwrite").csv(path, header=True)
