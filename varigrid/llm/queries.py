@@ -30,7 +30,9 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return language_id(table(spark, sf_dir, "documents"))
+    found = language_id(table(spark, sf_dir, "documents"))
+    shares = F.array_sort(F.transform(F.map_entries("langs"), lambda e: F.format_string("%s:%.3f", e["key"], e["value"])))
+    return found.withColumn("langs", F.array_join(shares, ","))
 
 
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
