@@ -17,9 +17,9 @@ word shingles.  Documents with equal sets form a class, and only classes meet.
 5. Components come from the links.
 
 A shingle shared by thousands of near copies would make all pairs of them meet.
-So a first round lets each class meet only its neighbours, by size, and the
-first class under each of its prefix shingles: as many meetings as prefix
-entries.  The second round makes all meetings of classes that are not
+So in a first round a class meets only its neighbours, by size, and the classes
+at places 0, 1, 2, 4, 8 and so on under each of its prefix shingles: about
+log n meetings of each of n.  The second round makes all meetings of classes that are not
 yet in one component, which is what the components still depend on.
 """
 
@@ -41,7 +41,7 @@ SKETCH_BITS = 20
 #: Bits of the filter that says which classes' sets are fetched.
 FETCH_BITS = 22
 #: A set has about so many parity buckets for each shingle that it may differ from a partner in.
-PARITIES = 5
+PARITIES = 8
 
 
 def _sketch(docs: DataFrame, width: int, bits: int) -> np.ndarray:
@@ -136,7 +136,7 @@ def _meetings(postings: DataFrame, percent: int, whole: bool) -> DataFrame:
     """
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token, first, recent = None, None, []
+        token, seen, hubs, recent = None, 0, [], []
         by_comp: dict[bytes, list] = {}
         known: set[bytes] = set()
         left: list[bytes] = []
@@ -167,7 +167,7 @@ def _meetings(postings: DataFrame, percent: int, whole: bool) -> DataFrame:
             rows = zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True)
             for t, *row in rows:
                 if t != token:
-                    token, first, recent = t, row, []
+                    token, seen, hubs, recent = t, 0, [], []
                     by_comp.clear()
                 if whole:
                     for comp, members in by_comp.items():
@@ -179,10 +179,13 @@ def _meetings(postings: DataFrame, percent: int, whole: bool) -> DataFrame:
                                     pair(x, row)
                     by_comp.setdefault(row[3], deque()).append(row)
                 else:
-                    for x in {id(x): x for x in (first, *recent)}.values():
+                    for x in {id(x): x for x in (*hubs, *recent)}.values():
                         if fits(x, row):
                             pair(x, row)
                     recent = [*recent[-1:], row]
+                    if seen & (seen - 1) == 0:
+                        hubs.append(row)
+                    seen += 1
                 if len(left) >= 20_000:
                     yield flush()
         if left:
@@ -277,16 +280,17 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, sketc
     postings = stored(paired.join(prefixes.select("cls", "odd"), "cls"), path)
 
     met = stored(_meetings(postings.withColumn("comp", F.col("cls")), percent, whole=False))
-    links = _links(docs, met, width, percent)
-    part = components(links)
-    labelled = postings.join(part.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("root", "cls"))
+    first = components(_links(docs, met, width, percent)).withColumnRenamed("node", "cls")
+    labelled = postings.join(first, "cls", "left").withColumn("comp", F.coalesce("root", "cls"))
     rest = stored(_meetings(labelled, percent, whole=True).join(met, ["a", "b"], "left_anti"))
-    links = links.union(_links(docs, rest, width, percent))
-    part = components(links)
+    links = _links(docs, rest, width, percent)
+    # of all links between two components of the first round, one is enough
+    ends = links.join(first.select(F.col("cls").alias("a"), F.col("root").alias("x")), "a", "left").join(first.select(F.col("cls").alias("b"), F.col("root").alias("y")), "b", "left")
+    joined = components(ends.select(F.coalesce("x", "a").alias("a"), F.coalesce("y", "b").alias("b")).filter("a <> b").distinct())
     dropped(spark, path)
 
-    ids = signed.groupBy("cls").agg(F.min("doc_id").alias("class_id")).join(part.withColumnRenamed("node", "cls"), "cls", "left")
-    ids = ids.withColumn("root", F.coalesce("root", "cls"))
+    ids = signed.groupBy("cls").agg(F.min("doc_id").alias("class_id")).join(first, "cls", "left").withColumn("node", F.coalesce("root", "cls")).drop("root")
+    ids = ids.join(joined, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = ids.groupBy("root").agg(F.min("class_id").alias("component_id"))
     ids = ids.join(least, "root").select("cls", "class_id", "component_id")
     alone = F.col("n") == 0
