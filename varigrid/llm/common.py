@@ -54,7 +54,7 @@ def dropped(spark: SparkSession, *paths: str) -> None:
         fs.delete(p, True)
 
 
-def text_parts(column: pa.Array, most_bytes: int = 4 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def text_parts(column: pa.Array, most_bytes: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Runs of rows with at most ``most_bytes`` of text, or one longer text:
     first row, last row + 1, offsets into the bytes (rows + 1), the bytes.
     A null is an empty text."""

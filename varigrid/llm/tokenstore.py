@@ -57,11 +57,11 @@ class Encoder:
     characters whose treatment isn't plain to see go through the whole tokenizer.
     """
 
-    def __init__(self, path: str, most_pieces: int = 1_000_000):
+    def __init__(self, path: str, most_pieces: int = 400_000):
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
-        self.model = Tokenizer.from_file(path).model
+        self.model = self.whole.model
         self.most_pieces = most_pieces
         self.bytes = _byte_letters()
         self.lengths = np.zeros(1 << 16, np.int64)
