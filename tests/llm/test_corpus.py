@@ -421,6 +421,24 @@ def test_mixing_follows_rates_and_is_repeatable(spark):
         mixed(df, {"small": 1.0}, total=10**7)
 
 
+def test_mixing_draws_means_of_any_size(spark):
+    from varigrid.llm.mixing import drawn, mixed, parts, cumulative, uniform  # noqa: I001
+    from pyspark.sql import functions as F
+
+    # one row without a source among 20 others': equal shares want it 952 times
+    rows = [(i, f"t{i}", "en", f"s{i % 20}", 1) for i in range(20_000)] + [(20_000, "rare", "en", None, 1)]
+    df = frame(spark, rows).repartition(5)
+    got = mixed(df).groupBy("source").agg(F.count("*").alias("n"), F.countDistinct("doc_id", "_copy").alias("pairs")).collect()
+    counts = {r.source: r.n for r in got}
+    assert len(counts) == 21 and all(abs(n - 20_001 / 21) < 5 * (20_001 / 21) ** 0.5 for n in counts.values())
+    assert all(r.n == r.pairs for r in got)
+    # mean and variance of counts drawn in parts
+    key = F.lit("count"), F.lit(1), F.col("id")
+    drawn_rows = spark.range(1500).withColumn("rate", F.lit(1800.0)).withColumn("k", parts(F.col("rate"))).withColumn("cdf", cumulative(F.col("rate") / F.col("k")))
+    x = np.array([r[0] for r in drawn_rows.withColumn("_u", uniform(*key)).select(drawn(F.col("cdf"), F.col("k"), *key)).collect()])
+    assert abs(x.mean() - 1800) < 5 * (1800 / 1500) ** 0.5 and 0.8 < x.var() / 1800 < 1.2
+
+
 def test_poisson_counts_have_the_right_distribution(spark):
     from pyspark.sql import functions as F
 

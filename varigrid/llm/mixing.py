@@ -3,7 +3,9 @@
 A document of source s is wanted ``rate(s) = share(s) * total / n(s)`` times on
 average.  How often it comes is drawn from the Poisson distribution of that
 mean by inverting its cumulative function at a number that the document's id
-and a seed fix, so that any executor, and any later run, draws the same.
+and a seed fix, so that any executor, and any later run, draws the same.  A large
+mean is drawn in equal parts, each with a number of its own, and added up: the
+sum of independent Poisson counts is a Poisson count of the means' sum.
 Documents are exploded by their counts and put in an order that a second hash
 of id, copy and seed fixes.  All of it is SQL functions.
 """
@@ -15,6 +17,8 @@ from pyspark.sql import functions as F
 
 #: Sources beyond this number are joined by shuffle rather than broadcast.
 MOST_BROADCAST = 100_000
+#: Means up to ``WHOLE`` are drawn at once (``exp(-mean)`` is a double's normal number); larger ones in parts of at most ``PART``.
+WHOLE, PART = 700, 500
 #: Ids of 13 hexadecimal digits are exact in a double.
 _SPAN = float(16**13)
 
@@ -35,6 +39,21 @@ def cumulative(rate: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), most), start, step, lambda acc: acc["c"])
 
 
+def parts(rate: Column) -> Column:
+    """In how many equal parts a mean is drawn."""
+    return F.when(rate <= WHOLE, 1).otherwise(F.ceil(rate / PART)).cast("int")
+
+
+def drawn(cdf: Column, number: Column, *key: Column) -> Column:
+    """A Poisson count: ``number`` draws from one part's cumulative probabilities, added up.
+
+    The key fixes the first draw, the key and the part's place the others.
+    """
+    below = lambda u: F.size(F.filter(cdf, lambda c: c <= u))
+    rest = F.aggregate(F.sequence(F.lit(1), number - 1), F.lit(0), lambda acc, i: acc + below(uniform(*key, i)))
+    return below(F.col("_u")) + F.when(number > 1, rest).otherwise(0)
+
+
 def rates(docs: DataFrame, weights: dict[str, float] | None, total: float | None) -> DataFrame:
     """(source, n, rate): how often each document of a source is wanted.
 
@@ -61,14 +80,16 @@ def mixed(docs: DataFrame, weights: dict[str, float] | None = None, total: float
     Needs doc_id and source.  A null source is a source of its own, which
     weights can't name; null ids draw as one id does.  Rows that repeat an
     id and a source draw the same count, each for itself.  An empty table gives
-    an empty mixture.  Means above 700 aren't served (``exp`` underflows) and
-    raise an error.
+    an empty mixture.  Means may be of any size, so a rare source is repeated
+    as often as its share needs; only a ``total`` of more than 700 times all
+    rows together is taken for a mistake of the caller and raises an error.
     """
     rate = rates(docs, weights, total)
-    found = rate.select(F.max("rate").alias("most"), F.count("*").alias("sources")).first()
-    if (found["most"] or 0.0) > 700:
-        raise ValueError("a mean repetition above 700")
-    table = rate.select(F.col("source").alias("_source"), F.when(F.col("rate") > 0, cumulative(F.col("rate"))).alias("_cdf"))
+    found = rate.select(F.sum("n").alias("rows"), F.count("*").alias("sources")).first()
+    if total is not None and found["rows"] and total > 700 * found["rows"]:
+        raise ValueError("a total above 700 times all rows")
+    number = parts(F.col("rate"))
+    table = rate.select(F.col("source").alias("_source"), number.alias("_parts"), F.when(F.col("rate") > 0, cumulative(F.col("rate") / number)).alias("_cdf"))
     if found["sources"] <= MOST_BROADCAST:
         joined = docs.join(F.broadcast(table), docs["source"].eqNullSafe(table["_source"]))
     else:
@@ -77,9 +98,9 @@ def mixed(docs: DataFrame, weights: dict[str, float] | None = None, total: float
         salt = F.pmod(F.xxhash64("doc_id"), F.lit(64)).cast("int")
         joined = docs.withColumn("_at", salt)
         joined = joined.join(salted, joined["source"].eqNullSafe(salted["_source"]) & (joined["_at"] == salted["_salt"])).drop("_at", "_salt")
-    drawn = uniform(F.lit("count"), F.lit(seed), F.col("doc_id"))
-    count = F.coalesce(F.size(F.filter("_cdf", lambda c: c <= F.col("_u"))), F.lit(0))
-    counted = joined.withColumn("_u", drawn).withColumn("_times", F.when(F.col("_cdf").isNull(), 0).otherwise(count)).drop("_u", "_cdf", "_source")
+    key = F.lit("count"), F.lit(seed), F.col("doc_id")
+    count = drawn(F.col("_cdf"), F.col("_parts"), *key)
+    counted = joined.withColumn("_u", uniform(*key)).withColumn("_times", F.when(F.col("_cdf").isNull(), 0).otherwise(count)).drop("_u", "_cdf", "_parts", "_source")
     copies = counted.filter("_times > 0").withColumn("_copy", F.explode(F.sequence(F.lit(0), F.col("_times") - 1))).drop("_times")
     return copies.withColumn("_place", uniform(F.lit("place"), F.lit(seed), F.col("doc_id"), F.col("_copy"))).orderBy("_place", "doc_id", "_copy").drop("_place")
 
