@@ -232,6 +232,24 @@ def test_toxicity_separates_held_out_documents(spark):
     assert toxicity(frame(spark, []), lab).count() == 0
 
 
+def test_toxicity_learns_from_few_documents(spark):
+    from varigrid.llm.toxicity import toxicity
+
+    rng = random.Random(8)
+    rows, labels = [], []
+    for i in range(100):
+        w = words(rng, 20)
+        if i % 2:
+            w[rng.randrange(10)], w[10 + rng.randrange(10)] = "scumbag", "idiotic"
+        rows.append((i, " ".join(w), "en", "s", 1))
+        labels.append((i, i % 2))
+    got = {r.doc_id: r for r in toxicity(frame(spark, rows), spark.createDataFrame(labels, "doc_id long, toxic int")).collect()}
+    assert len({r.score for r in got.values()}) > 50
+    held = [i for i in got if got[i].held_out]
+    assert sum(got[i].predicted == i % 2 for i in got if not got[i].held_out) == 100 - len(held)
+    assert sum(got[i].predicted == i % 2 for i in held) >= 0.9 * len(held)
+
+
 # -- decontamination
 
 

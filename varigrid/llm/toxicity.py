@@ -3,8 +3,8 @@
 Features are the presence of hashed character n-grams of 3 to 5 letters, word
 ends included.  A feature's value is the logarithm of the ratio of its
 smoothed document frequencies in toxic and other texts, and a logistic
-regression weighs the values.  Features whose ratio isn't clearly different
-from one are left out.
+regression weighs the values.  No feature is left out: the smoothing brings
+ratios without evidence to one, and the ridge term weights without use to zero.
 
 The classifier is fitted on at most ``per_class`` labelled documents of either
 class, those of the smallest hashed ids.
@@ -12,7 +12,8 @@ class, those of the smallest hashed ids.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections import deque
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -20,20 +21,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from varigrid.llm.common import counted, counter_rows, only
+from varigrid.llm.common import binaries, counted, counter_rows, dropped, only, shared_dir, stored
 from varigrid.llm.grams import gram_ladder, letter_streams
 from varigrid.llm.language import held_out
 
 LEAST, MOST, BITS = 3, 5, 18
 PER_CLASS = 20_000
-#: Features kept: at most so many, of at least so many standard errors.
-FEATURES, CLEAR = 8192, 4.0
+#: Steps of the regression's fit, and the tasks of each.
+ROUNDS, TASKS = 25, 16
 
 
 @dataclass
 class Classifier:
     bias: float
-    weights: np.ndarray  # by bucket, 0 for features left out
+    weights: np.ndarray  # by bucket, 0 for features never seen
 
 
 def _present(column: pa.Array, chosen: np.ndarray | None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -78,51 +79,99 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Class
     sizes = {r["toxic"]: r["count"] for r in texts.groupBy("toxic").count().collect()}
     if len(sizes) < 2:
         return None
-    ratio = np.log((toxic + 1) / (sizes[1] + 2)) - np.log((clean + 1) / (sizes[0] + 2))
-    error = np.sqrt(1 / (toxic + 1) + 1 / (clean + 1))
-    strength = np.abs(ratio) / error
-    kept = np.argsort(-strength, kind="stable")[:FEATURES]
-    kept = np.sort(kept[strength[kept] >= CLEAR])
-    place = np.full(1 << BITS, -1, np.int32)
-    place[kept] = np.arange(len(kept))
-    mask = place >= 0
+    # smoothed towards equal frequencies: the pseudo-counts are as the classes' sizes, and an n-gram without evidence gets 0
+    few, more = (2 * sizes[c] / (sizes[0] + sizes[1]) for c in (1, 0))
+    ratio = np.log((toxic + few) / (sizes[1] + few)) - np.log((clean + more) / (sizes[0] + more))
+
+    # unclear ratios are shrunk by their squared standard error
+    spread = 1 / (toxic + few) + 1 / (clean + more)
+    ratio = ratio * ratio**2 / (ratio**2 + spread)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists: list[bytes] = []
-            for n, doc, bucket in _present(batch.column(1), mask):
+            at = 0
+            for n, doc, bucket in _present(batch.column(1), None):
                 ends = np.searchsorted(doc, np.arange(n + 1))
-                lists += [place[bucket[a:b]].astype(np.uint16).tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lists, pa.binary())], ["toxic", "features"])
-
-    held = texts.mapInArrow(rows, "toxic int, features binary").collect()
-    y = np.array([r["toxic"] for r in held], np.float64)
-    lists = [np.frombuffer(r["features"], np.uint16) for r in held]
-    bias, w = logistic(lists, y, ratio[kept])
-    weights = np.zeros(1 << BITS)
-    weights[kept] = w * ratio[kept]
-    return Classifier(bias, weights)
-
-
-def logistic(lists: list[np.ndarray], y: np.ndarray, scale: np.ndarray, ridge: float = 1e-4, rounds: int = 400) -> tuple[float, np.ndarray]:
-    """Bias and weights of a class-balanced logistic regression on binary features times ``scale``."""
-    row = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
-    col = np.concatenate(lists).astype(np.int64) if len(row) else np.empty(0, np.int64)
-    value = scale[col]
-    share = np.where(y > 0, 0.5 / max(1.0, y.sum()), 0.5 / max(1.0, (1 - y).sum()))
-    w, b = np.zeros(len(scale)), 0.0
-    m, v, mb, vb = np.zeros(len(scale)), np.zeros(len(scale)), 0.0, 0.0
-    for t in range(1, rounds + 1):
-        z = np.bincount(row, weights=value * w[col], minlength=len(lists)) + b
-        g = share * (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y)
-        gw = np.bincount(col, weights=value * g[row], minlength=len(scale)) + ridge * w
-        gb = g.sum()
-        m, v = 0.9 * m + 0.1 * gw, 0.999 * v + 0.001 * gw * gw
-        mb, vb = 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
-        step = 0.05 * np.sqrt(1 - 0.999**t) / (1 - 0.9**t)
-        w -= step * m / (np.sqrt(v) + 1e-9)
-        b -= step * mb / (np.sqrt(vb) + 1e-9)
-    return b, w
+                lists = [bucket[a:b].astype(np.uint32).tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, n), pa.array(lists, pa.binary())], ["toxic", "features"])
+                at += n
+
+    path = shared_dir(docs.sparkSession)
+    held = stored(texts.repartition(TASKS).mapInArrow(rows, "toxic int, features binary"), path)
+    bias, w = logistic(held, ratio, sizes)
+    dropped(docs.sparkSession, path)
+    return Classifier(bias, w * ratio)
+
+
+def logistic(held: DataFrame, scale: np.ndarray, sizes: dict[int, int], ridge: float = 1e-4, rounds: int = ROUNDS) -> tuple[float, np.ndarray]:
+    """Bias and weights of a class-balanced logistic regression on binary features times ``scale``.
+
+    ``held`` (toxic, features) holds the places of a row's features as 32-bit
+    numbers.  The driver holds weights and gradients only; a round sums up the
+    loss and its gradient where the rows are.
+    """
+    spark, size = held.sparkSession, len(scale)
+    share = [0.5 / max(1, sizes[c]) for c in (0, 1)]
+    held = held.coalesce(TASKS)  # small files are read together
+
+    def at(v: np.ndarray) -> tuple[float, np.ndarray]:
+        sent = spark.sparkContext.broadcast((v[:-1] * scale, v[-1]))
+
+        def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            weights, bias = sent.value
+            total, loss = np.zeros(size + 1), 0.0
+            for batch in batches:
+                for toxic, features in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                    col = np.frombuffer(features.as_buffer(), np.uint32)
+                    z = float(weights[col].sum()) + bias
+                    # of log(1 + exp(-z)) for toxic rows and log(1 + exp(z)) for others
+                    loss += share[toxic] * float(np.logaddexp(0.0, -z if toxic else z))
+                    g = share[toxic] * (1 / (1 + np.exp(-np.clip(z, -40, 40))) - toxic)
+                    total[col] += g  # a row has a feature once
+                    total[-1] += g
+            yield pa.RecordBatch.from_arrays([pa.array([loss]), binaries([total.tobytes()])], ["loss", "gradient"])
+
+        loss, total = 0.5 * ridge * float(v[:-1] @ v[:-1]), np.zeros(size + 1)
+        for r in held.mapInArrow(part, "loss double, gradient binary").collect():
+            loss += r["loss"]
+            total += np.frombuffer(r["gradient"])
+        sent.unpersist()
+        return loss, np.append(total[:-1] * scale + ridge * v[:-1], total[-1])
+
+    best = descended(at, np.zeros(size + 1), rounds)
+    return float(best[-1]), best[:-1]
+
+
+def descended(at: Callable[[np.ndarray], tuple[float, np.ndarray]], x: np.ndarray, rounds: int, kept: int = 8, close: float = 1e-3) -> np.ndarray:
+    """The least point of a convex function by limited-memory quasi-Newton steps; ``at`` gives value and gradient."""
+    value, slope = at(x)
+    start, steps = np.abs(slope).max(), deque(maxlen=kept)
+    for _ in range(rounds):
+        if np.abs(slope).max() <= close * start:
+            break
+        way, held = -slope, []
+        for s, y, sy in reversed(steps):
+            held.append(float(s @ way) / sy)
+            way = way - held[-1] * y
+        if steps:
+            s, y, sy = steps[-1]
+            way = way * (sy / float(y @ y))
+        for (s, y, sy), h in zip(steps, reversed(held), strict=True):
+            way = way + s * (h - float(y @ way) / sy)
+        step, down = 1.0 if steps else min(1.0, 1 / float(np.abs(slope).sum())), float(slope @ way)
+        for _ in range(20):
+            new = x + step * way
+            new_value, new_slope = at(new)
+            if new_value <= value + 1e-4 * step * down:
+                break
+            step /= 2
+        else:
+            break
+        s, y = new - x, new_slope - slope
+        if float(s @ y) > 1e-12:
+            steps.append((s, y, float(s @ y)))
+        x, value, slope = new, new_value, new_slope
+    return x
 
 
 def scored(docs: DataFrame, model: Classifier | None, *keep: str) -> DataFrame:
