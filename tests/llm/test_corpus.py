@@ -101,6 +101,19 @@ def test_jaccard_nulls_repeats_and_empty(spark):
     assert jaccard_components(frame(spark, []), 3, 90).count() == 0
 
 
+def test_one_of_each_group_decides_by_row(spark):
+    from varigrid.llm.jaccard import one_of_each_group
+
+    t, u = "one two three four five six seven", "red orange yellow green blue violet grey"
+    rows = [
+        (1, t), (None, t), (None, "a text of no other row at all"), (None, ""), (8, t + " eight"), (8, "another lone text with the id eight"),
+        (3, u), (3, u + " black"), (4, u),
+    ]
+    kept = [(r.doc_id, r.text) for r in one_of_each_group(frame(spark, [(i, x, "en", "s", 1) for i, x in rows]), 3, 80).collect()]
+    assert sorted(map(str, (k for k in kept if k[0] != 3))) == sorted(map(str, (rows[i] for i in (0, 2, 3, 5))))
+    assert len([k for k in kept if k[0] == 3]) == 1
+
+
 def test_parity_distance_never_exceeds_the_difference():
     from varigrid.llm.jaccard import parities, parity_distance
 

@@ -97,13 +97,13 @@ def parity_distance(x: bytes, y: bytes) -> int:
 
 
 def _signatures(docs: DataFrame, width: int, percent: int, bits: int, counts) -> DataFrame:
-    """(doc_id, n, cls, prefix, odd): per document its set's size and class; a task gives a class's prefix and parities once."""
+    """(doc_id, text_hash, n, cls, prefix, odd): per document its set's size and class; a task gives a class's prefix and parities once."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, rare, seen = Shingler(width), counts.value, set()
         for batch in batches:
             sizes, classes, prefixes, odd = [], [], [], []
-            for a in shingler.sets(batch.column(1)):
+            for a in shingler.sets(batch.column(2)):
                 d = digest(a)
                 sizes.append(len(a))
                 classes.append(d)
@@ -117,11 +117,12 @@ def _signatures(docs: DataFrame, width: int, percent: int, bits: int, counts) ->
                 if len(seen) > 1_000_000:
                     seen.clear()
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), binaries(classes), pa.array(prefixes, pa.list_(pa.int64())), binaries(odd)],
-                ["doc_id", "n", "cls", "prefix", "odd"],
+                [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), binaries(classes), pa.array(prefixes, pa.list_(pa.int64())), binaries(odd)],
+                ["doc_id", "text_hash", "n", "cls", "prefix", "odd"],
             )
 
-    return only(docs, "doc_id", "text").mapInArrow(sign, f"doc_id {_type(docs, 'doc_id')}, n long, cls binary, prefix array<long>, odd binary")
+    rows = only(docs, "doc_id", "text").select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
+    return rows.mapInArrow(sign, f"doc_id {_type(docs, 'doc_id')}, text_hash long, n long, cls binary, prefix array<long>, odd binary")
 
 
 def _type(df: DataFrame, name: str) -> str:
@@ -270,6 +271,12 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, sketc
     id, or null where that has none.  Repeated rows come out as often as they
     go in.  An empty table gives an empty result.
     """
+    return _grouped(docs, width, percent, sketch_bits).select("doc_id", "n_shingles", "component_id", "class_id")
+
+
+def _grouped(docs: DataFrame, width: int, percent: int, sketch_bits: int) -> DataFrame:
+    """The columns of ``jaccard_components`` with text_hash and root: what tells a row from others of its
+    id, and a component from others of its smallest id; root is null for an empty set."""
     spark = docs.sparkSession
     counts = spark.sparkContext.broadcast(_sketch(docs, width, sketch_bits))
     signed = stored(_signatures(docs, width, percent, sketch_bits, counts))
@@ -292,13 +299,15 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, sketc
     ids = signed.groupBy("cls").agg(F.min("doc_id").alias("class_id")).join(first, "cls", "left").withColumn("node", F.coalesce("root", "cls")).drop("root")
     ids = ids.join(joined, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = ids.groupBy("root").agg(F.min("class_id").alias("component_id"))
-    ids = ids.join(least, "root").select("cls", "class_id", "component_id")
+    ids = ids.join(least, "root").select("cls", "class_id", "component_id", "root")
     alone = F.col("n") == 0
-    return signed.select("doc_id", "n", "cls").join(ids, "cls", "left").select(
+    return signed.select("doc_id", "text_hash", "n", "cls").join(ids, "cls", "left").select(
         "doc_id",
         F.col("n").alias("n_shingles"),
         F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
         F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
+        "text_hash",
+        F.when(~alone, F.col("root")).alias("root"),
     )
 
 
@@ -352,10 +361,16 @@ def _with_company(percent: int):
 def one_of_each_group(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs`` that stay when each component keeps its smallest doc_id.
 
-    Of rows with one doc_id, the first by text stays.  Rows with an empty set
-    and rows with a null doc_id whose component has no id stay all.
+    Rows are told apart by id and text, so what happens to one says nothing of
+    others with its id.  Of a component's rows with the smallest id, those of
+    the text of the least hash stay: one, but for rows that repeat both id and
+    text.  Rows with an empty set and rows with a null doc_id whose component
+    has no id stay all.
     """
-    found = jaccard_components(docs, width, percent).select("doc_id", "component_id").distinct()
-    lost = found.filter("component_id is not null and (doc_id is null or doc_id > component_id)").select(F.col("doc_id").alias("_lost")).distinct()
-    kept = docs.join(lost, docs["doc_id"].eqNullSafe(lost["_lost"]), "left_anti")
-    return kept
+    found = _grouped(docs, width, percent, SKETCH_BITS).filter("n_shingles > 0 and component_id is not null").select("doc_id", "text_hash", "component_id", "root").distinct()
+    heads = found.filter("doc_id = component_id")
+    first = heads.groupBy("root").agg(F.min("text_hash").alias("least"))
+    others = heads.join(first, "root").filter("text_hash > least").select("doc_id", "text_hash")
+    lost = found.filter("doc_id is null or doc_id > component_id").select("doc_id", "text_hash").union(others)
+    lost = lost.select(F.col("doc_id").alias("_lost"), F.col("text_hash").alias("_hash"))
+    return docs.join(lost, (F.xxhash64(docs["text"]) == lost["_hash"]) & docs["doc_id"].eqNullSafe(lost["_lost"]), "left_anti")
