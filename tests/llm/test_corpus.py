@@ -290,6 +290,16 @@ def test_decontamination_finds_verbatim_and_reparameterised_items(spark):
     assert {len(r["items"]) for r in contamination(rows, bench.limit(0)).collect()} == {0}
 
 
+def test_signs_before_numbers_are_part_of_the_slot(spark):
+    from varigrid.llm.decontaminate import contamination
+
+    items = ["A shirt costs $25 and a hat costs $10. What is the total price?", "Tickets cost $12 each and Tom buys 3 of them for $36."]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    texts = ["A shirt costs $40 and a hat costs $15. What is the total price?", "Tickets cost \u20ac9 each and Ann buys 4 of them for \u00a327."]
+    got = {r.doc_id: r["items"] for r in contamination(docs(spark, texts), bench).collect()}
+    assert got[0] == [0] and got[1] == [1]
+
+
 def test_inconsistent_slots_do_not_count(spark):
     from varigrid.llm.decontaminate import contamination
 

@@ -33,11 +33,12 @@ UNITS = (
 
 
 def tokens(text: Column) -> Column:
-    """Lower-case words; numbers begin with a digit, names with ``#``, units with ``@``."""
+    """Lower-case words; numbers begin with a digit, names with ``#``, units with ``@``.  A sign right before digits belongs to the number."""
     text = F.coalesce(text, F.lit(""))
     t = F.when(text.contains("#") | text.contains("@"), F.regexp_replace(text, "[#@]", " ")).otherwise(text)
     t = F.regexp_replace(t, r"\p{Lu}(?<=[\p{Ll},;]\x20.)\p{Ll}+", "#$0")
     n = F.regexp_replace(t, r"[.,:/](?<=[0-9].)(?=[0-9])", "_")
+    n = F.regexp_replace(n, r"[$€£](?=[0-9])", " ")
     n = F.regexp_replace(n, r"([0-9])\x20?((?i:" + UNITS + r"))(?![\p{L}\p{N}_])", "$1 @$2")
     n = F.regexp_replace(n, r"([0-9])\x20?([%$€£°])", "$1 @$2 ")
     t = F.lower(F.when(text.rlike("[0-9]"), n).otherwise(t))
