@@ -522,13 +522,29 @@ def test_fingerprints_of_repeated_null_and_no_rows(spark):
     assert one.near_next == 1.0
 
 
-def test_exact_groups_part_texts_of_one_digest(spark):
-    from varigrid.llm.fingerprint import exact_groups, grouped
+def test_digests_match_unicodedata_and_xxhash(spark):
+    import unicodedata
 
-    rows = spark.createDataFrame([(1, "a", "d1"), (2, "b", "d1"), (3, "a", "d1"), (4, "c", "d2"), (5, "c", "d2"), (6, "e", "d3")], "doc_id long, canon string, digest string")
-    groups = exact_groups(rows)
-    assert sorted((r.digest, r.part, r.class_id, r.copies) for r in groups.collect()) == [("d1", 0, 1, 2), ("d1", 1, 2, 1), ("d2", 0, 4, 2), ("d3", 0, 6, 1)]
-    assert sorted((r.doc_id, r.class_id, r.part) for r in grouped(rows, groups).collect()) == [(1, 1, 0), (2, 2, 1), (3, 1, 0), (4, 4, 0), (5, 4, 0), (6, 6, 0)]
+    import xxhash
+
+    from varigrid.llm.fingerprint import fingerprints
+
+    texts = [*ODD, "Straße  É", "ﬁne", "ĞİŞ", "Å Å", "ΑΣ ΣΑΣ", "x y\u2028z", "①②", "\tTab  and\nline ", "日本語 テスト", "e\u0301"]
+    got = {r.doc_id: r.fingerprint for r in fingerprints(docs(spark, texts)).collect()}
+    for i, t in enumerate(texts):
+        n = unicodedata.normalize("NFKC", unicodedata.normalize("NFKC", t or "").casefold())
+        n = re.sub(r"[\s\x85\u2028\u2029]+", " ", n).strip(" ")
+        assert got[i][:16] == xxhash.xxh64_hexdigest(n.encode(), seed=42), t
+
+
+def test_fingerprints_of_repeated_ids_and_large_groups(spark):
+    from varigrid.llm.fingerprint import fingerprints
+
+    rows = [(7 if i % 3 else None, f"t{i % 50}", "en", "s", 1) for i in range(600)] + [(i, "same", "en", "s", 1) for i in range(100, 700)]
+    got = fingerprints(frame(spark, rows)).collect()
+    assert len(got) == 1200 and sum(r.copies for r in got) == 600 * 600 + 50 * 12 * 12
+    assert {r.class_id for r in got if r.copies == 600} == {100} and {r.class_id for r in got if r.copies == 12} == {7}
+    assert sum(r.near_next for r in got if r.copies == 600) == 599
 
 
 def test_fingerprints_of_colliding_digests_differ(spark, monkeypatch):
@@ -540,6 +556,11 @@ def test_fingerprints_of_colliding_digests_differ(spark, monkeypatch):
     got = {r.doc_id: r for r in fp.fingerprints(docs(spark, ["x", "y", "x"])).collect()}
     assert got[0].fingerprint == got[2].fingerprint != got[1].fingerprint and (got[2].class_id, got[2].copies, got[1].copies) == (0, 2, 1)
     assert got[0].near_next == 0.0 and got[2].near_next == 1.0
+    # an edited text with the digest of a row's text and other bytes has another fingerprint, one with its bytes the same
+    rows = [(1, "aabb"), (2, "cd"), (3, "aacd"), (4, "z")]
+    got = {r.doc_id: r for r in fp.fingerprints(frame(spark, [(i, t, "en", "s", 1) for i, t in rows])).collect()}
+    assert got[1].edited_fingerprint == got[3].fingerprint and got[1].near_edited == 0.0
+    assert len({r.fingerprint for r in got.values()} | {r.edited_fingerprint for r in got.values()}) == len({"aabb", "cd", "aacd", "z"} | {"ca", "aaza"})
 
 
 # -- pipeline

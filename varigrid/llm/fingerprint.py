@@ -13,9 +13,13 @@ alone need neither.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import json
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from varigrid.llm.common import only, stored
+
 _NFKC = "com.ibm.icu.text.Normalizer", "compose"
 _FOLD = "com.ibm.icu.lang.UCharacter", "foldCase"
 
@@ -25,7 +29,7 @@ def canonical(text: Column) -> Column:
     text = F.coalesce(text, F.lit(""))
     static = lambda method, x: F.java_method(*map(F.lit, method), x, F.lit(True))
     folded = static(_NFKC, static(_FOLD, static(_NFKC, text)))
-    plain = F.when(text.rlike(r"[^\x00-\x7f]"), folded).otherwise(F.lower(text))
+    plain = F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(folded)
     return F.trim(F.regexp_replace(plain, r"[\s\x{85}\p{Z}]+", " "))
 
 
@@ -35,84 +39,78 @@ def fingerprint(canon: Column) -> Column:
     return F.concat(half(F.xxhash64(canon)), half(F.xxhash64(F.lit("second"), canon, F.length(canon))))
 
 
-#: Bits of the filter that says which digests occur more than once: a table of at most ``FILTER_BITS / 32768`` rows of 4 KiB.
+#: Bits of the filter that says which texts may be in a bucket of several rows: a table of at most ``FILTER_BITS / 32768`` rows of 4 KiB.
 FILTER_BITS = 1 << 25
-
-
-def exact_groups(rows: DataFrame) -> DataFrame:
-    """(digest, canon, class_id, copies, part): the groups of rows (doc_id, digest, canon) with one canonical text.
-
-    ``canon`` is null where a bucket holds one text, as all do unless digests
-    collide; else there is a row for each of its texts, numbered in their order
-    by ``part``.
-
-    Digests are counted first, without texts.  Texts move for digests that occur
-    more than once, as far as a bitmap of bounded size can tell them, and
-    each task reduces them to a bucket's least and greatest before that: where
-    these are the same bytes, so are all between.
+#: Parts that a group of equal texts is counted and joined in.
+SALTS = 64
+#: Digests that different texts share are broadcast up to this number.
+MOST_BROADCAST = 100_000
+
+
+def colliding(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """(digest): the digests that different canonical texts share.
+
+    ``rows`` (digest, sha, edited_digest, edited_sha, raw) say of the rows of
+    ``docs`` (text) what ``read`` does.  Digests are counted first.  Canonical
+    texts move for digests that occur more than once, as far as a bitmap of
+    bounded size over their raw texts' hashes can tell; each task sends a text
+    of a bucket once, and a bucket's texts are compared byte by byte, as
+    grouping keys.  Edited texts, which are no rows of the corpus, are told apart
+    by SHA-256.
     """
-    counts = rows.groupBy("digest").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("copies"))
-    many = counts.filter("copies > 1").select("digest")
-    bit = lambda: F.pmod(F.xxhash64("digest"), F.lit(FILTER_BITS))
-    spot = lambda df: df.withColumns({"_bucket": F.floor(bit() / 32768), "_bit": (bit() % 32768).cast("int")})
-    bitmaps = spot(many).groupBy("_bucket").agg(F.bitmap_construct_agg("_bit").alias("_map"))
+    many = rows.groupBy("digest").agg(F.count("*").alias("n")).filter("n > 1").select("digest")
+    raws = rows.select("digest", "raw").distinct().join(many, "digest", "left_semi").select("raw")
+    bit = F.pmod(F.col("raw"), F.lit(FILTER_BITS))
+    place = lambda df: df.withColumns({"_bucket": F.floor(bit / 32768), "_bit": (bit % 32768).cast("int")})
+    bitmaps = place(raws).groupBy("_bucket").agg(F.bitmap_construct_agg("_bit").alias("_map"))
     byte = F.conv(F.hex(F.substring("_map", F.floor(F.col("_bit") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    maybe = spot(rows).join(F.broadcast(bitmaps), "_bucket").filter(byte.bitwiseAND(F.expr("shiftleft(1, _bit % 8)")) != 0).select("doc_id", "digest", "canon")
-    mixed = maybe.groupBy("digest").agg(F.min("canon").alias("_low"), F.max("canon").alias("_high")).filter("_low <> _high").select("digest")
-    texts = maybe.join(mixed, "digest", "left_semi").groupBy("digest", "canon").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("copies"))
-    texts = texts.withColumn("part", (F.row_number().over(Window.partitionBy("digest").orderBy("canon")) - 1).cast("int"))
-    same = counts.join(mixed, "digest", "left_anti").select("digest", F.lit(None).cast("string").alias("canon"), "class_id", "copies", F.lit(0).alias("part"))
-    return same.unionByName(texts)
-
+    texts = docs.select(F.coalesce("text", F.lit("")).alias("text")).withColumn("raw", F.xxhash64("text"))
+    maybe = place(texts).join(F.broadcast(bitmaps), "_bucket").filter(byte.bitwiseAND(F.expr("shiftleft(1, _bit % 8)")) != 0)
+    canon = maybe.select(canonical(F.col("text")).alias("canon")).select("canon", fingerprint(F.col("canon")).alias("digest"))
+    unlike = canon.distinct().groupBy("digest").agg(F.count("*").alias("n")).filter("n > 1").select("digest")
+    pairs = F.array(F.struct(F.col("digest").alias("d"), F.col("sha").alias("s")), F.struct(F.col("edited_digest").alias("d"), F.col("edited_sha").alias("s")))
+    shas = rows.select(F.explode(pairs).alias("x")).select("x.d", "x.s").distinct().groupBy(F.col("d").alias("digest")).agg(F.count("*").alias("n"))
+    return unlike.union(shas.filter("n > 1").select("digest")).distinct()
 
-def grouped(rows: DataFrame, groups: DataFrame) -> DataFrame:
-    """Adds class_id, copies and part to rows (digest, canon, ...); a text is compared only in buckets of several."""
-    g = groups.select(F.col("digest").alias("_digest"), F.col("canon").alias("_canon"), "class_id", "copies", "part")
-    met = rows.join(g, (rows["digest"] == g["_digest"]) & (g["_canon"].isNull() | (g["_canon"] == rows["canon"])), "left")
-    return met.drop("_digest", "_canon")
 
+#: Ranges of rows that neighbours are looked for in, for each shuffle partition, and sampled rows for each range.
+RANGES, SAMPLED = 4, 20
 
-#: Ranges of ids that neighbours are looked for in, for each shuffle partition.
-RANGES = 8
 
+def with_next(rows: DataFrame, *ahead: str) -> DataFrame:
+    """Each row of ``rows`` (doc_id, raw, text, ...) with the ``ahead`` columns of the next as ``next_...``.
 
-def with_next(docs: DataFrame) -> DataFrame:
-    """(doc_id, text, next_text): each row with the text of the next, by ascending doc_id and then text; the last with the first's.
-
-    Rows are cut into ranges of ids at quantiles, so no task orders them all.
-    The first row of a range also goes to the range before it, where it only
-    serves as the next one.  Null ids come first.
+    The order is by doc_id, nulls first, then ``raw``, a hash of the text, then
+    text; the last row's next one is the first.  Rows are cut into ranges of
+    (doc_id, raw) at quantiles of a sample, so no task orders them all and the
+    rows of one id are cut too; where the cuts lie changes no result.  The first
+    row of a range also goes to the range before it, where it only serves as the
+    next one.
     """
-    docs = docs.select(F.col("doc_id").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    ranges = RANGES * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    cut = docs.agg(
-        F.percentile_approx("doc_id", [i / ranges for i in range(1, ranges)], 100 * ranges).alias("cuts"),
-        F.min("doc_id").alias("least"),
-        F.count(F.when(F.col("doc_id").isNull(), 1)).alias("nulls"),
-    ).first()
-    cuts = sorted(set(cut["cuts"] or []) - {cut["least"]})
-    bounds = F.lit(cuts) if cuts else F.array().cast("array<bigint>")
-    steps = max(1, len(cuts).bit_length())
-    # binary search: how many bounds are at most the id
-    at = F.lit(0)
-    probe = lambda acc, width: F.when((acc + width <= len(cuts)) & (F.get(bounds, acc + width - 1) <= F.col("doc_id")), acc + width).otherwise(acc)
-    place = F.aggregate(F.array(*[F.lit(1 << i) for i in reversed(range(steps))]), at, probe)
-    place = F.when(F.col("doc_id").isNull(), 0).otherwise(place)
-    first = F.col("doc_id").isNull() if cut["nulls"] else F.col("doc_id") == F.lit(cut["least"])
-    ghosts = F.filter(
-        F.array(
-            F.when(F.array_contains(bounds, F.col("doc_id")) & F.col("doc_id").isNotNull(), F.struct((F.col("_range") - 1).alias("range"), F.lit(1).alias("ghost"))),
-            F.when(first, F.struct(F.lit(len(cuts)).alias("range"), F.lit(2).alias("ghost"))),
-        ),
-        lambda x: x.isNotNull(),
-    )
-    all_rows = docs.withColumn("_range", place).select(
-        "doc_id", "text", F.explode(F.concat(F.array(F.struct(F.col("_range").alias("range"), F.lit(0).alias("ghost"))), ghosts)).alias("_at")
-    )
-    all_rows = all_rows.select("doc_id", "text", "_at.range", "_at.ghost")
-    order = "partition by range order by ghost, doc_id, text"
-    ordered = all_rows.withColumn("next_text", F.expr(f"lead(text) over ({order})"))
-    return ordered.filter("ghost = 0").select("doc_id", "text", "next_text")
+    ranges = RANGES * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    kind = f"struct<doc_id:{rows.schema['doc_id'].dataType.simpleString()},raw:bigint>"
+    key = F.struct(F.col("doc_id"), F.col("raw"))
+    sample = rows.select(key.alias("key")).orderBy(F.rand(7)).limit(SAMPLED * ranges)  # bounded by the limit
+    some = [r[0] for r in sample.sort("key").select(F.to_json("key")).collect()]
+    cuts = list(dict.fromkeys(some[SAMPLED::SAMPLED]))
+    bounds = F.from_json(F.lit(f"[{','.join(cuts)}]"), f"array<{kind}>")
+    # binary search: how many bounds are at most the key
+    probe = lambda acc, width: F.when((acc + width <= len(cuts)) & (F.get(bounds, acc + width - 1) <= key), acc + width).otherwise(acc)
+    place = F.aggregate(F.array(*[F.lit(1 << i) for i in reversed(range(max(1, len(cuts).bit_length())))]), F.lit(0), probe)
+    rows = rows.withColumn("_range", place)
+    # one row a range: its first key
+    firsts = sorted((r["_range"], r["first"]) for r in rows.groupBy("_range").agg(F.to_json(F.min(key)).alias("first")).collect())
+    heads: list[dict | None] = [None] * (len(cuts) + 1)
+    for i, (here, first) in enumerate(firsts):
+        heads[here] = {"range": firsts[i - 1][0], "ghost": 1 if i else 2, "key": json.loads(first)}
+    head = F.get(F.from_json(F.lit(json.dumps(heads)), f"array<struct<range:int,ghost:int,key:{kind}>>"), F.col("_range"))
+    own = F.struct(F.col("_range").alias("range"), F.lit(0).alias("ghost"))
+    spots = F.when(key == head["key"], F.array(own, F.struct(head["range"].alias("range"), head["ghost"].alias("ghost")))).otherwise(F.array(own))
+    names = [c for c in rows.columns if c != "_range"]
+    placed = rows.select(*names, F.explode(spots).alias("_at")).select(*names, F.col("_at.range").alias("_range"), F.col("_at.ghost").alias("_ghost"))
+    order = "partition by _range order by _ghost, doc_id, raw, text"
+    ordered = placed.select("*", *[F.expr(f"lead({c}) over ({order})").alias(f"next_{c}") for c in ahead])
+    return ordered.filter("_ghost = 0").drop("_range", "_ghost")
 
 
 def edited(text: Column, next_text: Column) -> Column:
@@ -121,28 +119,58 @@ def edited(text: Column, next_text: Column) -> Column:
     return F.concat(F.substring(text, F.lit(1), F.length(text) - half), F.substring(next_text, F.lit(1), half))
 
 
+def read(docs: DataFrame) -> DataFrame:
+    """A row for each row of ``docs`` (doc_id, text), without the text.
+
+    (doc_id, n_chars, raw, digest, sha, edited_sha256, edited_digest, edited_sha,
+    near_edited, near_next): ``raw`` is a hash of the text, ``sha`` SHA-256 of the
+    canonical form.  A text is canonicalised once before the one shuffle of
+    texts, its edited text once after it, and both again only where digests are
+    equal and bytes are compared.
+    """
+    sha = lambda c: F.unhex(F.sha2(F.encode(c, "utf-8"), 256))
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    rows = rows.select("doc_id", "text", F.xxhash64("text").alias("raw"), canonical(F.col("text")).alias("canon"))
+    rows = rows.select("doc_id", "text", "raw", fingerprint(F.col("canon")).alias("digest"), sha(F.col("canon")).alias("sha"))
+    rows = with_next(rows, "text", "digest")
+    rows = rows.select("*", edited(F.col("text"), F.col("next_text")).alias("edited"))
+    rows = rows.select("*", canonical(F.col("edited")).alias("edited_canon"))
+    rows = rows.select("*", fingerprint(F.col("edited_canon")).alias("edited_digest"))
+    same = lambda digest, canon: F.when((F.col("digest") == digest) & (canonical(F.col("text")) == canon), 1.0).otherwise(0.0)
+    return rows.select(
+        "doc_id", F.length("text").cast("long").alias("n_chars"), "raw", "digest", "sha",
+        F.sha2(F.encode("edited", "utf-8"), 256).alias("edited_sha256"), "edited_digest", sha(F.col("edited_canon")).alias("edited_sha"),
+        same(F.col("edited_digest"), F.col("edited_canon")).alias("near_edited"),
+        same(F.col("next_digest"), canonical(F.col("next_text"))).alias("near_next"),
+    )
+
+
 def fingerprints(docs: DataFrame) -> DataFrame:
     """Fingerprints of every row of ``docs`` (doc_id, text), of its edited text, and their likeness.
 
     (doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint,
-    near_edited, near_next, class_id, copies): likeness is 1 where the
-    fingerprints and then the canonical bytes are equal, else 0.  ``class_id`` is
-    the smallest id with the row's canonical text, and ``copies`` how many rows
-    have it.  A fingerprint is the digest, with the text's number behind it where
-    different texts share one.  A null text is empty.  A lone row is its own next
-    one; repeated ids follow each other by text.
+    near_edited, near_next, class_id, copies): likeness is 1 where the digests
+    and then the canonical bytes are equal, else 0.  ``class_id`` is the
+    smallest id with the row's fingerprint, and ``copies`` how many rows have it.  A
+    fingerprint is the digest, with SHA-256 of the canonical text behind it where
+    different texts share the digest, whether they are rows or edited texts.  A
+    null text is empty.  A lone row is its own next one; repeated ids follow each
+    other by a hash of the text, and rows that repeat both are each other's next.
     """
-    canon = canonical(F.col("text"))
-    groups = exact_groups(docs.select("doc_id", canon.alias("canon")).withColumn("digest", fingerprint(F.col("canon"))))
-    several = groups.filter("part > 0").limit(1).count() > 0
-    rows = with_next(docs).select("doc_id", "text", "next_text", edited(F.col("text"), F.col("next_text")).alias("edited"))
-    rows = rows.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2(F.encode("edited", "utf-8"), 256).alias("edited_sha256"),
-                       *[canonical(F.col(c)).alias(f"_{c}") for c in ("text", "edited", "next_text")])
-    rows = rows.select("*", *[fingerprint(F.col(f"_{c}")).alias(f"_{c}_digest") for c in ("text", "edited", "next_text")])
-    like = lambda c: F.when((F.col("_text_digest") == F.col(f"_{c}_digest")) & (F.col("_text") == F.col(f"_{c}")), 1.0).otherwise(0.0)
-    kept = rows.select(
-        "doc_id", "n_chars", "edited_sha256", F.col("_text_digest").alias("digest"), F.col("_edited_digest").alias("edited_fingerprint"),
-        like("edited").alias("near_edited"), like("next_text").alias("near_next"), (F.col("_text") if several else F.lit(None).cast("string")).alias("canon"),
-    )
-    name = F.when(F.col("part") > 0, F.concat_ws("-", "digest", F.col("part").cast("string"))).otherwise(F.col("digest"))
-    return grouped(kept, groups).select("doc_id", "n_chars", "edited_sha256", name.alias("fingerprint"), "edited_fingerprint", "near_edited", "near_next", "class_id", "copies")
+    docs = only(docs, "doc_id", "text")
+    rows = stored(read(docs))
+    shared = stored(colliding(rows, docs))
+    n = shared.count()
+    named = rows.withColumns({"fingerprint": F.col("digest"), "edited_fingerprint": F.col("edited_digest")})
+    for name, sha in (("fingerprint", "sha"), ("edited_fingerprint", "edited_sha")) if n else ():
+        hit = shared.select(F.col("digest").alias("_digest"))
+        named = named.join(F.broadcast(hit) if n <= MOST_BROADCAST else hit, F.col(name) == F.col("_digest"), "left")
+        named = named.withColumn(name, F.when(F.col("_digest").isNull(), F.col(name)).otherwise(F.concat_ws("-", name, F.lower(F.hex(sha))))).drop("_digest")
+    # a group is counted and joined in parts, so that no task has all rows of a large one
+    named = named.withColumn("_part", F.pmod(F.xxhash64("doc_id", "edited_sha256"), F.lit(SALTS)).cast("int"))
+    parts = named.groupBy("fingerprint", "_part").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("copies"))
+    groups = parts.groupBy("fingerprint").agg(F.min("class_id").alias("class_id"), F.sum("copies").alias("copies"))
+    groups = parts.select("fingerprint", "_part").join(groups, "fingerprint")
+    return named.join(groups, ["fingerprint", "_part"]).select(
+        "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "class_id", "copies"
+    )
