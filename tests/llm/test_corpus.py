@@ -341,8 +341,22 @@ def test_encoder_equals_the_tokenizer():
     from varigrid.llm.tokenstore import Encoder
 
     whole, enc = Tokenizer.from_file(tokenizer_path()), Encoder(tokenizer_path(), most_pieces=50)
-    for t in STRANGE + near_copies()[:20]:
+    rng = random.Random(3)
+    drawn = ["".join(rng.choice("stmdrevla'' .,1x\n\tÉß") for _ in range(rng.randrange(12))) for _ in range(500)]
+    for t in [*STRANGE, "'rex 'r 'v 'l 'lx ''s .'re", "a" * 100 + " " + "b" * 70, *near_copies()[:20], *drawn]:
         assert enc.encode(t).tolist() == whole.encode(t, add_special_tokens=False).ids, t
+    ids, n = enc.encode_all([None, *STRANGE, "", *drawn])
+    assert ids.tolist() == [i for t in STRANGE + drawn for i in whole.encode(t, add_special_tokens=False).ids] and n[0] == 0 and n.sum() == len(ids)
+
+
+def test_encoder_parts_long_texts_at_white_space(monkeypatch):
+    from varigrid.llm import tokenstore
+
+    whole = tokenstore.Encoder(tokenizer_path())
+    texts = [*near_copies()[:5], "x" * 200 + " tail", "it's " * 40]
+    expected = [whole.encode(t).tolist() for t in texts]
+    monkeypatch.setattr(tokenstore, "RUN", 50)
+    assert [tokenstore.Encoder(tokenizer_path()).encode(t).tolist() for t in texts] == expected
 
 
 def test_token_store_round_trip(spark, tmp_path):
@@ -388,6 +402,23 @@ def test_token_store_notices_a_changed_chunk(spark, tmp_path):
     assert hit >= 1 and got.filter("not verified").count() == hit
 
 
+def test_token_store_refuses_changed_recipes(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from varigrid.llm.tokenstore import read_store, write_store
+
+    path = str(tmp_path / "store")
+    write_store(docs(spark, near_copies()), path, tokenizer_path(), 2)
+    kept = spark.read.parquet(f"{path}/recipes")
+    kept = spark.createDataFrame(kept.collect(), kept.schema)
+    for changed in (kept.withColumn("doc_id", F.when(F.col("doc_id") < 2, 1 - F.col("doc_id")).otherwise(F.col("doc_id"))), kept.filter("doc_id <> 5"), kept.withColumn("at", F.col("at") + 1)):
+        changed.write.mode("overwrite").parquet(f"{path}/recipes")
+        with pytest.raises(ValueError):
+            read_store(spark, path)
+    kept.write.mode("overwrite").parquet(f"{path}/recipes")
+    assert read_store(spark, path).filter("not verified").count() == 0
+
+
 def test_empty_store(spark, tmp_path):
     from varigrid.llm.tokenstore import read_store, write_store
 
@@ -437,6 +468,93 @@ def test_pages_lose_rules_and_site_template(spark):
     assert main_text(df.limit(0)).count() == 0
 
 
+def brute_templates(pages):
+    """The hashes that recur, by a plain count of each host's pages."""
+    from collections import defaultdict
+
+    from varigrid.llm.webtext import LEAST_PAGES, LEAST_REPEATED, Page
+
+    blocks, shapes = defaultdict(set), defaultdict(lambda: [set(), set(), 0, 0])
+    for site, html in pages:
+        page, seen = Page(html), {}
+        for _, shape, block, alone, n, links in page.subtrees():
+            seen[shape, block] = (alone, n, links)
+        for (shape, block), (alone, n, links) in seen.items():
+            blocks[site, block].add(page.core())
+            if alone:
+                had = shapes[site, shape]
+                had[0].add(page.core())
+                had[1].add(block)
+                had[2] += n
+                had[3] += links
+    out = {k for k, v in blocks.items() if len(v) >= LEAST_PAGES}
+    return out | {k for k, (p, b, n, links) in shapes.items() if len(p) >= LEAST_PAGES and (len(p) - len(b) >= LEAST_REPEATED * len(p) or 2 * links >= n)}
+
+
+def sites(seed=9):
+    """Pages of a site without article elements: (url, html, main text)."""
+    rng = random.Random(seed)
+    adverts = ["Buy " + " ".join(words(rng, 5)) for _ in range(6)]
+    out = []
+    for i in range(60):
+        paragraphs = [" ".join(words(rng, rng.randrange(5, 30))) for _ in range(3)]
+        links = "".join(f'<li><a href="/{w}">{w}</a></li>' for w in words(rng, 4 + i % 3))
+        # names that no list of words knows
+        html = (
+            f'<html><body><div class="q-links"><ul>{links}</ul></div><div class="q-rail"><p>{rng.choice(adverts)}</p></div>'
+            f'<div class="q-body">{"".join(f"<p>{x}</p>" for x in paragraphs)}<p>A line of the site.</p><section class="notice"><p>Notice {i} to readers</p></section>'
+            f'<div class="related-work"><p>Work {i} by others</p></div></div><div class="q-end">Owned by <b>us</b></div></body></html>'
+        )
+        out.append((f"http://one.example/{i}", html, "\n".join([*paragraphs, f"Notice {i} to readers", f"Work {i} by others"])))
+    # one article at many addresses is no template
+    same = "<p>The same long text</p><div class='q-part'><p>In parts</p></div>"
+    out += [(f"http://two.example/{i}", f'<div class="q-rail">{adverts[i % 6]} {i}</div><div class="q-body">{same}</div>', None) for i in range(30)]
+    return out
+
+
+def test_site_templates_match_brute_force_and_decide(spark):
+    from varigrid.llm import webtext
+
+    rows = [(i, u, h) for i, (u, h, _) in enumerate(sites())]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    found = webtext.trees(df)
+    got = {(r.host, r.tree & (1 << 64) - 1) for r in webtext.templates(found).collect()}
+    assert got == brute_templates([(u.split("/")[2], h) for _, u, h in rows])
+    by = {r.page_id: r for r in webtext.main_text(df, words=False).collect()}
+    for i, (u, h, text) in enumerate(sites()):
+        if text is not None:
+            # links, adverts, the end and the line that all pages have go by recurrence alone
+            assert webtext.Page(h, False).text()[0] != text
+            assert by[i].text == text and by[i].n_template == 4
+        else:
+            assert "The same long text\nIn parts" in by[i].text
+    # names outside the article: the notice and related work above are lost to words without an article element, not inside one
+    inside = "<article><p>One</p><section class='notice'><p>Two</p></section><div class='related-work'><p>Three</p></div><div class='comments'>Four</div></article>"
+    assert webtext.Page(inside).text()[0] == "One\nTwo\nThree"
+
+
+def test_site_templates_without_broadcast_give_the_same(spark, monkeypatch):
+    from varigrid.llm import webtext
+
+    df = spark.createDataFrame([(i, u, h) for i, (u, h, _) in enumerate(sites())] + [(500, None, None)], "page_id long, url string, html string")
+    first = sorted(map(str, webtext.main_text(df).collect()))
+    monkeypatch.setattr(webtext, "MOST_BROADCAST", 1)
+    assert sorted(map(str, webtext.main_text(df).collect())) == first
+
+
+def test_adverts_of_the_tables_go_by_recurrence(spark, sf_dir):
+    from varigrid.llm import webtext
+
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet" if "0.001" in sf_dir else f"{sf_dir}/pages.parquet")
+    whole = {r.page_id: r for r in webtext.main_text(pages, words=False, only_article=False).collect()}
+    article = {r.page_id: r for r in webtext.main_text(pages).collect()}
+    changed = sum(r.n_template > 0 for r in whole.values())
+    assert changed > 0
+    # on hosts of enough pages recurrence alone, without article elements and class names, leaves the article
+    big = [i for i, r in whole.items() if r.n_template >= 3]
+    assert big and sum(whole[i].text == article[i].text for i in big) >= 0.95 * len(big)
+
+
 # -- mixing
 
 

@@ -1,32 +1,46 @@
 """Main text of web pages, without what a site repeats.
 
-Every element's subtree is hashed, and Spark counts per host on how many
-different pages each hash occurs.  Subtrees that recur on many pages of a host
-are the site's template and are deleted from its pages.  Elements whose tag,
-role, class or id says that they are menus, headers, footers, sidebars,
-notices, adverts, forms or reader comments go in any case, and so do scripts
-and styles.  What is left of the article is the page's text.
-
-Inside an article only containers can be template, not its text blocks: a
-sentence that many articles share is still part of each.
+Every container's subtree is hashed twice: its shape (tags and class names, runs
+of like children as one, inline markup left out) and its block (shape and
+text).  Spark counts per host on how many different pages each occurs, where
+pages of one article text count once.  Template of a host, and deleted from its pages, are
+
+* blocks on ``LEAST_PAGES`` or more pages, and
+* shapes with a class or id, outside the article, on as many pages, whose texts
+  come back (a tenth of the pages or more show a text of another one, as rotating
+  adverts do) or are links for the most part (menus whose links differ from page to page).
+
+How many pages make a template doesn't depend on the host's size.  Inside an
+article only containers can be template, not its text blocks: a sentence that
+many articles share is still part of each.
+
+Elements whose tag or role says that they are menus, headers, footers, sidebars,
+adverts, forms or reader comments go in any case, and so do scripts and styles;
+class names and ids decide so outside the article, where a host's pages may be
+too few to tell, and inside it only those few that can mean nothing else.  What
+is left of the article is the page's text.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from html import unescape
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from varigrid.llm.common import longs, only
+from varigrid.llm.common import longs, only, stored
 
-#: A subtree is template from so many different pages of a host, and this share of them.
-LEAST_PAGES, LEAST_SHARE = 10, 0.1
-#: Template hashes up to this number are broadcast; more are joined by host.
+#: A subtree is template from so many different pages of a host.
+LEAST_PAGES = 10
+#: Share of a shape's pages that must be beyond its number of texts.
+LEAST_REPEATED = 0.1
+#: Template hashes up to this number are broadcast; more are joined page by page.
 MOST_BROADCAST = 500_000
 
 _MARKUP = re.compile(
@@ -51,6 +65,8 @@ DROPPED_WORDS = frozenset(
     " promotion banner cookie cookies consent gdpr notice notification alert popup modal overlay newsletter subscribe subscription signup login"
     " share sharing social related recommended comment comments disqus respond reply replies widget pagination pager toolbar skip".split()
 )
+#: Whole class names and ids that drop elements inside an article too.
+DROPPED_INSIDE = frozenset("ad ads advert adverts advertisement advertisements sponsored comment comments comment-list user-comments cookie-notice cookie-banner newsletter-signup".split())
 #: Dropped outside an article; inside they hold its title.
 HEADER = "header"
 CLOSES_P = BLOCK - {"body", "html"}
@@ -59,15 +75,17 @@ SCOPES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"
 
 
 class Page:
-    """A page's elements: tag, start and end in the page, parent's place, whether its names drop it."""
+    """A page's elements: tag, names, start and end in the page, parent's place, whether tag, role or names drop it."""
 
-    def __init__(self, html: str):
-        self.html = html
+    def __init__(self, html: str, words: bool = True):
+        self.html, self.words = html, words
         self.tag: list[str] = ["#page"]
+        self.names: list[str] = [""]
         self.start: list[int] = [0]
         self.end: list[int] = [len(html)]
         self.parent: list[int] = [-1]
         self.dropped: list[bool] = [False]
+        self.in_article: list[bool] = [False]
         #: (start, end, element) of stretches of text, and (place, place, element) with None for block ends
         self.events: list[tuple] = []
         self.articles: list[int] = []
@@ -126,7 +144,9 @@ class Page:
             self.start.append(s)
             self.end.append(-1)
             self.parent.append(stack[-1])
-            self.dropped.append(self._drops(name, m.group(4)))
+            inside = self.in_article[stack[-1]]
+            self.in_article.append(inside or name == "article")
+            self.dropped.append(self._drops(name, m.group(4), inside))
             if name == "article":
                 self.articles.append(k)
             elif name == "main":
@@ -144,31 +164,76 @@ class Page:
             self.end[k] = at
         del stack[depth:]
 
-    def _drops(self, name: str, attributes: str) -> bool:
-        if name in DROPPED:
-            return True
-        if name in ("html", "body", "main") or not attributes or not attributes.strip(" /"):
-            return name == HEADER and not self.articles
-        for what, *value in _NAMES.findall(attributes):
+    def _drops(self, name: str, attributes: str, inside: bool) -> bool:
+        out = name in DROPPED or name == HEADER and not inside
+        names: list[str] = []
+        for what, *value in _NAMES.findall(attributes) if attributes and attributes.strip(" /") else ():
             what, value = what.lower(), "".join(value).lower()
-            if what == "hidden" or what == "aria-hidden" and value == "true":
-                return True
-            if what == "role" and value in DROPPED_ROLES:
-                return True
             if what in ("class", "id"):
-                words = set(re.split(r"[^a-z0-9]+", value))
-                if words & DROPPED_WORDS or "header" in words and not self.articles and name != "article":
-                    return True
-        return name == HEADER and not self.articles
-
-    def subtrees(self) -> Iterator[tuple[int, int]]:
-        """(element, hash of its markup) of all that can be template."""
-        inside = self._inside(self.articles or self.mains)
+                names += value.split()
+            elif name not in ("html", "body", "main"):
+                out |= what == "hidden" or what == "aria-hidden" and value == "true" or what == "role" and value in DROPPED_ROLES
+        self.names.append(" ".join(sorted(set(names))))
+        if names and self.words and name not in ("html", "body", "main", "article"):
+            if inside:
+                out |= not DROPPED_INSIDE.isdisjoint(names)
+            else:
+                parts = {w for x in names for w in re.split(r"[^a-z0-9]+", x)}
+                out |= not DROPPED_WORDS.isdisjoint(parts) or "header" in parts
+        return out
+
+    def shapes(self) -> list[int]:
+        """A hash of every element's tags and class names; inline elements stand for what they hold."""
+        held: list[list[bytes]] = [[] for _ in self.tag]
+        out = [0] * len(self.tag)
+        for k in range(len(self.tag) - 1, 0, -1):
+            into = held[self.parent[k]]
+            if self.tag[k] in INLINE:
+                into += held[k]
+                continue
+            inner = held[k]
+            runs = [x for i, x in enumerate(inner) if not i or inner[i - 1] != x]
+            digest = xxhash.xxh3_64_digest(f"{self.tag[k]}.{self.names[k]}(".encode("utf-8", "surrogatepass") + b"".join(runs) + b")")
+            out[k] = int.from_bytes(digest, "big")
+            into.append(digest)
+        return out
+
+    def subtrees(self) -> Iterator[tuple[int, int, int, bool, int, int]]:
+        """(element, shape, block, whether the shape alone may be template, letters of text, those in links) of all that can be template."""
+        roots = self._inside(self.articles or self.mains)
+        shapes = self.shapes()
+        pieces, places, letters, linked = [], [], [0], [0]
+        link = [False] * len(self.tag)
+        for k in range(1, len(self.tag)):
+            link[k] = self.tag[k] == "a" or link[self.parent[k]]
+        for s, e, k in self.events:
+            if s is not None and s >= 0:
+                piece = " ".join(self.html[s:e].split())
+                if piece:
+                    pieces.append(piece)
+                    places.append(s)
+                    letters.append(letters[-1] + len(piece))
+                    linked.append(linked[-1] + len(piece) * link[k])
         for k in range(1, len(self.tag)):
             t = self.tag[k]
-            if t in INLINE or t in ("html", "body", "article", "main", "head") or inside[k] and t in TEXT_BLOCK:
+            if t in INLINE or t in ("html", "body", "article", "main", "head") or roots[k] and t in TEXT_BLOCK:
                 continue
-            yield k, xxhash.xxh3_64_intdigest(self.html[self.start[k] : self.end[k]].encode("utf-8", "surrogatepass"))
+            a, b = bisect_left(places, self.start[k]), bisect_left(places, self.end[k])
+            block = xxhash.xxh3_64_intdigest(f"{shapes[k]} {' '.join(pieces[a:b])}".encode("utf-8", "surrogatepass"))
+            alone = not roots[k] and t not in TEXT_BLOCK and (bool(self.names[k]) or t in DROPPED or t == HEADER)
+            yield k, shapes[k], block, alone, letters[b] - letters[a], linked[b] - linked[a]
+
+    def core(self) -> int:
+        """A hash of the article's own text, or of all text blocks' where none is marked: what makes pages different ones."""
+        roots = [k for k in self.articles or self.mains]
+        kept = self._inside(roots) if roots else [True] * len(self.tag)
+        held = [False] * len(self.tag)
+        gone = [False] * len(self.tag)
+        for k in range(1, len(self.tag)):
+            held[k] = bool(roots) or self.tag[k] in TEXT_BLOCK or held[self.parent[k]]
+            gone[k] = self.tag[k] in DROPPED or gone[self.parent[k]]
+        text = " ".join(self.html[s:e] for s, e, k in self.events if s is not None and s >= 0 and kept[k] and held[k] and not gone[k])
+        return xxhash.xxh3_64_intdigest(" ".join(text.split() or [self.html]).encode("utf-8", "surrogatepass"))
 
     def _inside(self, roots: list[int]) -> list[bool]:
         out, roots = [False] * len(self.tag), set(roots)
@@ -176,15 +241,22 @@ class Page:
             out[k] = k in roots or out[self.parent[k]]
         return out
 
-    def text(self, template: frozenset[int] = frozenset()) -> str:
-        gone = list(self.dropped)
+    def text(self, template: frozenset[int] = frozenset(), only_article: bool = True) -> tuple[str, int]:
+        """The text that is left, and how many subtrees went as template."""
+        gone, lost = list(self.dropped), set()
         if template:
-            for k, h in self.subtrees():
-                gone[k] = gone[k] or h in template
+            for k, shape, block, alone, _, _ in self.subtrees():
+                if block in template or alone and shape in template:
+                    lost.add(k)
+        n = 0
         for k in range(1, len(gone)):
-            gone[k] = gone[k] or gone[self.parent[k]]
+            up = self.parent[k]
+            n += k in lost and up not in lost
+            if up in lost:
+                lost.add(k)
+            gone[k] = gone[k] or gone[up] or k in lost
         roots = [k for k in self.articles if not gone[k]] or [k for k in self.mains if not gone[k]]
-        kept = self._inside(roots) if roots else [True] * len(self.tag)
+        kept = self._inside(roots) if roots and only_article else [True] * len(self.tag)
         blocks: list[str] = []
         now: list[str] = []
         for s, e, k in self.events:
@@ -196,7 +268,7 @@ class Page:
                 now.append(" " if s < 0 else self.html[s:e])
         if now:
             blocks.append(" ".join(unescape("".join(now)).split()))
-        return "\n".join(b for b in blocks if b)
+        return "\n".join(b for b in blocks if b), n
 
 
 def host(url: Column) -> Column:
@@ -204,63 +276,87 @@ def host(url: Column) -> Column:
     return F.coalesce(F.lower(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
 
 
-def templates(pages: DataFrame) -> DataFrame:
-    """(host, hashes): per host the subtrees that recur on enough of its different pages.
+_TREES = "host string, html long, page long, shape long, block long, alone boolean, letters long, links long"
 
-    Pages of the same markup count once.  As each hash holds a share of its
-    host's pages, a host has at most ``elements of a page / LEAST_SHARE`` of them.
-    """
+
+def trees(pages: DataFrame) -> DataFrame:
+    """(host, html, page, shape, block, alone, letters, links): the subtrees of ``pages`` (url, html) that can be template.
+    ``html`` and ``page`` are hashes of the markup and of the article's text."""
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 200):
                 part = batch.slice(at, 200)
-                hosts, page, trees = [], [], []
-                for site, html in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    own = xxhash.xxh3_64_intdigest(html.encode("utf-8", "surrogatepass"))
-                    found = {h for _, h in Page(html).subtrees()}
-                    found.add(0)  # stands for the page itself
-                    hosts += [site] * len(found)
-                    page += [own] * len(found)
-                    trees += found
-                yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), _signed(page), _signed(trees)], ["host", "page", "tree"])
-
-    rows = pages.select(host(F.col("url")).alias("host"), F.coalesce("html", F.lit("")).alias("html"))
-    seen = rows.mapInArrow(hashed, "host string, page long, tree long").groupBy("host", "tree").agg(F.countDistinct("page").alias("pages"))
-    many = seen.filter(F.col("pages") >= LEAST_PAGES)
-    whole = many.filter("tree = 0").select("host", F.col("pages").alias("all_pages"))
-    kept = many.filter("tree <> 0").join(whole, "host").filter(F.col("pages") >= LEAST_SHARE * F.col("all_pages"))
-    return kept.groupBy("host").agg(F.collect_list("tree").alias("hashes"))
+                out: list[list] = [[], [], [], [], [], [], [], []]
+                for site, key, html in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                    page = Page(html)
+                    found = {(shape, block): (alone, n, links) for _, shape, block, alone, n, links in page.subtrees()}
+                    if found:
+                        core = page.core()
+                        for (shape, block), more in found.items():
+                            for c, x in zip(out, (site, key, core, shape, block, *more), strict=True):
+                                c.append(x)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(out[0], pa.string()), pa.array(out[1], pa.int64()), *map(_signed, out[2:5]), pa.array(out[5], pa.bool_()), *(pa.array(c, pa.int64()) for c in out[6:])],
+                    ["host", "html", "page", "shape", "block", "alone", "letters", "links"],
+                )
+
+    rows = pages.select(host(F.col("url")).alias("host"), F.coalesce("html", F.lit("")).alias("html")).filter("html <> ''")
+    return rows.select("host", F.xxhash64("html").alias("key"), "html").mapInArrow(hashed, _TREES)
+
+
+def templates(found: DataFrame) -> DataFrame:
+    """(host, tree): hashes of the blocks and shapes that are a host's template, from ``trees``."""
+    blocks = found.groupBy("host", "block").agg(F.countDistinct("page").alias("pages")).filter(F.col("pages") >= LEAST_PAGES)
+    shapes = found.filter("alone").groupBy("host", "shape").agg(
+        F.countDistinct("page").alias("pages"), F.countDistinct("block").alias("texts"), F.sum("letters").alias("letters"), F.sum("links").alias("links")
+    )
+    shapes = shapes.filter((F.col("pages") >= LEAST_PAGES) & ((F.col("pages") - F.col("texts") >= LEAST_REPEATED * F.col("pages")) | (2 * F.col("links") >= F.col("letters"))))
+    return blocks.select("host", F.col("block").alias("tree")).union(shapes.select("host", F.col("shape").alias("tree"))).distinct()
 
 
 def _signed(values: list[int]) -> pa.Array:
-    import numpy as np
-
     return longs(np.array(values, np.uint64))
 
 
-def main_text(pages: DataFrame) -> DataFrame:
-    """(page_id, url, text, n_chars) for every row of ``pages`` (page_id, url, html).
+def main_text(pages: DataFrame, words: bool = True, only_article: bool = True) -> DataFrame:
+    """(page_id, url, text, n_chars, n_template) for every row of ``pages`` (page_id, url, html).
 
     A null or empty page has an empty text.  A null url belongs to the empty
     host.  A page with article elements gives their text, else one with a main
     element its, else all of its body; repeated rows give repeated rows.
+    ``n_template`` counts the subtrees deleted as the host's template.  Without ``words`` class
+    names drop nothing, without ``only_article`` all of the body counts: what
+    recurs, tags and roles then decide alone.
     """
     pages = only(pages, "page_id", "url", "html")
-    known = templates(pages).cache()
-    size = known.agg(F.coalesce(F.sum(F.size("hashes")), F.lit(0)).alias("n")).first()["n"]
-    known = F.broadcast(known) if size <= MOST_BROADCAST else known
-    joined = pages.withColumn("host", host(F.col("url"))).join(known, "host", "left").select("page_id", "url", "html", "hashes")
+    found = stored(trees(pages))
+    known = stored(templates(found))
+    rows = pages.withColumn("host", host(F.col("url")))
+    if known.count() <= MOST_BROADCAST:
+        lists = known.groupBy("host").agg(F.collect_list("tree").alias("hashes"))  # MOST_BROADCAST numbers in all
+        joined = rows.join(F.broadcast(lists), "host", "left")
+    else:
+        # each page's own template subtrees, so that a host's list is never in one place
+        own = found.select("host", "html", F.explode(F.array("shape", "block")).alias("tree")).distinct().join(known, ["host", "tree"])
+        own = own.groupBy("host", F.col("html").alias("_key")).agg(F.collect_list("tree").alias("hashes"))
+        joined = rows.withColumn("_key", F.xxhash64("html")).join(own, ["host", "_key"], "left")
+    joined = joined.select("page_id", "url", "html", "hashes")
     kinds = {f.name: f.dataType.simpleString() for f in pages.schema}
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, hashes, last = [], frozenset(), None
+            texts, counts, hashes, last = [], [], frozenset(), None
             for html, known_hashes in zip(batch.column(2).to_pylist(), batch.column(3), strict=True):
                 if known_hashes != last:
                     last = known_hashes
                     hashes = frozenset(h & (1 << 64) - 1 for h in known_hashes.as_py() or ())
-                texts.append(Page(html).text(hashes) if html else "")
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
-
-    return joined.mapInArrow(extract, f"page_id {kinds['page_id']}, url {kinds['url']}, text string, n_chars long")
+                text, n = Page(html, words).text(hashes, only_article) if html else ("", 0)
+                texts.append(text)
+                counts.append(n)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64()), pa.array(counts, pa.int64())],
+                ["page_id", "url", "text", "n_chars", "n_template"],
+            )
+
+    return joined.mapInArrow(extract, f"page_id {kinds['page_id']}, url {kinds['url']}, text string, n_chars long, n_template long")
