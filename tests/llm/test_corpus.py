@@ -181,6 +181,58 @@ def test_secrets_match_brute_force_and_add_random_strings(spark):
     assert secrets(frame(spark, [])).count() == 0
 
 
+ENCODINGS = {
+    "base62": string.ascii_letters + string.digits, "base64": string.ascii_letters + string.digits + "+/", "url": string.ascii_letters + string.digits + "-_", "hex": "0123456789ABCDEF",
+    "base32": string.ascii_uppercase + "234567", "lower": string.ascii_lowercase, "alphanumeric": string.ascii_lowercase + string.digits,
+}
+
+
+def test_secrets_of_all_encodings_are_found_among_identifiers(spark, sf_dir):
+    from varigrid.llm.secrets import secrets
+
+    rng = random.Random(12)
+    texts = [r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
+    vocabulary = [w for t in texts for w in re.findall("[a-z]{3,}", (t or "").lower())]
+    vocabulary += "get set user name value index update handler controller service request response create config path buffer stream session context error message queue worker".split() * 200
+    first = len(texts)
+    planted = [(kind, n) for kind in ENCODINGS for n in (32, 48, 64) for _ in range(20)]
+    texts += ["see " + "".join(rng.choice(ENCODINGS[kind]) for _ in range(n)) + " there" for kind, n in planted]
+    for i in range(800):
+        ws = [rng.choice(vocabulary) for _ in range(rng.randrange(4, 8))]
+        texts.append("see " + ("_".join(ws), "-".join(ws), "/".join(ws), ws[0] + "".join(w.title() for w in ws[1:]), "_".join(ws).upper())[i % 5] + " there")
+    got = {r.doc_id: r.n_random for r in secrets(docs(spark, texts)).collect()}
+    for kind in ENCODINGS:
+        for n in (32, 48, 64):
+            hits = [got[first + i] for i, x in enumerate(planted) if x == (kind, n)]
+            assert sum(hits) >= 0.9 * len(hits), (kind, n, sum(hits))
+    false = sum(n for i, n in got.items() if i >= first + len(planted))
+    assert false <= 0.01 * sum(got.values())
+
+
+def test_secrets_of_one_text_with_many_matches(spark):
+    import time
+
+    from varigrid.llm.secrets import secrets
+
+    rng = random.Random(5)
+    parts = ["".join(rng.choice("0123456789abcdef") for _ in range(20)) + " " + "".join(rng.choice(string.ascii_lowercase) for _ in range(18)) for _ in range(20_000)]
+    began = time.time()
+    (r,) = secrets(docs(spark, [" ".join(parts)])).collect()
+    assert r.n_hex == 20_000 and r.spans.startswith("hex:0:20") and time.time() - began < 120
+    assert ([r.n_assign, r.n_access, r.n_hex], r.base_sha256) == brute_secrets(" ".join(parts))
+
+
+def test_sums_before(spark):
+    from pyspark.sql import functions as F
+
+    from varigrid.llm.secrets import sums_before
+
+    rng = np.random.default_rng(2)
+    rows = [(i, rng.integers(0, 9, n).tolist()) for i, n in enumerate([0, 1, 255, 256, 257, 3000])]
+    got = {r[0]: r[1] for r in spark.createDataFrame(rows, "i int, x array<int>").select("i", sums_before(F.col("x"))).collect()}
+    assert got == {i: [0, *np.cumsum(x).tolist()][: len(x)] for i, x in rows}
+
+
 # -- shards
 
 
