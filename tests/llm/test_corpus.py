@@ -361,6 +361,68 @@ def test_inconsistent_slots_do_not_count(spark):
     assert got == {0: [1], 1: []}
 
 
+def brute_contamination(texts, items):
+    """Items by document, by comparing every window of tokens with every other."""
+    from varigrid.llm.decontaminate import COVERAGE, LEAST_WINDOWS, WINDOW
+
+    kind = lambda w: "<number>" if "0" <= w < ":" else "<name>" if w[0] == "#" else "<unit>" if w[0] == "@" else w
+    readings = lambda t: ([w.removeprefix("##") for w in t], [w.replace("##", "#") for w in t])
+    out = []
+    for doc in texts:
+        found = []
+        for item_id, item in items:
+            size = min(len(item), WINDOW)
+            places, slots = {}, {}
+            for t, own in zip(readings(item), readings(doc), strict=True):
+                if not t or size < WINDOW and all(kind(w) != w for w in t):
+                    continue
+                t_kinds, own_kinds = [*map(kind, t)], [*map(kind, own)]
+                for at in range(len(t) - size + 1):
+                    b = t[at : at + size]
+                    for start in range(len(own) - size + 1):
+                        d = own[start : start + size]
+                        if t_kinds[at] == own_kinds[start] and t_kinds[at : at + size] == own_kinds[start : start + size] and (b == d or any(kind(w) == w for w in b)):
+                            places.setdefault(start - at, set()).add(at)
+                            slots.setdefault(start - at, set()).update((x, y) for x, y in zip(b, d) if kind(x) != x)
+            ok = set().union(*[p for shift, p in places.items() if len({x for x, _ in slots[shift]}) == len(slots[shift])], set())
+            n = len(item) - size + 1
+            if ok and len(ok) >= max(min(LEAST_WINDOWS, n), -(-n * 3 // 10)) and COVERAGE == 0.3:
+                found.append(item_id)
+        out.append(found)
+    return out
+
+
+def questions(rng, n):
+    names, things, units = ["Anna", "Tom", "Bob", "Lena", "Ines", "Max"], ["apples", "pears", "books", "coins", "stamps"], ["kg", "km", "hours", "dollars"]
+    out = []
+    for i in range(n):
+        base = " ".join(words(rng, 12))  # what makes the question its own
+        fill = lambda b=base: (lambda a, c, x, y: f"{a} has {x} {rng.choice(units)} of {b}. {c} gives {a} another {y} of them. How many does {a} have when {c} takes {y} back?")(*rng.sample(names, 2), *rng.sample(range(2, 99), 2))
+        out.append((i, fill))
+    return out
+
+
+def test_decontamination_matches_brute_force_and_finds_new_parameters(spark):
+    from pyspark.sql import functions as F
+
+    from varigrid.llm.decontaminate import contamination, tokens
+
+    rng = random.Random(21)
+    items = questions(rng, 25)
+    known = [(i, fill()) for i, fill in items] + [(90, "3 5 7 11 13 17 19 23 29 31 37"), (91, "5 6 7"), (92, "one short item"), (93, "Anna Tom")]
+    texts, planted = [], []
+    for i, fill in items:
+        texts += [f"{' '.join(words(rng, 20))}. {fill()} {' '.join(words(rng, 9))}", fill()]
+        planted += [i, i]
+    texts += [" ".join(words(rng, 50)) for _ in range(30)] + ["see 3 5 7 11 13 17 19 23 29 31 37 in order", "2 4 6 8 10 12 14 16 18 20 22", "that is one short item", "5 6 7", "Anna Tom", *ODD[:6]]
+    bench = spark.createDataFrame(known, "item_id long, text string")
+    got = [r["items"] for r in sorted(contamination(docs(spark, texts), bench).collect(), key=lambda r: r.doc_id)]
+    cut = lambda xs: [r[0] for r in spark.createDataFrame([(i, t) for i, t in enumerate(xs)], "i int, text string").orderBy("i").select(tokens(F.col("text"))).collect()]
+    assert got == brute_contamination(cut(texts), list(zip([i for i, _ in known], cut([t for _, t in known]))))
+    assert sum(i in x for i, x in zip(planted, got)) >= 0.95 * len(planted)
+    assert not any(got[len(planted) : len(planted) + 30]) and got[len(planted) + 30 : len(planted) + 33] == [[90], [], [92]]
+
+
 def test_decontamination_without_broadcast_gives_the_same(spark, monkeypatch):
     from varigrid.llm import decontaminate
 

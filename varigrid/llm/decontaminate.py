@@ -1,27 +1,36 @@
 """Finding benchmark passages in documents, re-parameterised ones too.
 
 Texts become template tokens: lower-case words, with numbers, names (capitalised
-words inside a sentence) and units (after a number) as typed slots.  Windows of
-``WINDOW`` template tokens of the benchmark meet the same windows of documents
-by a hash join.  Windows of one document and item that lie as far apart in both
+words) and units (after a number) as typed slots.  A capitalised word that begins a
+sentence may be either, so a text has two readings: such words as words, and as
+names.  Every window of ``WINDOW`` template tokens is hashed in both, in
+benchmark and documents alike, and they meet by a hash join.  A window of slots alone is hashed by its values instead.  Before the
+join, a bitmap of bounded size over the benchmark's hashes drops nearly all windows of documents
+inside their rows.  Windows of one document and item that lie as far apart in both
 belong to one occurrence, and an occurrence counts only if its slots are
 consistent: one value of the benchmark has one value in the document.  A
 document contains an item if enough of the item's windows occur.
 
-All of it is SQL functions.  A benchmark window is found through its longest
-word: only where a document has such a word is the window around it hashed.
+All of it is SQL functions.
 """
 
 from __future__ import annotations
 
+import json
+
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from varigrid.llm.common import stored
+
 WINDOW = 8
 #: Share of an item's windows that an occurrence must have, and their least number where the item has so many.
 COVERAGE, LEAST_WINDOWS = 0.3, 2
-#: Benchmarks of more windows are joined by shuffle.
+#: Benchmark windows are broadcast up to this number; more meet the documents' by shuffle.
 MOST_BROADCAST = 300_000
+#: Bits of the bitmap at least for each of the benchmark's hashes, and in all at most.
+BITS_EACH, MOST_BITS = 16, 1 << 22
 
 # Units that make a slot after a number.
 UNITS = (
@@ -33,10 +42,11 @@ UNITS = (
 
 
 def tokens(text: Column) -> Column:
-    """Lower-case words; numbers begin with a digit, names with ``#``, units with ``@``.  A sign right before digits belongs to the number."""
+    """Lower-case words; numbers begin with a digit, names with ``#``, what may be name or word with ``##``, units with ``@``.  A sign right before digits belongs to the number."""
     text = F.coalesce(text, F.lit(""))
     t = F.when(text.contains("#") | text.contains("@"), F.regexp_replace(text, "[#@]", " ")).otherwise(text)
     t = F.regexp_replace(t, r"\p{Lu}(?<=[\p{Ll},;]\x20.)\p{Ll}+", "#$0")
+    t = F.regexp_replace(t, r"\p{Lu}(?<![#\p{L}\p{N}_].)\p{Ll}+", "##$0")
     n = F.regexp_replace(t, r"[.,:/](?<=[0-9].)(?=[0-9])", "_")
     n = F.regexp_replace(n, r"[$€£](?=[0-9])", " ")
     n = F.regexp_replace(n, r"([0-9])\x20?((?i:" + UNITS + r"))(?![\p{L}\p{N}_])", "$1 @$2")
@@ -52,50 +62,103 @@ def template(word: Column) -> Column:
     return F.when((word >= "0") & (word < ":"), "<number>").when(word.startswith("#"), "<name>").when(word.startswith("@"), "<unit>").otherwise(word)
 
 
-def _hash(window: Column) -> Column:
-    return F.xxhash64(F.array_join(F.transform(window, template), " "))
+def readings(tokens: Column) -> tuple[Column, Column]:
+    """The tokens with ``##`` words as words and as names; the second is empty where it is the first."""
+    open_ = lambda t: t.startswith("##")
+    words = F.transform(tokens, lambda t: F.when(open_(t), F.substr(t, F.lit(3))).otherwise(t))
+    names = F.transform(tokens, lambda t: F.when(open_(t), F.substr(t, F.lit(2))).otherwise(t))
+    return words, F.when(F.exists(tokens, open_), names).otherwise(F.array().cast("array<string>"))
+
+
+#: The two readings' columns.
+READINGS = ("words", "names")
+
+
+def _read(rows: DataFrame) -> DataFrame:
+    """Adds the two readings of ``text`` and, per token of them, whether it is a slot and the hashes of its template and its value."""
+    rows = rows.withColumn("tokens", tokens(F.col("text")))
+    rows = rows.withColumns(dict(zip(READINGS, readings(F.col("tokens")), strict=True)))
+    return rows.withColumns({f"{r}_{name}": F.transform(r, of) for r in READINGS for name, of in (
+        ("slot", lambda t: template(t) != t), ("kind", lambda t: F.xxhash64(template(t))), ("value", lambda t: F.xxhash64(F.lit("value"), t)))})
+
+
+def _hash(reading: str, at: Column, size: int) -> Column:
+    """The hash of a reading's window of ``size`` tokens from a place on: of its templates, or of its values where all are slots."""
+    each = lambda name: [F.get(F.col(f"{reading}_{name}"), at + i) for i in range(size)]
+    slots = each("slot")
+    every = slots[0]
+    for x in slots[1:]:
+        every = every & x
+    return F.when(every, F.xxhash64(*each("value"))).otherwise(F.xxhash64(*each("kind")))
+
+
+def _cut(reading: str, size: int, places: Column, at: str, words: str) -> Column:
+    """The windows at some places, with their hashes and tokens."""
+    return F.transform(places, lambda i: F.struct(i.alias(at), F.lit(size).alias("size"), _hash(reading, i, size).alias("hash"), F.slice(reading, i + 1, F.lit(size)).alias(words)))
+
+
+def _places(reading: str, size: int) -> Column:
+    return F.sequence(F.lit(0), F.size(reading) - size)
 
 
 def windows(benchmark: DataFrame) -> DataFrame:
-    """(item_id, windows, at, size, anchor, offset, hash, words): the items' windows that have a word, and how many those are.
+    """(item_id, windows, at, size, hash, words): the items' windows in both readings, and how many places of windows an item has.
 
-    ``anchor`` is the window's longest word and ``offset`` its place in it.  An
-    item shorter than a window is one; items without any word have none.
+    An item shorter than a window is one, if it has a plain word; items without a token have none.
     """
-    items = benchmark.select("item_id", tokens(F.col("text")).alias("tokens")).filter(F.size("tokens") > 0)
-    size = F.least(F.size("tokens"), F.lit(WINDOW))
-    places = items.select("item_id", "tokens", size.alias("size"), F.explode(F.sequence(F.lit(0), F.size("tokens") - size)).alias("at"))
-    cut = places.select("item_id", "at", "size", F.slice("tokens", F.col("at") + 1, F.col("size")).alias("words"))
-    plain = F.filter(F.transform("words", lambda w, i: F.struct(F.length(w).alias("n"), w.alias("w"), i.alias("i"))), lambda x: template(x["w"]) == x["w"])
-    cut = cut.withColumn("best", F.array_max(plain)).filter("best is not null")
-    rows = cut.select("item_id", "at", "size", F.col("best.w").alias("anchor"), F.col("best.i").alias("offset"), _hash(F.col("words")).alias("hash"), "words")
-    return rows.withColumn("windows", F.expr("count(*) over (partition by item_id)"))
+    items = _read(benchmark.select("item_id", "text"))
+
+    def found(reading: str) -> Column:
+        out = F.when(F.size(reading) >= WINDOW, _cut(reading, WINDOW, _places(reading, WINDOW), "at", "words"))
+        for size in range(1, WINDOW):
+            worded = F.exists(f"{reading}_slot", lambda x: ~x)
+            out = out.when((F.size(reading) == size) & worded, _cut(reading, size, _places(reading, size), "at", "words"))
+        return out.otherwise(F.array().cast("array<struct<at:int,size:int,hash:bigint,words:array<string>>>"))
+
+    n = F.greatest(F.size("tokens") - WINDOW + 1, F.lit(1)).alias("windows")
+    return items.select("item_id", n, F.explode(F.concat(*map(found, READINGS))).alias("x")).select("item_id", "windows", "x.*").distinct()
+
+
+def bitmap(hashes: DataFrame) -> tuple[int, Column]:
+    """A test of a hash column: the bitmap's number of bits, a power of two, and its array of 64-bit words."""
+    n = hashes.count()
+    bits = min(MOST_BITS, max(1 << 15, 1 << (BITS_EACH * n - 1).bit_length())) if n else 1 << 15
+    spots = hashes.select(F.explode(F.array(*_spots(F.col("hash"), bits))).alias("spot"))
+    rows = spots.select(F.floor(F.col("spot") / 32768).alias("bucket"), (F.col("spot") % 32768).cast("int").alias("bit")).groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("map")).collect()
+    words = np.zeros(bits // 64, "<i8")
+    for r in rows:  # bits / 32768 rows of 4 KiB
+        words[r["bucket"] * 512 : (r["bucket"] + 1) * 512] = np.frombuffer(bytes(r["map"]), "<i8")
+    return bits, F.from_json(F.lit(json.dumps(words.tolist())), "array<bigint>")
+
+
+def _spots(value: Column, bits: int) -> list[Column]:
+    return [F.pmod(value, F.lit(bits)), F.pmod(F.shiftright(value, 32), F.lit(bits))]
+
+
+def _may_be(value: Column, bits: int, words: Column) -> Column:
+    """Whether the bitmap may hold a hash."""
+    a, b = (F.call_function("shiftright", F.get(words, F.shiftright(x, 6).cast("int")), (x % 64).cast("int")).bitwiseAND(F.lit(1)) == 1 for x in _spots(value, bits))
+    return a & b
 
 
 def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, text_hash, item_id): documents, by id and text, and the items they contain."""
-    bench = windows(benchmark.select("item_id", "text").distinct())
-    known = bench.limit(MOST_BROADCAST + 1).select("anchor", "size").collect()  # bounded by the limit
-    read = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), tokens(F.col("text")).alias("tokens"))
-    if not known:
-        return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.lit(None).cast("bigint").alias("item_id")).filter(F.lit(False))
-    if len(known) <= MOST_BROADCAST:
-        anchors = sorted({r["anchor"] for r in known})
-        # places first: exploding the words themselves would copy the text for each
-        hits = F.array_compact(F.transform("tokens", lambda w, i: F.when(w.isin(anchors), i)))
-        spots = read.withColumn("hits", hits).filter(F.size("hits") > 0).select("doc_id", "text_hash", "tokens", F.explode("hits").alias("pos"))
-        spots = spots.withColumn("anchor", F.get("tokens", F.col("pos")))
-        side = F.broadcast(bench)
-        met = spots.join(side, "anchor").withColumn("from", F.col("pos") - F.col("offset"))
-        met = met.filter((F.col("from") >= 0) & (F.col("from") + F.col("size") <= F.size("tokens")))
-        met = met.withColumn("own", F.slice("tokens", F.greatest("from", F.lit(0)) + 1, F.col("size"))).filter(_hash(F.col("own")) == F.col("hash"))
-    else:
-        sizes = sorted({r["size"] for r in known} | set(range(1, WINDOW + 1)))
-        own = read.withColumn("size", F.explode(F.lit(sizes))).filter(F.size("tokens") >= F.col("size"))
-        own = own.select("doc_id", "text_hash", "size", "tokens", F.explode(F.sequence(F.lit(0), F.size("tokens") - F.col("size"))).alias("from"))
-        own = own.select("doc_id", "text_hash", "size", "from", F.slice("tokens", F.col("from") + 1, F.col("size")).alias("own"))
-        met = own.withColumn("hash", _hash(F.col("own"))).join(bench, ["hash", "size"])
-    met = met.filter(F.array_join(F.transform("own", template), " ") == F.array_join(F.transform("words", template), " "))
+    bench = stored(windows(benchmark.select("item_id", "text").distinct()))
+    n, sizes = bench.count(), sorted(r["size"] for r in bench.select("size").distinct().collect())  # WINDOW sizes at most
+    if not n:
+        kind = benchmark.schema["item_id"].dataType
+        return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.lit(None).cast(kind).alias("item_id")).filter(F.lit(False))
+    bits, words = bitmap(bench.select("hash").distinct())
+    read = _read(docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")).drop("text")
+    hits = {(r, size): f"hits_{r}_{size}" for r in READINGS for size in sizes}
+    for (r, size), name in hits.items():
+        some = F.filter(_places(r, size), lambda i: _may_be(_hash(r, i, size), bits, words))  # noqa: B023
+        read = read.withColumn(name, F.when(F.size(r) >= size, some).otherwise(F.array().cast("array<int>")))
+    # the words of the windows that may match, and only theirs; a filter on the hits would work all columns out once more
+    own = read.select("doc_id", "text_hash", F.explode(F.concat(*[_cut(r, size, F.col(name), "from", "own") for (r, size), name in hits.items()])).alias("x")).select("doc_id", "text_hash", "x.*")
+    met = own.join(F.broadcast(bench) if n <= MOST_BROADCAST else bench, ["hash", "size"])
+    alike = F.array_join(F.transform("own", template), " ") == F.array_join(F.transform("words", template), " ")
+    met = met.filter(alike & ((F.col("own") == F.col("words")) | F.exists("own", lambda w: template(w) == w)))
     # one occurrence: the same shift between the places in document and item
     slots = F.filter(F.arrays_zip(F.col("words").alias("b"), F.col("own").alias("d")), lambda x: template(x["b"]) != x["b"])
     met = met.select("doc_id", "text_hash", "item_id", "windows", "at", (F.col("from") - F.col("at")).alias("shift"), slots.alias("slots")).distinct()
@@ -110,7 +173,7 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, contaminated, items) for every row of ``docs`` (doc_id, text): the items (item_id, text) it contains, ascending.
 
-    Null and empty texts contain none, and items without a word are contained
+    Null and empty texts contain none, and items of fewer than ``WINDOW`` tokens without a plain word are contained
     nowhere.  Rows are told apart by id and text, so repeated rows and null ids
     get each their own answer.
     """
