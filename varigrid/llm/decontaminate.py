@@ -75,21 +75,25 @@ READINGS = ("words", "names")
 
 
 def _read(rows: DataFrame) -> DataFrame:
-    """Adds the two readings of ``text`` and, per token of them, whether it is a slot and the hashes of its template and its value."""
+    """Adds the two readings of ``text`` and, per token of them, its kind."""
     rows = rows.withColumn("tokens", tokens(F.col("text")))
     rows = rows.withColumns(dict(zip(READINGS, readings(F.col("tokens")), strict=True)))
-    return rows.withColumns({f"{r}_{name}": F.transform(r, of) for r in READINGS for name, of in (
-        ("slot", lambda t: template(t) != t), ("kind", lambda t: F.xxhash64(template(t))), ("value", lambda t: F.xxhash64(F.lit("value"), t)))})
+    return rows.withColumns({f"{r}_kind": F.transform(r, _kind) for r in READINGS})
+
+
+def _kind(word: Column) -> Column:
+    """A token's kind: 0 to 2 for slots, a hash for words."""
+    return F.when((word >= "0") & (word < ":"), 0).when(word.startswith("#"), 1).when(word.startswith("@"), 2).otherwise(F.xxhash64(word))
 
 
 def _hash(reading: str, at: Column, size: int) -> Column:
     """The hash of a reading's window of ``size`` tokens from a place on: of its templates, or of its values where all are slots."""
-    each = lambda name: [F.get(F.col(f"{reading}_{name}"), at + i) for i in range(size)]
-    slots = each("slot")
-    every = slots[0]
-    for x in slots[1:]:
-        every = every & x
-    return F.when(every, F.xxhash64(*each("value"))).otherwise(F.xxhash64(*each("kind")))
+    kinds = [F.get(F.col(f"{reading}_kind"), at + i) for i in range(size)]
+    every = (kinds[0] >= 0) & (kinds[0] <= 2)
+    for x in kinds[1:]:
+        every = every & (x >= 0) & (x <= 2)
+    values = F.xxhash64(F.lit("value"), *[F.get(F.col(reading), at + i) for i in range(size)])
+    return F.when(every, values).otherwise(F.xxhash64(*kinds))
 
 
 def _cut(reading: str, size: int, places: Column, at: str, words: str) -> Column:
@@ -111,7 +115,7 @@ def windows(benchmark: DataFrame) -> DataFrame:
     def found(reading: str) -> Column:
         out = F.when(F.size(reading) >= WINDOW, _cut(reading, WINDOW, _places(reading, WINDOW), "at", "words"))
         for size in range(1, WINDOW):
-            worded = F.exists(f"{reading}_slot", lambda x: ~x)
+            worded = F.exists(f"{reading}_kind", lambda k: (k < 0) | (k > 2))
             out = out.when((F.size(reading) == size) & worded, _cut(reading, size, _places(reading, size), "at", "words"))
         return out.otherwise(F.array().cast("array<struct<at:int,size:int,hash:bigint,words:array<string>>>"))
 
@@ -132,12 +136,12 @@ def bitmap(hashes: DataFrame) -> tuple[int, Column]:
 
 
 def _spots(value: Column, bits: int) -> list[Column]:
-    return [F.pmod(value, F.lit(bits)), F.pmod(F.shiftright(value, 32), F.lit(bits))]
+    return [value.bitwiseAND(F.lit(bits - 1)), F.shiftright(value, 32).bitwiseAND(F.lit(bits - 1))]
 
 
 def _may_be(value: Column, bits: int, words: Column) -> Column:
     """Whether the bitmap may hold a hash."""
-    a, b = (F.call_function("shiftright", F.get(words, F.shiftright(x, 6).cast("int")), (x % 64).cast("int")).bitwiseAND(F.lit(1)) == 1 for x in _spots(value, bits))
+    a, b = (F.call_function("shiftright", F.get(words, F.shiftright(x, 6).cast("int")), x.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1)) == 1 for x in _spots(value, bits))
     return a & b
 
 
@@ -152,8 +156,11 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     read = _read(docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")).drop("text")
     hits = {(r, size): f"hits_{r}_{size}" for r in READINGS for size in sizes}
     for (r, size), name in hits.items():
-        some = F.filter(_places(r, size), lambda i: _may_be(_hash(r, i, size), bits, words))  # noqa: B023
-        read = read.withColumn(name, F.when(F.size(r) >= size, some).otherwise(F.array().cast("array<int>")))
+        # all hashes first, each worked out once
+        every = F.when(F.size(r) >= size, F.transform(_places(r, size), lambda i: _hash(r, i, size))).otherwise(F.array().cast("array<bigint>"))  # noqa: B023
+        read = read.withColumn("_all", every)
+        numbered = F.transform("_all", lambda h, i: F.when(_may_be(h, bits, words), i))
+        read = read.withColumn(name, F.array_compact(numbered)).drop("_all")
     # the words of the windows that may match, and only theirs; a filter on the hits would work all columns out once more
     own = read.select("doc_id", "text_hash", F.explode(F.concat(*[_cut(r, size, F.col(name), "from", "own") for (r, size), name in hits.items()])).alias("x")).select("doc_id", "text_hash", "x.*")
     met = own.join(F.broadcast(bench) if n <= MOST_BROADCAST else bench, ["hash", "size"])
