@@ -219,9 +219,9 @@ def mixture_fit(spark, sf_dir):
     return spark.createDataFrame(found, "state int, mean double, prior double")
 
 
-@query(f"SELECT chrom, pos, alt, 1 AS rank FROM ({ALLELES_SQL}) a WHERE dp > 0 AND ad > 0 AND pos % 2 = 0")
+@query(f"SELECT chrom, pos, alt, 1 AS rank FROM ({ALLELES_SQL}) a WHERE dp > 0 AND ad > 0")
 def top_two_alleles(spark, sf_dir):
-    rows = calls(spark, sf_dir).filter("dp > 0 and ad > 0 and pos % 2 = 0")
+    rows = calls(spark, sf_dir).filter("dp > 0 and ad > 0")
     return calling.top_two(rows).select("chrom", "pos", "alt", "rank")
 
 
@@ -386,22 +386,26 @@ def amplicon_edges(spark, sf_dir):
     return recalibrate.edges(alleles(spark, sf_dir).filter("pos % 11 <> 0")).select("chrom", "pos", "edge")
 
 
-@query()
+@query(f"""WITH loci AS (SELECT l.*, e.edge FROM ({ALLELES_SQL}) l JOIN ({_edges_sql()}) e ON l.chrom = e.chrom AND l.pos = e.pos), t AS (SELECT count(*) AS loci, count(*) FILTER (WHERE edge) AS edge_loci, count(*) FILTER (WHERE ad > 0) AS all_n, count(*) FILTER (WHERE edge AND ad > 0) AS edge_n FROM loci),
+r AS (SELECT *, (edge_n - (all_n - edge_n)::DOUBLE / nullif(loci - edge_loci, 0) * edge_loci) / edge_n AS risk FROM t)
+SELECT ref || '>' || alt AS category, count(*) AS n, CASE WHEN risk > 0 THEN CAST(trunc(-10 * log10(count(*)::DOUBLE / edge_n * risk)) AS INTEGER) END AS rate_q FROM loci, r WHERE edge AND ad > 0 GROUP BY ref, alt, risk, edge_n""")
 def edge_rates(spark, sf_dir):
-    rows = recalibrate.edges(alleles(spark, sf_dir).filter("pos % 11 <> 0"))
-    return recalibrate.edge_rates(rows.filter("ad > 0"))
+    rows = recalibrate.edges(alleles(spark, sf_dir).filter("pos % 11 <> 0"))  # thinned, so that there are edges
+    return recalibrate.edge_rates(rows, F.col("ad") > 0)
 
 
 # -- phasing -------------------------------------------------------------------
 
-SITES_SQL = f"SELECT chrom, pos * 17 AS pos, ref, alt FROM ({ALLELES_SQL}) a WHERE pos % 8 IN (3, 4, 5)"
+#: Loci lie 17 places apart, with a gap after each third, so that all are in neighborhoods.
+SITE_POS = "({0}pos * 17 + {0}pos // 3 * 60)"
+SITES_SQL = f"SELECT chrom, {SITE_POS.format('')} AS pos, ref, alt FROM ({ALLELES_SQL}) a"
 NBHD_SQL = f"""SELECT chrom, pos, ref, alt, nbhd FROM (SELECT *, count(*) OVER (PARTITION BY chrom, nbhd) AS k FROM (
   SELECT *, CAST(sum(CASE WHEN pos - before < 50 THEN 0 ELSE 1 END) OVER (PARTITION BY chrom ORDER BY pos) AS BIGINT) AS nbhd FROM (
     SELECT *, lag(pos) OVER (PARTITION BY chrom ORDER BY pos) AS before FROM ({SITES_SQL}) s) a) b) c WHERE k >= 2"""
 
 
 def sites(spark, sf_dir) -> DataFrame:
-    rows = alleles(spark, sf_dir).filter("pos % 8 in (3, 4, 5)").withColumn("pos", F.col("pos") * 17)
+    rows = alleles(spark, sf_dir).withColumn("pos", F.expr(SITE_POS.format("").replace("//", "div")))
     return phasing.neighborhoods(rows).select("chrom", "pos", "ref", "alt", "nbhd")
 
 
@@ -415,13 +419,13 @@ def neighborhood_ranges(spark, sf_dir):
     return phasing.ranges(sites(spark, sf_dir))
 
 
-STATES_SQL = f"""SELECT DISTINCT o.chrom, n.nbhd, o.amplicon * 1000 + o.read % 200 AS read, o.pos * 17 AS pos, CASE WHEN o.base = 'N' THEN 'N' WHEN o.base = o.alt THEN 'alt' WHEN o.base = o.ref THEN 'ref' ELSE 'X' END AS state
-FROM ({OBS_SQL}) o JOIN ({NBHD_SQL}) n ON o.chrom = n.chrom AND o.pos * 17 = n.pos"""
+STATES_SQL = f"""SELECT DISTINCT o.chrom, n.nbhd, o.amplicon * 1000 + o.read % 200 AS read, {SITE_POS.format('o.')} AS pos, CASE WHEN o.base = 'N' THEN 'N' WHEN o.base = o.alt THEN 'alt' WHEN o.base = o.ref THEN 'ref' ELSE 'X' END AS state
+FROM ({OBS_SQL}) o JOIN ({NBHD_SQL}) n ON o.chrom = n.chrom AND {SITE_POS.format('o.')} = n.pos"""
 READS_SQL = f"SELECT chrom, nbhd, read, pos, min(state) AS state FROM ({STATES_SQL}) s WHERE state <> 'N' GROUP BY chrom, nbhd, read, pos"
 
 
 def states(spark, sf_dir) -> DataFrame:
-    obs = views.obs(spark, sf_dir).withColumns({"pos": F.col("pos") * 17, "read": F.col("amplicon") * 1000 + F.col("read") % 200})
+    obs = views.obs(spark, sf_dir).withColumns({"pos": F.expr(SITE_POS.format("").replace("//", "div")), "read": F.col("amplicon") * 1000 + F.col("read") % 200})
     at = obs.join(sites(spark, sf_dir).select("chrom", "pos", "nbhd"), ["chrom", "pos"])
     known = phasing.site_states(at).filter("state <> 'N'")
     return known.groupBy("chrom", "nbhd", "read", "pos").agg(F.min("state").alias("state"))
@@ -567,13 +571,13 @@ def nearest_indels(spark, sf_dir):
 # -- sequences and records -----------------------------------------------------
 
 LETTERS, SEQ = "abcdefghijklmnopqrstuvwxyz", "ACGTACGTACGTACGTACGTACGTAC"
-SEQ_SQL = f"SELECT doc_id, translate(substr(regexp_replace(lower(text), '[^a-z]', '', 'g'), 1, 60), '{LETTERS}', '{SEQ}') AS s FROM documents WHERE text IS NOT NULL"
+SEQ_SQL = f"SELECT doc_id, translate(regexp_replace(lower(text), '[^a-z]', '', 'g'), '{LETTERS}', '{SEQ}') AS s FROM documents WHERE text IS NOT NULL"
 
 
 def seqs(spark, sf_dir) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").filter("text is not null")
     letters = F.regexp_replace(F.lower("text"), "[^a-z]", "")
-    return docs.select("doc_id", F.translate(F.substring(letters, 1, 60), LETTERS, SEQ).alias("s"))
+    return docs.select("doc_id", F.translate(letters, LETTERS, SEQ).alias("s"))
 
 
 CIGAR_CASES = "CASE WHEN l_quantity < 10 THEN '30M2D20M' WHEN l_quantity < 20 THEN '5S40M3I2S' ELSE '50M' END"
@@ -644,9 +648,11 @@ def uncrush_rows(spark, sf_dir):
 
 @query()
 def candidates_found(spark, sf_dir):
-    s = seqs(spark, sf_dir).filter("length(s) = 60")
+    # reads of 40 letters lie along the whole text, 60 letters apart; a stretch's rest of under 60 has no room for one
+    whole = seqs(spark, sf_dir).filter("length(s) >= 60")
+    s = whole.select("doc_id", F.explode(F.sequence(F.lit(0), F.floor(F.length("s") / 60).cast("int") - 1)).alias("i"), "s").select("doc_id", F.expr("substr(s, i * 60 + 1, 60)").alias("s"), "i")
     rows = s.select(
-        (F.col("doc_id") % 3).cast("string").alias("chrom"), (F.col("doc_id") % 40 + 1).alias("pos"), F.when(F.col("doc_id") % 5 == 0, "20M2I18M").when(F.col("doc_id") % 5 == 1, "20M2D20M").otherwise("40M").alias("cigar"),
+        (F.col("doc_id") % 3).cast("string").alias("chrom"), (F.col("doc_id") % 40 + 1 + F.col("i") * 90).alias("pos"), F.when(F.col("doc_id") % 5 == 0, "20M2I18M").when(F.col("doc_id") % 5 == 1, "20M2D20M").otherwise("40M").alias("cigar"),
         F.substring("s", 1, 40).alias("bases"), F.transform(F.sequence(F.lit(1), F.lit(40)), lambda i: (i * 7 + F.col("doc_id")).cast("int") % 41).alias("quals"), F.translate(F.substring("s", 1, 60), "A", "C").alias("reference"), (F.col("doc_id") % 2).cast("int").alias("dir"))
     return candidates.found(rows, mnvs=True).withColumn("support", F.lit(1)).groupBy("chrom", "pos", "ref", "alt", "dir", "open_left", "open_right").agg(F.sum("support").alias("support"))
 
@@ -679,3 +685,6 @@ def event_sessions(spark, sf_dir):
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
     found = windows.sessions(events, "ts", "30 minutes", "10 minutes", "user_id")
     return found.select("user_id", F.col("first").cast("timestamp_ntz").alias("first"), F.col("last").cast("timestamp_ntz").alias("last"), "n")
+
+
+from varigrid import catalogue_parts  # noqa: E402, F401  registers more queries

@@ -67,6 +67,13 @@ def genotype_kind(gt: Column) -> Column:
     return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in names.items() for x in kv]), g), F.lit("other"))
 
 
+def umi_counts(value: Column) -> Column:
+    """Struct of support and coverage, arrays of a collapsed read's 8 kinds, from a tag of 8 or 12 whole numbers:
+    8 are support alone, of 12 the last four are coverage by duplex and strand."""
+    numbers = F.transform(F.split(value, ","), lambda x: x.cast("int"))
+    return F.struct(F.slice(numbers, 1, 8).alias("support"), F.when(F.size(numbers) > 8, F.slice(numbers, 9, 4)).otherwise(F.array().cast("array<int>")).alias("coverage"))
+
+
 def digits(min_frequency: float) -> int:
     """Decimals that a frequency of at least so much is written with."""
     text = f"{min_frequency:.10f}".rstrip("0")

@@ -202,6 +202,39 @@ def duplication(context: Column, at: Column, inserted: Column) -> Column:
     return (n >= 3) & found
 
 
+def has_operation(ops: Column, kinds: str) -> Column:
+    """Whether an alignment has an operation of some kinds."""
+    return F.exists(ops, lambda x: x["op"].isin(*kinds))
+
+
+def tags(text: Column) -> Column:
+    """A read's tags, tab-separated as name:type:value, as a map from name to value."""
+    parts = F.filter(F.split(text, "\t"), lambda x: x != "")
+    return F.map_from_entries(F.transform(parts, lambda x: F.struct(F.left(x, F.lit(2)), F.substring(x, F.lit(6), F.length(x)))))
+
+
+def tag(held: Column, name: str) -> Column:
+    """A tag's value, null where a read has none; ``XN`` is the amplicon's name."""
+    return F.try_element_at(held, F.lit(name))
+
+
+def with_tag(held: Column, name: str, value: Column) -> Column:
+    """The tags with one set anew; a null value takes it away."""
+    rest = F.map_filter(held, lambda k, _: k != name)
+    return F.when(value.isNull(), rest).otherwise(F.map_concat(rest, F.create_map(F.lit(name), value)))
+
+
+def indel_key(chrom: Column, pos: Column, ref: Column, alt: Column) -> Column:
+    """``chrom:pos ref>alt``; keys of several indels are joined with a bar."""
+    return F.concat(chrom, F.lit(":"), pos.cast("string"), F.lit(" "), ref, F.lit(">"), alt)
+
+
+def indels_of_key(key: Column) -> Column:
+    """Array of (chrom, pos, ref, alt) of a key."""
+    part = lambda x, i: F.regexp_extract(x, r"^(.*):(\d+) ([A-Z]+)>([A-Z]+)$", i)
+    return F.transform(F.split(key, r"\|"), lambda x: F.struct(part(x, 1).alias("chrom"), part(x, 2).cast("long").alias("pos"), part(x, 3).alias("ref"), part(x, 4).alias("alt")))
+
+
 def wildcard_equal(a: Column, b: Column) -> Column:
     """Whether two strings of one length agree wherever neither has N."""
     return (F.length(a) == F.length(b)) & (hamming(a, b) == 0)

@@ -136,6 +136,15 @@ def diploid_gq(genotype: Column, support: Column, coverage: Column, frequency: C
     return F.greatest(F.lit(least), F.least(F.lit(most), q)).cast("int")
 
 
+def haploid_gq(genotype: Column, support: Column, coverage: Column, least: int = 0, most: int = 100) -> Column:
+    """Genotype quality of a haploid call (0 or 1) from how much likelier it is than a mixed site; a no-call gets the least."""
+    n = F.greatest(coverage - support, F.lit(0))
+    cov = coverage.cast("double")
+    gap = F.when(genotype == "0", log_poisson(n, 0.05 * cov) - log_binomial(n, coverage, 0.4)).when(genotype == "1", log_poisson(n, 0.075 * cov) - log_binomial(support, coverage, 0.4))
+    q = F.greatest(F.lit(least), F.least(F.lit(most), F.floor(10.0 / LN10 * gap)))
+    return F.when(gap.isNull() | (coverage == 0), least).otherwise(q).cast("int")
+
+
 def amplicon_biased(support: Column, frequency: Column, coverage: Column, top_frequency: Column, threshold: float = 0.01) -> Column:
     """Whether one amplicon has too little support for the highest frequency among its fellows."""
     expected = top_frequency * coverage

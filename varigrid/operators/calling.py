@@ -100,11 +100,12 @@ def by_frequency(vf: str = "vf"):
 
 
 def top_two(calls: DataFrame) -> DataFrame:
-    """The two most frequent alternatives of a locus; the second goes if more of the reference remains than it has."""
-    ranked = calls.withColumn("rank", F.row_number().over(by_frequency())).filter("rank <= 2")
+    """The two most frequent alternatives of a locus; the second goes if more is left beside all of the locus's alternatives than it has."""
     locus = Window.partitionBy("chrom", "pos")
     rest = 1.0 - F.sum(F.col("vf").cast("double")).over(locus)
-    return ranked.withColumn("_rest", rest).filter((F.col("rank") == 1) | (F.col("_rest") <= F.col("vf"))).drop("_rest")
+    ranked = calls.withColumns({"rank": F.row_number().over(by_frequency()), "_rest": rest})
+    # five decimals: the order of a sum must not decide
+    return ranked.filter((F.col("rank") == 1) | (F.col("rank") == 2) & (F.round("_rest", 5) <= F.round(F.col("vf").cast("double"), 5))).drop("_rest")
 
 
 def phase_sets(calls: DataFrame) -> DataFrame:

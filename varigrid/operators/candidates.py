@@ -95,35 +95,46 @@ def spans(candidates: DataFrame, reach: int = 1) -> DataFrame:
 def collapsed(candidates: DataFrame, ratio: float = 0.5, least_frequency: float = 0.0) -> DataFrame:
     """Open-ended candidates (chrom, pos, ref, alt, open_left, open_right, support, coverage) given to longer ones that hold them.
 
-    The shortest open candidate goes first.  Of the candidates that contain its
-    bases at its closed end, the best supported takes its support if it is
-    at least ``ratio`` as frequent.
+    The longest open candidate goes first, of equal length those open at both
+    ends.  Candidates of its kind (insertion, deletion, other) that are no shorter
+    can take its support if they agree with it at its closed end: in place
+    and bases, deletions in place alone.  Of those at least ``ratio`` as frequent, a closed one and
+    then the best supported takes it, and stays open only where both are.
     """
 
+    def kind(r: dict) -> int:
+        return (len(r["alt"]) > len(r["ref"])) - (len(r["alt"]) < len(r["ref"]))
+
+    def size(r: dict) -> int:
+        return abs(len(r["alt"]) - len(r["ref"])) or len(r["alt"])
+
+    def holds(t: dict, r: dict) -> bool:
+        if kind(t) != kind(r) or size(t) < size(r):
+            return False
+        if not (r["open_left"] or r["open_right"]):
+            return not (t["open_left"] or t["open_right"]) and all(t[k] == r[k] for k in ("pos", "ref", "alt"))
+        k = kind(r)
+        if k < 0:
+            return t["pos"] == r["pos"] if r["open_right"] else t["pos"] + len(t["ref"]) == r["pos"] + len(r["ref"])
+        if r["open_right"]:
+            return t["pos"] == r["pos"] and t["alt"].startswith(r["alt"])
+        if k > 0:
+            return t["pos"] == r["pos"] and t["alt"].endswith(r["alt"][1:])
+        return t["pos"] + len(t["alt"]) == r["pos"] + len(r["alt"]) and t["alt"].endswith(r["alt"])
+
     def one(group: pd.DataFrame) -> pd.DataFrame:
-        rows = group.sort_values(["pos", "ref", "alt", "open_left", "open_right"]).to_dict("records")
-        rows.sort(key=lambda r: (len(r["alt"]), not (r["open_left"] or r["open_right"]), r["pos"], r["alt"]))
-        gone = set()
-        for i, r in enumerate(rows):
-            if not (r["open_left"] or r["open_right"]):
-                continue
-            best = None
-            for j, t in enumerate(rows):
-                if j == i or j in gone or len(t["alt"]) < len(r["alt"]) or len(t["ref"]) - len(t["alt"]) != len(r["ref"]) - len(r["alt"]):
-                    continue
-                off = r["pos"] - t["pos"]
-                if off < 0 or t["alt"][off : off + len(r["alt"])] != r["alt"] or t["ref"][off : off + len(r["ref"])] != r["ref"]:
-                    continue
-                if not r["open_left"] and off != 0 or not r["open_right"] and off + len(r["alt"]) != len(t["alt"]):
-                    continue
-                if t["support"] / max(1, t["coverage"]) < max(least_frequency, ratio * r["support"] / max(1, r["coverage"])):
-                    continue
-                if best is None or (not (t["open_left"] or t["open_right"]), t["support"], len(t["alt"])) > (not (rows[best]["open_left"] or rows[best]["open_right"]), rows[best]["support"], len(rows[best]["alt"])):
-                    best = j
-            if best is not None:
-                rows[best]["support"] += r["support"]
-                gone.add(i)
-        kept = [r for i, r in enumerate(rows) if i not in gone]
+        rows = group.to_dict("records")
+        turn = sorted((r for r in rows if r["open_left"] or r["open_right"]), key=lambda r: (-size(r), not (r["open_left"] and r["open_right"]), r["ref"], r["alt"], r["support"], r["open_right"], r["open_left"], r["pos"]))
+        there = {id(r): r for r in rows}
+        for r in turn:
+            frequent = max(least_frequency, ratio * r["support"] / max(1, r["coverage"]))
+            fit = [t for t in there.values() if t is not r and holds(t, r) and t["support"] / max(1, t["coverage"]) >= frequent]
+            if fit:
+                t = min(fit, key=lambda t: (t["open_left"] or t["open_right"], -t["support"], -size(t), t["pos"], t["ref"], t["alt"], t["open_left"], t["open_right"]))
+                t["support"] += r["support"]
+                t["open_left"], t["open_right"] = t["open_left"] and r["open_left"], t["open_right"] and r["open_right"]
+                del there[id(r)]
+        kept = sorted(there.values(), key=lambda r: (r["pos"], r["ref"], r["alt"], r["open_left"], r["open_right"]))
         return pd.DataFrame(kept, columns=group.columns)[["chrom", "pos", "ref", "alt", "open_left", "open_right", "support", "coverage"]]
 
     schema = "chrom string, pos long, ref string, alt string, open_left boolean, open_right boolean, support long, coverage long"

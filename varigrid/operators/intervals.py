@@ -27,6 +27,25 @@ def inside(points: DataFrame, intervals: DataFrame, by: list[str] | None = None,
     return left.join(side, cond, "left_semi").drop("bin")
 
 
+def touching(points: DataFrame, intervals: DataFrame, by: list[str] | None = None, bin_width: int = BIN) -> DataFrame:
+    """Rows of ``points`` (pos, ref) whose reference bases overlap any interval (start, stop), of the same ``by`` columns.
+
+    Rows meet the merged intervals in the bins of their first and their last base, and of all between.
+    """
+    by = by or []
+    side = binned(merged(intervals, by), bin_width).select(*by, "bin", "start", "stop")
+    last = F.col("pos") + F.length("ref") - 1
+    keyed = points.withColumns({"_row": F.monotonically_increasing_id(), "_last": last})
+    spread = keyed.select(*by, "_row", "pos", "_last", F.explode(F.sequence(F.floor(F.col("pos") / bin_width), F.floor(F.col("_last") / bin_width))).alias("bin"))
+    cond = [spread[c] == side[c] for c in [*by, "bin"]] + [spread["pos"] <= side["stop"], spread["_last"] >= side["start"]]
+    narrow = points.filter(F.floor(F.col("pos") / bin_width) == F.floor(last / bin_width)).withColumns({"bin": F.floor(F.col("pos") / bin_width), "_last": last})
+    near = [narrow[c] == side[c] for c in [*by, "bin"]] + [narrow["pos"] <= side["stop"], narrow["_last"] >= side["start"]]
+    # rows inside one bin need no key of their own; the few others are matched by theirs
+    wide = keyed.filter(F.floor(F.col("pos") / bin_width) < F.floor(F.col("_last") / bin_width))
+    hit = spread.join(wide.select("_row"), "_row", "left_semi").join(side, cond, "left_semi").select("_row").distinct()
+    return narrow.join(side, near, "left_semi").drop("bin", "_last").unionByName(wide.join(hit, "_row", "left_semi").drop("_row", "_last"))
+
+
 def overlapping(a: DataFrame, b: DataFrame, by: list[str] | None = None, bin_width: int = BIN) -> DataFrame:
     """Pairs of intervals that overlap, once each, as structs ``a`` and ``b``: a pair is taken in the first bin both touch."""
     by = by or []

@@ -23,6 +23,16 @@ def eligible(min_mapq: int = 1, duplicates: bool = False, proper_only: bool = Fa
     return keep & has(flag, PROPER) if proper_only else keep
 
 
+def stitchable(reads: DataFrame, min_mapq: int = 0, proper_only: bool = False, excluded: DataFrame | None = None) -> DataFrame:
+    """Reads (name, flag, mapq) that mates are looked for among: primary ones, of quality 0 or enough, whose name isn't excluded."""
+    flag = F.col("flag")
+    keep = ~has(flag, SUPPLEMENTARY) & ~has(flag, SECONDARY) & ((F.col("mapq") == 0) | (F.col("mapq") >= min_mapq))
+    if proper_only:
+        keep = keep & has(flag, PROPER)
+    kept = reads.filter(keep)
+    return kept if excluded is None else kept.join(excluded.select("name").distinct(), "name", "left_anti")
+
+
 def first_of_equal(reads: DataFrame, order: str = "name") -> DataFrame:
     """Of reads with one place, alignment and sequence the first by name."""
     same = Window.partitionBy("chrom", "pos", "cigar", "bases").orderBy(order)

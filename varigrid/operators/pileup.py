@@ -79,6 +79,15 @@ def gapped_reference(mnvs: DataFrame) -> DataFrame:
     return inside.filter(same).groupBy("chrom", (F.col("pos") + F.col("i")).alias("pos")).agg(F.sum("support").alias("n"))
 
 
+#: The kinds of collapsed reads.
+COLLAPSED = tuple(f"{a}_{b}" for a in ("duplex", "simplex_forward", "simplex_reverse", "simplex_other") for b in ("stitched", "unstitched"))
+
+
+def collapsed_counts(reads: DataFrame, *by: str) -> DataFrame:
+    """Reads (kind) of each kind of collapsed read, a column a kind."""
+    return reads.groupBy(*by).agg(*[F.count_if(F.col("kind") == k).alias(k) for k in COLLAPSED])
+
+
 def exact_coverage(candidates: DataFrame, reads: DataFrame, bin_width: int = 1000) -> DataFrame:
     """Candidates (chrom, pos, ref, alt) with the reads (chrom, start, stop, dir) that span them from the base before to the base after, by direction.
 

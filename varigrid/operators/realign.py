@@ -30,15 +30,21 @@ def evidence(sightings: DataFrame) -> DataFrame:
 
 
 def score(e: dict[str, Column] | None = None) -> Column:
-    """How well an indel's evidence speaks for it: more reads, on both strands, well anchored, of quality; whole numbers at two steps."""
+    """How well an indel's evidence speaks for it: more reads, on both strands, well anchored, of quality; whole numbers at three steps.
+
+    Strands count as shares of the reads, anchors as sums.  What mess leaves of the
+    mean anchor, cut off to a whole number, weighs in.
+    """
     c = e or {k: F.col(k) for k in ("observations", "left", "right", "mess", "quality", "forward", "reverse", "stitched", "reputable", "repeat", "mate_unmapped", "ref", "alt")}
     obs = c["observations"].cast("double")
-    side = lambda a, b: (F.greatest(a, b) + 1.0) / (F.least(a, b) + 1.0)
-    balance, anchored = side(c["forward"], c["reverse"]), side(c["left"], c["right"])
-    clean = 1.0 / (1.0 + c["mess"] / obs)
-    raw = obs / balance / anchored * (1.0 + c["reputable"] + c["stitched"] / balance) * (c["quality"] / obs / 30.0) * clean * 10.0
+    side = lambda a, b: F.greatest(a, b) / F.greatest(F.lit(1.0), F.least(a, b))
+    balance = side(c["forward"] / obs, c["reverse"] / obs)
+    anchored = side(c["left"].cast("double"), c["right"].cast("double"))
+    anchor = F.floor((c["left"] + c["right"]) / obs)
+    clean = (anchor - c["mess"] / obs) / anchor
+    raw = obs * (1 / balance) * (1 / anchored) * (1 + c["reputable"] / obs + (c["stitched"] / obs) / balance) * (c["quality"] / obs / 30) * clean * 10
     length = F.abs(F.length(c["ref"]) - F.length(c["alt"]))
-    whole = F.floor(raw) * (1 + F.floor(length / 5)) * ((obs - c["mate_unmapped"] - c["repeat"]) / obs)
+    whole = F.greatest(F.lit(0), F.floor(F.round(raw, 6))) * (1 + F.floor(length / 5)) * ((obs - c["mate_unmapped"] - c["repeat"]) / obs)
     return F.floor(whole).cast("long")
 
 

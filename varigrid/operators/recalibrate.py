@@ -73,9 +73,18 @@ def edges(loci: DataFrame, extent: int = 4) -> DataFrame:
     return loci.withColumn("edge", F.when(F.col("dp") == 0, False).otherwise(risk))
 
 
-def edge_rates(calls: DataFrame) -> DataFrame:
-    """(category, edge_n, inner_n, excess): how much oftener a class occurs per locus at edges than elsewhere, as a share."""
-    rows = calls.groupBy(category(F.col("ref"), F.col("alt")).alias("category")).agg(F.count_if("edge").alias("edge_n"), F.count_if(~F.col("edge")).alias("inner_n"))
-    loci = calls.agg(F.count_if("edge").alias("_e"), F.count_if(~F.col("edge")).alias("_i"))
-    e, i = F.col("edge_n") / F.greatest("_e", F.lit(1)), F.col("inner_n") / F.greatest("_i", F.lit(1))
-    return rows.crossJoin(F.broadcast(loci)).select("category", "edge_n", "inner_n", F.when(e > i, (e - i) / e).otherwise(0.0).alias("excess"))
+def edge_rates(loci: DataFrame, called: Column | None = None) -> DataFrame:
+    """(category, n, rate_q): per kind of substitution its calls at edges, and the quality that their excess leaves it.
+
+    Calls per locus away from edges say how many the edges should have.  What is
+    beyond that is taken for error; a kind bears it in proportion to its
+    calls.  Without an excess there is no rate.  ``called`` says which loci
+    (ref, alt, edge) have a call, by default all.
+    """
+    rows = loci.withColumn("_called", F.lit(True) if called is None else called)
+    t = rows.agg(F.count("*").alias("loci"), F.count_if("edge").alias("edge_loci"), F.count_if("_called").alias("all_n"), F.count_if(F.col("edge") & F.col("_called")).alias("edge_n"))
+    inner = (F.col("all_n") - F.col("edge_n")) / F.nullif(F.col("loci") - F.col("edge_loci"), F.lit(0))
+    risk = t.select("edge_n", ((F.col("edge_n") - inner * F.col("edge_loci")) / F.nullif(F.col("edge_n"), F.lit(0))).alias("risk"))  # one row
+    kinds = rows.filter("edge and _called").groupBy(category(F.col("ref"), F.col("alt")).alias("category")).agg(F.count("*").alias("n"))
+    q = F.when(F.col("risk") > 0, stats.p_to_q(F.col("n") / F.col("edge_n") * F.col("risk")).cast("int"))
+    return kinds.crossJoin(F.broadcast(risk)).select("category", "n", q.alias("rate_q"))
