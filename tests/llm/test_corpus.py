@@ -53,14 +53,16 @@ def brute_components(rows, k, percent):
             x = root[x]
         return x
 
-    ids = sorted(sets)
+    ids, links = sorted(sets), dict.fromkeys(sets, 0)
     for i, x in enumerate(ids):
         for y in ids[i + 1 :]:
             a, b = sets[x], sets[y]
             if a and b and 100 * len(a & b) >= percent * len(a | b):
+                links[x] += 1
+                links[y] += 1
                 p, q = sorted((find(x), find(y)))
                 root[q] = p
-    return {i: (len(sets[i]), find(i)) for i in ids}
+    return {i: (len(sets[i]), find(i), links[i]) for i in ids}
 
 
 def near_copies(seed=5):
@@ -85,10 +87,27 @@ def test_jaccard_components_match_brute_force(spark, width, percent):
 
     texts = near_copies() + ODD[:5]
     expected = brute_components(list(enumerate(texts)), width, percent)
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_components(docs(spark, texts), width, percent).collect()}
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.n_links) for r in jaccard_components(docs(spark, texts), width, percent).collect()}
     assert got == expected
 
 
+def test_links_are_counted_across_blocks_and_tiles(spark, monkeypatch):
+    from varigrid.llm import jaccard
+
+    monkeypatch.setattr(jaccard, "BLOCK_SHINGLES", 400)
+    monkeypatch.setattr(jaccard, "TILE", 2_000)
+    rng = random.Random(8)
+    base, texts = words(rng, 60), []
+    for i in range(60):
+        copy = list(base)
+        for _ in range(i % 4):
+            copy[rng.randrange(60)] = f"x{rng.randrange(99)}"
+        texts.append(" ".join(copy))
+    expected = brute_components(list(enumerate(texts)), 3, 80)
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.n_links) for r in jaccard.jaccard_components(docs(spark, texts), 3, 80).collect()}
+    assert got == expected and len({x[2] for x in got.values()}) > 5
+
+
 def test_jaccard_nulls_repeats_and_empty(spark):
     from varigrid.llm.jaccard import jaccard_components, one_of_each_group
 
@@ -816,7 +835,7 @@ def test_pipeline_stages(spark, sf_dir):
     before = {r.doc_id: r.text for r in got["language"].collect()}
     assert set(before) == {r.doc_id for r in documents.collect() if re.search(r"[^\W\d_]", r.text or "")}
     components = brute_components(list(before.items()), 5, 80)
-    assert {r.doc_id for r in got["near_duplicates"].collect()} == {i for i, (_, c) in components.items() if i == c}
+    assert {r.doc_id for r in got["near_duplicates"].collect()} == {i for i, (_, c, _) in components.items() if i == c}
     clean = {r.doc_id: r.text for r in got["decontamination"].collect()}
     assert not any(b in t for t in clean.values() for b in bench)
     assert {r.doc_id for r in got["near_duplicates"].collect()} - set(clean) == {r.doc_id for r in got["near_duplicates"].collect() if any(b in r.text for b in bench)}

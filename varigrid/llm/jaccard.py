@@ -14,7 +14,8 @@ word shingles.  Documents with equal sets form a class, and only classes meet.
    buckets than the sets differ in shingles.
 4. Meetings are verified once per pair on the whole sets, fetched only for the
    classes that occur in a pair.
-5. Components come from the links.
+5. Components come from the links.  Within them, blocks of sets meet once more and the links of each document are
+   counted, those between near copies whose meetings the first round below spared included.
 
 A shingle shared by thousands of near copies would make all pairs of them meet.
 So in a first round a class meets only its neighbours, by size, and the classes
@@ -196,8 +197,11 @@ def _meetings(postings: DataFrame, percent: int, whole: bool) -> DataFrame:
     return ordered.mapInArrow(meet, "a binary, b binary").distinct()
 
 
-def _links(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
-    """Those of the pairs of classes that link, by their whole sets."""
+def _sets(docs: DataFrame, needed: DataFrame, width: int) -> DataFrame:
+    """(cls, items): the sets of the classes in ``needed`` (cls), as bytes of sorted 64-bit hashes.
+
+    A bitmap of fixed size keeps most other sets from moving, and a task sends a class once.
+    """
     spark = docs.sparkSession
 
     def place(keys: list[bytes]) -> np.ndarray:
@@ -206,11 +210,10 @@ def _links(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataF
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flags = np.zeros(1 << FETCH_BITS, np.uint32)
         for batch in batches:
-            for i in (0, 1):
-                flags[place(batch.column(i).to_pylist()).astype(np.int64)] = 1
+            flags[place(batch.column(0).to_pylist()).astype(np.int64)] = 1
         yield from counter_rows(flags)
 
-    flags = spark.sparkContext.broadcast(np.packbits(counted(pairs.mapInArrow(mark, "block int, counts binary"), FETCH_BITS) > 0))
+    flags = spark.sparkContext.broadcast(np.packbits(counted(needed.mapInArrow(mark, "block int, counts binary"), FETCH_BITS) > 0))
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, wanted, sent = Shingler(width), flags.value, set()
@@ -231,10 +234,16 @@ def _links(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataF
             if classes:
                 yield pa.RecordBatch.from_arrays([binaries(classes), binaries(sets)], ["cls", "items"])
 
-    needed = pairs.select(F.col("a").alias("cls")).union(pairs.select(F.col("b").alias("cls"))).distinct()
     sets = only(docs, "text").mapInArrow(fetch, "cls binary, items binary")
+    return sets.join(needed, "cls", "left_semi").groupBy("cls").agg(F.first("items").alias("items"))
+
+
+def _links(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
+    """Those of the pairs of classes that link, by their whole sets."""
+    spark = docs.sparkSession
+    needed = pairs.select(F.col("a").alias("cls")).union(pairs.select(F.col("b").alias("cls"))).distinct()
     path = shared_dir(spark)
-    sets = stored(sets.join(needed, "cls", "left_semi").groupBy("cls").agg(F.first("items").alias("items")), path)
+    sets = stored(_sets(docs, needed, width), path)
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -261,22 +270,117 @@ def linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return int(np.count_nonzero(both[1:] == both[:-1])) >= need
 
 
+#: Shingles of the sets that one block of a component holds; two blocks meet in a task.
+BLOCK_SHINGLES = 2_000_000
+#: Numbers in the matrix of a tile of sets.
+TILE = 8_000_000
+
+
+def _tiles(sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Runs of sets, ordered by size, whose matrix stays under ``TILE`` numbers."""
+    out, i = [], 0
+    while i < len(sets):
+        j, total = i, 0
+        while j < len(sets) and (j == i or (total + len(sets[j])) * (j + 1 - i) <= TILE // 2):
+            total += len(sets[j])
+            j += 1
+        out.append((i, j))
+        i = j
+    return out
+
+
+def _matrix(sets: list[np.ndarray], known: np.ndarray) -> np.ndarray:
+    out = np.zeros((len(sets), len(known)), np.float32)
+    for k, x in enumerate(sets):
+        out[k, np.searchsorted(known, x)] = 1
+    return out
+
+
+def count_links(left: list[np.ndarray], right: list[np.ndarray] | None, left_copies: np.ndarray, right_copies: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """How many copies each set of either side links to on the other; without a right side, of the left side's others.
+
+    Sets come ordered by size.  Intersections of a tile of sets with another are one matrix product, and
+    each pair is looked at once.
+    """
+    same = right is None
+    other, weights = (left, left_copies) if same else (right, right_copies)
+    a_links, b_links = np.zeros(len(left), np.int64), np.zeros(len(other), np.int64)
+    for i, j in _tiles(left):
+        for k, m in _tiles(other):
+            if same and k < i or 100 * len(left[j - 1]) < percent * len(other[k]) or 100 * len(other[m - 1]) < percent * len(left[i]):
+                continue
+            known = np.unique(np.concatenate([*left[i:j], *other[k:m]]))
+            both = _matrix(left[i:j], known) @ _matrix(other[k:m], known).T
+            n, o = (np.array([len(x) for x in xs], np.float64) for xs in (left[i:j], other[k:m]))
+            linked = 100 * both >= percent * (n[:, None] + o[None, :] - both)
+            if same and i == k:
+                np.fill_diagonal(linked, False)
+            a_links[i:j] += linked @ weights[k:m]
+            if not same or i != k:
+                b_links[k:m] += left_copies[i:j] @ linked
+    return (a_links + b_links, b_links[:0]) if same else (a_links, b_links)
+
+
+def _link_counts(docs: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame:
+    """(cls, links): the documents of other classes that each class of ``classes`` (cls, n, copies, root) links to.
+
+    Links stay inside components.  A component's classes are dealt to blocks of about ``BLOCK_SHINGLES``
+    shingles, and each pair of blocks is one task's: no task holds a component, and no pair is a row.
+    """
+    sizes = classes.groupBy("root").agg(F.count("*").alias("members"), F.sum("n").alias("shingles")).filter("members > 1")
+    blocks = F.greatest(F.lit(1), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int")
+    inside = stored(classes.join(sizes.select("root", blocks.alias("blocks")), "root").withColumn("own", F.expr("int(pmod(xxhash64(cls), blocks))")))
+    sets = _sets(docs, inside.select("cls"), width)
+    met = inside.join(sets, "cls").select("root", "cls", "copies", "own", "n", "items", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with"))
+    met = met.select("root", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), "own", "n", "cls", "copies", "items")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, []
+
+        def done() -> pa.RecordBatch:
+            _, i, j = key
+            sides = [[r for r in held if r[0] == side] for side in ((i,) if i == j else (i, j))]
+            sets = [[np.frombuffer(r[4], np.uint64) for r in rows] for rows in sides]
+            copies = [np.array([r[3] for r in rows], np.int64) for rows in sides]
+            links = count_links(sets[0], sets[1] if i != j else None, copies[0], copies[-1], percent)
+            return pa.RecordBatch.from_arrays([binaries([r[2] for rows in sides for r in rows]), pa.array(np.concatenate(links))], ["cls", "links"])
+
+        for batch in batches:
+            for root, i, j, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (root, i, j) != key:
+                    if held:
+                        yield done()
+                    key, held = (root, i, j), []
+                held.append(row)
+        if held:
+            yield done()
+
+    ordered = met.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j", "own", "n")
+    return ordered.mapInArrow(count, "cls binary, links long").groupBy("cls").agg(F.sum("links").alias("links"))
+
+
 def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, sketch_bits: int = SKETCH_BITS) -> DataFrame:
-    """(doc_id, n_shingles, component_id, class_id), a row for each row of ``docs`` (doc_id, text).
+    """(doc_id, n_shingles, component_id, class_id, n_links), a row for each row of ``docs`` (doc_id, text).
 
     ``component_id`` is the smallest doc_id that links reach, the row's own
-    included; ``class_id`` the smallest doc_id with the same set.  Rows with an
-    empty set (null text, no words) stay alone: both are their own doc_id.  A
+    included; ``class_id`` the smallest doc_id with the same set; ``n_links`` the number of other rows it
+    links to, those with its set included.  Rows with an
+    empty set (null text, no words) stay alone: both are their own doc_id, without a link.  A
     null doc_id takes part and is never the smallest; it gets its component's
     id, or null where that has none.  Repeated rows come out as often as they
     go in.  An empty table gives an empty result.
     """
-    return _grouped(docs, width, percent, sketch_bits).select("doc_id", "n_shingles", "component_id", "class_id")
+    found = stored(_grouped(docs, width, percent, sketch_bits))
+    classes = stored(found.filter("n_shingles > 0").groupBy("cls").agg(F.first("n_shingles").alias("n"), F.count("*").alias("copies"), F.first("root").alias("root")))
+    links = _link_counts(docs, classes, width, percent)
+    by_class = classes.join(links, "cls", "left").select("cls", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    joined = found.join(by_class, "cls", "left").withColumn("n_links", F.coalesce("n_links", F.lit(0)))
+    return joined.select("doc_id", "n_shingles", "component_id", "class_id", "n_links")
 
 
 def _grouped(docs: DataFrame, width: int, percent: int, sketch_bits: int) -> DataFrame:
-    """The columns of ``jaccard_components`` with text_hash and root: what tells a row from others of its
-    id, and a component from others of its smallest id; root is null for an empty set."""
+    """The columns of ``jaccard_components`` but for links, with cls, text_hash and root: the set's digest, what tells a row
+    from others of its id, and a component from others of its smallest id; root is null for an empty set."""
     spark = docs.sparkSession
     counts = spark.sparkContext.broadcast(_sketch(docs, width, sketch_bits))
     signed = stored(_signatures(docs, width, percent, sketch_bits, counts))
@@ -308,6 +412,7 @@ def _grouped(docs: DataFrame, width: int, percent: int, sketch_bits: int) -> Dat
         F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
         "text_hash",
         F.when(~alone, F.col("root")).alias("root"),
+        "cls",
     )
 
 
