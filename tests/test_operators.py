@@ -235,3 +235,32 @@ def test_clips_add_support(spark):
     calls = spark.createDataFrame([("c", 10, "ACGT", 5)], "chrom string, pos long, alt string, support long")
     clips = spark.createDataFrame([("c", 10, "AC", True), ("c", 10, "AG", True), ("c", 13, "GT", False), ("c", 10, "ACGTAA", True), ("c", 11, "AC", True)], "chrom string, pos long, bases string, at_end boolean")
     assert rows(clipped_support(calls, clips), "support") == [(8,)]
+
+
+def test_blocks_give_what_whole_windows_do(spark, monkeypatch):
+    import random
+
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    from varigrid.operators import blocks, intervals, recalibrate
+
+    monkeypatch.setattr(blocks, "WIDTH", 7)
+    rng = random.Random(4)
+    rows = [(rng.choice("ab"), p, p + rng.randrange(12), rng.randrange(100), i) for i, p in enumerate(rng.sample(range(300), 120))]
+    df = spark.createDataFrame(rows, "chrom string, pos long, stop long, dp long, id long")
+    whole = Window.partitionBy("chrom").orderBy("pos")
+    before = whole.rowsBetween(Window.unboundedPreceding, -1)
+    want = {r.id: (r.m, r.s, r.n) for r in df.select("id", F.max("stop").over(before).alias("m"), F.sum("dp").over(whole).alias("s"), F.lead("pos").over(whole).alias("n")).collect()}
+    got = blocks.running(df, ["chrom"], "pos", ["pos"], F.col("stop"), "m")
+    got = blocks.following(blocks.running(got, ["chrom"], "pos", ["pos"], F.col("dp"), "s", "sum", own=True), ["chrom"], "pos", "n")
+    assert {r.id: (r.m, r.s, r.n) for r in got.collect()} == want
+    covered = lambda rs: sorted({(r.chrom, x) for r in rs for x in range(r.start, r.stop + 1)})
+    spans = df.select("chrom", F.col("pos").alias("start"), "stop", "id")
+    merged = intervals.merged(spans, ["chrom"]).collect()
+    assert covered(merged) == covered(spans.collect()) and sum(r.stop - r.start + 1 for r in merged) == len(covered(merged))
+    odd, even = spans.filter("id % 2 = 1"), spans.filter("id % 2 = 0")
+    assert covered(intervals.minus(even, odd, ["chrom"]).collect()) == sorted(set(covered(even.collect())) - set(covered(odd.collect())))
+    small = {r.id: r.edge for r in recalibrate.edges(df).collect()}
+    monkeypatch.setattr(blocks, "WIDTH", 100_000)
+    assert small == {r.id: r.edge for r in recalibrate.edges(df).collect()}

@@ -6,9 +6,11 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from varigrid.operators import blocks
+
 _OPS = re.compile(r"(\d+)([MIDNSHP=X])")
 
 
@@ -85,11 +87,10 @@ def found(reads: DataFrame, min_q: int = 20, mnvs: bool = False, most_length: in
 
 
 def spans(candidates: DataFrame, reach: int = 1) -> DataFrame:
-    """Adds ``span``: runs of candidates (chrom, pos, ref) that touch or overlap, so that what may be made one shares a group."""
-    order = Window.partitionBy("chrom").orderBy("pos", "ref", "alt")
-    end = F.max(F.col("pos") + F.length("ref") - 1).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    new = F.when(end.isNull() | (F.col("pos") > end + reach), 1).otherwise(0)
-    return candidates.withColumn("_new", new).withColumn("span", F.sum("_new").over(order)).drop("_new")
+    """Adds ``span``, its first place: runs of candidates (chrom, pos, ref) that touch or overlap, so that what may be made one shares a group."""
+    rows = blocks.running(candidates, ["chrom"], "pos", ["pos", "ref", "alt"], F.col("pos") + F.length("ref") - 1, "_end")
+    opened = F.when(F.col("_end").isNull() | (F.col("pos") > F.col("_end") + reach), F.col("pos"))
+    return blocks.running(rows, ["chrom"], "pos", ["pos", "ref", "alt"], opened, "span", own=True).drop("_end")
 
 
 def collapsed(candidates: DataFrame, ratio: float = 0.5, least_frequency: float = 0.0) -> DataFrame:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from varigrid.operators import blocks
+
 #: Width of the bins that range joins meet in.
 BIN = 1000
 
@@ -63,10 +65,10 @@ def overlapping(a: DataFrame, b: DataFrame, by: list[str] | None = None, bin_wid
 def merged(intervals: DataFrame, by: list[str] | None = None) -> DataFrame:
     """The union as disjoint intervals (by, start, stop); touching ones stay apart unless they share a place."""
     by = by or []
-    order = Window.partitionBy(*by).orderBy("start", "stop")
-    before = F.max("stop").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    opened = F.when(before.isNull() | (F.col("start") > before), 1).otherwise(0)
-    runs = intervals.select(*by, "start", "stop").withColumn("_new", opened).withColumn("_run", F.sum("_new").over(order))
+    rows = blocks.running(intervals.select(*by, "start", "stop"), by, "start", ["start", "stop"], F.col("stop"), "_before")
+    opened = F.when(F.col("_before").isNull() | (F.col("start") > F.col("_before")), F.col("start"))
+    # an interval belongs to the last one opened
+    runs = blocks.running(rows, by, "start", ["start", "stop"], opened, "_run", own=True)
     return runs.groupBy(*by, "_run").agg(F.min("start").alias("start"), F.max("stop").alias("stop")).drop("_run")
 
 
@@ -79,12 +81,13 @@ def minus(intervals: DataFrame, excluded: DataFrame, by: list[str] | None = None
     by = by or []
     edge = lambda df, a, b: df.filter("stop >= start").select(*by, F.col("start").alias("at"), F.lit(a).alias("on"), F.lit(b).alias("off")).union(df.filter("stop >= start").select(*by, F.col("stop") + 1, F.lit(-a), F.lit(-b)))
     edges = edge(intervals, 1, 0).union(edge(excluded, 0, 1)).groupBy(*by, "at").agg(F.sum("on").alias("on"), F.sum("off").alias("off"))
-    order = Window.partitionBy(*by).orderBy("at")
-    swept = edges.select(*by, "at", F.sum("on").over(order).alias("on"), F.sum("off").over(order).alias("off"), F.lead("at").over(order).alias("next"))
-    pieces = swept.filter("on > 0 and off = 0 and next is not null").select(*by, F.col("at").alias("start"), (F.col("next") - 1).alias("stop"))
+    swept = blocks.running(edges, by, "at", ["at"], F.col("on"), "_on", "sum", own=True)
+    swept = blocks.following(blocks.running(swept, by, "at", ["at"], F.col("off"), "_off", "sum", own=True), by, "at", "next")
+    pieces = swept.filter("_on > 0 and _off = 0 and next is not null").select(*by, F.col("at").alias("start"), (F.col("next") - 1).alias("stop"))
     # pieces that only a change of cover separates belong together
-    new = F.when(F.col("start") - 1 == F.lag("stop").over(Window.partitionBy(*by).orderBy("start")), 0).otherwise(1)
-    runs = pieces.withColumn("_new", new).withColumn("_run", F.sum("_new").over(Window.partitionBy(*by).orderBy("start")))
+    rows = blocks.running(pieces, by, "start", ["start"], F.col("stop"), "_before")
+    opened = F.when(F.col("_before").isNull() | (F.col("start") - 1 != F.col("_before")), F.col("start"))
+    runs = blocks.running(rows, by, "start", ["start"], opened, "_run", own=True)
     return runs.groupBy(*by, "_run").agg(F.min("start").alias("start"), F.max("stop").alias("stop")).drop("_run")
 
 

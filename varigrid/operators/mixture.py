@@ -6,9 +6,10 @@ import math
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from varigrid.operators import blocks
 from varigrid.operators.genotype import SNV_MEANS, SNV_PRIORS, scaled_depth
 
 
@@ -74,7 +75,6 @@ def fit_pairs(ad: np.ndarray, dp: np.ndarray, weight: np.ndarray, means: tuple,
 
 def outside_deletions(calls: DataFrame) -> DataFrame:
     """Calls (chrom, pos, ref, alt) that no deletion before them has taken the place of."""
-    order = Window.partitionBy("chrom").orderBy("pos", "ref", "alt").rowsBetween(Window.unboundedPreceding, -1)
     end = F.when(F.length("ref") > F.length("alt"), F.col("pos") + F.length("ref") - 1)
-    shadow = F.max(end).over(order)
-    return calls.withColumn("_shadow", shadow).filter(F.col("_shadow").isNull() | (F.col("pos") > F.col("_shadow"))).drop("_shadow")
+    shaded = blocks.running(calls, ["chrom"], "pos", ["pos", "ref", "alt"], end, "_shadow")
+    return shaded.filter(F.col("_shadow").isNull() | (F.col("pos") > F.col("_shadow"))).drop("_shadow")

@@ -6,15 +6,17 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from varigrid.operators import blocks
+
 #: Neighbours are nearer than this.
 GAP = 50
 
 
 def neighborhoods(sites: DataFrame, gap: int = GAP) -> DataFrame:
     """Adds ``nbhd`` to sites (chrom, pos): runs in which each is less than ``gap`` from the one before; lone sites go."""
-    order = Window.partitionBy("chrom").orderBy("pos")
-    far = F.col("pos") - F.lag("pos").over(order) >= gap
-    runs = sites.withColumn("nbhd", F.sum(F.coalesce(far.cast("int"), F.lit(1))).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = blocks.running(sites, ["chrom"], "pos", ["pos"], F.col("pos"), "_before")
+    new = F.when(F.col("pos") - F.col("_before") < gap, 0).otherwise(1)
+    runs = blocks.running(rows, ["chrom"], "pos", ["pos"], new, "nbhd", "sum", own=True).drop("_before")
     return runs.withColumn("_n", F.count("*").over(Window.partitionBy("chrom", "nbhd"))).filter("_n >= 2").drop("_n")
 
 

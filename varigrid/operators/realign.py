@@ -90,8 +90,9 @@ def bins(reads: DataFrame, width: int = 500) -> DataFrame:
 def messy_bins(counts: DataFrame, mess: float = 0.03, indel: float = 0.01, depth: int = 5) -> DataFrame:
     """Adds ``usable`` to bins: enough depth, indels and mess there or in a bin beside."""
     own = ((F.col("messy") + F.col("indel")) / F.col("n") >= mess) & (F.col("indel") / F.col("n") >= indel) & (F.col("n") >= depth)
-    order = Window.partitionBy("chrom").orderBy("bin").rangeBetween(-1, 1)
-    return counts.withColumn("own", own).withColumn("usable", F.max(F.col("own").cast("int")).over(order) == 1)
+    rows = counts.withColumn("own", own)
+    beside = rows.filter("own").select("chrom", F.explode(F.array(F.col("bin") - 1, F.col("bin"), F.col("bin") + 1)).alias("bin")).distinct().withColumn("usable", F.lit(True))
+    return rows.join(beside, ["chrom", "bin"], "left").withColumn("usable", F.coalesce("usable", F.lit(False)))
 
 
 def alignment_score(mismatches: Column, indels: Column, clipped: Column, anchor: Column, weights: tuple[int, int, int, int] = (-2, -3, -1, 0)) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from varigrid.functions import stats
+from varigrid.operators import blocks
 
 BASES = "ACGT"
 #: The twelve substitutions, in alphabetical order.
@@ -64,13 +65,15 @@ def edges(loci: DataFrame, extent: int = 4) -> DataFrame:
     Rows count in order of position; a missing neighbour, a gap in positions,
     or half the coverage and less on either side makes an edge.
     """
-    order = Window.partitionBy("chrom").orderBy("pos")
+    # a neighbour beyond ``extent`` places makes an edge wherever it is, so blocks need no more of each other
+    near = blocks.with_halo(loci, "pos", extent)
+    order = Window.partitionBy("chrom", "block").orderBy("pos")
     risk = F.lit(False)
     for k in range(1, extent + 1):
         for shift, far in ((F.lag, lambda p, k=k: F.col("pos") - p > k), (F.lead, lambda p, k=k: p - F.col("pos") > k)):
             pos, dp = shift("pos", k).over(order), shift("dp", k).over(order)
             risk = risk | pos.isNull() | far(pos) | (dp < 0.5 * F.col("dp"))
-    return loci.withColumn("edge", F.when(F.col("dp") == 0, False).otherwise(risk))
+    return near.withColumn("edge", F.when(F.col("dp") == 0, False).otherwise(risk)).filter(~F.col("halo")).drop("block", "halo")
 
 
 def edge_rates(loci: DataFrame, called: Column | None = None) -> DataFrame:
