@@ -169,6 +169,27 @@ def test_language_id_learns_and_keeps_out(spark):
     assert {r.lang_pred for r in language_id(frame(spark, odd[:1])).collect()} == {"und"}
 
 
+def test_flat_texts_get_the_likeliest_language():
+    from varigrid.llm.language import BITS, Model, em
+
+    rng = np.random.default_rng(5)
+    counts = rng.integers(0, 3, (3, 1 << BITS))
+    rare = rng.choice(1 << BITS, 400, replace=False)
+    counts[:, rare] = 0
+    counts[2, rare[:40]] = 1
+    model = Model(["aa", "bb", "cc"], counts)
+    share, likeliest = model.mixture(rare)
+    single = np.log(model.p[rare]).sum(axis=0)[:-1]
+    assert share[-1] > 0.9 and likeliest == int(np.argmax(single)) == 2
+    # proportions against a plain fixed-point search
+    p = model.p[: 1 << BITS][:, :2]
+    c = (counts[0] * 3 + counts[1]).astype(float)
+    got, _ = em(p, c, np.array([0.5, 0.5]))
+    grid = np.linspace(0.01, 0.99, 99)
+    best = grid[np.argmax([(c * np.log(p @ np.array([x, 1 - x]))).sum() for x in grid])]
+    assert abs(got[0] - best) < 0.02
+
+
 # -- secrets
 
 

@@ -19,12 +19,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """A new path in the folder that the driver and all executors share.
 
-    The folder is the session's ``spark.checkpoint.dir``.  Where that is unset,
-    as in tests on one machine, a temporary folder is taken and set.
+    The folder is the session's ``spark.checkpoint.dir``.  Where that is unset
+    on one machine, as in tests, a temporary folder is taken and set; on a cluster it is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if not held.isDefined() and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = held.get() if held.isDefined() else tempfile.mkdtemp(prefix="corpus-")
         spark.conf.set("spark.checkpoint.dir", base)
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():

@@ -42,8 +42,8 @@ class Model:
         self.p = np.ascontiguousarray(np.concatenate([p, flat]).T)
         self.logp = np.log(self.p)
 
-    def mixture(self, grams: np.ndarray) -> np.ndarray:
-        """Proportions of the languages and of the flat distribution for a text's trigrams."""
+    def mixture(self, grams: np.ndarray) -> tuple[np.ndarray, int]:
+        """Proportions of the languages and of the flat distribution for a text's trigrams, and the likeliest single language."""
         counts = np.bincount(grams, minlength=1 << BITS)
         u = np.flatnonzero(counts)
         c = counts[u].astype(np.float64)
@@ -66,7 +66,7 @@ class Model:
             members, share, best = trial, new, like
         out = np.zeros(p.shape[1])
         out[members] = share
-        return out
+        return out, int(np.argmax(single[:-1]))
 
 
 def em(p: np.ndarray, c: np.ndarray, share: np.ndarray) -> tuple[np.ndarray, float]:
@@ -116,8 +116,8 @@ def learn(labelled: DataFrame) -> Model | None:
     return Model(languages, counts.reshape(-1, 1 << BITS)[: len(languages)])
 
 
-def _mixtures(column: pa.Array, model: Model) -> Iterator[np.ndarray | None]:
-    """A text's proportions, or None for one without a letter."""
+def _mixtures(column: pa.Array, model: Model) -> Iterator[tuple[np.ndarray, int] | None]:
+    """A text's proportions and likeliest language, or None for one without a letter."""
     for stream, starts in letter_streams(column):
         grams = gram_hashes(stream, SIZE, BITS)
         for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
@@ -141,14 +141,15 @@ def identify(docs: DataFrame, model: Model | None, *keep: str) -> DataFrame:
         m = shared.value
         for batch in batches:
             names, scores, others, sets = [], [], [], []
-            for share in _mixtures(batch.column(len(keep)), m) if m else [None] * batch.num_rows:
-                if share is None:
+            for found in _mixtures(batch.column(len(keep)), m) if m else [None] * batch.num_rows:
+                if found is None:
                     names.append("und")
                     scores.append(0.0)
                     others.append(0.0)
                     sets.append([])
                     continue
-                best = int(np.argmax(share[:-1]))
+                share, likeliest = found
+                best = int(np.argmax(share[:-1])) if share[:-1].any() else likeliest
                 names.append(m.languages[best])
                 scores.append(min(1.0, float(share[best])))
                 others.append(float(share[-1]))
@@ -188,7 +189,7 @@ def with_a_language(docs: DataFrame, most_other: float = 0.5) -> DataFrame:
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            good = [m is not None and m[-1] <= most_other for m in _mixtures(batch.column(text), shared.value)]
+            good = [m is not None and m[0][-1] <= most_other for m in _mixtures(batch.column(text), shared.value)]
             yield batch.filter(pa.array(good, pa.bool_()))
 
     return docs.mapInArrow(keep, docs.schema)
