@@ -20,27 +20,33 @@ from varigrid.llm.tokenstore import token_store
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a learned language; those without a letter and those of no language go."""
+    """Documents in a learned language; those without a letter (null and empty texts too) and those of no language go.
+
+    Repeated rows and null ids stay as they are; an empty table, or one without a label, loses texts without a letter alone.
+    """
     return with_a_language(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that shares 0.8 of its five-word shingles."""
+    """One document of each group that shares 0.8 of its five-word shingles, the one of the smallest id.
+
+    Texts without a word stay, rows that repeat both id and text stay together, and null ids go where their group has an id.
+    """
     return one_of_each_group(docs, width=5, percent=80)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Documents that hold no benchmark item; null and empty texts hold none, and rows are told apart by id and text."""
     return without_benchmark(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources in equal shares, as many documents as before, shuffled."""
+    """Sources in equal shares, as many documents as before, shuffled; a null source is one, and null ids draw as one id."""
     return mixed(docs, seed=MIX_SEED).select(*docs.columns)
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The token store's documents, as read back."""
+    """The token store's documents, as read back; a null text is the end id alone, and repeated ids are documents of their own."""
     return token_store(docs, public_tokenizers.path(TOKENIZER), END_ID)
 
 
