@@ -406,14 +406,15 @@ def brute_contamination(texts, items):
     from varigrid.llm.decontaminate import COVERAGE, LEAST_WINDOWS, WINDOW
 
     kind = lambda w: "<number>" if "0" <= w < ":" else "<name>" if w[0] == "#" else "<unit>" if w[0] == "@" else w
-    readings = lambda t: ([w.removeprefix("##") for w in t], [w.replace("##", "#") for w in t])
+    known = {w for _, t in items for w in t if kind(w) == w}
+    settled = lambda t: [w if w[:2] != "##" else w[2:] if w[2:] in known else w[1:] for w in t]
     out = []
     for doc in texts:
         found = []
         for item_id, item in items:
             size = min(len(item), WINDOW)
             places, slots = {}, {}
-            for t, own in zip(readings(item), readings(doc), strict=True):
+            for t, own in ((settled(item), settled(doc)), ([w.removeprefix("##") for w in item], settled(doc))):
                 if not t or size < WINDOW and all(kind(w) != w for w in t):
                     continue
                 t_kinds, own_kinds = [*map(kind, t)], [*map(kind, own)]

@@ -2,9 +2,10 @@
 
 Texts become template tokens: lower-case words, with numbers, names (capitalised
 words) and units (after a number) as typed slots.  A capitalised word that begins a
-sentence may be either, so a text has two readings: such words as words, and as
-names.  Every window of ``WINDOW`` template tokens is hashed in both, in
-benchmark and documents alike, and they meet by a hash join.  A window of slots alone is hashed by its values instead.  Before the
+sentence is a word where the benchmark has it in lower case, else a name; the
+benchmark is also read with all such words as words, for documents without capitals.
+Every window of ``WINDOW`` template tokens is hashed, in benchmark and documents
+alike, and they meet by a hash join.  A window of slots alone is hashed by its values instead.  Before the
 join, a bitmap of bounded size over the benchmark's hashes drops nearly all windows of documents
 inside their rows.  Windows of one document and item that lie as far apart in both
 belong to one occurrence, and an occurrence counts only if its slots are
@@ -62,23 +63,24 @@ def template(word: Column) -> Column:
     return F.when((word >= "0") & (word < ":"), "<number>").when(word.startswith("#"), "<name>").when(word.startswith("@"), "<unit>").otherwise(word)
 
 
-def readings(tokens: Column) -> tuple[Column, Column]:
-    """The tokens with ``##`` words as words and as names; the second is empty where it is the first."""
-    open_ = lambda t: t.startswith("##")
-    words = F.transform(tokens, lambda t: F.when(open_(t), F.substr(t, F.lit(3))).otherwise(t))
-    names = F.transform(tokens, lambda t: F.when(open_(t), F.substr(t, F.lit(2))).otherwise(t))
-    return words, F.when(F.exists(tokens, open_), names).otherwise(F.array().cast("array<string>"))
+def settled(tokens: Column, vocabulary: list[str] | None) -> Column:
+    """The tokens with ``##`` ones as words where the vocabulary has them, else as names; all as words without one."""
+    word = lambda t: F.substr(t, F.lit(3))
+    either = (lambda t: word(t)) if vocabulary is None else (lambda t: F.when(word(t).isin(vocabulary), word(t)).otherwise(F.substr(t, F.lit(2))))
+    return F.transform(tokens, lambda t: F.when(t.startswith("##"), either(t)).otherwise(t))
 
 
-#: The two readings' columns.
-READINGS = ("words", "names")
+def vocabulary(benchmark: DataFrame) -> list[str]:
+    """The words that the benchmark has in lower case: as many as it has different ones, ascending."""
+    each = benchmark.select(F.explode(F.array_distinct(tokens(F.col("text")))).alias("w")).distinct()
+    return sorted(r["w"] for r in each.filter(template(F.col("w")) == F.col("w")).collect())
 
 
-def _read(rows: DataFrame) -> DataFrame:
-    """Adds the two readings of ``text`` and, per token of them, its kind."""
+def _read(rows: DataFrame, *vocabularies: list[str] | None) -> DataFrame:
+    """Adds ``r0``, ``r1`` and so on, the tokens of ``text`` under each vocabulary, and per token of them its kind."""
     rows = rows.withColumn("tokens", tokens(F.col("text")))
-    rows = rows.withColumns(dict(zip(READINGS, readings(F.col("tokens")), strict=True)))
-    return rows.withColumns({f"{r}_kind": F.transform(r, _kind) for r in READINGS})
+    rows = rows.withColumns({f"r{i}": settled(F.col("tokens"), v) for i, v in enumerate(vocabularies)})
+    return rows.withColumns({f"r{i}_kind": F.transform(f"r{i}", _kind) for i in range(len(vocabularies))})
 
 
 def _kind(word: Column) -> Column:
@@ -105,12 +107,12 @@ def _places(reading: str, size: int) -> Column:
     return F.sequence(F.lit(0), F.size(reading) - size)
 
 
-def windows(benchmark: DataFrame) -> DataFrame:
-    """(item_id, windows, at, size, hash, words): the items' windows in both readings, and how many places of windows an item has.
+def windows(benchmark: DataFrame, words: list[str]) -> DataFrame:
+    """(item_id, windows, at, size, hash, words): the items' windows under a vocabulary and with all as words, and how many places of windows an item has.
 
     An item shorter than a window is one, if it has a plain word; items without a token have none.
     """
-    items = _read(benchmark.select("item_id", "text"))
+    items = _read(benchmark.select("item_id", "text"), words, None)
 
     def found(reading: str) -> Column:
         out = F.when(F.size(reading) >= WINDOW, _cut(reading, WINDOW, _places(reading, WINDOW), "at", "words"))
@@ -120,7 +122,7 @@ def windows(benchmark: DataFrame) -> DataFrame:
         return out.otherwise(F.array().cast("array<struct<at:int,size:int,hash:bigint,words:array<string>>>"))
 
     n = F.greatest(F.size("tokens") - WINDOW + 1, F.lit(1)).alias("windows")
-    return items.select("item_id", n, F.explode(F.concat(*map(found, READINGS))).alias("x")).select("item_id", "windows", "x.*").distinct()
+    return items.select("item_id", n, F.explode(F.concat(found("r0"), found("r1"))).alias("x")).select("item_id", "windows", "x.*").distinct()
 
 
 def bitmap(hashes: DataFrame) -> tuple[int, Column]:
@@ -147,22 +149,24 @@ def _may_be(value: Column, bits: int, words: Column) -> Column:
 
 def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, text_hash, item_id): documents, by id and text, and the items they contain."""
-    bench = stored(windows(benchmark.select("item_id", "text").distinct()))
+    items = benchmark.select("item_id", "text").distinct()
+    known = vocabulary(items)
+    bench = stored(windows(items, known))
     n, sizes = bench.count(), sorted(r["size"] for r in bench.select("size").distinct().collect())  # WINDOW sizes at most
     if not n:
         kind = benchmark.schema["item_id"].dataType
         return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.lit(None).cast(kind).alias("item_id")).filter(F.lit(False))
     bits, words = bitmap(bench.select("hash").distinct())
-    read = _read(docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")).drop("text")
-    hits = {(r, size): f"hits_{r}_{size}" for r in READINGS for size in sizes}
-    for (r, size), name in hits.items():
+    read = _read(docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text"), known).drop("text")
+    r, hits = "r0", {size: f"hits_{size}" for size in sizes}
+    for size, name in hits.items():
         # all hashes first, each worked out once
         every = F.when(F.size(r) >= size, F.transform(_places(r, size), lambda i: _hash(r, i, size))).otherwise(F.array().cast("array<bigint>"))  # noqa: B023
         read = read.withColumn("_all", every)
         numbered = F.transform("_all", lambda h, i: F.when(_may_be(h, bits, words), i))
         read = read.withColumn(name, F.array_compact(numbered)).drop("_all")
     # the words of the windows that may match, and only theirs; a filter on the hits would work all columns out once more
-    own = read.select("doc_id", "text_hash", F.explode(F.concat(*[_cut(r, size, F.col(name), "from", "own") for (r, size), name in hits.items()])).alias("x")).select("doc_id", "text_hash", "x.*")
+    own = read.select("doc_id", "text_hash", F.explode(F.concat(*[_cut(r, size, F.col(name), "from", "own") for size, name in hits.items()])).alias("x")).select("doc_id", "text_hash", "x.*")
     met = own.join(F.broadcast(bench) if n <= MOST_BROADCAST else bench, ["hash", "size"])
     alike = F.array_join(F.transform("own", template), " ") == F.array_join(F.transform("words", template), " ")
     met = met.filter(alike & ((F.col("own") == F.col("words")) | F.exists("own", lambda w: template(w) == w)))
