@@ -39,16 +39,27 @@ class Classifier:
 
 def _present(column: pa.Array, chosen: np.ndarray | None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """For runs of texts: their number, and (text, bucket) of every feature present, each once."""
+    stamp = np.zeros(1 << BITS, np.int64)
     for stream, starts in letter_streams(column):
         n = len(starts) - 1
-        found = []
+        # the text that each place belongs to; what comes after the last text's start of the next is none's
+        of = np.repeat(np.arange(n + 1), np.append(np.diff(starts), len(stream) - starts[n]))
+        parts = []
         for size, buckets in gram_ladder(stream, LEAST, MOST, BITS):
             at = np.flatnonzero(chosen[buckets]) if chosen is not None else np.arange(len(buckets))
-            doc = np.searchsorted(starts, at, "right") - 1
+            doc = of[at]
             inside = (doc < n) & (at + size <= starts[np.minimum(doc, n - 1) + 1] + 1)
-            found.append(np.unique(doc[inside] << BITS | buckets[at[inside]]))
-        keys = np.unique(np.concatenate(found))
-        yield n, keys >> BITS, keys & (1 << BITS) - 1
+            doc, found = doc[inside], buckets[at[inside]]
+            parts.append((np.searchsorted(doc, np.arange(n + 1)).tolist(), found))
+        sizes, held = [], []
+        for d in range(n):
+            b = np.concatenate([found[ends[d] : ends[d + 1]] for ends, found in parts])
+            # of a bucket's places in the text the one that was stamped last stays
+            k = np.arange(len(b))
+            stamp[b] = k
+            held.append(b[stamp[b] == k])
+            sizes.append(len(held[-1]))
+        yield n, np.repeat(np.arange(n), sizes), np.concatenate(held)
 
 
 def sample_of(labels: DataFrame, per_class: int) -> DataFrame:
