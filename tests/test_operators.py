@@ -174,6 +174,26 @@ def test_collapse_and_reallocation(spark):
     assert rows(candidates.reallocated(failed), "pos", "ref", "alt", "support") == [(10, "AC", "GT", 13), (12, "G", "T", 4), (30, "A", "G", 2), (31, "C", "G", 2)]
 
 
+def test_spans_are_whole_where_batches_end_inside(spark):
+    from varigrid.operators import candidates
+
+    data = [(c, 100 * i + j, "ACG"[j], "T", 2 + j, j > 0) for c in "xy" for i in range(40) for j in range(3)]
+    data += [(c, 100 * i, "ACG", "TTT", 5, False) for c in "xy" for i in range(0, 40, 2)]
+    alleles = spark.createDataFrame(data, "chrom string, pos long, ref string, alt string, support long, callable boolean")
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before, results = spark.conf.get(name), []
+    try:
+        for n in ("10000", "1", "3"):
+            spark.conf.set(name, n)
+            results.append(rows(candidates.reallocated(alleles), "chrom", "pos", "ref", "alt", "support"))
+    finally:
+        spark.conf.set(name, before)
+    # the long allele's support goes to its callable parts, and to the base left over
+    expected = sorted((c, 100 * i + j, "ACG"[j], "T", 2 + j + (5 if i % 2 == 0 else 0)) for c in "xy" for i in range(40) for j in range(3))
+    assert results[0] == expected and results[1] == expected and results[2] == expected
+    assert rows(candidates.reallocated(alleles.limit(0)), "chrom") == []
+
+
 def test_realignment_accepts_fewer_mismatches(spark):
     from varigrid.operators import realign
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -93,6 +93,31 @@ def spans(candidates: DataFrame, reach: int = 1) -> DataFrame:
     return blocks.running(rows, ["chrom"], "pos", ["pos", "ref", "alt"], opened, "span", own=True).drop("_end")
 
 
+def by_span(rows: DataFrame, work: Callable[[list[dict]], list[tuple]], schema: str) -> DataFrame:
+    """What ``work`` makes of the rows of each (chrom, span), a dictionary a row.
+
+    Most spans hold a few rows, so a task goes through its spans in order and
+    keeps one of them at a time.
+    """
+    names = [f.split()[0] for f in schema.split(", ")]
+
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, held = None, []
+        for batch in batches:
+            made = []
+            for r in batch.to_dict("records"):
+                if held and (r["chrom"], r["span"]) != key:
+                    made += work(held)
+                    held = []
+                key = r["chrom"], r["span"]
+                held.append(r)
+            yield pd.DataFrame(made, columns=names)
+        if held:
+            yield pd.DataFrame(work(held), columns=names)
+
+    return rows.repartition("chrom", "span").sortWithinPartitions("chrom", "span").mapInPandas(each, schema)
+
+
 def collapsed(candidates: DataFrame, ratio: float = 0.5, least_frequency: float = 0.0) -> DataFrame:
     """Open-ended candidates (chrom, pos, ref, alt, open_left, open_right, support, coverage) given to longer ones that hold them.
 
@@ -123,8 +148,7 @@ def collapsed(candidates: DataFrame, ratio: float = 0.5, least_frequency: float
             return t["pos"] == r["pos"] and t["alt"].endswith(r["alt"][1:])
         return t["pos"] + len(t["alt"]) == r["pos"] + len(r["alt"]) and t["alt"].endswith(r["alt"])
 
-    def one(group: pd.DataFrame) -> pd.DataFrame:
-        rows = group.to_dict("records")
+    def one(rows: list[dict]) -> list[tuple]:
         turn = sorted((r for r in rows if r["open_left"] or r["open_right"]), key=lambda r: (-size(r), not (r["open_left"] and r["open_right"]), r["ref"], r["alt"], r["support"], r["open_right"], r["open_left"], r["pos"]))
         there = {id(r): r for r in rows}
         for r in turn:
@@ -136,10 +160,10 @@ def collapsed(candidates: DataFrame, ratio: float = 0.5, least_frequency: float
                 t["open_left"], t["open_right"] = t["open_left"] and r["open_left"], t["open_right"] and r["open_right"]
                 del there[id(r)]
         kept = sorted(there.values(), key=lambda r: (r["pos"], r["ref"], r["alt"], r["open_left"], r["open_right"]))
-        return pd.DataFrame(kept, columns=group.columns)[["chrom", "pos", "ref", "alt", "open_left", "open_right", "support", "coverage"]]
+        return [tuple(r[c] for c in ("chrom", "pos", "ref", "alt", "open_left", "open_right", "support", "coverage")) for r in kept]
 
     schema = "chrom string, pos long, ref string, alt string, open_left boolean, open_right boolean, support long, coverage long"
-    return spans(candidates).select("chrom", "span", "pos", "ref", "alt", "open_left", "open_right", "support", "coverage").groupBy("chrom", "span").applyInPandas(one, schema)
+    return by_span(spans(candidates).select("chrom", "span", "pos", "ref", "alt", "open_left", "open_right", "support", "coverage"), one, schema)
 
 
 def reallocated(alleles: DataFrame) -> DataFrame:
@@ -150,8 +174,8 @@ def reallocated(alleles: DataFrame) -> DataFrame:
     substitutions of their own.
     """
 
-    def one(group: pd.DataFrame) -> pd.DataFrame:
-        held = {(int(r.pos), r.ref, r.alt): [int(r.support), bool(r.callable)] for r in group.itertuples()}
+    def one(rows: list[dict]) -> list[tuple]:
+        held = {(r["pos"], r["ref"], r["alt"]): [r["support"], r["callable"]] for r in rows}
         failed = sorted((k for k, v in held.items() if len(k[1]) > 1 and len(k[1]) == len(k[2]) and not v[1]), key=lambda k: (k[0], -len(k[1]), -held[k][0], k[2]))
         for k in failed:
             support = held.pop(k)[0]
@@ -171,8 +195,7 @@ def reallocated(alleles: DataFrame) -> DataFrame:
                     for i, (r, a) in enumerate(zip(ref, alt, strict=True)):
                         if r != a:
                             held.setdefault((pos + i, r, a), [0, False])[0] += support
-        chrom = group.chrom.iloc[0]
-        return pd.DataFrame([(chrom, *k, v[0], v[1]) for k, v in sorted(held.items())], columns=["chrom", "pos", "ref", "alt", "support", "callable"])
+        return [(rows[0]["chrom"], *k, *v) for k, v in sorted(held.items())]
 
     schema = "chrom string, pos long, ref string, alt string, support long, callable boolean"
-    return spans(alleles).select("chrom", "span", "pos", "ref", "alt", "support", "callable").groupBy("chrom", "span").applyInPandas(one, schema)
+    return by_span(spans(alleles).select("chrom", "span", "pos", "ref", "alt", "support", "callable"), one, schema)
