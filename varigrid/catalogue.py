@@ -648,9 +648,10 @@ def uncrush_rows(spark, sf_dir):
 
 @query()
 def candidates_found(spark, sf_dir):
-    # reads of 40 letters lie along the whole text, 60 letters apart; a stretch's rest of under 60 has no room for one
-    whole = seqs(spark, sf_dir).filter("length(s) >= 60")
-    s = whole.select("doc_id", F.explode(F.sequence(F.lit(0), F.floor(F.length("s") / 60).cast("int") - 1)).alias("i"), "s").select("doc_id", F.expr("substr(s, i * 60 + 1, 60)").alias("s"), "i")
+    # reads of 40 letters one after another; a read with a deletion lies on 42, and the last read's 42 end with the text
+    whole = seqs(spark, sf_dir).filter("length(s) >= 42")
+    starts = F.expr("array_distinct(concat(sequence(0, length(s) - 42, 40), array(length(s) - 42)))")
+    s = whole.select("doc_id", "s", F.posexplode(starts).alias("i", "at")).select("doc_id", F.expr("substr(s, at + 1, 60)").alias("s"), "i")
     rows = s.select(
         (F.col("doc_id") % 3).cast("string").alias("chrom"), (F.col("doc_id") % 40 + 1 + F.col("i") * 90 + F.expr("doc_id div 40") * 1_000_000).cast("long").alias("pos"), F.when(F.col("doc_id") % 5 == 0, "20M2I18M").when(F.col("doc_id") % 5 == 1, "20M2D20M").otherwise("40M").alias("cigar"),
         F.substring("s", 1, 40).alias("bases"), F.transform(F.sequence(F.lit(1), F.lit(40)), lambda i: (i * 7 + F.col("doc_id")).cast("int") % 41).alias("quals"), F.translate(F.substring("s", 1, 60), "A", "C").alias("reference"), (F.col("doc_id") % 2).cast("int").alias("dir"))
