@@ -284,3 +284,68 @@ def test_blocks_give_what_whole_windows_do(spark, monkeypatch):
     small = {r.id: r.edge for r in recalibrate.edges(df).collect()}
     monkeypatch.setattr(blocks, "WIDTH", 100_000)
     assert small == {r.id: r.edge for r in recalibrate.edges(df).collect()}
+
+
+def test_forced_alleles_beside_found_ones(spark):
+    from varigrid.operators import genotype, phasing
+
+    calls = spark.createDataFrame(
+        [("c", 1, "A", "A", "0/0", 30, False, False), ("c", 1, "A", "T", "./.", 9, False, True), ("c", 2, "A", "T", "0/1", 40, False, False), ("c", 2, "A", "T", "./.", 9, False, True), ("c", 2, "A", "G", "./.", 9, False, True), ("c", 3, "A", "G", "./.", 9, False, True)],
+        "chrom string, pos long, ref string, alt string, genotype string, gq int, no_call boolean, forced boolean",
+    )
+    assert rows(phasing.reconciled(calls), "pos", "alt", "forced") == [(1, "A", False), (1, "T", True), (2, "G", True), (2, "T", False), (3, "G", True)]
+    assert rows(genotype.forced_genotypes(calls), "pos", "alt", "forced", "genotype", "gq") == [(1, "A", False, "0/0", 30), (1, "T", True, "0/0", 30), (2, "G", True, "*/*", 40), (2, "T", False, "0/1", 40), (2, "T", True, "*/*", 40), (3, "G", True, "./.", 0)]
+
+
+def test_two_alternatives_by_all_products(spark):
+    from math import comb, log10
+
+    from varigrid.operators.genotype import SNV_MEANS, two_alternatives
+
+    counts = [(20, 1, 0), (10, 12, 0), (0, 15, 14), (1, 30, 1), (0, 0, 0), (5, 5, 30)]
+    df = spark.createDataFrame([(list(c), sum(c)) for c in counts] + [([1, 2, 3], 7), ([1, 2, 3], 501)], "n array<long>, dp long")
+    found = [r.r for r in df.select(two_alternatives(F.col("n"), F.col("dp")).alias("r")).collect()]
+    for (a, b, c), r in zip(counts, found[:-2], strict=True):
+        each = []
+        for second, first in ((0, 0), (0, 1), (0, 2), (1, 0), (1, 1), (2, 0)):
+            p, q = SNV_MEANS[first], SNV_MEANS[second]
+            rest = 1 - p - q if 1 - p - q > 0 else 1 - SNV_MEANS[2]
+            each.append(comb(a + b + c, a) * comb(b + c, b) * rest**a * p**b * q**c * (0.99 if first == second == 0 else 0.002))
+        assert r.posteriors == pytest.approx([min(100, -10 * log10(x / sum(each))) for x in each], abs=1e-6)
+        assert r.gq == min(100, round(-10 * log10((sum(each) - each[4]) / sum(each)))) if each[4] < 0.999 * sum(each) else r.gq > 25
+    assert found[-2] is None and found[-1].gq == 100 and found[-1].posteriors == [100, 100, 100, 100, 0, 100]
+
+
+def test_mates_that_disagree(spark):
+    from varigrid.operators.realign import mates_disagree, unshared
+
+    indel = "array<struct<before:bigint,after:bigint,kind:string,len:int,terminal:boolean>>"
+    read = f"struct<pos:bigint,stop:bigint,nm:int,backward:boolean,indels:{indel}>"
+    ins, longer, far = (10, 11, "I", 3, False), (10, 11, "I", 5, False), (500, 501, "D", 2, False)
+    cases = [
+        (((1, 50, 3, False, [ins]), (1, 50, 3, True, [ins])), False),  # the same
+        (((1, 50, 3, False, [ins]), (1, 50, 5, True, [longer])), True),
+        (((1, 50, 3, False, [ins]), (1, 50, 5, True, [(10, 11, "I", 5, True)])), True),  # the longer one at an end says nothing
+        (((1, 50, 3, False, [(10, 11, "I", 3, True)]), (1, 50, 5, True, [longer])), False),
+        (((1, 50, 0, False, []), (400, 600, 2, True, [far])), False),  # not covered
+        (((1, 50, 9, False, []), (1, 50, 9, True, [ins])), False),  # none is good
+        (((1, 50, 0, False, []), (1, 50, 9, True, [far, ins])), True),
+        (((1, 50, None, False, []), (1, 50, None, True, [ins])), False),
+    ]
+    df = spark.createDataFrame([(*c[0],) for c in cases], f"a {read}, b {read}")
+    assert [r[0] for r in df.select(mates_disagree(F.col("a"), F.col("b"))).collect()] == [c[1] for c in cases]
+    lone = df.limit(1).select(F.size(unshared(F.col("a.indels"), F.array().cast(indel))))
+    assert lone.first()[0] == 1
+
+
+def test_directions_and_bridges(spark):
+    from varigrid.functions.sequence import bridge_anchored, sketchy_anchor, support_direction
+
+    dirs = [0, 0, 2, 2, 1, 1]
+    asked = [("snv", 2, 1, 2), ("deletion", 0, 1, 0), ("deletion", 6, 1, 1), ("deletion", 2, 1, 0), ("deletion", 4, 2, 1), ("deletion", 3, 2, 2), ("mnv", 0, 2, 0), ("mnv", 1, 2, 2), ("insertion", 4, 2, 1)]
+    df = spark.createDataFrame([(*a, dirs) for a in asked], "kind string, at int, n int, expected int, dirs array<int>")
+    assert all(r[0] == r[1] for r in df.select(support_direction(F.col("kind"), F.col("at"), F.col("n"), F.col("dirs")), "expected").collect())
+    texts = spark.createDataFrame([("AACGTT", [0, 2, 2, 2, 2, 1], True), ("AATATT", [0, 2, 2, 2, 2, 1], False), ("AAAATT", [2, 2, 2, 2, 1, 1], False), ("AAAATT", [2, 2, 2, 1, 1, 1], True)], "s string, d array<int>, expected boolean")
+    assert all(r[0] == r[1] for r in texts.select(bridge_anchored(F.col("s"), F.col("d")), "expected").collect())
+    ends = spark.createDataFrame([("GCATATA", "AT", 1, True), ("GCATATG", "AT", 1, False), ("GC", "AT", 1, False)], "s string, u string, at int, expected boolean")
+    assert all(r[0] == r[1] for r in ends.select(sketchy_anchor(F.col("s"), F.col("u"), F.col("at")), "expected").collect())

@@ -238,3 +238,57 @@ def indels_of_key(key: Column) -> Column:
 def wildcard_equal(a: Column, b: Column) -> Column:
     """Whether two strings of one length agree wherever neither has N."""
     return (F.length(a) == F.length(b)) & (hamming(a, b) == 0)
+
+
+def support_direction(kind: Column, start: Column, length: Column, dirs: Column) -> Column:
+    """Direction (0, 1 or 2) in which a read supports an allele whose first base is at ``start`` (0-based) of the read.
+
+    ``kind`` is snv, reference, deletion, insertion or mnv.  A deletion takes the direction of the
+    base before it, of the one after it where that is 2; longer alleles are 2 if any of their
+    bases is.  Null where a direction changes inside an allele without a base of direction 2.
+    """
+    at = lambda i: F.get(dirs, i)
+    inside = F.slice(dirs, start + 1, F.greatest(length, F.lit(1)))
+    first, last = F.get(inside, F.lit(0)), F.get(F.reverse(inside), F.lit(0))
+    through = F.when(F.exists(inside, lambda d: d == 2), 2).when(first == last, first)
+    gap = F.when(start == 0, at(F.lit(0))).when(start == F.size(dirs), at(F.size(dirs) - 1)).when(at(start - 1) == 2, at(start)).otherwise(at(start - 1))
+    return F.when(kind.isin("snv", "reference"), at(start)).when(kind == "deletion", gap).otherwise(through)
+
+
+def bridge_anchored(bases: Column, dirs: Column) -> Column:
+    """Whether what two mates share says where they belong: three bases at most, or no repeat of a unit of up to three."""
+    letters = F.split(bases, "")
+    shared = F.array_join(F.filter(F.zip_with(letters, dirs, lambda b, d: F.when(d == 2, b)), lambda b: b.isNotNull()), "")
+    return (F.length(shared) <= 3) | ~tandem(shared)
+
+
+def repeat_with_unit(context: Column, at: Column, bases: Column, most_unit: int = 5) -> Column:
+    """(n, unit): the most consecutive copies of a prefix or suffix of ``bases`` through a place (1-based) of a context.
+
+    Of units with as many copies a prefix comes before a suffix, a longer one before a shorter.
+    """
+    sizes = range(most_unit, 0, -1)
+    units = [F.when(F.length(bases) >= k, f(bases, F.lit(k))) for f in (F.left, F.right) for k in sizes]
+    tried = F.array_compact(F.array(*[F.when(u.isNotNull(), F.struct(repeat_context(context, at, u).alias("n"), F.lit(-i).alias("order"), u.alias("unit"))) for i, u in enumerate(units)]))
+    best = F.array_max(tried)
+    return F.struct(F.coalesce(best["n"], F.lit(0)).alias("n"), F.when(best["n"] > 0, best["unit"]).otherwise("").alias("unit"))
+
+
+def flanked_by_repeats(bases: Column, unit: Column, at: Column) -> Column:
+    """Whether a deletion's unit stands on both sides of it in a read, whose base before the deletion is at ``at`` (0-based)."""
+    k = F.length(unit)
+    return (at >= k) & (F.substring(bases, at + 2 - k, k) == unit) & (F.substring(bases, at + 2, k) == unit)
+
+
+def sketchy_anchor(bases: Column, unit: Column, at: Column) -> Column:
+    """Whether all of a read on one side of a deletion is its unit over and over, cut off at the read's end.
+
+    ``at`` (0-based) is the base before the deletion.  Steps of a unit's length to the left count only
+    where a whole unit fits before the read's end; the last one, shorter than a unit, is held against the unit's end.
+    """
+    n, k = F.length(bases), F.length(unit)
+    rest = F.substring(bases, at + 2, n)
+    right = (F.length(rest) > 0) & (rest == F.left(F.repeat(unit, (F.floor(n / k) + 1).cast("int")), F.length(rest)))
+    steps = F.filter(F.sequence(at + 1, F.lit(1), -k), lambda i: i + k < n)
+    left = (F.size(steps) > 0) & F.forall(steps, lambda i: F.substring(bases, i, F.least(i, k)) == F.right(unit, F.least(i, k)))
+    return right | left

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -111,3 +112,60 @@ def pruned(rows: DataFrame, genotype: str = "genotype") -> DataFrame:
     allowed = F.when(F.col(genotype) == "1/2", 2).when(F.col(genotype).isin("0/0", "0/."), 0).otherwise(1)
     order = Window.partitionBy("chrom", "pos").orderBy(F.desc("vf"), "ref", "alt")
     return rows.withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= allowed).drop("_rank")
+
+
+def forced_genotypes(calls: DataFrame) -> DataFrame:
+    """Calls (chrom, pos, ref, alt, genotype, gq, no_call, forced) of diploid loci with what forced alleles take from the others.
+
+    A forced allele is 0/0 beside a reference call, ./. beside a no-call or nothing, else */*.  At a locus
+    with one, all have the least quality of those not forced, 0 without any.
+    """
+    own = ~F.col("forced")
+    locus = calls.groupBy("chrom", "pos").agg(
+        F.max("forced").alias("_any"), F.coalesce(F.max(F.when(own, F.col("ref") == F.col("alt"))), F.lit(False)).alias("_ref"),
+        F.coalesce(F.max(F.when(own, F.col("no_call"))), F.lit(True)).alias("_none"), F.coalesce(F.min(F.when(own, F.col("gq"))), F.lit(0)).alias("_least"),
+    )
+    given = F.when(F.col("_none"), "./.").when(F.col("_ref"), "0/0").otherwise("*/*")
+    rows = calls.join(locus, ["chrom", "pos"])
+    rows = rows.withColumns({"genotype": F.when(F.col("forced"), given).otherwise(F.col("genotype")), "gq": F.when(F.col("_any"), F.col("_least")).otherwise(F.col("gq"))})
+    return rows.drop("_any", "_ref", "_none", "_least")
+
+
+def fitted_or(calls: DataFrame, fitted: DataFrame, columns: list[str]) -> DataFrame:
+    """Calls (chrom, pos) with the fitted model's columns where it has the locus, else their own."""
+    known = fitted.select("chrom", "pos", *[F.col(c).alias(f"_{c}") for c in columns])
+    rows = calls.join(known, ["chrom", "pos"], "left")
+    return rows.withColumns({c: F.coalesce(f"_{c}", c) for c in columns}).drop(*[f"_{c}" for c in columns])
+
+
+#: Depth beyond which two alternatives' quality isn't worked out, the most it can be, and the prior of two references.
+MOST_TWO_DEPTH, MOST_GQ, REFERENCE_PRIOR = 500, 100.0, 0.99
+
+
+def two_alternatives(counts: Column, depth: Column, means: tuple = (SNV_MEANS, SNV_MEANS)) -> Column:
+    """(gq, posteriors) of a locus with two alternatives, from the reads of [reference, first, second].
+
+    The six states are, by the first alternative's copies under none of the second: 0, 1, 2; under one: 0, 1;
+    under two: 0.  Posteriors are qualities.  The depth must be the counts' sum: null otherwise.  Beyond
+    ``MOST_TWO_DEPTH`` reads all are the most, that of one copy of each 0.
+    """
+    logs = []
+    for second, first in ((0, 0), (0, 1), (0, 2), (1, 0), (1, 1), (2, 0)):
+        p1, p2 = means[0][first], means[1][second]
+        rest = 1 - p1 - p2
+        if rest <= 0:
+            rest = 1 - p1 if first == 2 else 1 - p2 if second == 2 else 1 - means[0][2]
+        prior = REFERENCE_PRIOR if first == second == 0 else (1 - REFERENCE_PRIOR) / 5
+        term = F.lit(math.log(prior))
+        for i, p in enumerate((rest, p1, p2)):
+            term = term + F.get(counts, F.lit(i)) * F.lit(math.log(p))
+        logs.append(term)
+    top = F.greatest(*logs)
+    shares = F.transform(F.array(*logs), lambda x: F.exp(x - top))
+    total = F.aggregate(shares, F.lit(0.0), lambda a, x: a + x)
+    q = lambda p: F.when(p < 1e-300, MOST_GQ).otherwise(F.least(F.lit(MOST_GQ), -10 * F.log10(p)))
+    others = F.aggregate(F.filter(shares, lambda _, i: i != 4), F.lit(0.0), lambda a, x: a + x)
+    worked = F.struct(F.bround(q(others / total)).cast("int").alias("gq"), F.transform(shares, lambda x: q(x / total)).alias("posteriors"))
+    most = F.struct(F.lit(int(MOST_GQ)).alias("gq"), F.array(*[F.lit(0.0 if i == 4 else MOST_GQ) for i in range(6)]).alias("posteriors"))
+    whole = F.aggregate(counts, F.lit(0).cast("long"), lambda a, x: a + x) == depth
+    return F.when(depth > MOST_TWO_DEPTH, most).when(whole, worked)

@@ -103,3 +103,41 @@ def classified(pairs: DataFrame) -> DataFrame:
         .when(soft("r1") | soft("r2"), "clipped").otherwise("mismatched")
     )
     return pairs.withColumn("kind", kind)
+
+
+def pair_status(considered_length: int | None = None) -> Column:
+    """What a read (flag, ref, mate_ref, fragment) says of its pair: ids of contigs, -1 for none.
+
+    split_chromosomes, mate_unmapped, duplicate, long_fragment (only with a ``considered_length``: no
+    overlap can be expected beyond twice of it) or unknown.
+    """
+    flag, ref, mate = F.col("flag"), F.col("ref"), F.col("mate_ref")
+    lost = (has(flag, MATE_UNMAPPED) & (ref == -1)) | (has(flag, UNMAPPED) & (mate == -1))
+    status = F.when(has(flag, PAIRED) & (ref != mate), "split_chromosomes").when(lost, "mate_unmapped").when(has(flag, DUPLICATE), "duplicate")
+    if considered_length is not None:
+        near = (ref == mate) & (F.abs("fragment") <= 2 * considered_length)
+        status = status.when(has(flag, PAIRED) & ~near, "long_fragment")
+    return status.otherwise("unknown")
+
+
+def pair_source(reads: DataFrame, proper_only: bool = False, considered_length: int | None = None) -> DataFrame:
+    """Primary reads, proper ones only if asked, with their ``status``."""
+    flag = F.col("flag")
+    keep = ~has(flag, SUPPLEMENTARY) & ~has(flag, SECONDARY)
+    if proper_only:
+        keep = keep & has(flag, PROPER)
+    return reads.filter(keep).withColumn("status", pair_status(considered_length))
+
+
+def apart(r1: Column, r2: Column, clips_count: bool = True) -> Column:
+    """Whether two reads (chrom, pos, stop, start_clip, end_clip) don't overlap.
+
+    With ``clips_count`` the outer end of a read's clipped bases inside the other's aligned ones is an overlap.
+    """
+    same = r1["chrom"] == r2["chrom"]
+    overlap = same & (r1["pos"] <= r2["stop"]) & (r2["pos"] <= r1["stop"])
+    if not clips_count:
+        return ~overlap
+    def reaches(a: Column, b: Column) -> Column:
+        return same & ((a["pos"] - a["start_clip"]).between(b["pos"], b["stop"]) | (a["stop"] + a["end_clip"]).between(b["pos"], b["stop"]))
+    return ~(overlap | reaches(r1, r2) | reaches(r2, r1))

@@ -6,7 +6,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from varigrid.operators import blocks
+from varigrid.operators import blocks, intervals
+from varigrid.operators.pairs import DUPLICATE, PROPER, has
 
 #: Neighbours are nearer than this.
 GAP = 50
@@ -177,3 +178,53 @@ def clipped_support(calls: DataFrame, clips: DataFrame) -> DataFrame:
     back = keyed.join(c.filter("not _at_end"), (keyed["chrom"] == c["chrom"]) & (keyed["_end"] == c["_at"]) & (F.col("alt").endswith(F.col("_bases")) | F.col("_bases").endswith(F.col("alt")))).drop(c["chrom"])
     more = forward.unionByName(back).groupBy("chrom", "pos", "alt").agg(F.count("*").alias("_n"))
     return calls.join(more, ["chrom", "pos", "alt"], "left").withColumn("support", F.col("support") + F.coalesce("_n", F.lit(0))).drop("_n")
+
+
+def reads_near(reads: DataFrame, regions: DataFrame, min_mapq: int = 1, duplicates: bool = False, proper_only: bool = False, look_ahead: int = 0) -> DataFrame:
+    """Pairs (a, b) of a read (chrom, start, stop, flag, mapq) and a neighborhood (chrom, first, last) whose reads it is one of.
+
+    It ends no earlier than the first place and begins no later than ``look_ahead`` after the last.
+    """
+    keep = F.col("mapq") >= min_mapq
+    if not duplicates:
+        keep = keep & ~has(F.col("flag"), DUPLICATE)
+    if proper_only:
+        keep = keep & has(F.col("flag"), PROPER)
+    wide = regions.withColumns({"start": F.col("first"), "stop": F.col("last") + look_ahead})
+    return intervals.overlapping(reads.filter(keep), wide, ["chrom"])
+
+
+def clipped_within(read: Column, first: Column, last: Column) -> Column:
+    """Whether a read (start, stop, start_clip, end_clip) is soft-clipped at a place from ``first`` to ``last``."""
+    return ((read["start_clip"] > 0) & read["start"].between(first, last)) | ((read["end_clip"] > 0) & read["stop"].between(first, last))
+
+
+def first_neighborhoods(regions: DataFrame, most: int) -> DataFrame:
+    """The first neighborhoods by chromosome and place: a limit for looking into a run."""
+    return regions.orderBy("chrom", "first").limit(most)
+
+
+def merged_sites(members: DataFrame, by: list[str]) -> DataFrame:
+    """(by, ref, alt): per site what its last member (member, ref, alt) knows; N is unknown."""
+    known = lambda c: F.coalesce(F.max_by(c, F.when(F.col(c) != "N", F.col("member"))), F.lit("N")).alias(c)
+    return members.groupBy(*by).agg(known("ref"), known("alt"))
+
+
+def without_worst(clusters: DataFrame, most: int, by: list[str]) -> DataFrame:
+    """Clusters (weight) without those of the least weight of their group, if these are ``most`` or fewer."""
+    least = clusters.groupBy(*by).agg(F.min("weight").alias("_least"))
+    ties = clusters.join(least, by).filter("weight = _least").groupBy(*by).agg(F.min("weight").alias("_least"), F.count("*").alias("_ties"))
+    kept = (F.col("weight") > F.col("_least")) | (F.col("_ties") > most)
+    return clusters.join(ties, by).filter(kept).drop("_least", "_ties")
+
+
+def reconciled(calls: DataFrame) -> DataFrame:
+    """Calls (chrom, pos, ref, alt, forced) without forced alleles that were found anyway.
+
+    A locus where nothing but the reference was found keeps its forced alleles all.
+    """
+    found = calls.filter(~F.col("forced"))
+    variant = found.groupBy("chrom", "pos").agg(F.max(F.col("ref") != F.col("alt")).alias("_variant"))
+    same = found.select("chrom", "pos", "ref", "alt").distinct().withColumn("_same", F.lit(True))
+    seen = calls.join(same, ["chrom", "pos", "ref", "alt"], "left").join(variant, ["chrom", "pos"], "left")
+    return seen.filter(~F.coalesce(F.col("forced") & F.col("_same") & F.col("_variant"), F.lit(False))).drop("_same", "_variant")

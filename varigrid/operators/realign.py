@@ -118,3 +118,75 @@ def realigned(reads: DataFrame, candidates: DataFrame, reference: DataFrame) ->
     order = Window.partitionBy("read", "chrom").orderBy("mismatches", F.desc("score"), "indel_pos", "ref", "alt")
     best = tried.withColumn("_n", F.row_number().over(order)).filter("_n = 1")
     return best.select("read", "indel_pos", "ref", "alt", "mismatches", "original", (F.col("mismatches") < F.col("original")).alias("accepted"))
+
+
+def compared(a: Column, b: Column) -> Column:
+    """1, 0 or -1 as alignment ``a`` (mismatches, clipped, indels) is better than ``b``, as good or worse.
+
+    One mismatch and no indel beats several indels; else mismatches count first, then clipped bases, then indels.
+    """
+    plain = lambda x: (x["mismatches"] == 1) & (x["indels"] == 0)
+    order = F.when(plain(a) & (b["indels"] > 1), 1).when(plain(b) & (a["indels"] > 1), -1)
+    for c in ("mismatches", "clipped", "indels"):
+        order = order.when(a[c] < b[c], 1).when(a[c] > b[c], -1)
+    return order.otherwise(0)
+
+
+# How many mismatches a realignment may make and leave, and how many it must save.
+MADE, LEFT, SAVED = 1, 2, 3
+SHORT_BASES, LONG_BASES = 3, 9
+
+
+def improves(new: Column, old: Column) -> Column:
+    """Whether a realignment ``new`` (mismatches, shared, indels, indel_bases, frequent) is to replace ``old`` (mismatches, indels, indel_bases).
+
+    Mismatches include clipped bases; ``shared`` of them are also the old alignment's.  A clean one wins but for one
+    indel in place of one mismatch.  Short indels must make none; long or frequent ones need to save one less.
+    """
+    saved, made = old["mismatches"] - new["mismatches"], new["mismatches"] - new["shared"]
+    clean = F.when((new["indels"] == 1) & (old["mismatches"] == 1) & (old["indels"] == 0), False).otherwise((old["indels"] > 0) | (saved >= 1))
+    short = (made <= MADE - 1) & (new["mismatches"] <= LEFT - 1) & (saved >= SAVED)
+    preferred = (new["indel_bases"] - old["indel_bases"] >= LONG_BASES) | new["frequent"]
+    other = (made <= MADE) & (new["mismatches"] <= LEFT) & ((saved >= SAVED) | (preferred & (saved >= SAVED - 1)))
+    return F.when(new["mismatches"] == 0, clean).when(new["indel_bases"] <= SHORT_BASES, short).otherwise(other)
+
+
+def pair_indels(first: Column, second: Column, specific: bool = True) -> Column:
+    """The indels of both mates as one array; null if mates are realigned without regard to each other."""
+    if not specific:
+        return F.lit(None)
+    empty = F.filter(F.coalesce(first, second), lambda _: F.lit(False))
+    return F.concat(F.coalesce(first, empty), F.coalesce(second, empty))
+
+
+def unshared(own: Column, other: Column) -> Column:
+    """Those of a read's indels (before, after, kind, len, terminal) that its mate's don't hold.
+
+    Deletions between the same places are one.  An insertion that differs in length from the mate's first
+    one there is the same only if the shorter of them is at its read's end.
+    """
+    def held(x: Column) -> Column:
+        same = F.get(F.filter(other, lambda y: (y["before"] == x["before"]) & (y["after"] == x["after"]) & (y["kind"] == x["kind"])), F.lit(0))
+        ends = (same["len"] == x["len"]) | ((same["len"] < x["len"]) & same["terminal"]) | ((x["len"] < same["len"]) & x["terminal"])
+        return same.isNotNull() & ((x["kind"] != "I") | ends)
+
+    return F.filter(own, lambda x: ~held(x))
+
+
+def covered_by(indels: Column, backward: Column, mate: Column) -> Column:
+    """The place before the first indel, from the last one for a read that goes ``backward``, whose surroundings the mate (pos, stop) covers."""
+    seen = F.filter(indels, lambda x: x["before"].between(mate["pos"], mate["stop"]) & x["after"].between(mate["pos"], mate["stop"]))
+    return F.get(F.when(backward, F.reverse(seen)).otherwise(seen), F.lit(0))["before"]
+
+
+def mates_disagree(r1: Column, r2: Column, allowed: int = 1) -> Column:
+    """Whether mates (pos, stop, nm, backward, indels) contradict each other: one covers an indel of the other that it doesn't hold.
+
+    One of them must be good: ``allowed`` mismatches at most beside its indels, and no more with them unless it has one indel only.
+    """
+    def good(r: Column) -> Column:
+        within = F.aggregate(r["indels"], F.lit(0), lambda a, x: a + x["len"])
+        return (r["nm"] - within <= allowed) & ((r["nm"] <= allowed) | (F.size(r["indels"]) <= 1))
+
+    seen = covered_by(unshared(r2["indels"], r1["indels"]), r2["backward"], r1).isNotNull() | covered_by(unshared(r1["indels"], r2["indels"]), r1["backward"], r2).isNotNull()
+    return F.coalesce((good(r1) | good(r2)) & seen, F.lit(False))
