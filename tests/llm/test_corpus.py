@@ -108,6 +108,54 @@ def test_links_are_counted_across_blocks_and_tiles(spark, monkeypatch):
     assert got == expected and len({x[2] for x in got.values()}) > 5
 
 
+def test_rows_of_a_shingle_meet_once_each_across_blocks(spark, monkeypatch):
+    from varigrid.llm import jaccard
+
+    monkeypatch.setattr(jaccard, "BLOCK_ROWS", 4)
+    rng = random.Random(4)
+    rows = []
+    for token, (n, comps) in enumerate([(3, 2), (4, 3), (5, 1), (30, 2), (30, 9), (41, 41)]):
+        rows += [(token, 100, 0, bytes([token, i]) * 8, bytes([rng.randrange(comps) if comps < n else i]), bytes(8)) for i in range(n)]
+    postings = spark.createDataFrame(rows, "token long, n long, pos int, cls binary, comp binary, odd binary")
+    expected = {(bytes(x[3]), bytes(y[3])) for x in rows for y in rows if x[0] == y[0] and x[3] < y[3] and x[4] != y[4]}
+    got = [(bytes(r.a), bytes(r.b)) for r in jaccard._meetings(postings, 80, True).collect()]
+    assert set(got) == expected and len(got) == len(expected)
+    dealt = jaccard._dealt(postings, True)
+    # a pair of rows of different components shares one part only, in which their sides let them meet
+    shared = dealt.alias("x").join(dealt.alias("y"), ["token", "part"]).filter("x.cls < y.cls and x.comp <> y.comp and (x.side is null or x.side <> y.side)")
+    assert shared.count() == len(expected)
+    assert dealt.groupBy("token", "part").count().agg({"count": "max"}).first()[0] < 25
+    blocks = jaccard._dealt(postings, False).groupBy("token", "part").count()
+    assert blocks.filter("token < 2").count() == 2 and blocks.filter("token = 5").count() == 22
+
+
+def test_jaccard_components_with_crowded_shingles(spark, monkeypatch):
+    from varigrid.llm import jaccard
+
+    monkeypatch.setattr(jaccard, "BLOCK_ROWS", 3)
+    texts = near_copies(9)
+    expected = brute_components(list(enumerate(texts)), 3, 80)
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.n_links) for r in jaccard.jaccard_components(docs(spark, texts), 3, 80).collect()}
+    assert got == expected
+
+
+def test_company_is_judged_alike_in_any_batches():
+    import pyarrow as pa
+
+    from varigrid.llm import jaccard
+
+    rng = random.Random(2)
+    rows = sorted((token, rng.randrange(1, 4000), 0, f"{token}-{i}".encode()) for token, n in enumerate([1, 5, 1, 700, 2, 300, 90, 1]) for i in range(n))
+    whole = pa.RecordBatch.from_arrays([pa.array([r[3] for r in rows]), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int32()), pa.array([r[0] for r in rows], pa.int64())], ["cls", "n", "pos", "token"])
+    kept = lambda batches: [x for b in jaccard._with_company(99)(iter(batches)) for x in b.column(0).to_pylist()]
+    first = kept([whole])
+    by_token = {t: [r for r in rows if r[0] == t] for t in range(8)}
+    expected = [r[3] for t in range(8) for r in by_token[t] if any(x is not r and 100 * min(x[1], r[1]) >= 99 * max(x[1], r[1]) for x in by_token[t])]
+    assert first == expected
+    for size in (1, 7, 130, 260):
+        assert kept([whole.slice(i, size) for i in range(0, len(rows), size)]) == first
+
+
 def test_jaccard_nulls_repeats_and_empty(spark):
     from varigrid.llm.jaccard import jaccard_components, one_of_each_group
 

@@ -22,6 +22,9 @@ So in a first round a class meets only its neighbours, by size, and the classes
 at places 0, 1, 2, 4, 8 and so on under each of its prefix shingles: about
 log n meetings of each of n.  The second round makes all meetings of classes that are not
 yet in one component, which is what the components still depend on.
+
+The rows of a shingle in more than ``BLOCK_ROWS`` prefixes are dealt to blocks (``_dealt``), so that no
+task holds them all, in either round.
 """
 
 from __future__ import annotations
@@ -130,16 +133,59 @@ def _type(df: DataFrame, name: str) -> str:
     return df.schema[name].dataType.simpleString()
 
 
+#: Rows of one shingle that meet in a task; more are dealt to blocks of about so many.
+BLOCK_ROWS = 1000
+#: Shingles with blocks that are broadcast; more are joined by a shuffle.
+MOST_BROADCAST = 100_000
+
+
+def _crowded(counts: DataFrame, postings: DataFrame) -> DataFrame:
+    """``postings`` with the columns of ``counts`` (token, ...), null for other tokens."""
+    counts = stored(counts)
+    few = counts.count() <= MOST_BROADCAST
+    return postings.join(F.broadcast(counts) if few else counts, "token", "left")
+
+
+def _dealt(postings: DataFrame, whole: bool) -> DataFrame:
+    """``postings`` with part and side: rows of a token meet inside parts, those of a side with other sides only; null is no side.
+
+    A token of up to ``BLOCK_ROWS`` rows is one part.  In the first round a larger one's rows are dealt to
+    blocks twice, by two hashes, so that what no block links is linked by way of others.  In the
+    second, the token's largest component and the rest go to blocks of their own: blocks of the
+    former meet blocks of the latter, and those each other, each pair of rows in one part.
+    """
+    sizes = postings.groupBy("token").agg(F.count("*").alias("rows")).filter(F.col("rows") > BLOCK_ROWS)
+    blocks = lambda n: F.ceil(n / BLOCK_ROWS).cast("long")
+    if not whole:
+        rows = _crowded(sizes.select("token", blocks(F.col("rows")).alias("k")), postings)
+        parts = [F.pmod(F.xxhash64("cls", "token", F.lit(i)), "k") + i * F.col("k") for i in range(2)]
+        rows = rows.withColumn("part", F.explode(F.when(F.col("k").isNull(), F.array(F.lit(0).cast("long"))).otherwise(F.array(*parts))))
+        return rows.withColumn("side", F.lit(None).cast("long")).drop("k")
+    each = postings.join(sizes, "token", "left_semi").groupBy("token", "comp").agg(F.count("*").alias("rows"))
+    each = each.groupBy("token").agg(F.max_by("comp", F.struct("rows", "comp")).alias("main"), F.max("rows").alias("most"), F.sum("rows").alias("rows"))
+    rows = _crowded(each.select("token", "main", blocks(F.col("most")).alias("k"), blocks(F.col("rows") - F.col("most")).alias("m")), postings)
+    # a token of one component has no blocks of others, and nobody to meet
+    rows = rows.filter("m is null or m > 0").withColumn("own", F.expr("pmod(xxhash64(cls, token), if(comp = main, k, m))"))
+    at = lambda part, side: F.struct(part.alias("part"), side.cast("long").alias("side"))
+    own, k, m, null = F.col("own"), F.col("k"), F.col("m"), F.lit(None)
+    each_of = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
+    of_main = F.transform(each_of(m), lambda j: at(own * m + j, F.lit(1)))
+    with_main = F.transform(each_of(k), lambda i: at(i * m + own, F.lit(0)))
+    with_rest = F.transform(each_of(m), lambda j: at(k * m + F.least(own, j) * m + F.greatest(own, j), F.when(own != j, (own > j).cast("long"))))
+    places = F.when(m.isNull(), F.array(at(F.lit(0).cast("long"), null))).when(F.col("comp") == F.col("main"), of_main).otherwise(F.concat(with_main, with_rest))
+    return rows.withColumn("place", F.explode(places)).select("token", "n", "pos", "cls", "comp", "odd", "place.part", "place.side")
+
+
 def _meetings(postings: DataFrame, percent: int, whole: bool) -> DataFrame:
     """(a, b): classes under one shingle that the length, positional and suffix filters let meet.
 
-    ``postings`` (token, n, pos, cls, comp, odd) come grouped by token and sorted by n.
+    ``postings`` (token, n, pos, cls, comp, odd) come grouped by token and part and sorted by n.
     A group's rows are held only as far as their sizes allow a link.
     """
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token, seen, hubs, recent = None, 0, [], []
-        by_comp: dict[bytes, list] = {}
+        group, seen, hubs, recent = None, 0, [], []
+        by_comp: dict[tuple, deque] = {}
         known: set[bytes] = set()
         left: list[bytes] = []
         right: list[bytes] = []
@@ -166,20 +212,20 @@ def _meetings(postings: DataFrame, percent: int, whole: bool) -> DataFrame:
             return out
 
         for batch in batches:
-            rows = zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True)
-            for t, *row in rows:
-                if t != token:
-                    token, seen, hubs, recent = t, 0, [], []
+            rows = zip(*(batch.column(i).to_pylist() for i in range(8)), strict=True)
+            for token, part, side, *row in rows:
+                if (token, part) != group:
+                    group, seen, hubs, recent = (token, part), 0, [], []
                     by_comp.clear()
                 if whole:
-                    for comp, members in by_comp.items():
-                        if comp != row[3]:
+                    for (other, comp), members in by_comp.items():
+                        if comp != row[3] and (side is None or other != side):
                             while members and 100 * members[0][0] < percent * row[0]:
                                 members.popleft()
                             for x in members:
                                 if fits(x, row):
                                     pair(x, row)
-                    by_comp.setdefault(row[3], deque()).append(row)
+                    by_comp.setdefault((side, row[3]), deque()).append(row)
                 else:
                     for x in {id(x): x for x in (*hubs, *recent)}.values():
                         if fits(x, row):
@@ -193,7 +239,8 @@ def _meetings(postings: DataFrame, percent: int, whole: bool) -> DataFrame:
         if left:
             yield flush()
 
-    ordered = postings.select("token", "n", "pos", "cls", "comp", "odd").repartition("token").sortWithinPartitions("token", "n", "cls")
+    rows = _dealt(postings, whole).select("token", "part", "side", "n", "pos", "cls", "comp", "odd")
+    ordered = rows.repartition("token", "part").sortWithinPartitions("token", "part", "n", "cls")
     return ordered.mapInArrow(meet, "a binary, b binary").distinct()
 
 
@@ -425,39 +472,46 @@ def _with_company(percent: int):
     and positional filters let meet some other row; in a large group, those that
     the length filter lets meet a neighbour."""
 
-    def usable(n: np.ndarray, pos: np.ndarray) -> np.ndarray:
-        if len(n) > SMALL:
-            near = 100 * n[:-1] >= percent * n[1:]
-            return np.append(near, False) | np.append(False, near)
+    def near(n: np.ndarray, before: int | None) -> np.ndarray:
+        close = 100 * n[:-1] >= percent * n[1:]
+        return np.append(close, False) | np.append(before is not None and 100 * before >= percent * n[0], close)
+
+    def usable(n: np.ndarray, pos: np.ndarray, before: int | None) -> np.ndarray:
+        if before is not None or len(n) > SMALL:
+            return near(n, before)
         a, b = n[:, None], n[None, :]
         good = (100 * np.minimum(a, b) >= percent * np.maximum(a, b)) & (np.minimum(a - pos[:, None], b - pos[None, :]) >= least_overlap(a, b, percent))
         np.fill_diagonal(good, False)
         return good.any(axis=1)
 
     def filtered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []  # the rows of the last token so far
+        held, before = None, None  # the last token's rows not judged yet, and the size of the one before them
         for batch in batches:
             if not batch.num_rows:
                 continue
-            whole = pa.Table.from_batches([*held, batch]).combine_chunks().to_batches()[0]
+            whole = batch if held is None else pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
             token = whole.column(3).to_numpy()
-            if held and token[0] == token[-1]:
-                held.append(batch)  # a group longer than a batch
-                continue
             last = len(token) - int(np.argmax(token[::-1] != token[-1])) if token[0] != token[-1] else 0
-            held = [whole.slice(last)]
             if last:
-                yield select(whole.slice(0, last))
-        if held:
-            yield select(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
-
-    def select(rows: pa.RecordBatch) -> pa.RecordBatch:
+                yield select(whole.slice(0, last), before)
+                before = None
+            held = whole.slice(last)
+            if held.num_rows > 2 * SMALL:
+                # a large group: all but its last row, whose next neighbour may come yet
+                n = held.column(1).to_numpy().astype(np.int64)
+                yield held.slice(0, len(n) - 1).filter(pa.array(near(n, before)[:-1]))
+                held, before = held.slice(len(n) - 1), int(n[-2])
+        if held is not None:
+            yield select(held, before)
+
+    def select(rows: pa.RecordBatch, before: int | None) -> pa.RecordBatch:
         n, pos, token = (rows.column(i).to_numpy().astype(np.int64) for i in (1, 2, 3))
         edges = np.flatnonzero(token[1:] != token[:-1]) + 1
         starts, ends = np.append(0, edges), np.append(edges, len(token))
+        some = (ends - starts > 1) | ((starts == 0) & (before is not None))
         keep = np.zeros(len(token), bool)
-        for a, b in zip(starts[ends - starts > 1].tolist(), ends[ends - starts > 1].tolist(), strict=True):
-            keep[a:b] = usable(n[a:b], pos[a:b])
+        for a, b in zip(starts[some].tolist(), ends[some].tolist(), strict=True):
+            keep[a:b] = usable(n[a:b], pos[a:b], before if a == 0 else None)
         return rows.filter(pa.array(keep))
 
     return filtered
