@@ -8,16 +8,19 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from varigrid.llm.collocations import collocations, collocations_sql
 from varigrid.llm.common import shared_dir, table
 from varigrid.llm.decontaminate import contamination
 from varigrid.llm.fingerprint import fingerprints
 from varigrid.llm.jaccard import jaccard_components
 from varigrid.llm.language import language_id
 from varigrid.llm.mixing import mixed, rates_sql
+from varigrid.llm.personal import personal_data
 from varigrid.llm.secrets import secrets
 from varigrid.llm.shards import sharded
 from varigrid.llm.tokenstore import token_store
 from varigrid.llm.toxicity import toxicity
+from varigrid.llm.treaps import ranked, ranked_sql
 from varigrid.llm.webtext import main_text
 
 #: The tokenizer of the token store and the id that closes a document.
@@ -71,6 +74,21 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each language's 2,000 phrases of 2 or 3 words with the best weakest cut; a null text has no words, an empty table no rows."""
+    return collocations(table(spark, sf_dir, "documents"), max_n=3, least=10, share=50, top=2000)
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents of each benchmark item; a text without a term is never found, repeated rows are ranked one by one."""
+    return ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
+
+
+def op13_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of personal data of each document; a null text has none, repeated rows repeat their result."""
+    return personal_data(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
@@ -83,6 +101,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_html_extraction": op8_html_extraction,
         "op9_source_mixing": op9_source_mixing,
         "op10_fingerprints": op10_fingerprints,
+        "op11_collocations": op11_collocations,
+        "op12_ranked_search": op12_ranked_search,
+        "op13_personal_data": op13_personal_data,
     }
 
 
@@ -90,4 +111,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op4_sharding": "SELECT doc_id, lang, source, n_chars, md5(text) AS text_md5 FROM documents",
         "op9_source_mixing": rates_sql(MIX_SEED),
+        "op11_collocations": collocations_sql(),
+        "op12_ranked_search": ranked_sql(),
     }
