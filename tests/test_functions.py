@@ -30,6 +30,51 @@ def test_poisson_and_binomial_sums(spark):
         assert cdf == pytest.approx(sum(math.comb(n, i) * 0.2**i * 0.8 ** (n - i) for i in range(k + 1)))
 
 
+def far_poisson(k, mean):
+    """P(X <= k) and P(X > k) from terms relative to the likeliest one."""
+    term, terms = 1.0, {int(mean): 1.0}
+    for i in range(int(mean), int(mean + 60 * math.sqrt(mean) + 200)):
+        term *= mean / (i + 1)
+        terms[i + 1] = term
+    term = 1.0
+    for i in range(int(mean), max(0, int(mean - 60 * math.sqrt(mean) - 100)), -1):
+        term *= i / mean
+        terms[i - 1] = term
+    whole = math.fsum(terms.values())
+    return math.fsum(v for i, v in terms.items() if i <= k) / whole, math.fsum(v for i, v in terms.items() if i > k) / whole
+
+
+def test_probabilities_at_depth(spark):
+    from varigrid.functions import stats
+
+    rows = [(int(m + d * math.sqrt(m)), m) for m in (100.0, 130.0, 200.0, 745.0, 1e3, 1e4, 3e5, 1e6) for d in (-11, -8, -6, -1, -0.1, 0, 0.1, 1, 6, 8, 12, 25)]
+    rows = [r for r in rows if r[0] >= 0] + [(1000, 0.0), (10**6, 5.0), (200, 1e9)]
+    k, m = F.col("k"), F.col("m")
+    for (k_, m_), (below, above) in zip(rows, values(spark, rows, "k long, m double", stats.poisson_cdf(k, m), stats.poisson_tail(k, m)), strict=True):
+        want = far_poisson(k_, m_) if 5 < m_ < 1e9 else (float(m_ < 10), float(m_ > 10))
+        assert below == pytest.approx(want[0], abs=1e-12) and above == pytest.approx(want[1], abs=1e-12)
+        if k_ > stats.TERMS and want[1] > 1e-100:
+            assert above == pytest.approx(want[1], rel=1e-9)
+    got = values(spark, [(1000, 2500), (990, 2500), (2499, 2500), (2500, 2500), (2400, 2500), (0, 2500), (200, 10**7), (-1, 10)], "k long, n long", stats.binomial_cdf(F.col("k"), F.col("n"), 0.4))
+    terms = [math.exp(math.lgamma(2501) - math.lgamma(i + 1) - math.lgamma(2501 - i) + i * math.log(0.4) + (2500 - i) * math.log(0.6)) for i in range(2501)]
+    assert [g[0] for g in got] == pytest.approx([math.fsum(terms[:1001]), math.fsum(terms[:991]), 1, 1, 1, 0, 0, 0], abs=1e-9)
+    got = values(spark, [(n,) for n in (0, 1, 2, 9, 170, 10**6, 10**12)], "n long", stats.log_factorial(F.col("n")))
+    assert [g[0] for g in got] == pytest.approx([math.lgamma(n + 1) for n in (0, 1, 2, 9, 170, 10**6, 10**12)], rel=1e-13)
+
+
+def test_sure_calls_stay_sure_at_depth(spark):
+    from varigrid.functions import stats
+
+    n = lambda *x: [F.lit(v).cast("long") for v in x]
+    sb = stats.strand_bias(F.array(*n(50_000, 50_000, 0)), F.array(*n(100_000, 100_000, 0)))
+    row = spark.range(1).select(
+        stats.poisson_cdf(F.lit(1000), F.lit(1000.0)).alias("a"), stats.variant_q(F.lit(2000), F.lit(100_000)).alias("b"), sb["score"].alias("c"), sb["acceptable"].alias("d"),
+        stats.amplicon_biased(F.lit(990), F.lit(0.099), F.lit(10_000), F.lit(0.1)).alias("e"),
+    )
+    assert "sequence(1, 1000000" not in row._jdf.queryExecution().toString()
+    assert (round(row.first()["a"], 4), *row.first()[1:]) == (0.5084, 100, pytest.approx(0, abs=1e-9), True, False)
+
+
 def test_variant_quality(spark):
     from varigrid.functions import stats
 

@@ -1,13 +1,16 @@
 """Statistics of base calls as Column expressions.
 
-Sums over counts are higher-order ``aggregate`` calls on a running term, so
-no factorials are formed and nothing leaves the JVM.
+Sums over few counts are higher-order ``aggregate`` calls on a running term;
+beyond that the incomplete gamma and beta functions are integrals of a fixed
+number of nodes, so that no array grows with the depth.  Nothing leaves the JVM.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -35,18 +38,94 @@ def log_scale(p: Column) -> Column:
     return F.when(p <= 0, F.lit(float("-inf"))).otherwise(10.0 * F.log10(p))
 
 
-def poisson_cdf(k: Column, mean: Column) -> Column:
-    """P(X <= k) for whole k, cut off toward zero; 0 for negative k."""
-    n = k.cast("int")
+#: Counts up to this are summed term by term; beyond it integrals of as many nodes stand for the sums.
+TERMS, NODES = 128, 40
+_AT, _WEIGHT = np.polynomial.legendre.leggauss(NODES)
+
+
+def _bound(make: Callable[[Column], Column], **columns: Column) -> Column:
+    """``make`` of a struct of the columns, which are worked out once each."""
+    held = F.array(F.struct(*[c.cast("double").alias(n) for n, c in columns.items()]))
+    return F.get(F.transform(held, make), F.lit(0))
+
+
+def _integral(low: Column, high: Column, f: Callable[[Column], Column]) -> Column:
+    """Integral of a smooth function between two bounds in either order, by Gauss and Legendre's rule."""
+    nodes = F.array(*[F.struct(F.lit(float((x + 1) / 2)).alias("x"), F.lit(float(w / 2)).alias("w")) for x, w in zip(_AT, _WEIGHT, strict=True)])
+    return F.abs(high - low) * F.aggregate(nodes, F.lit(0.0), lambda total, n: total + n["w"] * f(low + (high - low) * n["x"]))
+
+
+def _stirling_rest(n: Column) -> Column:
+    """ln n! less Stirling's formula, for n beyond TERMS."""
+    return 1.0 / (12.0 * n) - 1.0 / (360.0 * n * n * n) + 1.0 / (1260.0 * n * n * n * n * n)
+
+
+def _window(z: Column, least: Column) -> Column:
+    """Where an integral from z away from 0, in deviations, has nothing more to add."""
+    return F.when(z >= 0, F.greatest(F.lit(12.0), z + 6.0)).otherwise(F.greatest(least, F.least(F.lit(-12.0), z - 6.0)))
+
+
+def _poisson_integral(k: Column, mean: Column, beyond: bool) -> Column:
+    """P(X <= k), or P(X > k) if ``beyond``: the incomplete gamma function as an integral over means around k.
+
+    With z deviations from k the integrand is exp(-k (u - ln(1 + u))), u = z / sqrt(k), so
+    that no large numbers are taken from each other.
+    """
+
+    def made(x: Column) -> Column:
+        root = F.sqrt(x["k"])
+        return _bound(ended, k=x["k"], root=root, z=(x["mean"] - x["k"]) / root)
+
+    def ended(x: Column) -> Column:
+        least = F.lit(-1.0 + 1e-15)  # a mean of 0
+        density = lambda z: F.exp(-x["k"] * (z / x["root"] - F.log1p(F.greatest(least, z / x["root"]))))
+        side = _integral(x["z"], _window(x["z"], -x["root"]), density) * F.exp(-_stirling_rest(x["k"])) / math.sqrt(2 * math.pi)
+        return F.when((x["z"] < 0) == F.lit(beyond), side).otherwise(1.0 - side)
+
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), _bound(made, k=k, mean=mean)))
+
+
+def _poisson_sum(k: Column, mean: Column) -> Column:
     start = F.struct(F.exp(-mean).alias("p"), F.exp(-mean).alias("s"))
     step = lambda a, i: F.struct((a["p"] * mean / i).alias("p"), (a["s"] + a["p"] * mean / i).alias("s"))
-    total = F.aggregate(F.when(n >= 1, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>")), start, step, lambda a: a["s"])
-    return F.when(n < 0, 0.0).otherwise(F.least(F.lit(1.0), total))
+    return F.least(F.lit(1.0), F.aggregate(_counted(k), start, step, lambda a: a["s"]))
+
+
+def _counted(k: Column) -> Column:
+    """1 to k, for k up to TERMS."""
+    return F.when(k.between(1, TERMS), F.sequence(F.lit(1).cast("long"), k)).otherwise(F.array().cast("array<bigint>"))
+
+
+def poisson_cdf(k: Column, mean: Column) -> Column:
+    """P(X <= k) for whole k, cut off toward zero; 0 for negative k.  Costs the same at any depth."""
+    n = k.cast("long")
+    return F.when(n < 0, 0.0).when(n <= TERMS, _poisson_sum(n, mean)).otherwise(_poisson_integral(n, mean, False))
+
+
+def poisson_tail(k: Column, mean: Column) -> Column:
+    """P(X > k) for whole k; beyond TERMS small tails keep their digits."""
+    n = k.cast("long")
+    return F.when(n < 0, 1.0).when(n <= TERMS, 1.0 - _poisson_sum(n, mean)).otherwise(_poisson_integral(n, mean, True))
+
+
+def log_gamma(x: Column) -> Column:
+    """ln of the gamma function for x >= 1: Stirling's series at x + 9."""
+
+    def made(held: Column) -> Column:
+        x, y = held["x"], held["x"] + 9.0
+        shift = x
+        for i in range(1, 9):
+            shift = shift * (x + float(i))
+        inverse = 1.0 / (y * y)
+        rest = (1.0 / 12 - inverse * (1.0 / 360 - inverse * (1.0 / 1260 - inverse * (1.0 / 1680 - inverse / 1188.0)))) / y
+        return (y - 0.5) * F.log(y) - y + 0.5 * math.log(2 * math.pi) + rest - F.log(shift)
+
+    return _bound(made, x=x)
 
 
 def log_factorial(n: Column) -> Column:
-    k = n.cast("int")
-    return F.aggregate(F.when(k >= 2, F.sequence(F.lit(2), k)).otherwise(F.array().cast("array<int>")), F.lit(0.0), lambda a, i: a + F.log(i.cast("double")))
+    k = n.cast("long")
+    return F.when(k < 2, 0.0).otherwise(log_gamma(k + 1))
 
 
 def log_poisson(k: Column, mean: Column) -> Column:
@@ -55,20 +134,43 @@ def log_poisson(k: Column, mean: Column) -> Column:
 
 def log_binomial(k: Column, n: Column, p: float | Column) -> Column:
     p = F.lit(p) if isinstance(p, float) else p
-    k, n = k.cast("int"), n.cast("int")
-    low = F.least(k, n - k)
-    ways = F.aggregate(F.when(low >= 1, F.sequence(F.lit(1), low)).otherwise(F.array().cast("array<int>")), F.lit(0.0), lambda a, i: a + F.log((n - low + i).cast("double")) - F.log(i.cast("double")))
+    k, n = k.cast("long"), n.cast("long")
+    ways = F.when((k <= 0) | (k >= n), 0.0).otherwise(log_factorial(n) - log_factorial(k) - log_factorial(n - k))
     return ways + k * F.log(p) + (n - k) * F.log(1.0 - p)
 
 
-def binomial_cdf(k: Column, n: Column, p: float) -> Column:
-    """P(X <= k) of n trials."""
+def _binomial_sum(k: Column, n: Column, p: float) -> Column:
     r = p / (1 - p)
     start = F.struct(F.pow(F.lit(1 - p), n).alias("p"), F.pow(F.lit(1 - p), n).alias("s"))
     term = lambda a, i: a["p"] * (n - i + 1) / i * r
     step = lambda a, i: F.struct(term(a, i).alias("p"), (a["s"] + term(a, i)).alias("s"))
-    k = k.cast("int")
-    return F.least(F.lit(1.0), F.aggregate(F.when(k >= 1, F.sequence(F.lit(1), k)).otherwise(F.array().cast("array<int>")), start, step, lambda a: a["s"]))
+    return F.least(F.lit(1.0), F.aggregate(_counted(k), start, step, lambda a: a["s"]))
+
+
+def _binomial_integral(k: Column, n: Column, p: float) -> Column:
+    """The incomplete beta function as an integral over success rates around k / (n - 1)."""
+
+    def made(x: Column) -> Column:
+        m, rest = x["n"] - 1.0, x["n"] - 1.0 - x["k"]
+        share = x["k"] / m
+        unit = F.sqrt(x["k"] * rest / m) / m
+        return _bound(ended, m=m, k=x["k"], rest=rest, share=share, unit=unit, z=(F.lit(p) - share) / unit)
+
+    def ended(x: Column) -> Column:
+        away = lambda z: F.when((z * x["unit"] >= 1.0 - x["share"]) | (z * x["unit"] <= -x["share"]), F.lit(float("-inf")))
+        density = lambda z: F.exp(away(z).otherwise(x["k"] * F.log1p(z * x["unit"] / x["share"]) + x["rest"] * F.log1p(-z * x["unit"] / (1.0 - x["share"]))))
+        scale = F.exp(_stirling_rest(x["m"]) - _stirling_rest(x["k"]) - _stirling_rest(x["rest"])) / math.sqrt(2 * math.pi) * (x["m"] + 1.0) / x["m"]
+        side = scale * _integral(x["z"], _window(x["z"], -x["share"] / x["unit"]), density)
+        return F.when(x["z"] < 0, 1.0 - side).otherwise(side)
+
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), _bound(made, k=k, n=n)))
+
+
+def binomial_cdf(k: Column, n: Column, p: float) -> Column:
+    """P(X <= k) of n trials; costs the same for any number of them."""
+    k, n = k.cast("long"), n.cast("long")
+    few, many = _binomial_sum(k, n, p), 1.0 - _binomial_sum(n - k - 1, n, 1 - p)
+    return F.when(k < 0, 0.0).when(k >= n, 1.0).when(k <= TERMS, few).when(n - k - 1 <= TERMS, F.greatest(F.lit(0.0), many)).otherwise(_binomial_integral(k, n, p))
 
 
 def variant_q(support: Column, coverage: Column, noise_q: Column | int = 20, most: Column | int = 100) -> Column:
@@ -78,7 +180,7 @@ def variant_q(support: Column, coverage: Column, noise_q: Column | int = 20, mos
     """
     noise_q = F.lit(noise_q) if isinstance(noise_q, int) else noise_q
     mean = q_to_p(noise_q) * coverage
-    tail = 1.0 - poisson_cdf(support - 1, mean)
+    tail = poisson_tail(support - 1, mean)
     far = -10.0 * (log_poisson(support - 1, mean) - F.log(2.0 * (support - mean) / support)) / LN10
     q = F.when(tail > 1e-13, -10.0 * F.log10(tail)).otherwise(far)
     most = F.lit(most) if isinstance(most, int) else most
