@@ -688,4 +688,4 @@ def event_sessions(spark, sf_dir):
     return found.select("user_id", F.col("first").cast("timestamp_ntz").alias("first"), F.col("last").cast("timestamp_ntz").alias("last"), "n")
 
 
-from varigrid import catalogue_deep, catalogue_parts, catalogue_sites  # noqa: E402, F401  register more queries
+from varigrid import catalogue_deep, catalogue_parts, catalogue_reads, catalogue_sites  # noqa: E402, F401  register more queries
