@@ -677,12 +677,12 @@ def brute_templates(pages):
 
     from varigrid.llm.webtext import LEAST_PAGES, LEAST_REPEATED, Page
 
-    blocks, shapes = defaultdict(set), defaultdict(lambda: [set(), set(), 0, 0])
+    blocks, shapes = defaultdict(set), defaultdict(lambda: [set(), set(), 0, 0, False])
     for site, html in pages:
         page, seen = Page(html), {}
-        for _, shape, block, alone, n, links in page.subtrees():
-            seen[shape, block] = (alone, n, links)
-        for (shape, block), (alone, n, links) in seen.items():
+        for _, shape, block, alone, marked, n, links in page.subtrees():
+            seen[shape, block] = (alone, marked, n, links)
+        for (shape, block), (alone, marked, n, links) in seen.items():
             blocks[site, block].add(page.core())
             if alone:
                 had = shapes[site, shape]
@@ -690,8 +690,9 @@ def brute_templates(pages):
                 had[1].add(block)
                 had[2] += n
                 had[3] += links
+                had[4] |= marked
     out = {k for k, v in blocks.items() if len(v) >= LEAST_PAGES}
-    return out | {k for k, (p, b, n, links) in shapes.items() if len(p) >= LEAST_PAGES and (len(p) - len(b) >= LEAST_REPEATED * len(p) or 2 * links >= n)}
+    return out | {k for k, (p, b, n, links, marked) in shapes.items() if len(p) >= LEAST_PAGES and (marked or len(p) - len(b) >= LEAST_REPEATED * len(p) or 2 * links >= n)}
 
 
 def sites(seed=9):

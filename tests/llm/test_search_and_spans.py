@@ -256,3 +256,34 @@ def test_personal_data_takes_linear_time():
             found_in(unit.encode() * n + b"@")
             took.append(time.process_time() - began)
         assert took[1] < 30 * took[0] + 1
+
+
+# -- main text: what is no template stays
+
+
+@pytest.mark.parametrize("html, text", [
+    ("<article><p>Energy is <math><mi>E</mi><mo>=</mo><mi>m</mi></math> here</p></article>", "Energy is E=m here"),
+    ("<article><p>So <math><semantics><mi>x</mi><annotation encoding='t'>\\x</annotation></semantics></math>.</p></article>", "So x."),
+    ("<body><div class='social-science'><p>A study.</p></div></body>", "A study."),
+    ("<body><div class='ad-hoc'><p>A team.</p></div></body>", "A team."),
+    ("<body><div class='share-price'><p>It rose.</p></div><div class='site-footer'>c</div></body>", "It rose."),
+    ("<body><div class='related-posts'><a>x</a></div><div id='cookie-banner'>ok</div><p>Text</p></body>", "Text"),
+    ("<article><p>One</p><aside><p>A quotation of hers.</p></aside><p>Two</p></article>", "One\nA quotation of hers.\nTwo"),
+    ("<article><p>One</p><aside><a href='x'>More of this</a></aside></article>", "One"),
+    ("<article><p>One</p><aside class='ad'>Buy</aside></article>", "One"),
+    ("<aside>Side</aside><main><p>One</p></main>", "One"),
+])
+def test_article_text_stays(html, text):
+    from varigrid.llm.webtext import Page
+
+    assert Page(html).text()[0] == text
+
+
+def test_marked_elements_go_by_their_count(spark):
+    """The same class word: a footer's on many pages goes, an article's on one stays."""
+    from varigrid.llm.webtext import main_text
+
+    page = "<body><p>Text of page {0}.</p><div class='widget-of-the-day'>Tip {0} to be had</div></body>"
+    rows = [(i, f"http://many.org/{i}", page.format(i)) for i in range(12)] + [(99, "http://few.org/1", page.format(99))]
+    got = {r.page_id: r.text for r in main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == f"Text of page {i}." for i in range(12)) and got[99] == "Text of page 99.\nTip 99 to be had"

@@ -15,10 +15,14 @@ article only containers can be template, not its text blocks: a sentence that
 many articles share is still part of each.
 
 Elements whose tag or role says that they are menus, headers, footers, sidebars,
-adverts, forms or reader comments go in any case, and so do scripts and styles;
-class names and ids decide so outside the article, where a host's pages may be
-too few to tell, and inside it only those few that can mean nothing else.  What
-is left of the article is the page's text.
+adverts, forms or reader comments go in any case, and so do scripts and styles.
+An aside inside an article goes if it is template or mostly links, else it is a
+quotation.  Outside the article a class name or id of nothing but such words
+(``site-footer``, ``related posts``) decides too, where a host's pages may be too
+few to tell; one that has such a word among others (``social-science``) only
+marks its element, whose shape is then template by its count of pages alone.
+Inside the article only those few names drop that can mean nothing else.  What is
+left of the article is the page's text; formulas belong to it.
 """
 
 from __future__ import annotations
@@ -44,7 +48,7 @@ LEAST_REPEATED = 0.1
 MOST_BROADCAST = 500_000
 
 _MARKUP = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|title|textarea|iframe|svg|math)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)"
+    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|title|textarea|iframe|svg|annotation|annotation-xml)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)"
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>",
     re.S | re.I,
 )
@@ -65,6 +69,11 @@ DROPPED_WORDS = frozenset(
     " promotion banner cookie cookies consent gdpr notice notification alert popup modal overlay newsletter subscribe subscription signup login"
     " share sharing social related recommended comment comments disqus respond reply replies widget pagination pager toolbar skip".split()
 )
+#: Words that change nothing of what those say: a name of both kinds alone drops an element outside the article.
+NEUTRAL_WORDS = frozenset(
+    "site page main global primary secondary top bottom left right side sticky fixed box list links link bar block container wrapper wrap inner outer"
+    " content section area header head title text form button buttons icons icon item items group row col column posts articles stories media inline js the".split()
+)
 #: Whole class names and ids that drop elements inside an article too.
 DROPPED_INSIDE = frozenset("ad ads advert adverts advertisement advertisements sponsored comment comments comment-list user-comments cookie-notice cookie-banner newsletter-signup".split())
 #: Dropped outside an article; inside they hold its title.
@@ -86,6 +95,9 @@ class Page:
         self.parent: list[int] = [-1]
         self.dropped: list[bool] = [False]
         self.in_article: list[bool] = [False]
+        #: elements with a class word that may say so, and asides of articles
+        self.marked: set[int] = set()
+        self.asides: list[int] = []
         #: (start, end, element) of stretches of text, and (place, place, element) with None for block ends
         self.events: list[tuple] = []
         self.articles: list[int] = []
@@ -146,7 +158,7 @@ class Page:
             self.parent.append(stack[-1])
             inside = self.in_article[stack[-1]]
             self.in_article.append(inside or name == "article")
-            self.dropped.append(self._drops(name, m.group(4), inside))
+            self.dropped.append(self._drops(k, name, m.group(4), inside))
             if name == "article":
                 self.articles.append(k)
             elif name == "main":
@@ -164,8 +176,8 @@ class Page:
             self.end[k] = at
         del stack[depth:]
 
-    def _drops(self, name: str, attributes: str, inside: bool) -> bool:
-        out = name in DROPPED or name == HEADER and not inside
+    def _drops(self, k: int, name: str, attributes: str, inside: bool) -> bool:
+        out = name in DROPPED and not (inside and name == "aside") or name == HEADER and not inside
         names: list[str] = []
         for what, *value in _NAMES.findall(attributes) if attributes and attributes.strip(" /") else ():
             what, value = what.lower(), "".join(value).lower()
@@ -178,10 +190,28 @@ class Page:
             if inside:
                 out |= not DROPPED_INSIDE.isdisjoint(names)
             else:
-                parts = {w for x in names for w in re.split(r"[^a-z0-9]+", x)}
-                out |= not DROPPED_WORDS.isdisjoint(parts) or "header" in parts
+                for x in names:
+                    parts = {w for w in re.split(r"[^a-z0-9]+", x) if w}
+                    says = parts & DROPPED_WORDS or parts & {"header"}
+                    out |= bool(says) and parts <= DROPPED_WORDS | NEUTRAL_WORDS
+                    if says:
+                        self.marked.add(k)
+        if inside and name == "aside" and not out:
+            self.asides.append(k)
         return out
 
+    def _linked(self, k: int) -> bool:
+        """Whether most letters of an element are in links."""
+        letters = linked = 0
+        for s, e, at in self.events:
+            if s is not None and s >= self.start[k] and e <= self.end[k]:
+                n = len("".join(self.html[s:e].split()))
+                letters += n
+                while at > k and self.tag[at] != "a":
+                    at = self.parent[at]
+                linked += n * (at > k)
+        return 2 * linked > letters
+
     def shapes(self) -> list[int]:
         """A hash of every element's tags and class names; inline elements stand for what they hold."""
         held: list[list[bytes]] = [[] for _ in self.tag]
@@ -198,8 +228,8 @@ class Page:
             into.append(digest)
         return out
 
-    def subtrees(self) -> Iterator[tuple[int, int, int, bool, int, int]]:
-        """(element, shape, block, whether the shape alone may be template, letters of text, those in links) of all that can be template."""
+    def subtrees(self) -> Iterator[tuple[int, int, int, bool, bool, int, int]]:
+        """(element, shape, block, whether the shape alone may be template, whether it is marked, letters of text, those in links) of all that can be template."""
         roots = self._inside(self.articles or self.mains)
         shapes = self.shapes()
         pieces, places, letters, linked = [], [], [0], [0]
@@ -220,8 +250,9 @@ class Page:
                 continue
             a, b = bisect_left(places, self.start[k]), bisect_left(places, self.end[k])
             block = xxhash.xxh3_64_intdigest(f"{shapes[k]} {' '.join(pieces[a:b])}".encode("utf-8", "surrogatepass"))
-            alone = not roots[k] and t not in TEXT_BLOCK and (bool(self.names[k]) or t in DROPPED or t == HEADER)
-            yield k, shapes[k], block, alone, letters[b] - letters[a], linked[b] - linked[a]
+            marked = not roots[k] and k in self.marked
+            alone = marked or not roots[k] and t not in TEXT_BLOCK and (bool(self.names[k]) or t in DROPPED or t == HEADER)
+            yield k, shapes[k], block, alone, marked, letters[b] - letters[a], linked[b] - linked[a]
 
     def core(self) -> int:
         """A hash of the article's own text, or of all text blocks' where none is marked: what makes pages different ones."""
@@ -244,8 +275,10 @@ class Page:
     def text(self, template: frozenset[int] = frozenset(), only_article: bool = True) -> tuple[str, int]:
         """The text that is left, and how many subtrees went as template."""
         gone, lost = list(self.dropped), set()
+        for k in self.asides:
+            gone[k] = gone[k] or self._linked(k)
         if template:
-            for k, shape, block, alone, _, _ in self.subtrees():
+            for k, shape, block, alone, _, _, _ in self.subtrees():
                 if block in template or alone and shape in template:
                     lost.add(k)
         n = 0
@@ -276,29 +309,29 @@ def host(url: Column) -> Column:
     return F.coalesce(F.lower(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
 
 
-_TREES = "host string, html long, page long, shape long, block long, alone boolean, letters long, links long"
+_TREES = "host string, html long, page long, shape long, block long, alone boolean, marked boolean, letters long, links long"
 
 
-def trees(pages: DataFrame) -> DataFrame:
-    """(host, html, page, shape, block, alone, letters, links): the subtrees of ``pages`` (url, html) that can be template.
+def trees(pages: DataFrame, words: bool = True) -> DataFrame:
+    """(host, html, page, shape, block, alone, marked, letters, links): the subtrees of ``pages`` (url, html) that can be template.
     ``html`` and ``page`` are hashes of the markup and of the article's text."""
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 200):
                 part = batch.slice(at, 200)
-                out: list[list] = [[], [], [], [], [], [], [], []]
+                out: list[list] = [[] for _ in range(9)]
                 for site, key, html in zip(*(c.to_pylist() for c in part.columns), strict=True):
-                    page = Page(html)
-                    found = {(shape, block): (alone, n, links) for _, shape, block, alone, n, links in page.subtrees()}
+                    page = Page(html, words)
+                    found = {(shape, block): more for _, shape, block, *more in page.subtrees()}
                     if found:
                         core = page.core()
                         for (shape, block), more in found.items():
                             for c, x in zip(out, (site, key, core, shape, block, *more), strict=True):
                                 c.append(x)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(out[0], pa.string()), pa.array(out[1], pa.int64()), *map(_signed, out[2:5]), pa.array(out[5], pa.bool_()), *(pa.array(c, pa.int64()) for c in out[6:])],
-                    ["host", "html", "page", "shape", "block", "alone", "letters", "links"],
+                    [pa.array(out[0], pa.string()), pa.array(out[1], pa.int64()), *map(_signed, out[2:5]), pa.array(out[5], pa.bool_()), pa.array(out[6], pa.bool_()), *(pa.array(c, pa.int64()) for c in out[7:])],
+                    ["host", "html", "page", "shape", "block", "alone", "marked", "letters", "links"],
                 )
 
     rows = pages.select(host(F.col("url")).alias("host"), F.coalesce("html", F.lit("")).alias("html")).filter("html <> ''")
@@ -309,9 +342,9 @@ def templates(found: DataFrame) -> DataFrame:
     """(host, tree): hashes of the blocks and shapes that are a host's template, from ``trees``."""
     blocks = found.groupBy("host", "block").agg(F.countDistinct("page").alias("pages")).filter(F.col("pages") >= LEAST_PAGES)
     shapes = found.filter("alone").groupBy("host", "shape").agg(
-        F.countDistinct("page").alias("pages"), F.countDistinct("block").alias("texts"), F.sum("letters").alias("letters"), F.sum("links").alias("links")
+        F.countDistinct("page").alias("pages"), F.countDistinct("block").alias("texts"), F.sum("letters").alias("letters"), F.sum("links").alias("links"), F.bool_or("marked").alias("marked")
     )
-    shapes = shapes.filter((F.col("pages") >= LEAST_PAGES) & ((F.col("pages") - F.col("texts") >= LEAST_REPEATED * F.col("pages")) | (2 * F.col("links") >= F.col("letters"))))
+    shapes = shapes.filter((F.col("pages") >= LEAST_PAGES) & (F.col("marked") | (F.col("pages") - F.col("texts") >= LEAST_REPEATED * F.col("pages")) | (2 * F.col("links") >= F.col("letters"))))
     return blocks.select("host", F.col("block").alias("tree")).union(shapes.select("host", F.col("shape").alias("tree"))).distinct()
 
 
@@ -325,12 +358,13 @@ def main_text(pages: DataFrame, words: bool = True, only_article: bool = True) -
     A null or empty page has an empty text.  A null url belongs to the empty
     host.  A page with article elements gives their text, else one with a main
     element its, else all of its body; repeated rows give repeated rows.
+    An empty table gives no rows, and texts of any length are read in whole.
     ``n_template`` counts the subtrees deleted as the host's template.  Without ``words`` class
-    names drop nothing, without ``only_article`` all of the body counts: what
+    names drop and mark nothing, without ``only_article`` all of the body counts: what
     recurs, tags and roles then decide alone.
     """
     pages = only(pages, "page_id", "url", "html")
-    found = stored(trees(pages))
+    found = stored(trees(pages, words))
     known = stored(templates(found))
     rows = pages.withColumn("host", host(F.col("url")))
     if known.count() <= MOST_BROADCAST:
