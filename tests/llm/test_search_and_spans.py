@@ -287,3 +287,52 @@ def test_marked_elements_go_by_their_count(spark):
     rows = [(i, f"http://many.org/{i}", page.format(i)) for i in range(12)] + [(99, "http://few.org/1", page.format(99))]
     got = {r.page_id: r.text for r in main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert all(got[i] == f"Text of page {i}." for i in range(12)) and got[99] == "Text of page 99.\nTip 99 to be had"
+
+
+# -- re-parameterised benchmark items
+
+
+def reparameterised(seed=4):
+    """(item, its text with other names, numbers in words or digits, and units written in another way)."""
+    rng = random.Random(seed)
+    names, more = ["Tom", "Anna", "Priya", "Louis"], ["Sam", "Maria", "Chen", "Olga"]
+    digits = {2: "two", 5: "five", 12: "twelve", 25: "twenty-five", 40: "forty", 130: "one hundred and thirty"}
+    forms = [
+        "{n} has {a} apples and gives {b} of them to {m} , so how many are left at the end of day ?",
+        "{n} walks {a} km to the market while {m} rides {b} km from there ; what is the way of both ?",
+        "A bag of {a} kg costs as much as {b} small boxes that {n} bought for {m} last week in town",
+        "In {a} days {n} reads {b} pages of the book that {m} once lent out ; how long does the rest take ?",
+        "The tank holds {a} liters and loses {b} of these each hour until {n} and {m} close the valve again",
+    ]
+    out = []
+    for i in range(30):
+        form = forms[i % len(forms)] + f" part{'abcdefghij'[i % 10]} section{'xyz'[i // 10]}"
+        a, b = rng.sample(sorted(digits), 2)
+        (n, m), (x, y) = rng.sample(names, 2), rng.sample(more, 2)
+        item = form.format(n=n, m=m, a=a, b=b)
+        a, b = rng.sample(sorted(digits), 2)
+        copy = form.format(n=x, m=y, a=digits[a] if i % 2 else a, b=digits[b] if i % 3 else b)
+        out.append((item, re.sub(r"(\d+) (km|kg|days|liters)", r"\1-\2", copy) if i % 4 == 0 else copy))
+    return out
+
+
+def test_reparameterised_items_are_found(spark):
+    from varigrid.llm.decontaminate import contamination
+
+    pairs = reparameterised()
+    bench = spark.createDataFrame([(i, item) for i, (item, _) in enumerate(pairs)], "item_id long, text string")
+    clean = "Some plain text about one or two walks that Tom and Anna took in twelve days without a word of the rest of it ."
+    rows = [(i, f"Some words before. {copy} And some after.") for i, (_, copy) in enumerate(pairs)] + [(1000, clean)]
+    got = {r.doc_id: r["items"] for r in contamination(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()}
+    assert sum(i in got[i] for i in range(len(pairs))) >= 0.9 * len(pairs)
+    assert got[1000] == []
+
+
+def test_numbers_in_words_and_units(spark):
+    from pyspark.sql import functions as F
+
+    from varigrid.llm.decontaminate import tokens
+
+    texts = ["Sam has twelve apples", "twenty-five kg or 5-kg bags", "One hundred and six of someone", "the phone rang", "ten, two"]
+    got = [r[0] for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").orderBy("i").select(tokens(F.col("t"))).collect()]
+    assert got == [["##sam", "has", "0twelve0", "apples"], ["0twenty_five0", "@kg", "or", "5", "@kg", "bags"], ["0one_hundred_six0", "of", "someone"], ["the", "phone", "rang"], ["0ten0", "0two0"]]

@@ -1,8 +1,8 @@
 """Finding benchmark passages in documents, re-parameterised ones too.
 
-Texts become template tokens: lower-case words, with numbers, names (capitalised
-words) and units (after a number) as typed slots.  A capitalised word that begins a
-sentence is a word where the benchmark has it in lower case, else a name; the
+Texts become template tokens: lower-case words, with numbers (in digits or words),
+names (capitalised words) and units (after a number) as typed slots.  A capitalised word that begins a
+sentence is a word where the benchmark has it in lower case, as a bitmap of its words says, else a name; the
 benchmark is also read with all such words as words, for documents without capitals.
 Every window of ``WINDOW`` template tokens is hashed, in benchmark and documents
 alike, and they meet by a hash join.  A window of slots alone is hashed by its values instead.  Before the
@@ -32,6 +32,8 @@ COVERAGE, LEAST_WINDOWS = 0.3, 2
 MOST_BROADCAST = 300_000
 #: Bits of the bitmap at least for each of the benchmark's hashes, and in all at most.
 BITS_EACH, MOST_BITS = 16, 1 << 22
+#: The same for each of its lower-case words: a word is taken for one of them in error at one in a thousand, up to 65,000 words.
+WORD_BITS_EACH = 64
 
 # Units that make a slot after a number.
 UNITS = (
@@ -40,19 +42,28 @@ UNITS = (
     "|ms|s|sec|secs|seconds?|min|mins|minutes?|h|hr|hrs|hours?|days?|weeks?|months?|years?"
     "|usd|eur|gbp|dollars?|euros?|cents?|percent|degrees?|mph|kmh|kw|w|v|hz|mb|gb|tb"
 )
+# Words of numbers, which make one number in a row.
+NUMBER_WORDS = (
+    "zero|one|two|three|four|five|six|seven|eight|nine|ten|eleven|twelve|thirteen|fourteen|fifteen|sixteen|seventeen|eighteen|nineteen"
+    "|twenty|thirty|forty|fifty|sixty|seventy|eighty|ninety|hundred|thousand|million|billion|dozen"
+)
 
 
 def tokens(text: Column) -> Column:
-    """Lower-case words; numbers begin with a digit, names with ``#``, what may be name or word with ``##``, units with ``@``.  A sign right before digits belongs to the number."""
+    """Lower-case words; numbers begin with a digit (those in words with a 0 at both ends), names with ``#``, what may be name or word with ``##``, units with ``@``.  A sign right before digits belongs to the number."""
     text = F.coalesce(text, F.lit(""))
     t = F.when(text.contains("#") | text.contains("@"), F.regexp_replace(text, "[#@]", " ")).otherwise(text)
+    spelled = rf"(?i)\b(?:{NUMBER_WORDS})(?:(?:[\x20-]|\x20and\x20)(?:{NUMBER_WORDS}))*\b"
+    inner = rf"(?i)(?:[\x20-]|\x20and\x20)(?<=\b(?:{NUMBER_WORDS})(?:[\x20-]|\x20and\x20))(?=(?:{NUMBER_WORDS})\b)"
+    t = F.when(t.rlike(spelled), F.regexp_replace(F.regexp_replace(t, inner, "_"), rf"(?i)(?<![\p{{L}}\p{{N}}_])(?:{NUMBER_WORDS})(?:_(?:{NUMBER_WORDS}))*(?![\p{{L}}\p{{N}}_])", r"0$0\0")).otherwise(t)
+    plain = t
     t = F.regexp_replace(t, r"\p{Lu}(?<=[\p{Ll},;]\x20.)\p{Ll}+", "#$0")
     t = F.regexp_replace(t, r"\p{Lu}(?<![#\p{L}\p{N}_].)\p{Ll}+", "##$0")
     n = F.regexp_replace(t, r"[.,:/](?<=[0-9].)(?=[0-9])", "_")
     n = F.regexp_replace(n, r"[$€£](?=[0-9])", " ")
-    n = F.regexp_replace(n, r"([0-9])\x20?((?i:" + UNITS + r"))(?![\p{L}\p{N}_])", "$1 @$2")
+    n = F.regexp_replace(n, r"([0-9])[\x20-]?((?i:" + UNITS + r"))(?![\p{L}\p{N}_])", "$1 @$2")
     n = F.regexp_replace(n, r"([0-9])\x20?([%$€£°])", "$1 @$2 ")
-    t = F.lower(F.when(text.rlike("[0-9]"), n).otherwise(t))
+    t = F.lower(F.when(plain.rlike("[0-9]"), n).otherwise(t))
     t = F.when(F.octet_length(text) == F.length(text), t).otherwise(F.regexp_replace(t, r"[^\x00-\x7f\p{L}\p{M}\p{N}€£°]", " "))
     # what is left to part words is ASCII but for the signs above, digits, letters and #@_%$
     return F.array_remove(F.split(t, r"[\x00-\x22&-/:-?\[-^`{-\x7f]+"), "")
@@ -63,20 +74,20 @@ def template(word: Column) -> Column:
     return F.when((word >= "0") & (word < ":"), "<number>").when(word.startswith("#"), "<name>").when(word.startswith("@"), "<unit>").otherwise(word)
 
 
-def settled(tokens: Column, vocabulary: list[str] | None) -> Column:
-    """The tokens with ``##`` ones as words where the vocabulary has them, else as names; all as words without one."""
+def settled(tokens: Column, vocabulary: tuple[int, Column] | None) -> Column:
+    """The tokens with ``##`` ones as words where the vocabulary may have them, else as names; all as words without one."""
     word = lambda t: F.substr(t, F.lit(3))
-    either = (lambda t: word(t)) if vocabulary is None else (lambda t: F.when(word(t).isin(vocabulary), word(t)).otherwise(F.substr(t, F.lit(2))))
+    either = (lambda t: word(t)) if vocabulary is None else (lambda t: F.when(_may_be(F.xxhash64(word(t)), *vocabulary), word(t)).otherwise(F.substr(t, F.lit(2))))
     return F.transform(tokens, lambda t: F.when(t.startswith("##"), either(t)).otherwise(t))
 
 
-def vocabulary(benchmark: DataFrame) -> list[str]:
-    """The words that the benchmark has in lower case: as many as it has different ones, ascending."""
+def vocabulary(benchmark: DataFrame) -> tuple[int, Column]:
+    """The words that the benchmark has in lower case, as a bitmap of bounded size."""
     each = benchmark.select(F.explode(F.array_distinct(tokens(F.col("text")))).alias("w")).distinct()
-    return sorted(r["w"] for r in each.filter(template(F.col("w")) == F.col("w")).collect())
+    return bitmap(each.filter(template(F.col("w")) == F.col("w")).select(F.xxhash64("w").alias("hash")), WORD_BITS_EACH)
 
 
-def _read(rows: DataFrame, *vocabularies: list[str] | None) -> DataFrame:
+def _read(rows: DataFrame, *vocabularies: tuple[int, Column] | None) -> DataFrame:
     """Adds ``r0``, ``r1`` and so on, the tokens of ``text`` under each vocabulary, and per token of them its kind."""
     rows = rows.withColumn("tokens", tokens(F.col("text")))
     rows = rows.withColumns({f"r{i}": settled(F.col("tokens"), v) for i, v in enumerate(vocabularies)})
@@ -107,7 +118,7 @@ def _places(reading: str, size: int) -> Column:
     return F.sequence(F.lit(0), F.size(reading) - size)
 
 
-def windows(benchmark: DataFrame, words: list[str]) -> DataFrame:
+def windows(benchmark: DataFrame, words: tuple[int, Column]) -> DataFrame:
     """(item_id, windows, at, size, hash, words): the items' windows under a vocabulary and with all as words, and how many places of windows an item has.
 
     An item shorter than a window is one, if it has a plain word; items without a token have none.
@@ -125,10 +136,10 @@ def windows(benchmark: DataFrame, words: list[str]) -> DataFrame:
     return items.select("item_id", n, F.explode(F.concat(found("r0"), found("r1"))).alias("x")).select("item_id", "windows", "x.*").distinct()
 
 
-def bitmap(hashes: DataFrame) -> tuple[int, Column]:
+def bitmap(hashes: DataFrame, each: int = BITS_EACH) -> tuple[int, Column]:
     """A test of a hash column: the bitmap's number of bits, a power of two, and its array of 64-bit words."""
     n = hashes.count()
-    bits = min(MOST_BITS, max(1 << 15, 1 << (BITS_EACH * n - 1).bit_length())) if n else 1 << 15
+    bits = min(MOST_BITS, max(1 << 15, 1 << (each * n - 1).bit_length())) if n else 1 << 15
     spots = hashes.select(F.explode(F.array(*_spots(F.col("hash"), bits))).alias("spot"))
     rows = spots.select(F.floor(F.col("spot") / 32768).alias("bucket"), (F.col("spot") % 32768).cast("int").alias("bit")).groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("map")).collect()
     words = np.zeros(bits // 64, "<i8")
