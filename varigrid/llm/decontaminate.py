@@ -49,21 +49,38 @@ NUMBER_WORDS = (
 )
 
 
+def _by_letter(words: str) -> str:
+    """An alternation that looks at a word's first letter once."""
+    rest: dict[str, list[str]] = {}
+    for w in words.split("|"):
+        rest.setdefault(w[0], []).append(w[1:])
+    return "|".join(f"{c}(?:{'|'.join(r)})" for c, r in rest.items())
+
+
+def _with_numbers(t: Column) -> Column:
+    """A text whose numbers in words are written as one word each, with a 0 at both ends."""
+    one = f"(?:{_by_letter(NUMBER_WORDS)})"
+    gap = r"(?:[\x20-]|\x20and\x20)"
+    joined = F.regexp_replace(t, rf"(?i){gap}(?<=\b{one}{gap})(?={one}\b)", "_")
+    return F.when(t.rlike(rf"(?i)\b{one}\b"), F.regexp_replace(joined, rf"(?i)(?<![\p{{L}}\p{{N}}_]){one}(?:_{one})*(?![\p{{L}}\p{{N}}_])", r"0$0\0")).otherwise(t)
+
+
 def tokens(text: Column) -> Column:
     """Lower-case words; numbers begin with a digit (those in words with a 0 at both ends), names with ``#``, what may be name or word with ``##``, units with ``@``.  A sign right before digits belongs to the number."""
     text = F.coalesce(text, F.lit(""))
     t = F.when(text.contains("#") | text.contains("@"), F.regexp_replace(text, "[#@]", " ")).otherwise(text)
-    spelled = rf"(?i)\b(?:{NUMBER_WORDS})(?:(?:[\x20-]|\x20and\x20)(?:{NUMBER_WORDS}))*\b"
-    inner = rf"(?i)(?:[\x20-]|\x20and\x20)(?<=\b(?:{NUMBER_WORDS})(?:[\x20-]|\x20and\x20))(?=(?:{NUMBER_WORDS})\b)"
-    t = F.when(t.rlike(spelled), F.regexp_replace(F.regexp_replace(t, inner, "_"), rf"(?i)(?<![\p{{L}}\p{{N}}_])(?:{NUMBER_WORDS})(?:_(?:{NUMBER_WORDS}))*(?![\p{{L}}\p{{N}}_])", r"0$0\0")).otherwise(t)
-    plain = t
-    t = F.regexp_replace(t, r"\p{Lu}(?<=[\p{Ll},;]\x20.)\p{Ll}+", "#$0")
+    # bound to a variable, so that it is worked out once
+    return F.get(F.transform(F.array(_with_numbers(t)), _cut_words), F.lit(0))
+
+
+def _cut_words(text: Column) -> Column:
+    t = F.regexp_replace(text, r"\p{Lu}(?<=[\p{Ll},;]\x20.)\p{Ll}+", "#$0")
     t = F.regexp_replace(t, r"\p{Lu}(?<![#\p{L}\p{N}_].)\p{Ll}+", "##$0")
     n = F.regexp_replace(t, r"[.,:/](?<=[0-9].)(?=[0-9])", "_")
     n = F.regexp_replace(n, r"[$€£](?=[0-9])", " ")
     n = F.regexp_replace(n, r"([0-9])[\x20-]?((?i:" + UNITS + r"))(?![\p{L}\p{N}_])", "$1 @$2")
     n = F.regexp_replace(n, r"([0-9])\x20?([%$€£°])", "$1 @$2 ")
-    t = F.lower(F.when(plain.rlike("[0-9]"), n).otherwise(t))
+    t = F.lower(F.when(text.rlike("[0-9]"), n).otherwise(t))
     t = F.when(F.octet_length(text) == F.length(text), t).otherwise(F.regexp_replace(t, r"[^\x00-\x7f\p{L}\p{M}\p{N}€£°]", " "))
     # what is left to part words is ASCII but for the signs above, digits, letters and #@_%$
     return F.array_remove(F.split(t, r"[\x00-\x22&-/:-?\[-^`{-\x7f]+"), "")
