@@ -140,18 +140,6 @@ def test_neighborhoods_need_two_sites_nearer_than_the_gap(spark):
     assert sorted(map(sorted, got.values())) == [[0, 49], [99, 148], [500, 510]]
 
 
-def test_clusters_and_haplotypes(spark):
-    from varigrid.operators import phasing
-
-    signed = spark.createDataFrame([("c", 1, "10:alt,12:alt", 20), ("c", 1, "10:ref,12:ref", 30), ("c", 1, "10:alt", 4), ("c", 1, "12:ref", 2), ("c", 1, "10:alt,12:ref", 1)], "chrom string, nbhd long, signature string, n long")
-    found = phasing.clusters(signed)
-    by = {r.signature: r.cluster for r in found.collect()}
-    assert len({by["10:alt,12:alt"], by["10:ref,12:ref"], by["10:alt,12:ref"]}) == 3 and by["10:alt"] == by["10:alt,12:alt"] and by["12:ref"] == by["10:ref,12:ref"]
-    sites = spark.createDataFrame([("c", 1, 10, "A", "C"), ("c", 1, 12, "G", "T")], "chrom string, nbhd long, pos long, ref string, alt string")
-    base = spark.createDataFrame([("c", 11, "T")], "chrom string, pos long, base string")
-    assert ("ATG", "CTT", 24) in rows(phasing.haplotypes(found, sites, base), "ref", "alt", "support")
-
-
 def test_candidates_from_alignments(spark):
     from varigrid.operators import candidates
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from varigrid.functions import records, sequence, stats
-from varigrid.operators import calling, candidates, genotype, intervals, mixture, pairs, phasing, pileup, pools, realign, recalibrate
+from varigrid.operators import calling, candidates, clustering, genotype, intervals, mixture, pairs, phasing, pileup, pools, realign, recalibrate
 from varigrid.plans import pipelines, views
 from varigrid.plans.views import ALLELES_SQL, INTERVALS_SQL, OBS_SQL
 from varigrid.streaming import windows
@@ -459,13 +459,35 @@ def site_depths(spark, sf_dir):
 
 @query()
 def cluster_reads(spark, sf_dir):
-    return phasing.clusters(phasing.signatures(states(spark, sf_dir)))
+    return clustering.clusters(phasing.signatures(states(spark, sf_dir)))
+
+
+def reference_bases(spark, sf_dir) -> DataFrame:
+    """(chrom, pos, base) of all places of the neighborhoods."""
+    spans = phasing.ranges(sites(spark, sf_dir)).select("chrom", F.explode(F.sequence("first", "last")).alias("pos"))
+    return spans.withColumn("base", F.substring(F.lit("ACGT"), (1 + F.col("pos") % 4).cast("int"), F.lit(1)))
+
+
+def phased(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    found = clustering.clusters(phasing.signatures(states(spark, sf_dir)))
+    return clustering.phased_alleles(found, sites(spark, sf_dir), reference_bases(spark, sf_dir))
 
 
 @query()
 def phased_haplotypes(spark, sf_dir):
-    found = phasing.clusters(phasing.signatures(states(spark, sf_dir)))
-    return phasing.haplotypes(found, sites(spark, sf_dir))
+    """Alleles of clusters of reads, trimmed, with averaged counts."""
+    return phased(spark, sf_dir)[0]
+
+
+@query()
+def phased_recall(spark, sf_dir):
+    """Phased alleles that may be called, with filters, and the original places called anew as references with what is left."""
+    found, used = phased(spark, sf_dir)
+    called = clustering.recalled(found).select("chrom", "nbhd", "pos", "ref", "alt", "support", "depth", "vq", joined("filters").alias("filters"))
+    at = alleles(spark, sf_dir).withColumn("pos", F.expr(SITE_POS.format("").replace("//", "div"))).select("chrom", "pos", F.col("rd").alias("ref_support"), F.col("dp").alias("depth"))
+    originals = sites(spark, sf_dir).join(at, ["chrom", "pos"])
+    left = clustering.references_left(originals, used)
+    return called.unionByName(left.select("chrom", "nbhd", "pos", "ref", F.lit(".").alias("alt"), "support", "depth", "vq", F.lit("").alias("filters")))
 
 
 # -- reads ---------------------------------------------------------------------

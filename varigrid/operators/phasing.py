@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -67,80 +66,6 @@ def together(states: DataFrame) -> DataFrame:
     return met.groupBy("chrom", "nbhd", "pos_a", "pos_b").agg(F.sum("b").alias("both"), F.count("*").alias("a_known"), F.avg("b").alias("p"))
 
 
-def clusters(signed: DataFrame, rounds: int = 10) -> DataFrame:
-    """(chrom, nbhd, cluster, signature, n, consensus): signatures gathered while none disagrees.
-
-    Signatures of most sites come first, then those of most reads.  One joins
-    the cluster it agrees with best, at one site or more, if it disagrees with no
-    member; else it begins its own.  Clusters that don't disagree and share
-    a site are then made one.  A group holds different signatures only, with
-    their numbers: their count is bounded by the states of a few sites, not by
-    the depth.
-    """
-
-    def agreement(a: dict, b: dict) -> tuple[int, int]:
-        shared = [p for p in a if p in b]
-        same = sum(a[p] == b[p] for p in shared)
-        return same, len(shared) - same
-
-    def gather(group: pd.DataFrame) -> pd.DataFrame:
-        rows = [(dict(s.split(":") for s in r.signature.split(",")), int(r.n), r.signature) for r in group.itertuples()]
-        rows.sort(key=lambda r: (-len(r[0]), -r[1], r[2]))
-        found: list[list] = []
-        for row in rows:
-            best, score = None, 0
-            for c in found:
-                pairs = [agreement(row[0], m[0]) for m in c]
-                if not any(d for _, d in pairs) and (top := max(s for s, _ in pairs)) > score:
-                    best, score = c, top
-            best.append(row) if best is not None else found.append([row])
-        for _ in range(rounds):
-            joined: list[list] = []
-            for c in found:
-                for k in joined:
-                    pairs = [agreement(x[0], y[0]) for x in c for y in k]
-                    if not any(d for _, d in pairs) and any(s for s, _ in pairs):
-                        k += c
-                        break
-                else:
-                    joined.append(list(c))
-            if len(joined) == len(found):
-                break
-            found = joined
-        out = []
-        for i, c in enumerate(found, 1):
-            sites: dict[str, str] = {}
-            for s, _, _ in c:
-                for p, state in s.items():
-                    sites.setdefault(p, state)
-            text = ",".join(f"{p}:{sites[p]}" for p in sorted(sites, key=int))
-            out += [(group.chrom.iloc[0], group.nbhd.iloc[0], i, sig, n, text) for _, n, sig in c]
-        return pd.DataFrame(out, columns=["chrom", "nbhd", "cluster", "signature", "n", "consensus"])
-
-    return signed.groupBy("chrom", "nbhd").applyInPandas(gather, "chrom string, nbhd long, cluster int, signature string, n long, consensus string")
-
-
-def haplotypes(clustered: DataFrame, sites: DataFrame, reference: DataFrame | None = None) -> DataFrame:
-    """(chrom, nbhd, cluster, pos, ref, alt, support): each cluster's carried sites as one allele.
-
-    ``sites`` (chrom, nbhd, pos, ref, alt) gives the alleles.  Places between the
-    sites are filled from ``reference`` (chrom, pos, base), with N where it has none.
-    """
-    one = clustered.groupBy("chrom", "nbhd", "cluster").agg(F.first("consensus").alias("consensus"), F.sum("n").alias("support"))
-    rows = one.select("chrom", "nbhd", "cluster", "support", F.explode(F.split("consensus", ",")).alias("s")).withColumn("s", F.split("s", ":")).select("chrom", "nbhd", "cluster", "support", F.get("s", F.lit(0)).cast("long").alias("pos"), F.get("s", F.lit(1)).alias("state"))
-    carried = rows.filter("state = 'alt'")
-    span = carried.groupBy("chrom", "nbhd", "cluster", "support").agg(F.min("pos").alias("lo"), F.max("pos").alias("hi"))
-    spine = span.withColumn("pos", F.explode(F.sequence("lo", "hi")))
-    known = sites.select("chrom", "nbhd", "pos", F.col("ref").alias("site_ref"), F.col("alt").alias("site_alt"))
-    at = spine.join(known, ["chrom", "nbhd", "pos"], "left").join(rows.select("chrom", "nbhd", "cluster", "pos", "state"), ["chrom", "nbhd", "cluster", "pos"], "left")
-    at = at.join(reference, ["chrom", "pos"], "left") if reference is not None else at.withColumn("base", F.lit(None).cast("string"))
-    ref = F.coalesce("site_ref", "base", F.lit("N"))
-    alt = F.when(F.col("state") == "alt", F.col("site_alt")).otherwise(ref)
-    built = at.groupBy("chrom", "nbhd", "cluster", "support", "lo").agg(F.array_sort(F.collect_list(F.struct("pos", ref.alias("r"), alt.alias("a")))).alias("x"))
-    text = lambda k: F.array_join(F.transform("x", lambda s: s[k]), "")
-    return built.select("chrom", "nbhd", "cluster", F.col("lo").alias("pos"), text("r").alias("ref"), text("a").alias("alt"), "support")
-
-
 def merged_calls(original: DataFrame, phased: DataFrame, used: DataFrame) -> DataFrame:
     """Original calls that no phased allele has used up, and the phased ones, each line once."""
     kept = original.join(used.select("chrom", "pos", "ref", "alt").distinct(), ["chrom", "pos", "ref", "alt"], "left_anti")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from varigrid.functions import stats
-from varigrid.operators import calling, genotype, intervals, mixture, phasing, pileup, pools, recalibrate
+from varigrid.operators import calling, clustering, genotype, intervals, mixture, phasing, pileup, pools, recalibrate
 
 
 def call_somatic(obs: DataFrame, options: calling.CallOptions = calling.CallOptions()) -> DataFrame:
@@ -41,6 +41,7 @@ def roi_filter(calls: DataFrame, regions: DataFrame, expanded: bool = False) ->
     return (intervals.inside_expanded if expanded else intervals.inside)(calls, regions)
 
 
-def phase(obs_at_sites: DataFrame, sites: DataFrame) -> DataFrame:
-    """Haplotypes of neighbouring sites from the reads' states at them."""
-    return phasing.haplotypes(phasing.clusters(phasing.signatures(phasing.site_states(obs_at_sites))), sites)
+def phase(obs_at_sites: DataFrame, sites: DataFrame, reference: DataFrame, most: int | None = None) -> DataFrame:
+    """Alleles of neighbouring sites from the reads' states at them, called anew; ``reference`` (chrom, pos, base) fills the gaps."""
+    found = clustering.clusters(phasing.signatures(phasing.site_states(obs_at_sites)), most)
+    return clustering.recalled(clustering.phased_alleles(found, sites, reference)[0])
