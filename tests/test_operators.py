@@ -189,7 +189,7 @@ def test_realignment_accepts_fewer_mismatches(spark):
     read = ref[5:15] + "TT" + ref[15:25]
     reads = spark.createDataFrame([("r", "c", 6, read)], "read string, chrom string, pos long, bases string")
     cand = spark.createDataFrame([("r", "c", 6, 15, ref[14], ref[14] + "TT", 9, 1), ("r", "c", 6, 12, ref[11], ref[11] + "G", 8, 2)], "read string, chrom string, pos long, indel_pos long, ref string, alt string, score long, rank int")
-    (got,) = realign.realigned(reads, cand, spark.createDataFrame([("c", 1, ref)], "chrom string, start long, context string")).collect()
+    (got,) = realign.realigned(reads, cand, spark.createDataFrame([("c", 1 + i, ref[i : i + 10]) for i in range(0, len(ref), 10)], "contig string, start long, bases string"), block=10).collect()
     assert got.indel_pos == 15 and got.mismatches == 0 and got.original > 0 and got.accepted
 
 

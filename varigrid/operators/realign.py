@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from varigrid.functions.sequence import hamming
+from varigrid.operators.summaries import with_reference
 
 KEY = ["chrom", "pos", "ref", "alt"]
 
@@ -99,20 +100,22 @@ def alignment_score(mismatches: Column, indels: Column, clipped: Column, anchor:
     return weights[0] * mismatches + weights[1] * indels + weights[2] * clipped + weights[3] * anchor
 
 
-def realigned(reads: DataFrame, candidates: DataFrame, reference: DataFrame) -> DataFrame:
+def realigned(reads: DataFrame, candidates: DataFrame, reference: DataFrame, block: int = 1000) -> DataFrame:
     """(read, indel_pos, ref, alt, mismatches, original, accepted): each ungapped read tried with its best single indel.
 
     ``reads`` (read, chrom, pos, bases), ``candidates`` from ``nearest``, and
-    ``reference`` (chrom, start, bases) with a stretch that holds a read and its
-    surroundings.  The read's bases are laid against the reference with the indel
+    ``reference`` (contig, start, bases) in blocks of ``block`` places, which reads meet by
+    block number; a read beyond its reference is not tried.  The read's bases are laid against the reference with the indel
     put in, anchored at the left; the fewest mismatches win, and are
     accepted if they are fewer than without any indel.
     """
-    joined = candidates.drop("pos", "rank").join(reads, ["read", "chrom"]).join(reference, "chrom").filter((F.col("start") <= F.col("pos")) & (F.col("pos") + 2 * F.length("bases") <= F.col("start") + F.length("context")))
     n = F.length("bases")
-    plain = F.substring("context", (F.col("pos") - F.col("start") + 1).cast("int"), n)
+    known = with_reference(reads.select("read", "chrom", "pos", "bases"), reference, F.col("pos"), F.col("pos") + 2 * n - 1, block)
+    known = known.filter((F.col("context_start") == F.col("pos")) & (F.length("context") >= n))
+    joined = candidates.drop("pos", "rank").join(known, ["read", "chrom"])
+    plain = F.left("context", n)
     before = F.col("indel_pos") - F.col("pos") + 1  # bases up to the indel's anchor
-    window = F.substring("context", (F.col("pos") - F.col("start") + 1).cast("int"), 2 * n)
+    window = F.col("context")
     put_in = F.concat(F.left(window, (before - 1).cast("int")), F.col("alt"), F.substring(window, (before + F.length("ref")).cast("int"), 2 * n))
     tried = joined.filter((before >= 1) & (before < n)).withColumns({"mismatches": hamming(F.col("bases"), F.left(put_in, n)), "original": hamming(F.col("bases"), plain)})
     order = Window.partitionBy("read", "chrom").orderBy("mismatches", F.desc("score"), "indel_pos", "ref", "alt")
