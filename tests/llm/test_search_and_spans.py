@@ -336,3 +336,97 @@ def test_numbers_in_words_and_units(spark):
     texts = ["Sam has twelve apples", "twenty-five kg or 5-kg bags", "One hundred and six of someone", "the phone rang", "ten, two"]
     got = [r[0] for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").orderBy("i").select(tokens(F.col("t"))).collect()]
     assert got == [["##sam", "has", "0twelve0", "apples"], ["0twenty_five0", "@kg", "or", "5", "@kg", "bags"], ["0one_hundred_six0", "of", "someone"], ["the", "phone", "rang"], ["0ten0", "0two0"]]
+
+
+# -- language sets: the greedy choice against all sets
+
+
+def test_language_sets_against_all_sets():
+    """Every set of languages with the best proportions on a grid, by penalised likelihood."""
+    from itertools import combinations
+
+    import numpy as np
+
+    from varigrid.llm.language import BITS, PENALTY, Model
+
+    rng = np.random.default_rng(6)
+    counts = np.zeros((3, 1 << BITS), np.int64)
+    for k in range(3):
+        counts[k, rng.choice(60, 25, replace=False)] = rng.integers(50, 3000, 25)
+    model = Model(["a", "b", "c"], counts)
+    steps = np.linspace(0.02, 0.98, 25)
+    for _ in range(40):
+        truth = rng.dirichlet([0.4, 0.4, 0.4])
+        n = int(rng.integers(30, 400))
+        grams = np.concatenate([rng.choice(1 << BITS, int(round(n * t)), p=model.p[:, k]) for k, t in enumerate(truth)]).astype(np.int64)
+        if not len(grams):
+            continue
+        c = np.bincount(grams, minlength=1 << BITS)
+        u = np.flatnonzero(c)
+        p, c = model.p[u], c[u]
+        best = -np.inf
+        for size in (1, 2, 3):
+            for members in combinations(range(4), size):
+                shares = [(1.0,)] if size == 1 else [(x, 1 - x) for x in steps] if size == 2 else [(x, y, 1 - x - y) for x in steps for y in steps if x + y < 0.99]
+                like = max(float(c @ np.log(p[:, members] @ np.array(s))) for s in shares)
+                best = max(best, like - (size - 1) * PENALTY * np.log(c.sum() + 1.0))
+        share, likeliest = model.mixture(grams)
+        mine = float(c @ np.log(p @ share)) - (np.count_nonzero(share) - 1) * PENALTY * np.log(c.sum() + 1.0)
+        assert mine >= best - 0.5 and abs(share.sum() - 1) < 1e-9
+        assert likeliest == int(np.argmax([float(c @ model.logp[u][:, k]) for k in range(3)]))
+
+
+# -- toxicity: scores and the fit against plain Python
+
+_ALL = (1 << 64) - 1
+
+
+def mixed64(x):
+    x = ((x ^ (x >> 30)) * 0xBF58476D1CE4E5B9) & _ALL
+    x = ((x ^ (x >> 27)) * 0x94D049BB133111EB) & _ALL
+    return x ^ (x >> 31)
+
+
+def plain_buckets(text, sizes, bits):
+    """Buckets of a text's different n-grams of letters, words apart by one gap and gaps at both ends."""
+    code = [0]
+    for ch in text or "":
+        c = ord(ch.lower() if len(ch.lower()) == 1 else ch) if ch.isalpha() else 0
+        if c or code[-1]:
+            code.append(c)
+    if code[-1]:
+        code.append(0)
+    out = set()
+    for i in range(len(code)):
+        acc = 1
+        for k in range(max(sizes)):
+            if i + k >= len(code):
+                break
+            acc = mixed64((acc + 0x9E3779B97F4A7C15 + code[i + k]) & _ALL)
+            if k + 1 in sizes:
+                out.add(mixed64((acc + k) & _ALL) >> (64 - bits))
+    return out
+
+
+def test_toxicity_scores_and_fit_in_plain_python(spark):
+    from varigrid.llm import toxicity as tox
+
+    rng = random.Random(12)
+    mean, kind = ["you vile worm", "rotten scum of earth", "filthy liar go"], ["lovely day in town", "the tea was warm", "we walked to the lake"]
+    rows = []
+    for i in range(120):
+        words = " ".join(rng.choice(kind) for _ in range(rng.randrange(1, 5)))
+        rows.append((i, f"{words}, {rng.choice(mean)}! {words}" if i % 4 == 0 else words, int(i % 4 == 0)))
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows] + [(900, ""), (901, None), (902, "É, Ab!")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    model = tox.fit(docs, labels)
+    found = {r.doc_id: r.score for r in tox.scored(docs, model, "doc_id").collect()}
+    held = {i: plain_buckets(t, range(tox.LEAST, tox.MOST + 1), tox.BITS) for i, t, _ in [*rows, (900, "", 0), (901, None, 0), (902, "É, Ab!", 0)]}
+    for i, b in held.items():
+        z = model.bias + float(sum(model.weights[x] for x in b))
+        assert found[i] == pytest.approx(1 / (1 + math.exp(-z)), abs=1e-9)
+    # the weights are where the balanced loss is all but flat
+    share = {0: 0.5 / 90, 1: 0.5 / 30}
+    slope = sum(share[y] * (found[i] - y) for i, _, y in rows)
+    assert abs(slope) < 1e-2
+    assert min(found[i] for i, _, y in rows if y) > max(found[i] for i, _, y in rows if not y)
