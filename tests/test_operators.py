@@ -337,3 +337,15 @@ def test_directions_and_bridges(spark):
     assert all(r[0] == r[1] for r in texts.select(bridge_anchored(F.col("s"), F.col("d")), "expected").collect())
     ends = spark.createDataFrame([("GCATATA", "AT", 1, True), ("GCATATG", "AT", 1, False), ("GC", "AT", 1, False)], "s string, u string, at int, expected boolean")
     assert all(r[0] == r[1] for r in ends.select(sketchy_anchor(F.col("s"), F.col("u"), F.col("at")), "expected").collect())
+
+
+def test_mixture_without_rows_and_with_a_bare_state(spark):
+    from varigrid.operators import mixture
+
+    none = spark.createDataFrame([], "ad long, dp long")
+    found = mixture.fit(none)
+    assert (found.means, found.priors, found.rounds) == (mixture.SNV_MEANS, mixture.SNV_PRIORS, 0)
+    # every row is plain reference: the other states keep what they began with
+    rows = spark.createDataFrame([(0, 1000)] * 50, "ad long, dp long")
+    found = mixture.fit(rows)
+    assert found.means[1:] == pytest.approx(mixture.SNV_MEANS[1:], abs=0.2) and sum(found.priors) == pytest.approx(1)

@@ -46,13 +46,18 @@ def depth_pairs(rows: DataFrame) -> DataFrame:
 
 
 def fit(rows: DataFrame, means: tuple = SNV_MEANS, priors: tuple = SNV_PRIORS, rounds: int = 1000, tolerance: float = 1e-6) -> Mixture:
-    """Means and priors by expectation-maximisation over the different (ad, dp) pairs, weighted by their number."""
+    """Means and priors by expectation-maximisation over the different (ad, dp) pairs, weighted by their number.
+
+    Without rows the model is the one begun with, after 0 rounds; a state that no row is left to keeps its mean and prior.
+    """
     held = np.array([(r["ad"], r["dp"], r["n"]) for r in depth_pairs(rows).collect()], float).reshape(-1, 3)
     return fit_pairs(held[:, 0], held[:, 1], held[:, 2], means, priors, rounds, tolerance)
 
 
 def fit_pairs(ad: np.ndarray, dp: np.ndarray, weight: np.ndarray, means: tuple, priors: tuple, rounds: int, tolerance: float) -> Mixture:
     m, p = np.array(means, float), np.array(priors, float)
+    if not weight.sum():
+        return Mixture(tuple(map(float, m)), tuple(map(float, p)), 0)
     order = np.lexsort((ad, dp))
     ad, dp, weight = ad[order], dp[order], weight[order]
     logs = np.array([math.lgamma(i + 1) for i in range(int(dp.max(initial=0)) + 1)])
@@ -62,10 +67,10 @@ def fit_pairs(ad: np.ndarray, dp: np.ndarray, weight: np.ndarray, means: tuple,
         share = np.exp(like - like.max(axis=1, keepdims=True))
         share *= (weight / share.sum(axis=1))[:, None]
         size = share.sum(axis=0)
-        if (size == 0).any():
-            raise ValueError("a state without rows")
+        bare = size < 1e-12 * size.sum()
         new_m = np.clip((share * ad[:, None]).sum(axis=0) / np.maximum((share * dp[:, None]).sum(axis=0), 1e-300), 1e-12, 1 - 1e-12)
-        new_p = size / size.sum()
+        new_m = np.where(bare, m, new_m)
+        new_p = np.where(bare, p, size / size[~bare].sum() * (1 - p[bare].sum()))
         moved = max(np.abs(new_m - m).max(), np.abs(new_p - p).max())
         m, p = new_m, new_p
         if moved < tolerance:
