@@ -349,3 +349,12 @@ def test_mixture_without_rows_and_with_a_bare_state(spark):
     rows = spark.createDataFrame([(0, 1000)] * 50, "ad long, dp long")
     found = mixture.fit(rows)
     assert found.means[1:] == pytest.approx(mixture.SNV_MEANS[1:], abs=0.2) and sum(found.priors) == pytest.approx(1)
+
+
+def test_references_of_one_locus_are_merged(spark):
+    from varigrid.operators.pools import merged_references
+
+    schema = "chrom string, pos long, ref string, alt string, dp long, vq int, filters array<string>, pb struct<scaled:double>"
+    df = spark.createDataFrame([("c", 5, "A", ".", 20, 60, ["LowDP"], (-9.0,)), ("c", 5, "A", ".", 30, 50, ["PB", "LowDP"], (-3.0,)), ("c", 5, "A", "C", 90, 99, [], (0.0,)), ("c", 6, "G", ".", 7, 8, [], (None,))], schema)
+    got = rows(merged_references(df), "pos", "ref", "alt", "dp", "vq", "pb_scaled", "filters")
+    assert got == [(5, "A", ".", 30, 50, -3.0, ["LowDP", "PB"]), (6, "G", ".", 7, 8, None, [])]
