@@ -625,13 +625,6 @@ def homopolymer_runs(spark, sf_dir):
     return seqs(spark, sf_dir).select("doc_id", sequence.longest_homopolymer(F.col("s")).cast("long").alias("longest"))
 
 
-@query("SELECT * FROM (VALUES (1, 10, 'ACGT', 'ACT', 11, 'CG', 'C'), (2, 10, 'ACG', 'ATG', 11, 'C', 'T'), (3, 10, 'A', 'A', 10, 'A', 'A'), (4, 10, 'TTTT', 'TT', 10, 'TTT', 'T'), (5, 10, 'GCA', 'GCATT', 12, 'A', 'ATT')) v(id, pos, ref, alt, new_pos, new_ref, new_alt)")
-def trim_alleles(spark, sf_dir):
-    rows = spark.createDataFrame([(1, 10, "ACGT", "ACT"), (2, 10, "ACG", "ATG"), (3, 10, "A", "A"), (4, 10, "TTTT", "TT"), (5, 10, "GCA", "GCATT")], "id int, pos int, ref string, alt string")
-    t = rows.withColumn("t", sequence.trimmed(F.col("pos"), F.col("ref"), F.col("alt")))
-    return t.select("id", "pos", "ref", "alt", F.col("t.pos").alias("new_pos"), F.col("t.ref").alias("new_ref"), F.col("t.alt").alias("new_alt"))
-
-
 CRUSHED_SQL = f"""SELECT chrom, pos // 3 AS pos, max_by(ref || repeat('G', CAST(pos % 3 AS INT)), length(ref || repeat('G', CAST(pos % 3 AS INT))) * 1000 + pos % 3) AS ref FROM ({ALLELES_SQL}) a WHERE ad > 0 GROUP BY chrom, pos // 3"""
 
 
