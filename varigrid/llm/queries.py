@@ -29,16 +29,19 @@ MIX_SEED = 1
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document its set's size, component and number of links; a null text or one without words has an empty set and no link, repeated rows are one class, an empty table gives no rows."""
     return jaccard_components(table(spark, sf_dir, "documents"), width=3, percent=90)
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document its likeliest language; ``und`` for a null text or one without letters, ties go to the first name, repeated rows repeat their result, an empty table gives no rows."""
     found = language_id(table(spark, sf_dir, "documents"))
     shares = F.array_sort(F.transform(F.map_entries("langs"), lambda e: F.format_string("%s:%.3f", e["key"], e["value"])))
     return found.withColumn("langs", F.array_join(shares, ","))
 
 
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document its base secrets and all spans; a null or empty text has none, repeated rows repeat their result, an empty table gives no rows."""
     return secrets(table(spark, sf_dir, "documents"))
 
 
@@ -49,18 +52,22 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document a score learned from labels that aren't held out; empty and null texts get the bias, without labels of both classes all get 0.5, an empty table gives no rows."""
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document the benchmark items that it holds; null and empty texts hold none, rows are told apart by id and text, an empty table on either side gives no item."""
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def op7_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document its place, length and checksum as read back from the id files; a null text is the end id alone, repeated ids are documents of their own, an empty table gives no rows."""
     return token_store(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), END_ID)
 
 
 def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per page its main text; a null or empty page has an empty one, repeated rows repeat it, a null url belongs to the empty host, an empty table gives no rows."""
     return main_text(table(spark, sf_dir, "pages"))
 
 
@@ -71,6 +78,7 @@ def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document its digest, that of its edited text and their likeness; a null text is empty, a lone row is its own next one, an empty table gives no rows."""
     return fingerprints(table(spark, sf_dir, "documents"))
 
 
