@@ -358,3 +358,20 @@ def test_references_of_one_locus_are_merged(spark):
     df = spark.createDataFrame([("c", 5, "A", ".", 20, 60, ["LowDP"], (-9.0,)), ("c", 5, "A", ".", 30, 50, ["PB", "LowDP"], (-3.0,)), ("c", 5, "A", "C", 90, 99, [], (0.0,)), ("c", 6, "G", ".", 7, 8, [], (None,))], schema)
     got = rows(merged_references(df), "pos", "ref", "alt", "dp", "vq", "pb_scaled", "filters")
     assert got == [(5, "A", ".", 30, 50, -3.0, ["LowDP", "PB"]), (6, "G", ".", 7, 8, None, [])]
+
+
+def test_context_tags(spark):
+    from varigrid.operators import calling
+
+    text = "ACGTTGCAAC" + "A" * 12 + "CGTGATTACA"
+    blocks = spark.createDataFrame([("c", 1 + i, text[i : i + 8]) for i in range(0, len(text), 8)], "contig string, start long, bases string")
+    schema = "chrom string, pos long, ref string, alt string, vf float, filters array<string>, sb struct<both:boolean>"
+    calls = spark.createDataFrame([
+        ("c", 10, "C", "CA", 0.1, ["LowDP"], (True,)), ("c", 10, "C", "CA", 0.4, [], (True,)), ("c", 10, "CA", "C", 0.1, [], (False,)),
+        ("c", 3, "G", "T", 0.1, [], (False,)), ("c", 3, "G", ".", 0.9, [], (False,)),
+    ], schema)
+    biased = spark.createDataFrame([("c", 3, True)], "chrom string, pos long, biased boolean")
+    got = rows(calling.with_context_tags(calls, blocks, calling.CallOptions(both_strands=True, indel_repeats=8), biased, flank=15, block=8), "pos", "alt", "vf", "filters")
+    by = {(p, a, round(v, 1)): f for p, a, v, f in got}
+    assert by[10, "CA", 0.1] == ["LowDP", "R8", "R5x9"] and by[10, "CA", 0.4] == ["R8"] and by[10, "C", 0.1] == ["SB", "R8", "R5x9"]
+    assert by[3, "T", 0.1] == ["SB", "AB"] and by[3, ".", 0.9] == []

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from varigrid.functions import sequence, stats
+from varigrid.operators.summaries import with_reference
 
 
 @dataclass(frozen=True)
@@ -24,6 +25,8 @@ class CallOptions:
     strand_bias: float | None = 0.5
     frequency_filter: float | None = None
     repeat_filter: tuple[int, int, float] | None = (5, 9, 0.35)
+    indel_repeats: int | None = None
+    both_strands: bool = False
     gvcf: bool = True
 
 
@@ -137,6 +140,32 @@ def indel_repeat_tag(context: Column, at: Column, ref: Column, alt: Column, most
     return F.when(kind.isin("ins", "del") & (n >= most), f"R{most}")
 
 
+def with_context_tags(calls: DataFrame, reference: DataFrame, options: CallOptions = CallOptions(), biased: DataFrame | None = None, flank: int = 100, block: int = 1000) -> DataFrame:
+    """Calls (chrom, pos, ref, alt, vf, filters, sb) with the filters that need more than their counts.
+
+    ``RMxN`` and, if ``indel_repeats`` is set, ``RN`` come from the ``reference`` (contig, start, bases)
+    ``flank`` places either side, ``AB`` from ``biased`` (chrom, pos, biased), and ``SB`` with
+    ``both_strands`` where one strand alone carries the allele.  References get none.
+    """
+    rows = with_reference(calls, reference, F.col("pos") - flank, F.col("pos") + F.length("ref") + flank, block)
+    at = (F.col("pos") - F.col("context_start") + 1).cast("int")
+    alternative = (F.col("alt") != ".") & (F.col("alt") != F.col("ref"))
+    tags = []
+    if options.both_strands:
+        tags.append(F.when(~F.col("sb.both"), "SB"))
+    if biased is not None:
+        rows = rows.join(biased.select("chrom", "pos", F.col("biased").alias("_biased")), ["chrom", "pos"], "left")
+        tags.append(F.when(F.col("_biased"), "AB"))
+    if options.indel_repeats is not None:
+        tags.append(indel_repeat_tag(F.col("context"), at, F.col("ref"), F.col("alt"), options.indel_repeats))
+    if options.repeat_filter is not None:
+        unit, copies, limit = options.repeat_filter
+        tags.append(repeat_tag(F.col("context"), at, F.col("ref"), F.col("alt"), F.col("vf"), unit, copies, limit))
+    more = F.array_compact(F.array(*tags)) if tags else F.array().cast("array<string>")
+    rows = rows.withColumn("filters", F.when(alternative, F.array_union("filters", more)).otherwise(F.col("filters")))
+    return rows.drop("context", "context_start", "_biased")
+
+
 def with_known(candidates: DataFrame, priors: DataFrame) -> DataFrame:
     """Adds ``known``: whether an allele is among the known ones (chrom, pos, ref, alt)."""
     marked = priors.select("chrom", "pos", "ref", "alt").distinct().withColumn("known", F.lit(True))

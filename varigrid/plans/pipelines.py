@@ -9,14 +9,19 @@ from varigrid.functions import stats
 from varigrid.operators import calling, clustering, genotype, intervals, mixture, phasing, pileup, pools, recalibrate
 
 
-def call_somatic(obs: DataFrame, options: calling.CallOptions = calling.CallOptions()) -> DataFrame:
-    """Base observations to genotyped, filtered somatic calls, one row an allele."""
+def call_somatic(obs: DataFrame, options: calling.CallOptions = calling.CallOptions(), reference: DataFrame | None = None, biased: DataFrame | None = None) -> DataFrame:
+    """Base observations to genotyped, filtered somatic calls, one row an allele.
+
+    With a ``reference`` (contig, start, bases) repeats are filters too, and with ``biased``
+    (chrom, pos, biased) amplicons are.
+    """
     rows = calling.scored(pileup.alleles(obs), options)
     ref_vf = calling.frequency(F.col("rd"), F.col("dp"))
     gt = genotype.somatic(F.lit(False), F.col("vf"), ref_vf, F.col("dp"), options.min_depth, options.min_frequency)
     rows = rows.withColumns({"filters": calling.filters(options), "genotype": gt})
     gq = stats.somatic_gq(F.col("vq"), F.col("vf").cast("double"), F.col("dp"), F.col("genotype").isin("1/1", "1/.", "0/0"), options.min_frequency)
-    return rows.withColumn("gq", gq)
+    rows = rows.withColumn("gq", gq)
+    return rows if reference is None else calling.with_context_tags(rows, reference, options, biased)
 
 
 def compare_pools(obs: DataFrame) -> DataFrame:
