@@ -1,6 +1,9 @@
 """Faults found by running larger tables."""
 
+import pyspark.sql.functions as F
+
 from varigrid import catalogue
+from varigrid.operators import intervals
 
 
 def duck(tables, name):
@@ -19,3 +22,25 @@ def test_nearest_indels_round_halves_as_the_sql_does(spark, tmp_path):
     columns, want = duck({"lineitem": f"{tmp_path}/lineitem.parquet"}, "nearest_indels")
     got = catalogue.QUERIES["nearest_indels"](spark, str(tmp_path)).select(*columns).collect()
     assert sorted(map(tuple, got)) == want == [(1, 100, 110, 2), (1, 100, 120, 1)]
+
+
+def unstable(spark, n, *columns):
+    """Numbers below n in an order that another read doesn't repeat, as rows fetched over a network come."""
+    import random
+
+    def each(batches):
+        import pandas as pd
+
+        for b in batches:
+            at = list(b["id"])
+            random.Random().shuffle(at)
+            yield pd.DataFrame({"id": at})
+
+    return spark.range(0, n, 1, 2).mapInPandas(each, "id long").select(*columns)
+
+
+def test_touching_needs_no_row_numbers(spark):
+    points = unstable(spark, 4000, (F.col("id") * 10 + 9).alias("pos"), F.repeat(F.lit("A"), (F.col("id") % 4 + 1).cast("int")).alias("ref"))
+    places = spark.createDataFrame([(i, i) for i in range(0, 40000, 10)], "start long, stop long")
+    got = sorted(tuple(r) for r in intervals.touching(points, places, bin_width=10).collect())
+    assert got == sorted((i * 10 + 9, "A" * (i % 4 + 1)) for i in range(3999) if i % 4)

@@ -37,15 +37,15 @@ def touching(points: DataFrame, intervals: DataFrame, by: list[str] | None = Non
     by = by or []
     side = binned(merged(intervals, by), bin_width).select(*by, "bin", "start", "stop")
     last = F.col("pos") + F.length("ref") - 1
-    keyed = points.withColumns({"_row": F.monotonically_increasing_id(), "_last": last})
-    spread = keyed.select(*by, "_row", "pos", "_last", F.explode(F.sequence(F.floor(F.col("pos") / bin_width), F.floor(F.col("_last") / bin_width))).alias("bin"))
-    cond = [spread[c] == side[c] for c in [*by, "bin"]] + [spread["pos"] <= side["stop"], spread["_last"] >= side["start"]]
-    narrow = points.filter(F.floor(F.col("pos") / bin_width) == F.floor(last / bin_width)).withColumns({"bin": F.floor(F.col("pos") / bin_width), "_last": last})
-    near = [narrow[c] == side[c] for c in [*by, "bin"]] + [narrow["pos"] <= side["stop"], narrow["_last"] >= side["start"]]
-    # rows inside one bin need no key of their own; the few others are matched by theirs
-    wide = keyed.filter(F.floor(F.col("pos") / bin_width) < F.floor(F.col("_last") / bin_width))
-    hit = spread.join(wide.select("_row"), "_row", "left_semi").join(side, cond, "left_semi").select("_row").distinct()
-    return narrow.join(side, near, "left_semi").drop("bin", "_last").unionByName(wide.join(hit, "_row", "left_semi").drop("_row", "_last"))
+    of = lambda c: F.floor(c / bin_width)
+    rows = points.withColumns({"_last": last, "bin": of(F.col("pos"))})
+    near = lambda df: [df[c] == side[c] for c in [*by, "bin"]] + [df["pos"] <= side["stop"], df["_last"] >= side["start"]]
+    narrow, wide = rows.filter(of(F.col("_last")) == F.col("bin")), rows.filter(of(F.col("_last")) > F.col("bin"))
+    # rows of several bins are matched by their places: a made-up number need not be the same when rows are read again
+    keys = [*by, "pos", "_last"]
+    spread = wide.select(*keys).distinct().withColumn("bin", F.explode(F.sequence(of(F.col("pos")), of(F.col("_last")))))
+    hit = spread.join(side, near(spread), "left_semi").select(*keys).distinct()
+    return narrow.join(side, near(narrow), "left_semi").unionByName(wide.join(hit, keys, "left_semi").select(*narrow.columns)).drop("bin", "_last")
 
 
 def overlapping(a: DataFrame, b: DataFrame, by: list[str] | None = None, bin_width: int = BIN) -> DataFrame:
