@@ -3,7 +3,7 @@
 import pyspark.sql.functions as F
 
 from varigrid import catalogue
-from varigrid.operators import intervals
+from varigrid.operators import intervals, summaries
 
 
 def duck(tables, name):
@@ -44,3 +44,16 @@ def test_touching_needs_no_row_numbers(spark):
     places = spark.createDataFrame([(i, i) for i in range(0, 40000, 10)], "start long, stop long")
     got = sorted(tuple(r) for r in intervals.touching(points, places, bin_width=10).collect())
     assert got == sorted((i * 10 + 9, "A" * (i % 4 + 1)) for i in range(3999) if i % 4)
+
+
+def test_reference_of_rows_that_come_in_any_order(spark):
+    blocks = spark.createDataFrame([("c", b * 10 + 1, "".join("ACGT"[(b * 10 + i) % 4] for i in range(1, 11))) for b in range(60)], "contig string, start long, bases string")
+    for width in (3, 11, 25, 47):
+        rows = unstable(spark, 500, F.lit("c").alias("chrom"), (F.col("id") + 1).alias("pos"))
+        got = summaries.with_reference(rows, blocks, F.col("pos") - 2, F.col("pos") - 3 + width, 10).collect()
+        assert len(got) == 500
+        for r in got:
+            first = max(1, r.pos - 2)
+            assert (r.context_start, r.context) == (first, "".join("ACGT"[p % 4] for p in range(first, r.pos - 2 + width)))
+    lone = spark.createDataFrame([("d", 5), (None, 5), ("c", None), ("c", -9)], "chrom string, pos long")
+    assert [(r.context_start, r.context) for r in summaries.with_reference(lone, blocks, F.col("pos"), F.col("pos") + 3, 10).collect()] == [(None, None)] * 4
