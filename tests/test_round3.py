@@ -57,3 +57,10 @@ def test_reference_of_rows_that_come_in_any_order(spark):
             assert (r.context_start, r.context) == (first, "".join("ACGT"[p % 4] for p in range(first, r.pos - 2 + width)))
     lone = spark.createDataFrame([("d", 5), (None, 5), ("c", None), ("c", -9)], "chrom string, pos long")
     assert [(r.context_start, r.context) for r in summaries.with_reference(lone, blocks, F.col("pos"), F.col("pos") + 3, 10).collect()] == [(None, None)] * 4
+
+
+def test_letters_of_alignments_are_not_nested_array_functions(spark):
+    rows = spark.createDataFrame([("r", "c", 5, "2S4M1I4M2D3M", "ACGTACGTACGTAC", [30] * 14, 60, False, False, False, 0), ("s", "c", 5, None, "AC", [30, 30], 60, False, False, False, 0)], "read string, chrom string, pos long, cigar string, bases string, quals array<int>, mapq int, reverse boolean, stitched boolean, mate_unmapped boolean, mismatches int")
+    events = summaries.indel_events(rows)
+    assert sorted((r.key, r.left, r.right, r.quality) for r in events.collect()) == [("c:12:D:2", 4, 3, 30), ("c:8:I:G", 4, 4, 30), ("c:8:I:G|c:12:D:2", 4, 3, 30)]
+    assert "lambdafunction" not in events._jdf.queryExecution().optimizedPlan().toString()
