@@ -64,3 +64,11 @@ def test_letters_of_alignments_are_not_nested_array_functions(spark):
     events = summaries.indel_events(rows)
     assert sorted((r.key, r.left, r.right, r.quality) for r in events.collect()) == [("c:12:D:2", 4, 3, 30), ("c:8:I:G", 4, 4, 30), ("c:8:I:G|c:12:D:2", 4, 3, 30)]
     assert "lambdafunction" not in events._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_poisson_probabilities_are_not_interpreted_row_by_row(spark):
+    from varigrid.functions import stats
+
+    found = spark.createDataFrame([(3, 2.0), (-1, 2.0), (1000, 1000.0)], "k long, m double").select(stats.poisson_cdf(F.col("k"), F.col("m")).alias("p"))
+    assert [round(r.p, 6) for r in found.collect()] == [0.857123, 0.0, 0.508409]
+    assert "lambdafunction" not in found._jdf.queryExecution().optimizedPlan().toString()

@@ -2,17 +2,21 @@
 
 Sums over few counts are higher-order ``aggregate`` calls on a running term;
 beyond that the incomplete gamma and beta functions are integrals of a fixed
-number of nodes, so that no array grows with the depth.  Nothing leaves the JVM.
+number of nodes, so that no array grows with the depth.  Poisson probabilities are
+worked out over Arrow batches, all else in the JVM.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from functools import cache
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 LN10 = math.log(10)
 #: Probabilities below this have the quality at its side.
@@ -65,30 +69,59 @@ def _window(z: Column, least: Column) -> Column:
     return F.when(z >= 0, F.greatest(F.lit(12.0), z + 6.0)).otherwise(F.greatest(least, F.least(F.lit(-12.0), z - 6.0)))
 
 
-def _poisson_integral(k: Column, mean: Column, beyond: bool) -> Column:
+def _poisson_far(k: np.ndarray, mean: np.ndarray, beyond: bool) -> np.ndarray:
     """P(X <= k), or P(X > k) if ``beyond``: the incomplete gamma function as an integral over means around k.
 
     With z deviations from k the integrand is exp(-k (u - ln(1 + u))), u = z / sqrt(k), so
     that no large numbers are taken from each other.
     """
+    root = np.sqrt(k)
+    z = (mean - k) / root
+    end = np.where(z >= 0, np.maximum(12.0, z + 6.0), np.maximum(-root, np.minimum(-12.0, z - 6.0)))
+    total = np.zeros(len(k))
+    for x, w in zip(_AT, _WEIGHT, strict=True):
+        u = (z + (end - z) * (x + 1) / 2) / root
+        total += w / 2 * np.exp(-k * (u - np.log1p(np.maximum(-1.0 + 1e-15, u))))
+    side = np.abs(end - z) * total * np.exp(-_stirling_rest(k)) / math.sqrt(2 * math.pi)
+    return np.clip(np.where((z < 0) == beyond, side, 1.0 - side), 0.0, 1.0)
+
+
+def _poisson_near(k: np.ndarray, mean: np.ndarray) -> np.ndarray:
+    """P(X <= k) for k up to TERMS, term by term."""
+    term = np.exp(-mean)
+    total = term.copy()
+    for i in range(1, int(k.max(initial=0)) + 1):
+        term = term * mean / i
+        total += np.where(i <= k, term, 0.0)
+    return np.minimum(1.0, total)
+
+
+@cache
+def _poisson(beyond: bool) -> Callable[[Column, Column], Column]:
+    """A function of whole numbers and means, worked out over the Arrow batches of a task.
+
+    As expressions the sums and integrals are interpreted for each row, and once more
+    wherever their column is used.  Without a number or a mean the probability counts as
+    it always did: 1 for P(X <= k).
+    """
 
-    def made(x: Column) -> Column:
-        root = F.sqrt(x["k"])
-        return _bound(ended, k=x["k"], root=root, z=(x["mean"] - x["k"]) / root)
-
-    def ended(x: Column) -> Column:
-        least = F.lit(-1.0 + 1e-15)  # a mean of 0
-        density = lambda z: F.exp(-x["k"] * (z / x["root"] - F.log1p(F.greatest(least, z / x["root"]))))
-        side = _integral(x["z"], _window(x["z"], -x["root"]), density) * F.exp(-_stirling_rest(x["k"])) / math.sqrt(2 * math.pi)
-        return F.when((x["z"] < 0) == F.lit(beyond), side).otherwise(1.0 - side)
-
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), _bound(made, k=k, mean=mean)))
-
-
-def _poisson_sum(k: Column, mean: Column) -> Column:
-    start = F.struct(F.exp(-mean).alias("p"), F.exp(-mean).alias("s"))
-    step = lambda a, i: F.struct((a["p"] * mean / i).alias("p"), (a["s"] + a["p"] * mean / i).alias("s"))
-    return F.least(F.lit(1.0), F.aggregate(_counted(k), start, step, lambda a: a["s"]))
+    @F.arrow_udf(DoubleType())
+    def probability(k: pa.Array, mean: pa.Array) -> pa.Array:
+        unknown = mean.is_null().to_numpy(zero_copy_only=False)
+        far = k.is_null().to_numpy(zero_copy_only=False)
+        n, m = k.fill_null(0).to_numpy(zero_copy_only=False).astype("int64"), mean.fill_null(0.0).to_numpy(zero_copy_only=False)
+        out = np.full(len(n), 1.0)
+        few, many = ~far & ~unknown & (n >= 0) & (n <= TERMS), ~far & ~unknown & (n > TERMS)
+        with np.errstate(all="ignore"):
+            near = _poisson_near(n[few], m[few])
+            out[few] = 1.0 - near if beyond else near
+            out[many] = _poisson_far(n[many].astype("float64"), m[many], beyond)
+        out[~far & (n < 0)] = 1.0 if beyond else 0.0
+        if beyond:
+            out[~far & unknown & (n >= 0) & (n <= TERMS)] = 0.0
+        return pa.array(out)
+
+    return probability
 
 
 def _counted(k: Column) -> Column:
@@ -98,14 +131,12 @@ def _counted(k: Column) -> Column:
 
 def poisson_cdf(k: Column, mean: Column) -> Column:
     """P(X <= k) for whole k, cut off toward zero; 0 for negative k.  Costs the same at any depth."""
-    n = k.cast("long")
-    return F.when(n < 0, 0.0).when(n <= TERMS, _poisson_sum(n, mean)).otherwise(_poisson_integral(n, mean, False))
+    return _poisson(False)(k.cast("long"), mean.cast("double"))
 
 
 def poisson_tail(k: Column, mean: Column) -> Column:
     """P(X > k) for whole k; beyond TERMS small tails keep their digits."""
-    n = k.cast("long")
-    return F.when(n < 0, 1.0).when(n <= TERMS, 1.0 - _poisson_sum(n, mean)).otherwise(_poisson_integral(n, mean, True))
+    return _poisson(True)(k.cast("long"), mean.cast("double"))
 
 
 def log_gamma(x: Column) -> Column:
