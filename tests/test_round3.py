@@ -72,3 +72,81 @@ def test_poisson_probabilities_are_not_interpreted_row_by_row(spark):
     found = spark.createDataFrame([(3, 2.0), (-1, 2.0), (1000, 1000.0)], "k long, m double").select(stats.poisson_cdf(F.col("k"), F.col("m")).alias("p"))
     assert [round(r.p, 6) for r in found.collect()] == [0.857123, 0.0, 0.508409]
     assert "lambdafunction" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def shuffled_rows(spark):
+    sc = spark.sparkContext
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+def open_candidates(n, shift=0):
+    import random
+
+    of = random.Random(5)
+    out = {}
+    for _ in range(n):
+        pos, ref = of.randrange(99_940, 100_060) + of.choice([0, 0, 100_000]), of.choice(["A", "AC", "ACG"])
+        alt = of.choice(["G" * len(ref), "T" * len(ref), ref[0], ref[0] + "GG"])
+        out[pos + shift, ref, alt, of.random() < 0.4, of.random() < 0.4] = (of.randrange(1, 9), 100)
+    out[99_990 + shift, "A" * 100_030, "A", False, True] = (3, 100)
+    return [("c", *k, *v) for k, v in sorted(out.items())]
+
+
+def test_collapse_shuffles_candidates_once_and_spans_may_cross_blocks(spark):
+    from varigrid.operators import candidates
+
+    kind = "chrom string, pos long, ref string, alt string, open_left boolean, open_right boolean, support long, coverage long"
+    results = []
+    for shift in (0, 50_000, 777_000):
+        rows = candidates.collapsed(spark.createDataFrame(open_candidates(300, shift), kind)).collect()
+        results.append(sorted((r.pos - shift, len(r.ref), r.alt, r.open_left, r.open_right, r.support) for r in rows))
+    assert results[0] == results[1] == results[2] and len(results[0]) < 300
+    n = 20_000
+    apart = spark.range(n).select(F.lit("c").alias("chrom"), (F.col("id") * 90 + 5).alias("pos"), F.lit("A").alias("ref"), F.lit("C").alias("alt"), F.lit(True).alias("open_left"), F.lit(False).alias("open_right"), F.lit(1).cast("long").alias("support"), F.lit(9).cast("long").alias("coverage"))
+    before = shuffled_rows(spark)
+    assert candidates.collapsed(apart).count() == n
+    assert shuffled_rows(spark) - before < 1.5 * n
+
+
+def walked(pos, cigar, bases, quals, reference, direction, min_q, most_length, most_gap, mnvs):
+    """Substitutions of one read of matches alone, letter by letter."""
+    out, start, end, opened, broken = [], None, None, False, False
+    for i in range(len(bases)):
+        if quals[i] < min_q or bases[i] == "N":
+            if start is not None:
+                out.append((start, end, opened, end == i))
+            start, broken = None, True
+            continue
+        if bases[i] != reference[i]:
+            if start is not None and mnvs and i + 1 - start <= most_length and i - end <= most_gap:
+                end = i + 1
+            else:
+                if start is not None:
+                    out.append((start, end, opened, False))
+                start, end, opened = i, i + 1, broken
+        elif start is not None and (not mnvs or i + 1 - end > most_gap):
+            out.append((start, end, opened, False))
+            start = None
+        broken = False
+    if start is not None:
+        out.append((start, end, opened, False))
+    return [(pos + s, reference[s:e], bases[s:e], left, right) for s, e, left, right in out]
+
+
+def test_candidates_by_whole_batches_are_those_of_each_letter(spark):
+    import random
+
+    from varigrid.operators import candidates
+
+    of = random.Random(3)
+    reads = [("c", 10 * i + 1, f"{n}M", "".join(of.choices("ACGTN", (5, 5, 5, 5, 1), k=n)), [of.choice([5, 30, 30, 30]) for _ in range(n)], "".join(of.choices("ACGT", k=n + 3)), i % 2) for i, n in enumerate(of.choices(range(1, 30), k=200))]
+    rows = spark.createDataFrame(reads, "chrom string, pos long, cigar string, bases string, quals array<int>, reference string, dir int")
+    for mnvs, length, gap in ((False, 3, 1), (True, 3, 1), (True, 5, 2), (True, 2, 0), (True, 1, 1)):
+        found = candidates.found(rows, mnvs=mnvs, most_length=length, most_gap=gap)
+        got = sorted((r.pos, r.ref, r.alt, r.open_left, r.open_right) for r in found.collect())
+        assert got == sorted(x for r in reads for x in walked(*r[1:], 20, length, gap, mnvs))
+    equal = candidates.found(rows.unionByName(rows)).withColumn("dir", F.when(F.col("pos") % 3 > 0, F.col("dir")))
+    keys = ["chrom", "pos", "ref", "alt", "dir", "open_left", "open_right"]
+    want = sorted(map(str, equal.groupBy(*keys).agg(F.count("*").alias("support")).collect()))
+    assert sorted(map(str, candidates.counted(equal, "dir", "open_left", "open_right").select(*keys, "support").collect())) == want

@@ -3,15 +3,22 @@
 from __future__ import annotations
 
 import re
+from collections import defaultdict
 from collections.abc import Callable, Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from varigrid.operators import blocks
 
 _OPS = re.compile(r"(\d+)([MIDNSHP=X])")
+#: Letters of reads that are walked at once.
+LETTERS = 1 << 20
+_KIND = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.int32(), pa.bool_(), pa.bool_()]
 
 
 def found(reads: DataFrame, min_q: int = 20, mnvs: bool = False, most_length: int = 3, most_gap: int = 1) -> DataFrame:
@@ -25,65 +32,130 @@ def found(reads: DataFrame, min_q: int = 20, mnvs: bool = False, most_length: in
     neighbours' quality.
     """
 
-    def walk(chrom, pos, cigar, bases, quals, reference, direction) -> Iterator[tuple]:
-        at, ref_at = 0, 0
-        for n, op in _OPS.findall(cigar):
-            n = int(n)
-            if op in "M=X":
-                yield from aligned(chrom, pos, at, ref_at, n, bases, quals, reference, direction)
-                at, ref_at = at + n, ref_at + n
-            elif op == "I":
-                if at and min(quals[at : at + n]) >= min_q and "N" not in bases[at : at + n]:
-                    anchor = reference[ref_at - 1]
-                    yield chrom, pos + ref_at - 1, anchor, anchor + bases[at : at + n], direction, at == 0, at + n == len(bases)
-                at += n
-            elif op == "D":
-                if at and at < len(bases) and min(quals[at - 1], quals[at]) >= min_q:
-                    yield chrom, pos + ref_at - 1, reference[ref_at - 1 : ref_at + n], reference[ref_at - 1], direction, False, False
-                ref_at += n
-            elif op == "N":
-                ref_at += n
-            elif op == "S":
-                at += n
-
-    def aligned(chrom, pos, at, ref_at, n, bases, quals, reference, direction) -> Iterator[tuple]:
-        start, end, broken = None, None, False  # of the allele being grown, and whether poor bases came before it
-
-        def out(open_right: bool) -> tuple:
-            return chrom, pos + ref_at + start, reference[ref_at + start : ref_at + end], bases[at + start : at + end], direction, opened, open_right
-
-        opened = False
-        for i in range(n):
-            b, r = bases[at + i], reference[ref_at + i]
-            poor = quals[at + i] < min_q or b == "N"
-            if poor:
-                if start is not None:
-                    yield out(end == i)
-                    start = None
-                broken = True
-                continue
-            if b != r:
-                if start is not None and mnvs and i + 1 - start <= most_length and i - end <= most_gap:
-                    end = i + 1
+    def parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        """Runs of reads with at most ``LETTERS`` letters, or one longer read."""
+        ends = np.cumsum(np.maximum(pc.utf8_length(batch.column(3)).to_numpy(zero_copy_only=False), 1))
+        i = 0
+        while i < batch.num_rows:
+            j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + LETTERS, "right")))
+            yield batch.slice(i, j - i)
+            i = j
+
+    def alleles(batch: pa.RecordBatch) -> pa.RecordBatch:
+        cigars, bases, quals, reference = (batch.column(i) for i in (2, 3, 4, 5))
+        b, b_at = _codes(bases)
+        r, r_at = _codes(reference)
+        q_at = quals.offsets.to_numpy().astype(np.int64)
+        q = quals.values.to_numpy(zero_copy_only=False)
+        sizes = np.diff(np.stack([b_at, r_at, q_at]), axis=1)
+        read, base, ref, long, others, ops = [], [], [], [], [], {}
+        for k, cigar in enumerate(cigars.to_pylist()):
+            if cigar not in ops:
+                ops[cigar] = _placed(cigar)
+            for op, n, at, ref_at in ops[cigar]:
+                if op in "M=X":
+                    read.append(k), base.append(at), ref.append(ref_at), long.append(n)
                 else:
-                    if start is not None:
-                        yield out(False)
-                    start, end, opened = i, i + 1, broken
-            elif start is not None and (not mnvs or i + 1 - end > most_gap):
-                yield out(False)
-                start = None
-            broken = False
-        if start is not None:
-            yield out(False)
-
-    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = ["chrom", "pos", "ref", "alt", "dir", "open_left", "open_right"]
+                    others.append((k, op, n, at, ref_at))
+        read, base, ref, long = (np.array(v, np.int64) for v in (read, base, ref, long))
+        if np.any((base + long > sizes[0][read]) | (ref + long > sizes[1][read]) | (base + long > sizes[2][read])):
+            raise IndexError("an alignment is longer than its read's bases, qualities or reference")
+        # a letter of an aligned run each
+        run = np.repeat(np.arange(len(read)), long)
+        inside = np.arange(len(run)) - np.repeat(np.cumsum(long) - long, long)
+        b_i, r_i = (b_at[read] + base)[run] + inside, (r_at[read] + ref)[run] + inside
+        poor = (q[(q_at[read] + base)[run] + inside] < min_q) | (b[b_i] == ord("N"))
+        wrong = np.flatnonzero((b[b_i] != r[r_i]) & ~poor)
+        # chains of mismatches that may be one allele, without poor bases between; an allele begins at a chain's head, and where it would be too long
+        before = np.cumsum(poor)
+        linked = (run[wrong[1:]] == run[wrong[:-1]]) & (np.diff(wrong) - 1 <= most_gap) & (before[wrong[1:]] == before[wrong[:-1]])
+        chain = np.cumsum(np.concatenate([[True], ~linked if mnvs else np.ones(len(linked), bool)])[: len(wrong)])
+        after = np.minimum(np.searchsorted(wrong, wrong + most_length), np.searchsorted(chain, chain, "right"))
+        begins = np.zeros(len(wrong), bool)
+        at = np.flatnonzero(np.concatenate([[True], np.diff(chain) > 0])[: len(wrong)])
+        while len(at):
+            begins[at] = True
+            then = after[at]
+            then_in = then < len(wrong)
+            at = then[then_in][chain[then[then_in]] == chain[at[then_in]]]
+        first = np.flatnonzero(begins)
+        s, e = wrong[first], wrong[after[first] - 1] + 1
+        edge = np.append(poor, False)
+        left = (s > 0) & edge[s - 1] & (inside[s] > 0)
+        right = edge[e] & (np.append(run, -1)[e] == run[s])
+        n = e - s
+        of = read[run[s]]
+        pos = batch.column(1).to_numpy(zero_copy_only=False)[of] + ref[run[s]] + inside[s]
+        columns = [batch.column(0).take(pa.array(of)), pa.array(pos, pa.int64()), _texts(r, r_i[s], n), _texts(b, b_i[s], n), batch.column(6).take(pa.array(of)), pa.array(left), pa.array(right)]
+        rows = []
+        for k, op, n, at, ref_at in others:
+            chrom, pos, own, known = batch.column(0)[k].as_py(), batch.column(1)[k].as_py(), bases[k].as_py(), reference[k].as_py()
+            if op == "I":
+                if at and q[q_at[k] + at : min(q_at[k] + at + n, q_at[k + 1])].min() >= min_q and "N" not in own[at : at + n]:
+                    anchor = known[ref_at - 1]
+                    rows.append((chrom, pos + ref_at - 1, anchor, anchor + own[at : at + n], batch.column(6)[k].as_py(), False, at + n == len(own)))
+            elif at and at < len(own) and q[q_at[k] + at - 1 : q_at[k] + at + 1].min() >= min_q:
+                rows.append((chrom, pos + ref_at - 1, known[ref_at - 1 : ref_at + n], known[ref_at - 1], batch.column(6)[k].as_py(), False, False))
+        more = [pa.array(v, t) for v, t in zip(zip(*rows, strict=True) if rows else [[]] * len(_KIND), _KIND, strict=True)]
+        return pa.RecordBatch.from_arrays([pa.concat_arrays([c.cast(t), m]) for c, m, t in zip(columns, more, _KIND, strict=True)], names)
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [x for r in batch.itertuples(index=False) for x in walk(*r)]
-            yield pd.DataFrame(rows, columns=names)
+            for part in parts(batch):
+                yield alleles(part)
 
+    names = ["chrom", "pos", "ref", "alt", "dir", "open_left", "open_right"]
     kind = "chrom string, pos long, ref string, alt string, dir int, open_left boolean, open_right boolean"
-    return reads.select("chrom", "pos", "cigar", "bases", "quals", "reference", "dir").mapInPandas(each, kind)
+    return reads.select("chrom", "pos", "cigar", "bases", "quals", "reference", "dir").mapInArrow(each, kind)
+
+
+def _placed(cigar: str) -> list[tuple[str, int, int, int]]:
+    """(operation, length, bases before it, reference places before it) of matches, insertions and deletions."""
+    out, at, ref_at = [], 0, 0
+    for n, op in _OPS.findall(cigar):
+        n = int(n)
+        if op in "M=XID":
+            out.append((op, n, at, ref_at))
+        at += n if op in "M=XIS" else 0
+        ref_at += n if op in "M=XDN" else 0
+    return out
+
+
+def _codes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of all texts, and where each text starts (texts + 1)."""
+    texts = column.to_pylist()
+    starts = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
+    return np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32), starts
+
+
+def _texts(codes: np.ndarray, start: np.ndarray, n: np.ndarray) -> pa.Array:
+    """The texts of ``n`` code points from each ``start``."""
+    ends = np.cumsum(n)
+    picked = codes[np.repeat(start - (ends - n), n) + np.arange(n.sum())]
+    if np.any(picked > 127):
+        whole = picked.tobytes().decode("utf-32-le")
+        return pa.array([whole[e - k : e] for e, k in zip(ends.tolist(), n.tolist(), strict=True)], pa.string())
+    offsets = np.concatenate([[0], ends]).astype(np.int32)
+    return pa.StringArray.from_buffers(len(n), pa.py_buffer(offsets.tobytes()), pa.py_buffer(picked.astype(np.uint8).tobytes()))
+
+
+def counted(candidates: DataFrame, *by: str) -> DataFrame:
+    """(chrom, pos, ref, alt, by, support): equal candidates counted.  Columns of ``by`` are flags or numbers from 0 to 2.
+
+    The place and the flags are one number and both alleles one text till they are counted, which halves the rows that are shuffled.
+    """
+    place = F.col("pos")
+    for c in by:
+        place = place * 4 + F.coalesce(F.col(c).cast("int"), F.lit(3))
+    rows = candidates.select("chrom", place.alias("_place"), F.concat_ws(">", "ref", "alt").alias("_change"))
+    rows = rows.groupBy("chrom", "_place", "_change").agg(F.count("*").alias("support"))
+    flags = [F.shiftright("_place", 2 * i).bitwiseAND(F.lit(3)) for i in reversed(range(len(by)))]
+    alleles = F.split("_change", ">")
+    kinds = candidates.schema
+    return rows.select(
+        "chrom", F.shiftright("_place", 2 * len(by)).alias("pos"), F.get(alleles, F.lit(0)).alias("ref"), F.get(alleles, F.lit(1)).alias("alt"),
+        *[F.when(f < 3, f).cast("int").cast(kinds[c].dataType).alias(c) for c, f in zip(by, flags, strict=True)], "support",
+    )
 
 
 def spans(candidates: DataFrame, reach: int = 1) -> DataFrame:
@@ -93,29 +165,84 @@ def spans(candidates: DataFrame, reach: int = 1) -> DataFrame:
     return blocks.running(rows, ["chrom"], "pos", ["pos", "ref", "alt"], opened, "span", own=True).drop("_end")
 
 
-def by_span(rows: DataFrame, work: Callable[[list[dict]], list[tuple]], schema: str) -> DataFrame:
-    """What ``work`` makes of the rows of each (chrom, span), a dictionary a row.
+def by_span(candidates: DataFrame, work: Callable[[list[dict]], list[tuple]], schema: str, reach: int = 1) -> DataFrame:
+    """What ``work`` makes of the candidates (chrom, pos, ref) of each span, a dictionary a row.
 
-    Most spans hold a few rows, so a task goes through its spans in order and
-    keeps one of them at a time.
+    Rows are shuffled once, to blocks of positions, and a task goes through a block
+    in order and keeps one span at a time.  A block begins with a row that says how far
+    the earlier ones reach and where the next one begins, so spans that lie in one
+    block are known there; the few that cross borders are brought together after it.
     """
-    names = [f.split()[0] for f in schema.split(", ")]
-
-    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, held = None, []
+    columns, names = candidates.columns, [f.split()[0] for f in schema.split(", ")]
+    keyed = candidates.withColumn("_block", F.floor(F.col("pos") / blocks.WIDTH))
+    ends = keyed.groupBy("chrom", "_block").agg(F.max(F.col("pos") + F.length("ref") - 1).alias("_top"), F.min("pos").alias("_first"))
+    # a row a block from here on
+    order = Window.partitionBy("chrom").orderBy("_block")
+    ends = ends.withColumns({"_before": F.max("_top").over(order.rowsBetween(Window.unboundedPreceding, -1)), "_next": F.lead("_first").over(order)})
+    kind = candidates.schema.simpleString()[len("struct<") : -1].replace(":", " ")
+
+    def sweep(batches: Iterator[pa.RecordBatch], inner: bool) -> Iterator[list]:
+        """Spans of one block, or with ``inner`` false what others have of the spans."""
+        span, end, begun, following = [], None, True, None
+        for batch in batches:
+            out = []
+            for _, row, before, then, *values in zip(*[batch.column(i).to_pylist() for i in range(batch.num_columns)], strict=True):
+                if not row:
+                    if span and (begun and (following is None or following > end + reach)) == inner:
+                        out.append(span)
+                    span, end, begun, following = [], before, before is None, then
+                    continue
+                r = dict(zip(columns, values, strict=True))
+                if end is None or r["pos"] > end + reach:
+                    if span and begun == inner:
+                        out.append(span)
+                    span, begun = [], True
+                span.append(r)
+                last = r["pos"] + len(r["ref"]) - 1
+                end = last if end is None else max(end, last)
+            yield out
+        if span and (begun and (following is None or following > end + reach)) == inner:
+            yield [span]
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for found in sweep(batches, True):
+            yield made([x for span in found for x in work(span)])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for found in sweep(batches, False):
+            yield pa.RecordBatch.from_pydict({c: [r[c] for span in found for r in span] for c in columns}, held)
+
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, span = None, []
         for batch in batches:
-            made = []
-            for r in batch.to_dict("records"):
-                if held and (r["chrom"], r["span"]) != key:
-                    made += work(held)
-                    held = []
+            out = []
+            for r in batch.to_pylist():
+                if span and (r["chrom"], r["span"]) != key:
+                    out += work(span)
+                    span = []
                 key = r["chrom"], r["span"]
-                held.append(r)
-            yield pd.DataFrame(made, columns=names)
-        if held:
-            yield pd.DataFrame(work(held), columns=names)
+                span.append(r)
+            yield made(out)
+        if span:
+            yield made(work(span))
+
+    def made(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(zip(*rows, strict=True) if rows else [[]] * len(names), kept, strict=True)], names)
+
+    held, kept = (to_arrow_schema(s) for s in (candidates.schema, candidates.sparkSession.createDataFrame([], schema).schema))
+
+    def laid(rows: DataFrame, firsts: DataFrame) -> DataFrame:
+        none = [F.lit(None).cast(candidates.schema[c].dataType).alias(c) for c in columns if c != "chrom"]
+        heads = firsts.select("_block", F.lit(False).alias("_row"), "_before", "_next", "chrom", *none)
+        rows = rows.select("_block", F.lit(True).alias("_row"), F.lit(None).cast("long").alias("_before"), F.lit(None).cast("long").alias("_next"), "chrom", *[c for c in columns if c != "chrom"])
+        every = heads.unionByName(rows).select("_block", "_row", "_before", "_next", *columns)
+        return every.repartition("chrom", "_block").sortWithinPartitions("chrom", "_block", "_row", "pos", "ref")
 
-    return rows.repartition("chrom", "span").sortWithinPartitions("chrom", "span").mapInPandas(each, schema)
+    crossing = ends.filter((F.col("_before") + reach >= F.col("_first")) | (F.greatest("_top", "_before") + reach >= F.col("_next")))
+    some = keyed.join(F.broadcast(crossing.select(F.col("chrom").alias("_c"), F.col("_block").alias("_b"))), F.col("chrom").eqNullSafe(F.col("_c")) & (F.col("_block") == F.col("_b")), "left_semi")
+    rest = spans(laid(some, crossing).mapInArrow(cut, kind), reach)
+    across = rest.repartition("chrom", "span").sortWithinPartitions("chrom", "span").mapInArrow(joined, schema)
+    return laid(keyed, ends).mapInArrow(whole, schema).unionByName(across)
 
 
 def collapsed(candidates: DataFrame, ratio: float = 0.5, least_frequency: float = 0.0) -> DataFrame:
@@ -151,9 +278,15 @@ def collapsed(candidates: DataFrame, ratio: float = 0.5, least_frequency: float
     def one(rows: list[dict]) -> list[tuple]:
         turn = sorted((r for r in rows if r["open_left"] or r["open_right"]), key=lambda r: (-size(r), not (r["open_left"] and r["open_right"]), r["ref"], r["alt"], r["support"], r["open_right"], r["open_left"], r["pos"]))
         there = {id(r): r for r in rows}
+        # what may hold an open candidate begins or ends where it does
+        begin, stop = defaultdict(list), defaultdict(list)
+        for r in rows:
+            begin[r["pos"]].append(r)
+            stop[r["pos"] + len(r["ref"])].append(r)
         for r in turn:
             frequent = max(least_frequency, ratio * r["support"] / max(1, r["coverage"]))
-            fit = [t for t in there.values() if t is not r and holds(t, r) and t["support"] / max(1, t["coverage"]) >= frequent]
+            near = begin[r["pos"]] if r["open_right"] or kind(r) > 0 else stop[r["pos"] + len(r["ref"])]
+            fit = [t for t in near if id(t) in there and t is not r and holds(t, r) and t["support"] / max(1, t["coverage"]) >= frequent]
             if fit:
                 t = min(fit, key=lambda t: (t["open_left"] or t["open_right"], -t["support"], -size(t), t["pos"], t["ref"], t["alt"], t["open_left"], t["open_right"]))
                 t["support"] += r["support"]
@@ -163,7 +296,7 @@ def collapsed(candidates: DataFrame, ratio: float = 0.5, least_frequency: float
         return [tuple(r[c] for c in ("chrom", "pos", "ref", "alt", "open_left", "open_right", "support", "coverage")) for r in kept]
 
     schema = "chrom string, pos long, ref string, alt string, open_left boolean, open_right boolean, support long, coverage long"
-    return by_span(spans(candidates).select("chrom", "span", "pos", "ref", "alt", "open_left", "open_right", "support", "coverage"), one, schema)
+    return by_span(candidates.select("chrom", "pos", "ref", "alt", "open_left", "open_right", "support", "coverage"), one, schema)
 
 
 def reallocated(alleles: DataFrame) -> DataFrame:
@@ -177,12 +310,16 @@ def reallocated(alleles: DataFrame) -> DataFrame:
     def one(rows: list[dict]) -> list[tuple]:
         held = {(r["pos"], r["ref"], r["alt"]): [r["support"], r["callable"]] for r in rows}
         failed = sorted((k for k, v in held.items() if len(k[1]) > 1 and len(k[1]) == len(k[2]) and not v[1]), key=lambda k: (k[0], -len(k[1]), -held[k][0], k[2]))
+        begin = defaultdict(list)  # callable alleles, which stay, by place
+        for x, v in held.items():
+            if v[1] and len(x[1]) == len(x[2]):
+                begin[x[0]].append(x)
         for k in failed:
             support = held.pop(k)[0]
             todo = [k]
             while todo:
                 pos, ref, alt = todo.pop()
-                parts = [x for x, v in held.items() if v[1] and len(x[1]) == len(x[2]) and x[0] >= pos and x[0] + len(x[1]) <= pos + len(ref) and ref[x[0] - pos :].startswith(x[1]) and alt[x[0] - pos :].startswith(x[2])]
+                parts = [x for p in range(pos, pos + len(ref)) for x in begin.get(p, ()) if x[0] + len(x[1]) <= pos + len(ref) and ref[x[0] - pos :].startswith(x[1]) and alt[x[0] - pos :].startswith(x[2])]
                 if parts:
                     p = min(parts, key=lambda x: (-len(x[1]), -held[x][0], x[0], x[2]))
                     held[p][0] += support
@@ -198,4 +335,4 @@ def reallocated(alleles: DataFrame) -> DataFrame:
         return [(rows[0]["chrom"], *k, *v) for k, v in sorted(held.items())]
 
     schema = "chrom string, pos long, ref string, alt string, support long, callable boolean"
-    return by_span(spans(alleles).select("chrom", "span", "pos", "ref", "alt", "support", "callable"), one, schema)
+    return by_span(alleles.select("chrom", "pos", "ref", "alt", "support", "callable"), one, schema)
