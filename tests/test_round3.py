@@ -150,3 +150,22 @@ def test_candidates_by_whole_batches_are_those_of_each_letter(spark):
     keys = ["chrom", "pos", "ref", "alt", "dir", "open_left", "open_right"]
     want = sorted(map(str, equal.groupBy(*keys).agg(F.count("*").alias("support")).collect()))
     assert sorted(map(str, candidates.counted(equal, "dir", "open_left", "open_right").select(*keys, "support").collect())) == want
+
+
+def test_phased_alleles_plan_stays_small_and_clusters_are_found_once(spark, sf_dir):
+    found = catalogue.QUERIES["phased_haplotypes"](spark, sf_dir)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FlatMapGroupsInPandas") == 1 and len(found._jdf.queryExecution().optimizedPlan().toString()) < 300_000
+
+
+def test_phased_alleles_cut_sites_that_begin_inside_others(spark):
+    from varigrid.operators import clustering
+
+    kind = "chrom string, nbhd long, part long, cluster int, signature string, n long, consensus string"
+    clustered = spark.createDataFrame([("c", 1, 9, 1, "10:alt,11:alt,14:alt", 4, "10:alt,11:alt,14:alt"), ("c", 1, 9, 1, "10:alt,11:ref", 3, None), ("c", 1, 9, 2, "10:ref,14:X", 2, "10:ref,14:X")], kind)
+    sites = spark.createDataFrame([("c", 1, 10, "ACG", "TCG"), ("c", 1, 11, "CGT", "CGA"), ("c", 1, 14, "G", "C")], "chrom string, nbhd long, pos long, ref string, alt string")
+    reference = spark.createDataFrame([("c", p, b) for p, b in zip(range(10, 15), "ACGTG", strict=True)], "chrom string, pos long, base string")
+    found, used = clustering.phased_alleles(clustered, sites, reference)
+    # ACG, then T of the second, then G: of 10 to 14, with averages of 7, 7, 4 reads of 9, 7, 6
+    assert [(r.pos, r.ref, r.alt, r.kind, r.support, r.depth) for r in found.collect()] == [(10, "ACGTG", "TCGAC", "mnv", 6, 7)]
+    assert used.collect() == []

@@ -8,13 +8,16 @@ alternative, the reference, something else); agreement is a count of common bits
 
 from __future__ import annotations
 
+import math
 from collections import Counter, defaultdict
+from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from varigrid.functions import sequence, stats
+from varigrid.functions import stats
 from varigrid.operators import blocks
 
 #: Rounds of giving free signatures to clusters before one of them begins a new one.
@@ -252,35 +255,57 @@ def phased_alleles(clustered: DataFrame, sites: DataFrame, reference: DataFrame,
     reference place inside an allele went into it.
     """
     keys = ["chrom", "nbhd", "part", "cluster"]
-    states = clustered.select(*keys, "n", F.explode(F.split("signature", ",")).alias("s")).withColumn("s", F.split("s", ":"))
-    states = states.select(*keys, "n", F.get("s", F.lit(0)).cast("long").alias("pos"), F.get("s", F.lit(1)).alias("state"))
-    deep = states.groupBy("chrom", "nbhd", "pos").agg(F.sum("n").alias("_depth"))
-    counts = states.groupBy(*keys, "pos").agg(F.sum("n").alias("_count"))
-    agreed = clustered.groupBy(*keys).agg(F.max("consensus").alias("c")).select(*keys, F.explode(F.split("c", ",")).alias("s")).withColumn("s", F.split("s", ":"))
-    agreed = agreed.select(*keys, F.get("s", F.lit(0)).cast("long").alias("pos"), F.get("s", F.lit(1)).alias("state")).filter("state = 'alt'")
-    rows = agreed.join(counts, [*keys, "pos"]).join(deep, ["chrom", "nbhd", "pos"]).join(sites.select("chrom", "nbhd", "pos", "ref", "alt"), ["chrom", "nbhd", "pos"])
+    # what a cluster's reads have at a site and what it agrees on are rows of one pass, as clusters are costly to find
+    place = lambda s: F.substring_index(s, ":", 1).cast("long")
+    own = F.transform(F.split("signature", ","), lambda s: F.struct(place(s).alias("pos"), F.lit(False).alias("alt")))
+    agreed = F.transform(F.filter(F.split("consensus", ","), lambda s: s.endswith(":alt")), lambda s: F.struct(place(s).alias("pos"), F.lit(True).alias("alt")))
+    none = F.array().cast("array<struct<pos:bigint,alt:boolean>>")
+    states = clustered.select(*keys, "n", F.explode(F.concat(own, F.coalesce(agreed, none))).alias("s")).select(*keys, "n", "s.*")
+    counts = states.groupBy(*keys, "pos").agg(F.sum(F.when(~F.col("alt"), F.col("n"))).alias("_count"), F.max("alt").alias("_alt"))
+    counts = counts.withColumn("_depth", F.sum("_count").over(Window.partitionBy("chrom", "nbhd", "pos"))).filter("_alt").drop("_alt")
+    rows = counts.join(sites.select("chrom", "nbhd", "pos", "ref", "alt"), ["chrom", "nbhd", "pos"])
     rows = rows.filter("ref <> alt")
     whole = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("pos", "ref", "alt", "_count", "_depth"))).alias("x"))
 
-    def step(acc: Column, s: Column) -> Column:
-        over = acc["last"] - s["pos"] + 1  # bases of this site that the one before has
-        fits = acc["last"].isNull() | (over <= 0)
-        cut = (over > 0) & (over < F.length(s["alt"])) & (over < F.length(s["ref"]))
-        k = F.when(fits, 0).otherwise(over).cast("int")
-        piece = F.struct(
-            (s["pos"] + k).alias("pos"), F.substring(s["ref"], k + 1, F.length(s["ref"])).alias("ref"), F.substring(s["alt"], k + 1, F.length(s["alt"])).alias("alt"),
-            s["_count"].alias("count"), s["_depth"].alias("depth"), acc["last"].alias("before"),
-        )
-        return F.when(fits | cut, F.struct((piece["pos"] + F.length(piece["ref"]) - 1).alias("last"), F.concat(acc["list"], F.array(piece)).alias("list"))).otherwise(acc)
-
-    none = F.array().cast("array<struct<pos:bigint,ref:string,alt:string,count:bigint,depth:bigint,before:bigint>>")
-    zero = F.struct(F.lit(None).cast("bigint").alias("last"), none.alias("list"))
-    held = whole.select(*keys, F.aggregate("x", zero, step, lambda a: a["list"]).alias("x"))
-    mean = lambda n: F.floor(F.aggregate("x", F.lit(0).cast("long"), lambda a, s: a + s[n]) / F.size("x")).cast("long")
-    held = held.withColumns({"support": mean("count"), "depth": F.greatest(mean("depth"), mean("count"))})
-    gap = lambda s: F.when(s["before"].isNotNull() & (s["pos"] - s["before"] > 1), F.transform(F.sequence(s["before"] + 1, s["pos"] - 1), lambda p: F.struct(p.alias("pos"), F.lit(None).cast("string").alias("ref"), F.lit(None).cast("string").alias("alt")))).otherwise(F.array().cast("array<struct<pos:bigint,ref:string,alt:string>>"))
-    letters = F.flatten(F.transform("x", lambda s: F.concat(gap(s), F.array(F.struct(s["pos"].alias("pos"), s["ref"].alias("ref"), s["alt"].alias("alt"))))))
-    each = held.select(*keys, "support", "depth", F.explode(letters).alias("l")).select(*keys, "support", "depth", "l.*")
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Sites of a cluster one after another: one that begins inside the one before is cut, places between them are rows without alleles."""
+        for batch in batches:
+            out = []
+            for row in batch.to_pylist():
+                last, held, places = None, [], []
+                for s in row["x"]:
+                    over = max(0, last - s["pos"] + 1) if last is not None else 0
+                    if over and (over >= len(s["alt"]) or over >= len(s["ref"])):
+                        continue
+                    pos, ref, alt = s["pos"] + over, s["ref"][over:], s["alt"][over:]
+                    if last is not None:
+                        places += [(p, None, None) for p in range(last + 1, pos)]
+                    places.append((pos, ref, alt))
+                    held.append(s)
+                    last = pos + len(ref) - 1
+                support, depth = (math.floor(sum(s[n] for s in held) / len(held)) for n in ("_count", "_depth"))
+                out += [(*(row[k] for k in keys), support, max(support, depth), *p) for p in places]
+            yield rows_of(out, piece_names)
+
+    def trimmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for row in batch.to_pylist():
+                r, a, h = row["_r"], row["_a"], 0
+                while r and a and r[-1] == a[-1]:
+                    r, a = r[:-1], a[:-1]
+                while h < min(len(r), len(a)) and r[h] == a[h]:
+                    h += 1
+                if h < max(len(r), len(a)):
+                    start, short = row["first"] + h, h in (len(r), len(a))
+                    out.append((*(row[k] for k in keys), row["support"], row["depth"], row["inner"], start, start - short, r[h:], a[h:]))
+            yield rows_of(out, trim_names)
+
+    kinds = {"chrom": pa.string(), "cluster": pa.int32(), "ref": pa.string(), "alt": pa.string(), "_r": pa.string(), "_a": pa.string(), "inner": pa.list_(pa.int64())}
+    piece_names, trim_names = [*keys, "support", "depth", "pos", "ref", "alt"], [*keys, "support", "depth", "inner", "start", "pos", "_r", "_a"]
+    rows_of = lambda out, names: pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], kinds.get(n, pa.int64())) for i, n in enumerate(names)], names)
+    head = "chrom string, nbhd long, part long, cluster int, support long, depth long"
+    each = whole.mapInArrow(pieces, f"{head}, pos long, ref string, alt string")
     each = each.join(reference.select("chrom", "pos", "base"), ["chrom", "pos"], "left")
     filled = F.coalesce("base", F.lit("R"))
     built = each.groupBy(*keys, "support", "depth").agg(
@@ -289,14 +314,8 @@ def phased_alleles(clustered: DataFrame, sites: DataFrame, reference: DataFrame,
     )
     text = lambda k: F.array_join(F.transform("y", lambda s: s[k]), "")
     built = built.select(*keys, "support", "depth", "first", "inner", text("r").alias("_r"), text("a").alias("_a"))
-    tail = sequence.shared_suffix(F.col("_r"), F.col("_a"))
-    built = built.withColumn("_t", tail)
-    built = built.withColumns({"_r": F.substring("_r", F.lit(1), F.length("_r") - F.col("_t")), "_a": F.substring("_a", F.lit(1), F.length("_a") - F.col("_t"))})
-    built = built.withColumn("_h", sequence.shared_prefix(F.col("_r"), F.col("_a")))
-    rest = lambda c: F.substring(c, F.col("_h") + 1, F.length(c))
-    built = built.select(*keys, "support", "depth", "inner", (F.col("first") + F.col("_h")).alias("start"), rest("_r").alias("_r"), rest("_a").alias("_a")).filter("_r <> '' or _a <> ''")
+    built = built.mapInArrow(trimmed, f"{head}, inner array<bigint>, start long, pos long, _r string, _a string")
     short = (F.col("_r") == "") | (F.col("_a") == "")
-    built = built.withColumn("pos", F.when(short, F.col("start") - 1).otherwise(F.col("start")))
     ahead = reference.select("chrom", "pos", F.col("base").alias("_ahead"))
     built = built.join(ahead, ["chrom", "pos"], "left").withColumn("_ahead", F.when(short, F.coalesce("_ahead", F.lit("R"))).otherwise(""))
     kind = F.when(F.col("_r") == "", "insertion").when(F.col("_a") == "", "deletion").when((F.length("_r") == 1) & (F.length("_a") == 1), "snv").otherwise("mnv")
