@@ -169,3 +169,18 @@ def test_phased_alleles_cut_sites_that_begin_inside_others(spark):
     # ACG, then T of the second, then G: of 10 to 14, with averages of 7, 7, 4 reads of 9, 7, 6
     assert [(r.pos, r.ref, r.alt, r.kind, r.support, r.depth) for r in found.collect()] == [(10, "ACGTG", "TCGAC", "mnv", 6, 7)]
     assert used.collect() == []
+
+
+def test_regression_leaves_no_weights_on_the_driver(spark):
+    import numpy as np
+
+    from varigrid.llm import toxicity
+
+    of = np.random.default_rng(1)
+    rows = [(i % 2, np.concatenate([[i % 2], 2 + np.flatnonzero(of.random((1 << 16) - 2) < 0.5)]).astype(np.uint32).tobytes()) for i in range(40)]
+    held = spark.createDataFrame(rows, "toxic int, features binary").repartition(4)
+    blocks = lambda: spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().memoryStore().memoryUsed()
+    before = blocks()
+    bias, weights = toxicity.logistic(held, np.ones(1 << 16), {0: 20, 1: 20})
+    assert weights[1] > 0 > weights[0]
+    assert blocks() - before < 1 << 20

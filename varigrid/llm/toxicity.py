@@ -143,10 +143,12 @@ def logistic(held: DataFrame, scale: np.ndarray, sizes: dict[int, int], ridge: f
             yield pa.RecordBatch.from_arrays([pa.array([loss]), binaries([total.tobytes()])], ["loss", "gradient"])
 
         loss, total = 0.5 * ridge * float(v[:-1] @ v[:-1]), np.zeros(size + 1)
-        for r in held.mapInArrow(part, "loss double, gradient binary").collect():
-            loss += r["loss"]
-            total += np.frombuffer(r["gradient"])
-        sent.unpersist()
+        # as Arrow, so that the driver holds a round's gradients once; a round's weights go from the driver too
+        found = held.mapInArrow(part, "loss double, gradient binary").toArrow()
+        for lost, gradient in zip(found["loss"].to_pylist(), found["gradient"], strict=True):
+            loss += lost
+            total += np.frombuffer(gradient.as_buffer())
+        sent.destroy()
         return loss, np.append(total[:-1] * scale + ridge * v[:-1], total[-1])
 
     best = descended(at, np.zeros(size + 1), rounds)
