@@ -47,7 +47,7 @@ TERMS, NODES = 128, 40
 _AT, _WEIGHT = np.polynomial.legendre.leggauss(NODES)
 
 
-def _bound(make: Callable[[Column], Column], **columns: Column) -> Column:
+def bound(make: Callable[[Column], Column], **columns: Column) -> Column:
     """``make`` of a struct of the columns, which are worked out once each."""
     held = F.array(F.struct(*[c.cast("double").alias(n) for n, c in columns.items()]))
     return F.get(F.transform(held, make), F.lit(0))
@@ -151,7 +151,7 @@ def log_gamma(x: Column) -> Column:
         rest = (1.0 / 12 - inverse * (1.0 / 360 - inverse * (1.0 / 1260 - inverse * (1.0 / 1680 - inverse / 1188.0)))) / y
         return (y - 0.5) * F.log(y) - y + 0.5 * math.log(2 * math.pi) + rest - F.log(shift)
 
-    return _bound(made, x=x)
+    return bound(made, x=x)
 
 
 def log_factorial(n: Column) -> Column:
@@ -185,7 +185,7 @@ def _binomial_integral(k: Column, n: Column, p: float) -> Column:
         m, rest = x["n"] - 1.0, x["n"] - 1.0 - x["k"]
         share = x["k"] / m
         unit = F.sqrt(x["k"] * rest / m) / m
-        return _bound(ended, m=m, k=x["k"], rest=rest, share=share, unit=unit, z=(F.lit(p) - share) / unit)
+        return bound(ended, m=m, k=x["k"], rest=rest, share=share, unit=unit, z=(F.lit(p) - share) / unit)
 
     def ended(x: Column) -> Column:
         away = lambda z: F.when((z * x["unit"] >= 1.0 - x["share"]) | (z * x["unit"] <= -x["share"]), F.lit(float("-inf")))
@@ -194,7 +194,7 @@ def _binomial_integral(k: Column, n: Column, p: float) -> Column:
         side = scale * _integral(x["z"], _window(x["z"], -x["share"] / x["unit"]), density)
         return F.when(x["z"] < 0, 1.0 - side).otherwise(side)
 
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), _bound(made, k=k, n=n)))
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), bound(made, k=k, n=n)))
 
 
 def binomial_cdf(k: Column, n: Column, p: float) -> Column:

@@ -160,12 +160,14 @@ def two_alternatives(counts: Column, depth: Column, means: tuple = (SNV_MEANS, S
         for i, p in enumerate((rest, p1, p2)):
             term = term + F.get(counts, F.lit(i)) * F.lit(math.log(p))
         logs.append(term)
-    top = F.greatest(*logs)
-    shares = F.transform(F.array(*logs), lambda x: F.exp(x - top))
-    total = F.aggregate(shares, F.lit(0.0), lambda a, x: a + x)
     q = lambda p: F.when(p < 1e-300, MOST_GQ).otherwise(F.least(F.lit(MOST_GQ), -10 * F.log10(p)))
-    others = F.aggregate(F.filter(shares, lambda _, i: i != 4), F.lit(0.0), lambda a, x: a + x)
-    worked = F.struct(F.bround(q(others / total)).cast("int").alias("gq"), F.transform(shares, lambda x: q(x / total)).alias("posteriors"))
+    fields = [f"s{i}" for i in range(6)]
+    summed = lambda x, names: sum((x[n] for n in names), F.lit(0.0))
+    # each step reads the one before as a struct, so none is worked out twice
+    shares = lambda x: stats.bound(totals, **{n: F.exp(x[n] - x["top"]) for n in fields})
+    totals = lambda x: stats.bound(rated, **{n: x[n] for n in fields}, total=summed(x, fields), others=summed(x, [n for n in fields if n != "s4"]))
+    rated = lambda x: F.struct(F.bround(q(x["others"] / x["total"])).cast("int").alias("gq"), F.array(*[q(x[n] / x["total"]) for n in fields]).alias("posteriors"))
+    worked = stats.bound(lambda x: stats.bound(shares, **{n: x[n] for n in fields}, top=F.greatest(*[x[n] for n in fields])), **dict(zip(fields, logs, strict=True)))
     most = F.struct(F.lit(int(MOST_GQ)).alias("gq"), F.array(*[F.lit(0.0 if i == 4 else MOST_GQ) for i in range(6)]).alias("posteriors"))
     whole = F.aggregate(counts, F.lit(0).cast("long"), lambda a, x: a + x) == depth
     return F.when(depth > MOST_TWO_DEPTH, most).when(whole, worked)
