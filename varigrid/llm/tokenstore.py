@@ -49,7 +49,7 @@ _OTHER = re.compile(r"[^\x00-\x7f\xc0-\xd6\xd8-\xf6\xf8-\u012f\u0131-\u017f]|<\|
 
 
 #: Code points that are encoded at once; longer texts are parted at white space.
-RUN = 1 << 20
+RUN = 1 << 18
 
 
 class Encoder:
@@ -65,24 +65,34 @@ class Encoder:
 
     LONGEST = 64
 
-    def __init__(self, path: str, most_pieces: int = 1_000_000):
+    def __init__(self, path: str, most_pieces: int = 500_000):
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
         self.model = self.whole.model
         self.bytes = _byte_letters()
         self.most_pieces = most_pieces
-        self.bits = max(10, (3 * most_pieces).bit_length())
         self.up, self.down = np.ones(1, np.uint64), np.ones(1, np.uint64)
         self._forget()
 
     def _forget(self) -> None:
-        self.keys = np.zeros(1 << self.bits, np.uint64)
-        self.places = np.zeros(1 << self.bits, np.int32)
-        self.lengths, self.starts = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
-        self.pool = np.zeros(1 << 18, np.uint32)
+        self._table(10)
+        self.lengths, self.starts = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+        self.pool = np.zeros(1 << 16, np.uint32)
         self.known = self.held = 0
 
+    def _table(self, bits: int) -> None:
+        self.bits, self.keys, self.places = bits, np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, np.int32)
+
+    def _room(self, more: int) -> None:
+        """Make the table large enough for the pieces known and some more: at least two thirds stay free."""
+        bits = max(10, (3 * (self.known + more)).bit_length())
+        if bits > self.bits:
+            keys, places = self.keys, self.places
+            full = np.flatnonzero(keys)
+            self._table(bits)
+            self._put(keys[full], places[full])
+
     def _powers(self, n: int) -> None:
         if len(self.up) < n:
             base = int(mix(np.array([11], np.uint64))[0] | np.uint64(1))
@@ -122,7 +132,11 @@ class Encoder:
         self.starts[k : k + len(n)] = self.held + np.cumsum(n) - n
         self.held += len(ids)
         self.known += len(n)
-        slot, place = (h >> np.uint64(64 - self.bits)).astype(np.int64), np.arange(k, k + len(n))
+        self._put(h, np.arange(k, k + len(n)))
+
+    def _put(self, h: np.ndarray, place: np.ndarray) -> None:
+        """Note the places of different pieces that the table doesn't have."""
+        slot = (h >> np.uint64(64 - self.bits)).astype(np.int64)
         while len(h):
             free = np.flatnonzero(self.keys[slot] == 0)
             _, first = np.unique(slot[free], return_index=True)
@@ -197,9 +211,7 @@ class Encoder:
             if self.known + len(u) > self.most_pieces and self.known:
                 self._forget()
                 return self._run(low, s, e)
-            while 2 * len(u) > 1 << self.bits:
-                self.bits += 1
-                self._forget()
+            self._room(len(u))
             a, b = s[new[first]].tolist(), e[new[first]].tolist()
             k = self.known
             self._learn(u, [text[x:y] for x, y in zip(a, b, strict=True)])
