@@ -12,7 +12,6 @@ import math
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -221,15 +220,35 @@ def clusters(signed: DataFrame, most: int | None = None, least_agree: int = 1, m
     consensus stands in a cluster's first row alone, as a chain of reads may make it long.
     """
 
-    def one(group: pd.DataFrame) -> pd.DataFrame:
-        held = _Part(list(zip(group.signature, group.n.astype(int), strict=True)), least_agree, most_disagree)
+    names = ["chrom", "nbhd", "part", "cluster", "signature", "n", "consensus"]
+    types = [pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.int64(), pa.string()]
+
+    def of(key: tuple, rows: list[tuple[str, int]]) -> Iterator[tuple]:
+        held = _Part(rows, least_agree, most_disagree)
         held.run(merging, moving, per_site)
-        out, key = [], (group.chrom.iloc[0], group.nbhd.iloc[0], group.part.iloc[0])
         for i, c in enumerate(sorted(held.clusters, key=lambda c: held.order[c]), 1):
-            out += [(*key, i, held.sig[v], held.n[v], held.consensus(c) if first else None) for first, v in zip([True] + [False] * len(held.clusters[c]), held.clusters[c], strict=False)]
-        return pd.DataFrame(out, columns=["chrom", "nbhd", "part", "cluster", "signature", "n", "consensus"])
+            for j, v in enumerate(held.clusters[c]):
+                yield *key, i, held.sig[v], held.n[v], None if j else held.consensus(c)
 
-    found = parts(signed).groupBy("chrom", "nbhd", "part").applyInPandas(one, "chrom string, nbhd long, part long, cluster int, signature string, n long, consensus string")
+    def walked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made = lambda out: pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate(types)], names)
+        key, rows = None, []
+        for batch in batches:
+            out = []
+            for *at, signature, n in zip(*[batch.column(i).to_pylist() for i in range(5)], strict=True):
+                if at != key and rows:
+                    out += of(tuple(key), rows)
+                    rows = []
+                key = at
+                rows.append((signature, n))
+            yield made(out)
+        if rows:
+            yield made(list(of(tuple(key), rows)))
+
+    keys = ["chrom", "nbhd", "part"]
+    # a part's rows lie together, and a task holds one part of them at a time
+    dealt = parts(signed).select(*keys, "signature", "n").repartition(*keys).sortWithinPartitions(*keys)
+    found = dealt.mapInArrow(walked, "chrom string, nbhd long, part long, cluster int, signature string, n long, consensus string")
     if most is None:
         return found
     keys = ["chrom", "nbhd", "part", "cluster"]
