@@ -54,16 +54,28 @@ def weights(signed: DataFrame) -> DataFrame:
     return signed.withColumn("weight", F.col("n") / F.sum("n").over(Window.partitionBy("chrom", "nbhd")))
 
 
+def one_state(states: DataFrame) -> DataFrame:
+    """(chrom, nbhd, read, pos, state): a read's state at a site, where it has several the first of X, alt and ref; N is left out.
+
+    States are numbers meanwhile, so that rows meet in a hash aggregate and are not sorted for it.
+    """
+    number = F.when(F.col("state") == "X", 0).when(F.col("state") == "alt", 1).otherwise(2)
+    least = states.filter("state <> 'N'").groupBy("chrom", "nbhd", "read", "pos").agg(F.min(number).alias("_least"))
+    return least.select("chrom", "nbhd", "read", "pos", F.when(F.col("_least") == 0, "X").when(F.col("_least") == 1, "alt").otherwise("ref").alias("state"))
+
+
 def together(states: DataFrame) -> DataFrame:
     """(chrom, nbhd, pos_a, pos_b, both, a_known, p): of the reads that carry a and know b, the share that carries b.
 
-    Pairs are of sites of one read, so their number is bounded by the sites of a neighborhood.
+    A read is one row with the sites that it carries and knows, and gives its own pairs: states are read once and
+    meet no copy of themselves.  A read's sites are bounded by those of a neighborhood.  Rows of no read or neighborhood give none.
     """
-    known = states.filter("state <> 'N'")
-    carry = known.filter("state = 'alt'").select("chrom", "nbhd", "read", F.col("pos").alias("pos_a")).distinct()
-    other = known.groupBy("chrom", "nbhd", "read", F.col("pos").alias("pos_b")).agg(F.max((F.col("state") == "alt").cast("int")).alias("b"))
-    met = carry.join(other, ["chrom", "nbhd", "read"]).filter("pos_a <> pos_b")
-    return met.groupBy("chrom", "nbhd", "pos_a", "pos_b").agg(F.sum("b").alias("both"), F.count("*").alias("a_known"), F.avg("b").alias("p"))
+    carried, pos = F.when(F.col("state") == "alt", F.col("pos")), F.col("pos")
+    reads = states.filter("state <> 'N'").na.drop(subset=["chrom", "nbhd", "read"]).groupBy("chrom", "nbhd", "read").agg(F.collect_set(carried).alias("_carried"), F.collect_set(pos).alias("_known"))
+    met = reads.filter(F.size("_carried") > 0).select("chrom", "nbhd", "_carried", "_known", F.explode("_carried").alias("pos_a"))
+    met = met.select("chrom", "nbhd", "pos_a", "_carried", F.explode("_known").alias("pos_b")).filter("pos_a <> pos_b")
+    b = F.array_contains("_carried", F.col("pos_b")).cast("int")
+    return met.select("chrom", "nbhd", "pos_a", "pos_b", b.alias("b")).groupBy("chrom", "nbhd", "pos_a", "pos_b").agg(F.sum("b").alias("both"), F.count("*").alias("a_known"), F.avg("b").alias("p"))
 
 
 def merged_calls(original: DataFrame, phased: DataFrame, used: DataFrame) -> DataFrame:
