@@ -15,7 +15,8 @@ def components(edges: DataFrame) -> DataFrame:
     neighbours, then its smaller ones and itself, on the smallest node it knows,
     until nothing changes.  The number of rounds grows with the logarithm of
     the component's size.  Each round is written to the shared folder, so
-    lineage stays short and a lost executor costs one round at most.  A node's
+    lineage stays short and a lost executor costs one round at most; so is the
+    result, whose plan is one scan wherever it is joined.  A node's
     neighbours are reduced with ``min`` before they move and never gathered.
     """
     spark = edges.sparkSession
@@ -39,4 +40,6 @@ def components(edges: DataFrame) -> DataFrame:
             break
         seen = mark
     roots = now.groupBy("a").agg(F.min("b").alias("root")).select(F.col("a").alias("node"), "root")
-    return roots.union(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+    roots = stored(roots.union(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()))
+    dropped(spark, path)
+    return roots

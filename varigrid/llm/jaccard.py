@@ -448,7 +448,8 @@ def _grouped(docs: DataFrame, width: int, percent: int, sketch_bits: int) -> Dat
     dropped(spark, path)
 
     ids = signed.groupBy("cls").agg(F.min("doc_id").alias("class_id")).join(first, "cls", "left").withColumn("node", F.coalesce("root", "cls")).drop("root")
-    ids = ids.join(joined, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    # written, as are components: else each use below would repeat the plan, and the driver holds the plans of all stages at once
+    ids = stored(ids.join(joined, "node", "left").select("cls", "class_id", F.coalesce("root", "node").alias("root")))
     least = ids.groupBy("root").agg(F.min("class_id").alias("component_id"))
     ids = ids.join(least, "root").select("cls", "class_id", "component_id", "root")
     alone = F.col("n") == 0
@@ -526,7 +527,7 @@ def one_of_each_group(docs: DataFrame, width: int = 5, percent: int = 80) -> Dat
     text.  Rows with an empty set and rows with a null doc_id whose component
     has no id stay all.
     """
-    found = _grouped(docs, width, percent, SKETCH_BITS).filter("n_shingles > 0 and component_id is not null").select("doc_id", "text_hash", "component_id", "root").distinct()
+    found = stored(_grouped(docs, width, percent, SKETCH_BITS).filter("n_shingles > 0 and component_id is not null").select("doc_id", "text_hash", "component_id", "root").distinct())
     heads = found.filter("doc_id = component_id")
     first = heads.groupBy("root").agg(F.min("text_hash").alias("least"))
     others = heads.join(first, "root").filter("text_hash > least").select("doc_id", "text_hash")
