@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from varigrid.functions import sequence
-from varigrid.operators.stitch import held, runs
+from varigrid.functions import clipped
 
 #: Fixed value: so many clipped bases may have one mismatch before the clip counts as messy.
 BASES_A_MISMATCH = 12
@@ -14,15 +13,7 @@ BASES_A_MISMATCH = 12
 
 def base_marks(read: Column) -> Column:
     """A letter for each base of a read (pos, cigar, bases, context, context_start): ``=`` match, ``X`` mismatch or N, ``U`` not mapped."""
-    reference = lambda place: F.substring(read["context"], (place - read["context_start"] + 1).cast("int"), F.lit(1))
-    inside = lambda place: (place >= read["context_start"]) & (place < read["context_start"] + F.length(read["context"]))
-
-    def of(r: Column) -> Column:
-        same = lambda i: F.coalesce(inside(r["place"] + i) & (F.substring(read["bases"], r["base"] + i + 1, F.lit(1)) == reference(r["place"] + i)), F.lit(False))
-        text = F.array_join(F.transform(F.sequence(F.lit(0), r["len"] - 1), lambda i: F.when(same(i), "=").otherwise("X")), "")
-        return F.when(r["op"].isin("M", "=", "X"), text).when(r["op"].isin("I", "S"), F.repeat(F.lit("U"), r["len"])).otherwise("")
-
-    return F.array_join(F.transform(runs(sequence.cigar(read["cigar"]), read["pos"]), of), "")
+    return clipped.marks(read["pos"].cast("long"), read["cigar"], read["bases"], read["context"], read["context_start"].cast("long"))
 
 
 def reclipped(cigar: Column, marks: Column, prefix: Column, suffix: Column, clip_matches: bool = False, mess: bool = True, only_n: bool = False, prefix_n: Column | None = None, suffix_n: Column | None = None) -> Column:
@@ -37,43 +28,5 @@ def reclipped(cigar: Column, marks: Column, prefix: Column, suffix: Column, clip
     """
     none = F.lit(0)
     prefix_n, suffix_n = prefix_n if prefix_n is not None else none, suffix_n if suffix_n is not None else none
-    letters = sequence.expanded(sequence.cigar(cigar))
-    at = lambda text, i: F.substring(text, i + 1, none + 1)  # noqa: E731  from 0
-
-    def measured(g: Column) -> Column:
-        t, n = g["t"], F.length(g["t"])
-        ahead = F.length(F.regexp_extract(t, "^[MS]*", 0))
-        behind = F.length(F.regexp_extract(t, "[MS]*$", 0))
-        first = F.when(ahead < n, F.least(ahead + 1, g["prefix"])).otherwise(0)
-        last = F.when(behind < n, F.least(behind + 1, g["suffix"])).otherwise(0)
-        return held(lambda w: searched(g, w), n=n, ahead=ahead, behind=behind, first=first, last=last, size=F.length(g["marks"]))
-
-    def searched(g: Column, w: Column) -> Column:
-        wrong = lambda i: at(g["marks"], i) == "X"
-        # places of the letters that may be clipped, innermost first by their numbers
-        near = F.when(w["first"] > w["ahead"], F.lit(2 if mess else 1)).otherwise(0)
-        left = F.filter(F.sequence(none, w["first"] - 1), lambda i: (w["first"] > 0) & (at(g["t"], i) == "M") & (i < w["ahead"] - near))
-        start = w["n"] - w["last"]
-        right = F.filter(F.sequence(none, w["last"] - 1), lambda i: (w["last"] > 0) & (at(g["t"], start + i) == "M") & ((w["last"] <= w["behind"]) | (i > 1)))
-        mark_l, mark_r = (lambda i: i + g["prefix"] - w["first"]), (lambda i: w["size"] - w["last"] + i)
-        count = lambda n, mark: F.size(F.filter(F.sequence(none, F.greatest(n - 1, none)), lambda i: (n > 0) & wrong(mark(i))))
-        messy_l = count(w["first"], mark_l) > g["prefix"] / BASES_A_MISMATCH
-        messy_r = count(w["last"], mark_r) > g["suffix"] / BASES_A_MISMATCH
-        if only_n:
-            gone_l = F.filter(left, lambda i: i < g["prefix_n"])
-            gone_r = F.filter(right, lambda i: (g["suffix_n"] > 0) & (mark_r(i) >= w["size"] - g["suffix_n"]))
-        else:
-            inner = F.array_max(F.filter(left, lambda i: wrong(mark_l(i))))
-            outer = F.array_min(F.filter(right, lambda i: wrong(mark_r(i))))
-            gone_l = left if clip_matches else F.filter(left, lambda i: messy_l | F.coalesce(i <= inner, F.lit(False)))
-            gone_r = F.filter(right, lambda i: messy_r | F.coalesce(i >= outer, F.lit(False)))
-        return held(lambda v: written(g, v), gone=F.concat(gone_l, F.transform(gone_r, lambda i: start + i)), n=w["n"])
-
-    def written(g: Column, v: Column) -> Column:
-        new = F.array_join(F.transform(F.sequence(none, v["n"] - 1), lambda i: F.when(F.array_contains(v["gone"], i), "S").otherwise(at(g["t"], i))), "")
-        # nothing mapped is left: the last clipped base before anything else
-        saved = F.regexp_replace(new, "^(S*)S", "$1M")
-        return sequence.run_lengths(F.when(new.contains("M"), new).otherwise(saved))
-
-    put = held(measured, t=letters, marks=marks, prefix=prefix.cast("int"), suffix=suffix.cast("int"), prefix_n=prefix_n.cast("int"), suffix_n=suffix_n.cast("int"))
-    return F.when(((prefix == 0) & (suffix == 0)) | (F.length(letters) == 0), cigar).otherwise(put)
+    numbers = [n.cast("int") for n in (prefix, suffix, prefix_n, suffix_n)]
+    return clipped.put_back(clip_matches, mess, only_n, BASES_A_MISMATCH)(cigar, marks, *numbers)
