@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections import defaultdict
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -14,10 +15,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from varigrid.operators import blocks
+from varigrid.sources import shared
 
 _OPS = re.compile(r"(\d+)([MIDNSHP=X])")
 #: Letters of reads that are walked at once.
 LETTERS = 1 << 20
+#: Beyond all places.
+_FAR = 1 << 62
+_LETTERS = pa.array(list("ACGTN"))
+_COLLAPSED = {"chrom": "string", "pos": "long", "ref": "string", "alt": "string", "open_left": "boolean", "open_right": "boolean", "support": "long", "coverage": "long"}
+_REALLOCATED = {"chrom": "string", "pos": "long", "ref": "string", "alt": "string", "support": "long", "callable": "boolean"}
 _KIND = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.int32(), pa.bool_(), pa.bool_()]
 
 
@@ -165,52 +172,73 @@ def spans(candidates: DataFrame, reach: int = 1) -> DataFrame:
     return blocks.running(rows, ["chrom"], "pos", ["pos", "ref", "alt"], opened, "span", own=True).drop("_end")
 
 
-def by_span(candidates: DataFrame, work: Callable[[list[dict]], list[tuple]], schema: str, reach: int = 1) -> DataFrame:
-    """What ``work`` makes of the candidates (chrom, pos, ref) of each span, a dictionary a row.
+def by_span(candidates: DataFrame, work: Callable[[list[dict]], list[tuple]], busy: Callable[[pa.RecordBatch, np.ndarray], np.ndarray], reach: int = 1) -> DataFrame:
+    """What ``work`` makes of the candidates (chrom, pos, ref) of each span, a dictionary a row, as rows of the same columns.
 
-    Rows are shuffled once, to blocks of positions, and a task goes through a block
+    ``busy`` names the rows of whole spans, in order and with a number a span, that ``work`` has to see; others
+    stay as they are and never become Python objects.
+    Rows are written once, shuffled once, to blocks of positions, and a task goes through a block
     in order and keeps one span at a time.  A block begins with a row that says how far
     the earlier ones reach and where the next one begins, so spans that lie in one
     block are known there; the few that cross borders are brought together after it.
     """
-    columns, names = candidates.columns, [f.split()[0] for f in schema.split(", ")]
+    candidates = shared.written(candidates)
+    columns = candidates.columns
     keyed = candidates.withColumn("_block", F.floor(F.col("pos") / blocks.WIDTH))
     ends = keyed.groupBy("chrom", "_block").agg(F.max(F.col("pos") + F.length("ref") - 1).alias("_top"), F.min("pos").alias("_first"))
     # a row a block from here on
     order = Window.partitionBy("chrom").orderBy("_block")
     ends = ends.withColumns({"_before": F.max("_top").over(order.rowsBetween(Window.unboundedPreceding, -1)), "_next": F.lead("_first").over(order)})
+    ends = shared.written(ends)
     kind = candidates.schema.simpleString()[len("struct<") : -1].replace(":", " ")
 
-    def sweep(batches: Iterator[pa.RecordBatch], inner: bool) -> Iterator[list]:
-        """Spans of one block, or with ``inner`` false what others have of the spans."""
-        span, end, begun, following = [], None, True, None
-        for batch in batches:
-            out = []
-            for _, row, before, then, *values in zip(*[batch.column(i).to_pylist() for i in range(batch.num_columns)], strict=True):
-                if not row:
-                    if span and (begun and (following is None or following > end + reach)) == inner:
-                        out.append(span)
-                    span, end, begun, following = [], before, before is None, then
+    def numbered(rows: pa.RecordBatch, last: bool, inner: bool) -> tuple[np.ndarray, np.ndarray, pa.RecordBatch | None]:
+        """A span's number a row, whether it is asked for, and the rows of the last span, which may go on, after their block's first row."""
+        row = _numbers(rows, "_row").astype(bool)
+        pos, at = _numbers(rows, "pos"), np.arange(len(row))
+        stop = np.where(row, pos + _sizes(rows, "ref") - 1, _numbers(rows, "_before", -_FAR))
+        top = _greatest(stop, np.cumsum(~row))
+        opened = np.append(False, row[1:] & (pos[1:] > top[:-1] + reach))
+        first = np.flatnonzero(opened | ~row)
+        ends_block = np.append(~row[first[1:]], True)
+        head = np.maximum.accumulate(np.where(row, 0, at))[first]
+        done = ~ends_block | (_numbers(rows, "_next", _FAR)[head] > top[np.append(first[1:], len(row)) - 1] + reach)
+        wanted = (opened[first] & done) == inner
+        held = None
+        if not last:
+            wanted[-1] = False
+            held = pa.concat_batches([rows.slice(head[-1], 1), rows.slice(max(first[-1], head[-1] + 1))])
+        span = np.cumsum(opened | ~row) - 1
+        return span, wanted[span] & row, held
+
+    def sweep(batches: Iterator[pa.RecordBatch], inner: bool) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+        """Rows and spans' numbers of spans of one block, or with ``inner`` false what others have of the spans."""
+        held, waiting = None, []
+        for batch in chain(batches, [None]):
+            if batch is not None:
+                waiting += [batch] if batch.num_rows else []
+                # a long span is looked at again when it has doubled
+                if not waiting or (held is not None and sum(b.num_rows for b in waiting) < held.num_rows):
                     continue
-                r = dict(zip(columns, values, strict=True))
-                if end is None or r["pos"] > end + reach:
-                    if span and begun == inner:
-                        out.append(span)
-                    span, begun = [], True
-                span.append(r)
-                last = r["pos"] + len(r["ref"]) - 1
-                end = last if end is None else max(end, last)
-            yield out
-        if span and (begun and (following is None or following > end + reach)) == inner:
-            yield [span]
+            some = [b for b in (held, *waiting) if b is not None]
+            if some:
+                rows = pa.concat_batches(some)
+                span, wanted, held = numbered(rows, batch is None, inner)
+                waiting = []
+                yield rows.filter(pa.array(wanted)).select(columns), span[wanted]
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for found in sweep(batches, True):
-            yield made([x for span in found for x in work(span)])
+        for rows, span in sweep(batches, True):
+            some = busy(rows, span)
+            yield rows.filter(pa.array(~some))
+            seen, at = rows.filter(pa.array(some)), span[some]
+            each = [dict(zip(columns, v, strict=True)) for v in zip(*[c.to_pylist() for c in seen.columns], strict=True)]
+            edges = [0, *(np.flatnonzero(np.diff(at)) + 1).tolist(), len(each)]
+            yield made([x for i, j in zip(edges, edges[1:]) if i < j for x in work(each[i:j])])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for found in sweep(batches, False):
-            yield pa.RecordBatch.from_pydict({c: [r[c] for span in found for r in span] for c in columns}, held)
+        for rows, _ in sweep(batches, False):
+            yield rows
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, span = None, []
@@ -227,9 +255,9 @@ def by_span(candidates: DataFrame, work: Callable[[list[dict]], list[tuple]], sc
             yield made(work(span))
 
     def made(rows: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(zip(*rows, strict=True) if rows else [[]] * len(names), kept, strict=True)], names)
+        return pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(zip(*rows, strict=True) if rows else [[]] * len(columns), schema, strict=True)], columns)
 
-    held, kept = (to_arrow_schema(s) for s in (candidates.schema, candidates.sparkSession.createDataFrame([], schema).schema))
+    schema = to_arrow_schema(candidates.schema)
 
     def laid(rows: DataFrame, firsts: DataFrame) -> DataFrame:
         none = [F.lit(None).cast(candidates.schema[c].dataType).alias(c) for c in columns if c != "chrom"]
@@ -241,8 +269,33 @@ def by_span(candidates: DataFrame, work: Callable[[list[dict]], list[tuple]], sc
     crossing = ends.filter((F.col("_before") + reach >= F.col("_first")) | (F.greatest("_top", "_before") + reach >= F.col("_next")))
     some = keyed.join(F.broadcast(crossing.select(F.col("chrom").alias("_c"), F.col("_block").alias("_b"))), F.col("chrom").eqNullSafe(F.col("_c")) & (F.col("_block") == F.col("_b")), "left_semi")
     rest = spans(laid(some, crossing).mapInArrow(cut, kind), reach)
-    across = rest.repartition("chrom", "span").sortWithinPartitions("chrom", "span").mapInArrow(joined, schema)
-    return laid(keyed, ends).mapInArrow(whole, schema).unionByName(across)
+    across = rest.repartition("chrom", "span").sortWithinPartitions("chrom", "span").mapInArrow(joined, kind)
+    return laid(keyed, ends).mapInArrow(whole, kind).unionByName(across)
+
+
+def _numbers(rows: pa.RecordBatch, name: str, none: int = 0) -> np.ndarray:
+    """A column of numbers or flags, ``none`` for nulls."""
+    return pc.fill_null(rows.column(name).cast(pa.int64()), none).to_numpy(zero_copy_only=False)
+
+
+def _sizes(rows: pa.RecordBatch, name: str) -> np.ndarray:
+    return pc.fill_null(pc.utf8_length(rows.column(name)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _greatest(values: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """The greatest value so far of each group's rows, which follow one another; groups' numbers rise."""
+    known, rank = np.unique(values, return_inverse=True)
+    return known[np.maximum.accumulate(group * len(known) + rank) - group * len(known)]
+
+
+def _shared(keys: list[np.ndarray], open_ones: np.ndarray) -> np.ndarray:
+    """Rows that have a key with another row, an open one among them.  Keys are hashed, so a few rows more may be named."""
+    mixed = np.zeros(len(open_ones), np.uint64)
+    for k in keys:
+        mixed = (mixed ^ k.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        mixed ^= mixed >> np.uint64(29)
+    _, of, n = np.unique(mixed, return_inverse=True, return_counts=True)
+    return ((n > 1) & (np.bincount(of, weights=open_ones, minlength=len(n)) > 0))[of]
 
 
 def collapsed(candidates: DataFrame, ratio: float = 0.5, least_frequency: float = 0.0) -> DataFrame:
@@ -295,8 +348,17 @@ def collapsed(candidates: DataFrame, ratio: float = 0.5, least_frequency: float
         kept = sorted(there.values(), key=lambda r: (r["pos"], r["ref"], r["alt"], r["open_left"], r["open_right"]))
         return [tuple(r[c] for c in ("chrom", "pos", "ref", "alt", "open_left", "open_right", "support", "coverage")) for r in kept]
 
-    schema = "chrom string, pos long, ref string, alt string, open_left boolean, open_right boolean, support long, coverage long"
-    return by_span(candidates.select("chrom", "pos", "ref", "alt", "open_left", "open_right", "support", "coverage"), one, schema)
+    def busy(rows: pa.RecordBatch, span: np.ndarray) -> np.ndarray:
+        # an open one may be held by what begins with its first letter where it does, or ends so; flags of an open one only go
+        ref, alt = _sizes(rows, "ref"), _sizes(rows, "alt")
+        kinds, plain = np.sign(alt - ref), alt == ref
+        left, right = (_numbers(rows, c).astype(bool) for c in ("open_left", "open_right"))
+        first, last = (pc.fill_null(pc.index_in(pc.utf8_slice_codeunits(rows.column("alt"), *of), _LETTERS), 0).to_numpy(zero_copy_only=False) for of in ((0, 1), (-1,)))
+        pos = _numbers(rows, "pos")
+        begin = _shared([span, pos, kinds, np.where(plain, first, 0)], right | (left & (kinds > 0)))
+        return begin | _shared([span, pos + ref, kinds, np.where(plain, last, 0)], left & (kinds <= 0))
+
+    return by_span(candidates.select(*[F.col(c).cast(t) for c, t in _COLLAPSED.items()]), one, busy)
 
 
 def reallocated(alleles: DataFrame) -> DataFrame:
@@ -334,5 +396,13 @@ def reallocated(alleles: DataFrame) -> DataFrame:
                             held.setdefault((pos + i, r, a), [0, False])[0] += support
         return [(rows[0]["chrom"], *k, *v) for k, v in sorted(held.items())]
 
-    schema = "chrom string, pos long, ref string, alt string, support long, callable boolean"
-    return by_span(alleles.select("chrom", "pos", "ref", "alt", "support", "callable"), one, schema)
+    def busy(rows: pa.RecordBatch, span: np.ndarray) -> np.ndarray:
+        # what begins inside a failed allele, itself included
+        ref, pos = _sizes(rows, "ref"), _numbers(rows, "pos")
+        failed = (ref > 1) & (ref == _sizes(rows, "alt")) & ~_numbers(rows, "callable").astype(bool)
+        top = _greatest(np.where(failed, pos + ref, -_FAR), span)
+        # rows at one place have what the last of them has
+        ends = np.append((np.diff(pos) != 0) | (np.diff(span) != 0), True)[: len(pos)]
+        return top[ends][np.cumsum(ends) - ends] > pos
+
+    return by_span(alleles.select(*[F.col(c).cast(t) for c, t in _REALLOCATED.items()]), one, busy)
