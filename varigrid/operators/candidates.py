@@ -19,7 +19,7 @@ from varigrid.sources import shared
 
 _OPS = re.compile(r"(\d+)([MIDNSHP=X])")
 #: Letters of reads that are walked at once.
-LETTERS = 1 << 20
+LETTERS = 1 << 18
 #: Beyond all places.
 _FAR = 1 << 62
 _LETTERS = pa.array(list("ACGTN"))
@@ -56,7 +56,7 @@ def found(reads: DataFrame, min_q: int = 20, mnvs: bool = False, most_length: in
         q = quals.values.to_numpy(zero_copy_only=False)
         sizes = np.diff(np.stack([b_at, r_at, q_at]), axis=1)
         read, base, ref, long, others, ops = [], [], [], [], [], {}
-        for k, cigar in enumerate(cigars.to_pylist()):
+        for k, cigar in enumerate(_listed(cigars)):
             if cigar not in ops:
                 ops[cigar] = _placed(cigar)
             for op, n, at, ref_at in ops[cigar]:
@@ -95,14 +95,16 @@ def found(reads: DataFrame, min_q: int = 20, mnvs: bool = False, most_length: in
         pos = batch.column(1).to_numpy(zero_copy_only=False)[of] + ref[run[s]] + inside[s]
         columns = [batch.column(0).take(pa.array(of)), pa.array(pos, pa.int64()), _texts(r, r_i[s], n), _texts(b, b_i[s], n), batch.column(6).take(pa.array(of)), pa.array(left), pa.array(right)]
         rows = []
+        reads = list(zip(*map(_listed, (batch.column(0), batch.column(1), bases, reference, batch.column(6))), strict=True)) if others else []
+        q_at = q_at.tolist()
         for k, op, n, at, ref_at in others:
-            chrom, pos, own, known = batch.column(0)[k].as_py(), batch.column(1)[k].as_py(), bases[k].as_py(), reference[k].as_py()
+            chrom, pos, own, known, way = reads[k]
             if op == "I":
                 if at and q[q_at[k] + at : min(q_at[k] + at + n, q_at[k + 1])].min() >= min_q and "N" not in own[at : at + n]:
                     anchor = known[ref_at - 1]
-                    rows.append((chrom, pos + ref_at - 1, anchor, anchor + own[at : at + n], batch.column(6)[k].as_py(), False, at + n == len(own)))
+                    rows.append((chrom, pos + ref_at - 1, anchor, anchor + own[at : at + n], way, False, at + n == len(own)))
             elif at and at < len(own) and q[q_at[k] + at - 1 : q_at[k] + at + 1].min() >= min_q:
-                rows.append((chrom, pos + ref_at - 1, known[ref_at - 1 : ref_at + n], known[ref_at - 1], batch.column(6)[k].as_py(), False, False))
+                rows.append((chrom, pos + ref_at - 1, known[ref_at - 1 : ref_at + n], known[ref_at - 1], way, False, False))
         more = [pa.array(v, t) for v, t in zip(zip(*rows, strict=True) if rows else [[]] * len(_KIND), _KIND, strict=True)]
         return pa.RecordBatch.from_arrays([pa.concat_arrays([c.cast(t), m]) for c, m, t in zip(columns, more, _KIND, strict=True)], names)
 
@@ -128,11 +130,25 @@ def _placed(cigar: str) -> list[tuple[str, int, int, int]]:
     return out
 
 
+def _listed(column: pa.Array) -> list:
+    """Values of a column; without nulls a list comes faster from numpy."""
+    return column.to_pylist() if column.null_count else column.to_numpy(zero_copy_only=False).tolist()
+
+
+def _numbers_of(column: pa.Array, none: int = 0) -> np.ndarray:
+    """Numbers or flags, ``none`` for nulls."""
+    return pc.fill_null(column.cast(pa.int64()), none).to_numpy(zero_copy_only=False)
+
+
 def _codes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Code points of all texts, and where each text starts (texts + 1)."""
-    texts = column.to_pylist()
-    starts = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
-    return np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32), starts
+    column = column.cast(pa.string())
+    sizes = _numbers_of(pc.utf8_length(column))
+    starts = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+    ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    if len(column) and ends[-1] - ends[0] == starts[-1]:  # a byte a letter
+        return np.frombuffer(column.buffers()[2], np.uint8)[ends[0] : ends[-1]] if starts[-1] else np.zeros(0, np.uint8), starts
+    return np.frombuffer("".join(_listed(column)).encode("utf-32-le"), np.uint32), starts
 
 
 def _texts(codes: np.ndarray, start: np.ndarray, n: np.ndarray) -> pa.Array:
@@ -157,10 +173,10 @@ def counted(candidates: DataFrame, *by: str) -> DataFrame:
     rows = candidates.select("chrom", place.alias("_place"), F.concat_ws(">", "ref", "alt").alias("_change"))
     rows = rows.groupBy("chrom", "_place", "_change").agg(F.count("*").alias("support"))
     flags = [F.shiftright("_place", 2 * i).bitwiseAND(F.lit(3)) for i in reversed(range(len(by)))]
-    alleles = F.split("_change", ">")
+    at = F.instr("_change", ">")
     kinds = candidates.schema
     return rows.select(
-        "chrom", F.shiftright("_place", 2 * len(by)).alias("pos"), F.get(alleles, F.lit(0)).alias("ref"), F.get(alleles, F.lit(1)).alias("alt"),
+        "chrom", F.shiftright("_place", 2 * len(by)).alias("pos"), F.substring_index("_change", ">", 1).alias("ref"), F.when(at > 0, F.substring(F.col("_change"), at + 1, F.length("_change"))).alias("alt"),
         *[F.when(f < 3, f).cast("int").cast(kinds[c].dataType).alias(c) for c, f in zip(by, flags, strict=True)], "support",
     )
 
@@ -232,7 +248,7 @@ def by_span(candidates: DataFrame, work: Callable[[list[dict]], list[tuple]], bu
             some = busy(rows, span)
             yield rows.filter(pa.array(~some))
             seen, at = rows.filter(pa.array(some)), span[some]
-            each = [dict(zip(columns, v, strict=True)) for v in zip(*[c.to_pylist() for c in seen.columns], strict=True)]
+            each = [dict(zip(columns, v, strict=True)) for v in zip(*map(_listed, seen.columns), strict=True)]
             edges = [0, *(np.flatnonzero(np.diff(at)) + 1).tolist(), len(each)]
             yield made([x for i, j in zip(edges, edges[1:]) if i < j for x in work(each[i:j])])
 
@@ -274,12 +290,11 @@ def by_span(candidates: DataFrame, work: Callable[[list[dict]], list[tuple]], bu
 
 
 def _numbers(rows: pa.RecordBatch, name: str, none: int = 0) -> np.ndarray:
-    """A column of numbers or flags, ``none`` for nulls."""
-    return pc.fill_null(rows.column(name).cast(pa.int64()), none).to_numpy(zero_copy_only=False)
+    return _numbers_of(rows.column(name), none)
 
 
 def _sizes(rows: pa.RecordBatch, name: str) -> np.ndarray:
-    return pc.fill_null(pc.utf8_length(rows.column(name)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    return _numbers_of(pc.utf8_length(rows.column(name)))
 
 
 def _greatest(values: np.ndarray, group: np.ndarray) -> np.ndarray:
@@ -353,7 +368,7 @@ def collapsed(candidates: DataFrame, ratio: float = 0.5, least_frequency: float
         ref, alt = _sizes(rows, "ref"), _sizes(rows, "alt")
         kinds, plain = np.sign(alt - ref), alt == ref
         left, right = (_numbers(rows, c).astype(bool) for c in ("open_left", "open_right"))
-        first, last = (pc.fill_null(pc.index_in(pc.utf8_slice_codeunits(rows.column("alt"), *of), _LETTERS), 0).to_numpy(zero_copy_only=False) for of in ((0, 1), (-1,)))
+        first, last = (_numbers_of(pc.index_in(pc.utf8_slice_codeunits(rows.column("alt"), *of), _LETTERS)) for of in ((0, 1), (-1,)))
         pos = _numbers(rows, "pos")
         begin = _shared([span, pos, kinds, np.where(plain, first, 0)], right | (left & (kinds > 0)))
         return begin | _shared([span, pos + ref, kinds, np.where(plain, last, 0)], left & (kinds <= 0))
